@@ -3,16 +3,16 @@
 A window ``partitionBy(session).orderBy(t)`` puts a whole session in one task;
 if one session holds a third of the rows, one task does a third of the work.
 These helpers cut the lexicographic order of ``(keys..., order...)`` into
-range buckets (bounds taken from a bounded sample, collected to the driver:
-``n_buckets - 1`` tuples), run the window inside ``(keys, bucket)``, and repair
+range buckets (equal-width on the first order column, as many per key as its
+row count needs), run the window inside ``(keys, bucket)``, and repair
 the bucket edges with a small per-``(key, bucket)`` carry table:
 
 * ``seq_lag`` / ``seq_lead`` -- previous / next row's values
 * ``seq_cumsum``             -- running sums (row numbers are running counts)
 * ``seq_ffill``              -- last non-NULL value so far
 
-The carry tables hold one row per (key, bucket), so their size is bounded by
-``#keys x n_buckets`` and never by the rows of a hot key.  The order passed in
+The carry tables hold one row per (key, bucket), so their size is about
+``#keys + rows / rows_per_bucket`` and never the rows of a hot key.  The order passed in
 must be total (add a unique tie-break column) for results to be deterministic.
 """
 
@@ -22,54 +22,71 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 B = "_seq_b"
-SAMPLE_PER_BUCKET = 64
+ROWS_PER_BUCKET_CONF = "corpusvox.seq.rowsPerBucket"
+DEFAULT_ROWS_PER_BUCKET = 200_000
+MAX_BUCKETS = 4096
 
 
 def _names(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(2, 2 * n)
+def order_projection(df: DataFrame, col: str) -> Column:
+    """A DOUBLE that never decreases when ``col`` increases (ties allowed).
+
+    Numbers and times map to their value; strings to their first 7 UTF-8 bytes
+    read as a big-endian number (byte order = Spark's string order)."""
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, T.NumericType):
+        return c.cast("double")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, T.BooleanType):
+        return c.cast("int").cast("double")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        raw = F.encode(c, "UTF-8") if isinstance(dt, T.StringType) else c
+        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0"), 16, 10).cast("double")
+    raise TypeError(f"cannot bucket on {col}: {dt.simpleString()}")
 
 
 def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  n_buckets: int | None = None, seed: int = 11) -> DataFrame:
-    """Add ``_seq_b``: a bucket id that never decreases along (keys, order).
-
-    Equal (keys, order) tuples always share a bucket.  Two small actions run
-    here (a count and a bounded sample); everything after stays lazy.
-    """
-    cols = _names(keys) + _names(order)
-    n_buckets = n_buckets or default_buckets(df)
-    proj = df.select(*cols)
-    total = proj.count()
-    if total == 0 or n_buckets <= 1:
-        return df.withColumn(B, F.lit(0))
-    frac = min(1.0, SAMPLE_PER_BUCKET * n_buckets / total)
-    sample = proj.sample(False, frac, seed).orderBy(*cols).collect()
-    bounds: list[tuple] = []
-    for i in range(1, n_buckets):
-        if not sample:
-            break
-        row = tuple(sample[min(len(sample) - 1, i * len(sample) // n_buckets)])
-        if not bounds or row != bounds[-1]:
-            bounds.append(row)
-    if not bounds:
-        return df.withColumn(B, F.lit(0))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    lits = F.array(*[
-        F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, b)]) for b in bounds
-    ])
-    here = F.struct(*[F.col(c).alias(c) for c in cols])
-    return df.withColumn(B, F.size(F.filter(lits, lambda x: x <= here)))
-
-
-def _ensure(df: DataFrame, keys, order, n_buckets=None) -> DataFrame:
-    return df if B in df.columns else range_buckets(df, keys, order, n_buckets)
+                  rows_per_bucket: int | None = None) -> DataFrame:
+    """Add ``_seq_b``: a bucket id that never decreases along ``order`` inside a key.
+
+    Lazy: per key, one aggregate gives (min, max, count) of the first order
+    column; a key gets ``ceil(count / rows_per_bucket)`` equal-width buckets
+    (at most MAX_BUCKETS), so small keys stay whole and a hot key is cut into
+    many.  Equal values of the first order column always share a bucket."""
+    keys, order = _names(keys), _names(order)
+    conf = df.sparkSession.conf.get(ROWS_PER_BUCKET_CONF, None)
+    rpb = int(rows_per_bucket or conf or DEFAULT_ROWS_PER_BUCKET)
+    x = order_projection(df, order[0])
+    with_x = df.withColumn("_seq_x", x)
+    stats = with_x.groupBy(*keys).agg(F.min("_seq_x").alias("_seq_lo"), F.max("_seq_x").alias("_seq_hi"),
+                                      F.count(F.lit(1)).alias("_seq_n"))
+    stats = stats.withColumn("_seq_nb", F.least(F.lit(MAX_BUCKETS),
+                                                F.greatest(F.lit(1), F.ceil(F.col("_seq_n") / rpb))).cast("long"))
+    stats = stats.drop("_seq_n")
+    if keys:
+        j = with_x.join(stats, keys)
+    else:  # one stats row, joined on a constant key (a broadcast of one row)
+        j = with_x.withColumn("_seq_k", F.lit(0)).join(stats.withColumn("_seq_k", F.lit(0)), "_seq_k") \
+            .drop("_seq_k")
+    span = F.col("_seq_hi") - F.col("_seq_lo")
+    b = F.when(span > 0, F.least(F.col("_seq_nb") - 1,
+                                 F.floor((F.col("_seq_x") - F.col("_seq_lo")) / span * F.col("_seq_nb"))))
+    return j.withColumn(B, F.coalesce(b, F.lit(0)).cast("long")) \
+        .drop("_seq_x", "_seq_lo", "_seq_hi", "_seq_nb")
+
+
+def _ensure(df: DataFrame, keys, order, rows_per_bucket=None) -> DataFrame:
+    return df if B in df.columns else range_buckets(df, keys, order, rows_per_bucket)
 
 
 def _w(keys, order):
@@ -77,41 +94,58 @@ def _w(keys, order):
 
 
 def seq_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-            suffix: str = "_prev", n_buckets: int | None = None) -> DataFrame:
+            suffix: str = "_prev", rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``<col><suffix>`` = value of the previous row of the same key."""
-    return _shift(df, _names(keys), _names(order), _names(cols), suffix, -1, n_buckets)
+    return seq_neighbors(df, keys, order, prev=cols, prev_suffix=suffix, rows_per_bucket=rows_per_bucket)
 
 
 def seq_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-             suffix: str = "_next", n_buckets: int | None = None) -> DataFrame:
+             suffix: str = "_next", rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``<col><suffix>`` = value of the next row of the same key."""
-    return _shift(df, _names(keys), _names(order), _names(cols), suffix, +1, n_buckets)
+    return seq_neighbors(df, keys, order, next=cols, next_suffix=suffix, rows_per_bucket=rows_per_bucket)
 
 
-def _shift(df, keys, order, cols, suffix, direction, n_buckets):
-    df = _ensure(df, keys, order, n_buckets)
+def seq_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str], prev: Sequence[str] = (),
+                  next: Sequence[str] = (), prev_suffix: str = "_prev", next_suffix: str = "_next",
+                  rows_per_bucket: int | None = None) -> DataFrame:
+    """Previous-row and next-row values in one pass (one carry table for both)."""
+    keys, order, prev, nxt = _names(keys), _names(order), _names(prev), _names(next)
+    df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order)
-    fn = F.lag if direction < 0 else F.lead
-    edge = F.row_number().over(w) if direction < 0 else F.row_number().over(
-        Window.partitionBy(*keys, B).orderBy(*[F.col(c).desc() for c in order]))
-    local = df.select("*", *[fn(c).over(w).alias(c + suffix) for c in cols], edge.alias("_edge"))
-    pick = F.max_by if direction < 0 else F.min_by
-    ends = df.groupBy(*keys, B).agg(
-        pick(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order])).alias("_end"))
+    sel = [F.lag(c).over(w).alias(c + prev_suffix) for c in prev] + \
+          [F.lead(c).over(w).alias(c + next_suffix) for c in nxt]
+    if prev:
+        sel.append(F.row_number().over(w).alias("_first_in_b"))
+    if nxt:
+        sel.append(F.row_number().over(Window.partitionBy(*keys, B).orderBy(
+            *[F.col(c).desc() for c in order])).alias("_last_in_b"))
+    local = df.select("*", *sel)
+    okey = F.struct(*[F.col(c) for c in order])
+    aggs = []
+    if prev:
+        aggs.append(F.max_by(F.struct(*[F.col(c) for c in prev]), okey).alias("_tail"))
+    if nxt:
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in nxt]), okey).alias("_head"))
+    ends = df.groupBy(*keys, B).agg(*aggs)
     wb = Window.partitionBy(*keys).orderBy(B)
-    carry = ends.select(*keys, B, (F.lag if direction < 0 else F.lead)("_end").over(wb).alias("_carry"))
+    carry_cols = ([F.lag("_tail").over(wb).alias("_carry_p")] if prev else []) + \
+                 ([F.lead("_head").over(wb).alias("_carry_n")] if nxt else [])
+    carry = ends.select(*keys, B, *carry_cols)
     out = local.join(carry, keys + [B], "left")
-    for c in cols:
-        out = out.withColumn(c + suffix, F.when(F.col("_edge") == 1, F.col("_carry")[c])
-                             .otherwise(F.col(c + suffix)))
-    return out.drop("_edge", "_carry")
+    for c in prev:
+        out = out.withColumn(c + prev_suffix, F.when(F.col("_first_in_b") == 1, F.col("_carry_p")[c])
+                             .otherwise(F.col(c + prev_suffix)))
+    for c in nxt:
+        out = out.withColumn(c + next_suffix, F.when(F.col("_last_in_b") == 1, F.col("_carry_n")[c])
+                             .otherwise(F.col(c + next_suffix)))
+    return out.drop(*[c for c in ("_first_in_b", "_last_in_b", "_carry_p", "_carry_n") if c in out.columns])
 
 
 def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs: dict[str, Column],
-               n_buckets: int | None = None) -> DataFrame:
+               rows_per_bucket: int | None = None) -> DataFrame:
     """Add running sums (inclusive of the current row) of each expression per key."""
     keys, order = _names(keys), _names(order)
-    df = _ensure(df, keys, order, n_buckets)
+    df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()])
     tot = df.groupBy(*keys, B).agg(*[F.sum(e).alias(n) for n, e in exprs.items()])
@@ -124,16 +158,16 @@ def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs:
 
 
 def seq_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
-                   n_buckets: int | None = None) -> DataFrame:
+                   rows_per_bucket: int | None = None) -> DataFrame:
     """1-based row number per key, without a single-task window."""
-    return seq_cumsum(df, keys, order, {name: F.lit(1).cast("long")}, n_buckets)
+    return seq_cumsum(df, keys, order, {name: F.lit(1).cast("long")}, rows_per_bucket)
 
 
 def seq_ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, out: str,
-              n_buckets: int | None = None) -> DataFrame:
+              rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``out`` = last non-NULL ``col`` at or before this row (NULL if none)."""
     keys, order = _names(keys), _names(order)
-    df = _ensure(df, keys, order, n_buckets)
+    df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", F.last(col, ignorenulls=True).over(w).alias(out))
     tails = df.groupBy(*keys, B).agg(

@@ -31,6 +31,8 @@ def get_spark(master: str | None = None, app: str = "corpusvox",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "12g")
     for k, v in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
