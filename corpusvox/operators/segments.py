@@ -365,3 +365,47 @@ def sentences(tokens: DataFrame, rec: str, order: Sequence[str], text: str = "to
     per = seq_lag(per, [rec], ["sid"], ["end"], suffix="_prev")
     return per.select(rec, "sid", F.array_join(F.transform("_ps", lambda s: s["p"]), "").alias("text"),
                       F.coalesce(F.col("end_prev"), F.col("_first_start")).alias("start"), "end", "n_tokens")
+
+
+# ------------------------------------------------------------ transcripts
+
+def combine_segments(seg: DataFrame, rec: str, order: str, text: str = "text") -> DataFrame:
+    """One row per recording: segment texts joined by a space in segment
+    order.  The output row is the recording's transcript, so its size is the
+    recording's text; segments are collected with their order and sorted."""
+    return seg.groupBy(rec).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_s"),
+        F.count(F.lit(1)).alias("n_segments")) \
+        .select(rec, "n_segments", F.array_join(F.transform("_s", lambda x: x["t"]), " ").alias(text))
+
+
+def number_segments(seg: DataFrame, rec: str, order: Sequence[str], name: str = "idx") -> DataFrame:
+    """1-based segment number inside each recording."""
+    from corpusvox.plans.sequence import seq_row_number
+    return seq_row_number(seg, [rec], _l(order), name).drop(B)
+
+
+def transcript_blocks(seg: DataFrame, fmt: str, start_ms: str = "start", end_ms: str = "end",
+                      text: str = "text", idx: str = "idx") -> DataFrame:
+    """K8: one rendered block per segment.  srt: index, always hours, ',' marker;
+    vtt: hours only when > 0, '.'; '-->' inside text becomes '->'; tsv: integer
+    ms and tabs replaced by spaces; txt: the stripped text."""
+    from corpusvox.functions.text import py_strip
+    from corpusvox.functions.timefmt import format_timestamp
+    t = py_strip(F.col(text))
+    safe = F.replace(t, F.lit("-->"), F.lit("->"))
+    s, e = F.col(start_ms), F.col(end_ms)
+    if fmt == "srt":
+        block = F.concat_ws("\n", F.col(idx).cast("string"),
+                            F.concat(format_timestamp(s, True, ","), F.lit(" --> "), format_timestamp(e, True, ",")),
+                            safe, F.lit(""))
+    elif fmt == "vtt":
+        block = F.concat_ws("\n", F.concat(format_timestamp(s), F.lit(" --> "), format_timestamp(e)), safe, F.lit(""))
+    elif fmt == "tsv":
+        block = F.concat_ws("\t", s.cast("long").cast("string"), e.cast("long").cast("string"),
+                            F.replace(t, F.lit("\t"), F.lit(" ")))
+    elif fmt == "txt":
+        block = t
+    else:
+        raise ValueError(fmt)
+    return seg.withColumn("block", block)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corpusvox.plans import q_batching, q_features, q_manifest, q_scoring, q_segments, q_text  # noqa: F401
+from corpusvox.plans import (  # noqa: F401
+    q_batching, q_features, q_manifest, q_scoring, q_segments, q_sentences, q_text)
 from corpusvox.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
