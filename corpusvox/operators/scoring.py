@@ -67,11 +67,9 @@ def corpus_rate(detail: DataFrame) -> DataFrame:
 
 def collapse_ctc(ids: Column, blank: int = 0, space: int | None = None) -> Column:
     """Collapse runs of equal ids, then drop -1, blank and space ids."""
-    idx = F.sequence(F.lit(1), F.size(ids))
-    kept = F.filter(F.arrays_zip(idx.alias("i"), ids.alias("v")),
-                    lambda s: (s["i"] == 1) | (s["v"] != F.element_at(ids, F.greatest(s["i"] - 1, F.lit(1)))))
+    kept = F.filter(ids, lambda x, i: (i == 0) | (x != F.element_at(ids, F.greatest(i, F.lit(1)))))
     drop = [-1, blank] + ([space] if space is not None else [])
-    return F.filter(F.transform(kept, lambda s: s["v"]), lambda v: ~v.isin(*drop))
+    return F.filter(kept, lambda v: ~v.isin(*drop))
 
 
 # ----------------------------------------------------- verification scoring

@@ -71,8 +71,8 @@ def q_token_ids(spark, sf):
     summ = arr.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
-        F.aggregate(F.arrays_zip(F.sequence(F.lit(1), F.size("ids")).alias("p"), F.col("ids").alias("i")),
-                    F.lit(0).cast("long"), lambda a, s: a + s["p"] * s["i"]).alias("id_pos_sum"))
+        F.aggregate(F.transform("ids", lambda x, i: (x * (i + 1)).cast("long")),
+                    F.lit(0).cast("long"), lambda a, x: a + x).alias("id_pos_sum"))
     return summ.join(unk, "doc_id").select("doc_id", "n_tokens", "n_unk", "id_sum", "id_pos_sum")
 
 
