@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                  "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                  "\u2028\u2029\u202f\u205f\u3000")
-WS_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PY_WHITESPACE) + "]"
+# the same set as one Java class: \s is [ \t\n\x0B\f\r], the rest as ranges
+WS_CLASS = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+            r"\x{3000}]")
 WS_RUN = WS_CLASS + "+"
 
 # Special symbols dropped from decoded token sequences.

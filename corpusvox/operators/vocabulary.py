@@ -62,16 +62,17 @@ def build_vocabulary(long: DataFrame, key: str, cutoff: int = 0, vocabulary_size
         if vocabulary_size < len(add_symbols):
             raise ValueError(f"vocabulary_size is too small: {vocabulary_size}")
         keep = vocabulary_size - len(add_symbols)
-        # a top-k is the feature here; the window runs over at most `keep` rows
-        top = ordered.orderBy(*order).limit(keep)
-        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
-        n_words = None
+        # the vocabulary is a top-k of bounded size: one distributed pass (partial
+        # counts + TakeOrderedAndProject), then the <= keep winners come to the driver
+        top = ordered.orderBy(*order).limit(keep).collect()
+        ranked = long.sparkSession.createDataFrame(
+            [(i, r["token"], r["cnt"]) for i, r in enumerate(top)], "rank long, token string, cnt long")
+        n_words = len(top)
     else:
         ranked = seq_row_number(ordered, [], order, "rank").drop("_seq_b") \
             .withColumn("rank", F.col("rank") - 1)
         n_words = None
-    needs_n = any(i < 0 for _, i in add_symbols)
-    if needs_n:
+    if n_words is None and any(i < 0 for _, i in add_symbols):
         n_words = ranked.count()
     slots = _symbol_slots(add_symbols, n_words)
     pos = sorted(p for _, p in slots)
@@ -114,6 +115,34 @@ def tokens_to_ids(long: DataFrame, key: str, vocab: DataFrame, unk: str = "<unk>
                       F.coalesce("id", F.lit(int(row["id"]))).alias("id"))
 
 
+MAX_LOOKUP_ENTRIES = 200_000
+
+
+def token_id_lookup(vocab: DataFrame, unk: str = "<unk>"):
+    """Collect a bounded vocabulary as (map column, unk id); the map is embedded in
+    the plan, so per-row lookups need neither an explode nor a shuffle."""
+    n = vocab.count()
+    if n > MAX_LOOKUP_ENTRIES:
+        raise ValueError(f"vocabulary of {n} entries is above the lookup bound; use tokens_to_ids")
+    rows = vocab.select("token", "id", "cnt").collect()
+    unk_ids = [r["id"] for r in rows if r["token"] == unk]
+    if not unk_ids:
+        raise ValueError(f"{unk!r} is not in the vocabulary")
+    words = [r for r in rows if r["cnt"] is not None or r["token"] != unk]
+    m = F.map_from_arrays(F.array(*[F.lit(r["token"]) for r in words]),
+                          F.array(*[F.lit(int(r["id"])) for r in words]))
+    return m, int(unk_ids[0])
+
+
+def ids_of(tokens: Column, lookup: Column, unk_id: int) -> Column:
+    """J12 per row: token array -> id array, unknown tokens -> unk id."""
+    return F.transform(tokens, lambda t: F.coalesce(F.element_at(lookup, t), F.lit(unk_id)))
+
+
+def n_unknown(tokens: Column, lookup: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: F.element_at(lookup, t).isNull()))
+
+
 def ids_array(long_ids: DataFrame, key: str) -> DataFrame:
     """Re-assemble per-row id arrays in token order (rows were one row before the explode)."""
     return long_ids.groupBy(key).agg(

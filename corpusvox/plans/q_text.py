@@ -64,16 +64,16 @@ FROM toks LEFT JOIN (SELECT token, id FROM vocab WHERE cnt IS NOT NULL) v ON v.t
 GROUP BY toks.doc_id
 """)
 def q_token_ids(spark, sf):
-    ids = V.tokens_to_ids(doc_tokens(spark, sf), "doc_id", vocabulary(spark, sf))
-    arr = V.ids_array(ids.select("doc_id", "pos", "id"), "doc_id")
-    unk = ids.groupBy("doc_id").agg(F.count(F.when(F.col("is_unk"), 1)).alias("n_unk"))
-    # positional checksum proves the re-assembled arrays keep token order
-    summ = arr.select(
+    d = T(spark, sf, "documents").select("doc_id", X.word_tokens("text").alias("toks"))
+    lookup, unk = V.token_id_lookup(vocabulary(spark, sf))
+    x = d.select("doc_id", "toks", V.ids_of(F.col("toks"), lookup, unk).alias("ids"))
+    # positional checksum proves the id arrays keep token order
+    return x.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        V.n_unknown(F.col("toks"), lookup).cast("long").alias("n_unk"),
         F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
         F.aggregate(F.transform("ids", lambda x, i: (x * (i + 1)).cast("long")),
                     F.lit(0).cast("long"), lambda a, x: a + x).alias("id_pos_sum"))
-    return summ.join(unk, "doc_id").select("doc_id", "n_tokens", "n_unk", "id_sum", "id_pos_sum")
 
 
 @register("unigram_dist", "WITH " + VOCAB_SQL + f""",
@@ -87,7 +87,10 @@ full_c AS (SELECT r.id::INTEGER AS id,
 SELECT id, round(c / sum(c) OVER () * 1000000, 6) AS ppm FROM full_c
 """)
 def q_unigram(spark, sf):
-    ids = V.tokens_to_ids(doc_tokens(spark, sf), "doc_id", vocabulary(spark, sf))
+    d = T(spark, sf, "documents").select("doc_id", X.word_tokens("text").alias("toks")) \
+        .where(F.size("toks") > 0)
+    lookup, unk = V.token_id_lookup(vocabulary(spark, sf))
+    ids = d.select("doc_id", F.explode(F.array_distinct(V.ids_of(F.col("toks"), lookup, unk))).alias("id"))
     out = V.unigram_distribution(ids, "doc_id", VOCAB_SIZE, blank=0)
     return out.select("id", F.round(F.col("prob") * 1000000, 6).alias("ppm"))
 
