@@ -146,3 +146,13 @@ def pad_mask(lengths, max_len) -> Column:
     """True at padded positions."""
     ml = max_len if isinstance(max_len, Column) else F.lit(max_len)
     return F.transform(F.sequence(F.lit(0), ml - 1), lambda i: i >= _c(lengths))
+
+
+def frame_energy_db(signal, frame_len: int, shift: int) -> Column:
+    """10*log10(sum(x^2) + 1e-6) over frames of ``frame_len`` samples every ``shift``."""
+    s = _c(signal)
+    n = F.floor((F.size(s) - frame_len) / shift) + 1
+    return F.when(F.size(s) >= frame_len, F.transform(F.sequence(F.lit(0), n - 1), lambda i: 10 * F.log10(
+        F.aggregate(F.slice(s, i * shift + 1, frame_len), D0(),
+                    lambda acc, x: acc + x.cast("double") * x.cast("double")) + 1e-6))) \
+        .otherwise(F.array().cast("array<double>"))

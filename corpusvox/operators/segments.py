@@ -409,3 +409,19 @@ def transcript_blocks(seg: DataFrame, fmt: str, start_ms: str = "start", end_ms:
     else:
         raise ValueError(fmt)
     return seg.withColumn("block", block)
+
+
+# ------------------------------------------------------------ integrate-and-fire
+
+def cif_fire(df: DataFrame, rec: str, order: Sequence[str], weight: str, threshold) -> DataFrame:
+    """Accumulate weights in order; a boundary fires at every frame where
+    floor(cumsum / threshold) increases (the n-th token ends at the first frame
+    whose floored cumulative weight reaches n).  Exact when no single weight
+    exceeds the threshold (then at most one boundary per frame); use integer
+    weights to avoid float drift."""
+    order = _l(order)
+    x = seq_cumsum(df, [rec], order, {"_cs": F.col(weight)}).drop(B)
+    before = F.floor((F.col("_cs") - F.col(weight)) / threshold)
+    after = F.floor(F.col("_cs") / threshold)
+    return x.withColumn("fires", (after - before).cast("long")).withColumn("n_tokens", after.cast("long")) \
+        .drop("_cs")
