@@ -116,3 +116,20 @@ def q_weighted_loss(spark, sf):
                                 F.try_divide(F.sum(F.col("n") / 1000.0), F.sum(F.col("n") / 16000.0)).alias("rtf"))
     return g.select("source", F.round("m", 6).alias("mean_nll"), F.round(F.exp("m"), 6).alias("ppl"),
                     F.round("rtf", 6).alias("rtf"))
+
+
+@register("clean_tokens", f"""
+SELECT doc_id, len(list_filter({WORDS}, lambda x: x NOT IN ('<s>', '</s>', '<unk>', '<OOV>')))::INTEGER AS n_clean
+FROM documents""")
+def q_clean_tokens(spark, sf):
+    """Special symbols removed from each token sequence."""
+    d = T(spark, sf, "documents")
+    return d.select("doc_id", F.size(X.drop_symbols(X.word_tokens("text"))).alias("n_clean"))
+
+
+@register("mean_pooling", """
+SELECT vec_id, round(avg(x::DOUBLE), 6) AS pooled FROM embeddings, unnest(embedding) AS t(x) GROUP BY vec_id""")
+def q_mean_pool(spark, sf):
+    """Mean over frames (each embedding read as 64 one-dim frames)."""
+    e = T(spark, sf, "embeddings")
+    return e.select("vec_id", F.round(F.element_at(Vf.frame_mean(Vf.frames_of("embedding")), 1), 6).alias("pooled"))

@@ -33,8 +33,11 @@ def corrupt(words):
 
 
 def _wer_pairs(spark, sf):
-    b = T(spark, sf, "benchmark").select("item_id", word_tokens("text").alias("ref"))
-    return b.withColumn("hyp", corrupt(F.col("ref")))
+    """The reference table and the hypothesis table are joined on the key."""
+    b = T(spark, sf, "benchmark")
+    ref = b.select(F.col("item_id").alias("key"), word_tokens("text").alias("words"))
+    hyp = b.select(F.col("item_id").alias("key"), corrupt(word_tokens("text")).alias("words"))
+    return S.join_ref_hyp(ref, hyp, "key").withColumnRenamed("key", "item_id")
 
 
 @register("wer_detail", WER_CLOSED_FORM + """
