@@ -8,7 +8,8 @@ from a window without ``partitionBy``.  Randomness is a hash of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -157,3 +158,40 @@ def best_of(df: DataFrame, group: Sequence[str], item: str, logprob: str, length
     score = F.col(logprob) / penalty
     order_idx = F.col(idx or item)
     return df.groupBy(*group).agg(F.max_by(F.col(item), F.struct(score, -order_idx)).alias("best"))
+
+
+DUR_SCHEMA = T.StructType([T.StructField("rec", T.LongType()), T.StructField("idx", T.LongType()),
+                           T.StructField("batch", T.IntegerType())])
+
+
+def duration_batches(seg: DataFrame, rec: str, idx: str, dur: str, budget_ms: int = 300_000,
+                     long_ms: int = 60_000) -> DataFrame:
+    """Per recording, segments in ascending duration (then index); the batch
+    continues while the running sum plus the next duration stays under the budget
+    (at least the shortest duration) and the next segment is shorter than
+    ``long_ms``.  The grouped map reads each recording as an ordered stream of
+    Arrow batches (hash partition + sort inside partitions), state = one sum."""
+    prepared = seg.select(F.col(rec).cast("long").alias("rec"), F.col(idx).cast("long").alias("idx"),
+                          F.col(dur).cast("long").alias("dur")) \
+        .repartition("rec").sortWithinPartitions("rec", "dur", "idx")
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        budget, cum, b, pending = None, 0, 0, None
+        for pdf in batches:
+            rows = []
+            for i, d in zip(pdf["idx"].to_numpy(), pdf["dur"].to_numpy()):
+                if budget is None:
+                    budget = max(budget_ms, int(d))
+                if pending is not None:  # decide the previous segment's cut now that the next is known
+                    p_idx, p_cum = pending
+                    rows.append((key[0], p_idx, b))
+                    if not (p_cum + d < budget and d < long_ms):
+                        b, cum = b + 1, 0
+                cum += int(d)
+                pending = (i, cum)
+            if rows:
+                yield pd.DataFrame(rows, columns=["rec", "idx", "batch"])
+        if pending is not None:
+            yield pd.DataFrame([(key[0], pending[0], b)], columns=["rec", "idx", "batch"])
+
+    return prepared.groupBy("rec").applyInPandas(run, DUR_SCHEMA)

@@ -22,6 +22,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusvox.plans.sequence import B, range_buckets, seq_cumsum, seq_ffill, seq_lag, seq_lead, seq_neighbors
 from corpusvox.session import cut_lineage
@@ -425,3 +426,61 @@ def cif_fire(df: DataFrame, rec: str, order: Sequence[str], weight: str, thresho
     after = F.floor(F.col("_cs") / threshold)
     return x.withColumn("fires", (after - before).cast("long")).withColumn("n_tokens", after.cast("long")) \
         .drop("_cs")
+
+
+# ------------------------------------------------------------ speaker permutation
+
+def best_speaker_mapping(ref: DataFrame, sys: DataFrame, rec: str, spk: str, max_exact: int = 8) -> DataFrame:
+    """Per recording, the one-to-one map of system speakers to reference
+    speakers with the largest total overlap (frames active in both).  The
+    confusion table has one row per (ref, sys) speaker pair; each recording's
+    table is small and solved exactly over permutations (greedy beyond
+    ``max_exact`` speakers).  Unmatched system speakers keep a NULL target."""
+    from itertools import permutations
+    from typing import Any
+
+    import numpy as np
+    import pandas as pd
+
+    conf = ref.select(rec, "frame", F.col(spk).alias("r")).join(
+        sys.select(rec, "frame", F.col(spk).alias("s")), [rec, "frame"]) \
+        .groupBy(rec, "r", "s").agg(F.count(F.lit(1)).alias("n"))
+    sys_spk = sys.select(rec, F.col(spk).alias("s")).distinct().withColumn("r", F.lit(None).cast("string")) \
+        .withColumn("n", F.lit(0).cast("long"))
+    conf = conf.select(rec, F.col("r").cast("string"), F.col("s").cast("string"), "n").unionByName(
+        sys_spk.select(rec, "r", F.col("s").cast("string"), "n"))
+
+    def solve(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        s_ids = sorted(pdf["s"].unique())
+        r_ids = sorted(x for x in pdf["r"].dropna().unique())
+        m = np.zeros((len(s_ids), max(len(r_ids), 1)))
+        for s, r, n in pdf.dropna(subset=["r"])[["s", "r", "n"]].itertuples(index=False):
+            m[s_ids.index(s), r_ids.index(r)] += n
+        best, assign = -1.0, {}
+        if max(len(s_ids), len(r_ids)) <= max_exact and r_ids:
+            ns, nr = len(s_ids), len(r_ids)
+            if ns <= nr:
+                for rr in permutations(range(nr), ns):
+                    tot = sum(m[a, b] for a, b in enumerate(rr))
+                    if tot > best:
+                        best, assign = tot, dict(enumerate(rr))
+            else:
+                for ss in permutations(range(ns), nr):
+                    tot = sum(m[a, b] for b, a in enumerate(ss))
+                    if tot > best:
+                        best, assign = tot, {a: b for b, a in enumerate(ss)}
+        else:
+            used_s, used_r = set(), set()
+            for flat in np.argsort(-m, axis=None):
+                a, b = divmod(int(flat), m.shape[1])
+                if a not in used_s and b not in used_r and m[a, b] > 0:
+                    assign[a] = b
+                    used_s.add(a)
+                    used_r.add(b)
+        return pd.DataFrame({rec: key[0], "sys_spk": s_ids,
+                             "ref_spk": [r_ids[assign[i]] if i in assign and m[i, assign[i]] > 0 else None
+                                         for i in range(len(s_ids))]})
+
+    return conf.groupBy(rec).applyInPandas(
+        solve, T.StructType([T.StructField(rec, conf.schema[rec].dataType),
+                             T.StructField("sys_spk", T.StringType()), T.StructField("ref_spk", T.StringType())]))
