@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusvox.functions.text import word_tokens
 from corpusvox.operators import segments as G
 from corpusvox.plans.registry import T, register
-from corpusvox.plans.sequence import seq_row_number
+from corpusvox.plans.sequence import seq_cumsum
 
 TOK_SQL = """
 w AS (SELECT conv_id, turn, t.word, t.pos FROM conversations,
@@ -41,8 +41,14 @@ sentences AS (SELECT conv_id, sid, text,
 
 
 def conv_tokens(spark, sf):
-    c = T(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(word_tokens("text")).alias("pos", "word"))
-    c = seq_row_number(c, ["conv_id"], ["turn", "pos"], "k").drop("_seq_b")
+    c = T(spark, sf, "conversations").select("conv_id", "turn", word_tokens("text").alias("w"))
+    # token index k = tokens in earlier turns + position: a running sum over the
+    # (small) per-turn table instead of a row number over every token
+    turns = seq_cumsum(c.select("conv_id", "turn", F.size("w").cast("long").alias("n")), ["conv_id"], ["turn"],
+                       {"_upto": F.col("n")}).drop("_seq_b")
+    c = c.join(turns.select("conv_id", "turn", (F.col("_upto") - F.col("n")).alias("_off")), ["conv_id", "turn"])
+    c = c.select("conv_id", "_off", F.posexplode("w").alias("pos", "word")) \
+        .withColumn("k", F.col("_off") + F.col("pos") + 1)
     stripped = F.regexp_replace("word", r"[.,?!]+$", "")
     token = F.when(stripped == "", F.col("word")).otherwise(stripped)
     punc = F.when(F.col("word").rlike(r"[.!]$"), 3).when(F.col("word").rlike(r"[?]$"), 4) \
