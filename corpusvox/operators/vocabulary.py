@@ -22,9 +22,14 @@ def explode_tokens(df: DataFrame, key: str, tokens: Column | str) -> DataFrame:
 
 
 def token_counts(long: DataFrame, key: str) -> DataFrame:
-    return long.groupBy("token").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("first"))
+    """(token, cnt, first=struct(k, p)).  Two hash aggregations: per (row, token)
+    the count and first position, then per token the total and the (row, pos)
+    of its first row -- every buffer is a primitive, so both stay on the
+    hash-aggregate path with map-side partial aggregation."""
+    per_row = long.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"))
+    agg = per_row.groupBy("token").agg(F.sum("n").alias("cnt"), F.min(key).alias("k"),
+                                       F.min_by("p", F.col(key)).alias("p"))
+    return agg.select("token", "cnt", F.struct(F.col("k"), F.col("p")).alias("first"))
 
 
 def _symbol_slots(add_symbols: Sequence[tuple[str, int]], n_words: int | None):
@@ -52,8 +57,15 @@ def build_vocabulary(long: DataFrame, key: str, cutoff: int = 0, vocabulary_size
     """A5: (id, token, cnt).  Count tokens, drop added symbols, keep cnt > cutoff,
     order by cnt desc then first appearance, cut to ``vocabulary_size - n_added``,
     insert the added symbols (cnt NULL) at their indexes."""
+    return vocabulary_from_counts(token_counts(long, key), cutoff, vocabulary_size, add_symbols)
+
+
+def vocabulary_from_counts(counts: DataFrame, cutoff: int = 0, vocabulary_size: int = 0,
+                           add_symbols: Sequence[tuple[str, int]] = (("<blank>", 0), ("<unk>", -1))
+                           ) -> DataFrame:
+    """A5 from a ``token_counts`` table (lets A5 and A6 share one counting pass)."""
     symbols = [s for s, _ in add_symbols]
-    counts = token_counts(long, key).where(~F.col("token").isin(*symbols) if symbols else F.lit(True))
+    counts = counts.where(~F.col("token").isin(*symbols) if symbols else F.lit(True))
     counts = counts.where(F.col("cnt") > cutoff)
     ordered = counts.select("token", "cnt", (-F.col("cnt")).alias("neg_cnt"),
                             F.col("first.k").alias("first_key"), F.col("first.p").alias("first_pos"))
@@ -65,7 +77,7 @@ def build_vocabulary(long: DataFrame, key: str, cutoff: int = 0, vocabulary_size
         # the vocabulary is a top-k of bounded size: one distributed pass (partial
         # counts + TakeOrderedAndProject), then the <= keep winners come to the driver
         top = ordered.orderBy(*order).limit(keep).collect()
-        ranked = long.sparkSession.createDataFrame(
+        ranked = counts.sparkSession.createDataFrame(
             [(i, r["token"], r["cnt"]) for i, r in enumerate(top)], "rank long, token string, cnt long")
         n_words = len(top)
     else:
@@ -83,7 +95,7 @@ def build_vocabulary(long: DataFrame, key: str, cutoff: int = 0, vocabulary_size
         "token", "cnt")
     if not slots:
         return words
-    spark = long.sparkSession
+    spark = counts.sparkSession
     syms = spark.createDataFrame([(p, s) for s, p in slots], "id int, token string") \
         .withColumn("cnt", F.lit(None).cast("long"))
     return words.unionByName(syms)
@@ -101,6 +113,17 @@ def oov_rate(long: DataFrame, vocab: DataFrame,
         .withColumn("oov_rate", F.try_divide((F.col("total") - F.col("in_vocab")) * 100.0, F.col("total")))
 
 
+def oov_from_counts(counts: DataFrame, vocab: DataFrame,
+                    add_symbols: Sequence[str] = ("<blank>", "<unk>")) -> DataFrame:
+    """A6 from a ``token_counts`` table: (total, in_vocab, oov_rate %)."""
+    c = counts.where(~F.col("token").isin(*add_symbols)) if add_symbols else counts
+    iv = F.broadcast(vocab.where(F.col("cnt").isNotNull()).select("token").withColumn("iv", F.lit(1)))
+    return c.join(iv, "token", "left").agg(
+        F.sum("cnt").cast("long").alias("total"),
+        F.sum(F.when(F.col("iv") == 1, F.col("cnt")).otherwise(0)).cast("long").alias("in_vocab")) \
+        .withColumn("oov_rate", F.try_divide((F.col("total") - F.col("in_vocab")) * 100.0, F.col("total")))
+
+
 def tokens_to_ids(long: DataFrame, key: str, vocab: DataFrame, unk: str = "<unk>") -> DataFrame:
     """J12 in long form: (key, pos, token, id, is_unk); unknown tokens get the id of ``unk``.
 
@@ -109,7 +132,8 @@ def tokens_to_ids(long: DataFrame, key: str, vocab: DataFrame, unk: str = "<unk>
     row = vocab.where(F.col("token") == unk).select("id").first()
     if row is None:
         raise ValueError(f"{unk!r} is not in the vocabulary")
-    ids = long.join(vocab.where(F.col("cnt").isNotNull() | (F.col("token") != unk)).select("token", "id"),
+    # a vocabulary is bounded by its configured size: broadcast it
+    ids = long.join(F.broadcast(vocab.where(F.col("cnt").isNotNull() | (F.col("token") != unk)).select("token", "id")),
                     "token", "left")
     return ids.select(key, "pos", "token", F.col("id").isNull().alias("is_unk"),
                       F.coalesce("id", F.lit(int(row["id"]))).alias("id"))
@@ -119,8 +143,9 @@ MAX_LOOKUP_ENTRIES = 200_000
 
 
 def token_id_lookup(vocab: DataFrame, unk: str = "<unk>"):
-    """Collect a bounded vocabulary as (map column, unk id); the map is embedded in
-    the plan, so per-row lookups need neither an explode nor a shuffle."""
+    """Collect a bounded vocabulary as (map column, unk id) for row-local lookups
+    on small vocabularies.  A map lookup scans the keys, so for large
+    vocabularies or token volumes prefer ``tokens_to_ids`` (broadcast hash join)."""
     n = vocab.count()
     if n > MAX_LOOKUP_ENTRIES:
         raise ValueError(f"vocabulary of {n} entries is above the lookup bound; use tokens_to_ids")

@@ -51,7 +51,10 @@ FROM toks LEFT JOIN (SELECT token FROM vocab WHERE cnt IS NOT NULL) v ON v.token
 WHERE toks.tok NOT IN ('<blank>', '<unk>')
 """)
 def q_oov(spark, sf):
-    out = V.oov_rate(doc_tokens(spark, sf), vocabulary(spark, sf), [s for s, _ in ADD_SYMBOLS])
+    # one counting pass shared by A5 and A6: the per-token table is small next to the tokens
+    counts = V.token_counts(doc_tokens(spark, sf), "doc_id").cache()
+    vocab = V.vocabulary_from_counts(counts, 0, VOCAB_SIZE, ADD_SYMBOLS)
+    out = V.oov_from_counts(counts, vocab, [s for s, _ in ADD_SYMBOLS])
     return out.select(F.col("total").cast("long").alias("total"), F.col("in_vocab").cast("long").alias("in_vocab"),
                       F.round("oov_rate", 6).alias("oov_rate"))
 
@@ -64,16 +67,14 @@ FROM toks LEFT JOIN (SELECT token, id FROM vocab WHERE cnt IS NOT NULL) v ON v.t
 GROUP BY toks.doc_id
 """)
 def q_token_ids(spark, sf):
-    d = T(spark, sf, "documents").select("doc_id", X.word_tokens("text").alias("toks"))
-    lookup, unk = V.token_id_lookup(vocabulary(spark, sf))
-    x = d.select("doc_id", "toks", V.ids_of(F.col("toks"), lookup, unk).alias("ids"))
-    # positional checksum proves the id arrays keep token order
-    return x.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        V.n_unknown(F.col("toks"), lookup).cast("long").alias("n_unk"),
-        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
-        F.aggregate(F.transform("ids", lambda x, i: (x * (i + 1)).cast("long")),
-                    F.lit(0).cast("long"), lambda a, x: a + x).alias("id_pos_sum"))
+    # tokens meet the (bounded, broadcast) vocabulary in a hash join; per-document
+    # results are partial aggregates, so token rows never shuffle
+    ids = V.tokens_to_ids(doc_tokens(spark, sf), "doc_id", vocabulary(spark, sf))
+    return ids.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.count(F.when(F.col("is_unk"), 1)).alias("n_unk"),
+        F.sum("id").cast("long").alias("id_sum"),
+        # positional checksum: the ids stay attached to their token positions
+        F.sum(F.col("id") * (F.col("pos") + 1)).cast("long").alias("id_pos_sum"))
 
 
 @register("unigram_dist", "WITH " + VOCAB_SQL + f""",
@@ -87,11 +88,8 @@ full_c AS (SELECT r.id::INTEGER AS id,
 SELECT id, round(c / sum(c) OVER () * 1000000, 6) AS ppm FROM full_c
 """)
 def q_unigram(spark, sf):
-    d = T(spark, sf, "documents").select("doc_id", X.word_tokens("text").alias("toks")) \
-        .where(F.size("toks") > 0)
-    lookup, unk = V.token_id_lookup(vocabulary(spark, sf))
-    ids = d.select("doc_id", F.explode(F.array_distinct(V.ids_of(F.col("toks"), lookup, unk))).alias("id"))
-    out = V.unigram_distribution(ids, "doc_id", VOCAB_SIZE, blank=0)
+    ids = V.tokens_to_ids(doc_tokens(spark, sf), "doc_id", vocabulary(spark, sf))
+    out = V.unigram_distribution(ids.select("doc_id", "id"), "doc_id", VOCAB_SIZE, blank=0)
     return out.select("id", F.round(F.col("prob") * 1000000, 6).alias("ppm"))
 
 
