@@ -190,3 +190,26 @@ def unigram_distribution(ids_long: DataFrame, key: str, odim: int, blank: int =
     c = c.withColumn("c", F.when(F.col("id") == blank, 0.0)
                      .when(F.coalesce("c", F.lit(0.0)) == 0.0, 1.0).otherwise(F.col("c")))
     return c.withColumn("prob", F.col("c") / F.sum("c").over(Window.partitionBy(F.lit(1)))).select("id", "prob")
+
+
+def seg_tokenize(long: DataFrame, key: str, seg_dict: DataFrame, unk: str = "<unk>") -> DataFrame:
+    """Dictionary segmentation.  A lower-cased word found in the dictionary
+    becomes its pieces; a word made only of CJK ideographs or digits is looked up
+    character by character (missing characters -> unk); anything else -> unk.
+
+    ``long`` is (key, pos, token); ``seg_dict`` is (word, pieces ARRAY<STRING>).
+    Output (key, pos, sub, token) -- joins, no per-row dictionary in Python."""
+    d = seg_dict.select(F.col("word").alias("_w"), F.col("pieces").alias("_p"))
+    w = long.select(key, "pos", F.lower("token").alias("_low"))
+    hit = w.join(d, w["_low"] == d["_w"], "left")
+    found = hit.where(F.col("_p").isNotNull()).select(key, "pos", F.posexplode("_p").alias("sub", "token"))
+    miss = hit.where(F.col("_p").isNull()).select(key, "pos", "_low")
+    cjk = miss.where(F.col("_low").rlike(r"^[一-龥0-9]+$"))
+    other = miss.where(~F.col("_low").rlike(r"^[一-龥0-9]+$")) \
+        .select(key, "pos", F.lit(0).alias("sub"), F.lit(unk).alias("token"))
+    chars = cjk.select(key, "pos", F.posexplode(F.regexp_extract_all("_low", F.lit("(.)"), 1)).alias("ci", "_c"))
+    per_char = chars.join(d, chars["_c"] == d["_w"], "left").select(
+        key, "pos", "ci", F.coalesce("_p", F.array(F.lit(unk))).alias("_pp"))
+    per_char = per_char.select(key, "pos", "ci", F.posexplode("_pp").alias("cj", "token")) \
+        .select(key, "pos", (F.col("ci") * 1000 + F.col("cj")).alias("sub"), "token")
+    return found.unionByName(other).unionByName(per_char)

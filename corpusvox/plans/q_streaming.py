@@ -70,3 +70,48 @@ def q_rechunk_stream(spark, sf):
 def q_schedule(spark, sf):
     """ST6 batch twin: growing chunk schedule 15 -> 24 -> 48."""
     return _rechunk(spark, sf, (15, 24), 48)
+
+
+def _chunks(spark, sf):
+    """Chunk stream stand-in: stream = embedding label, chunk = vec_id, samples = the 64 values."""
+    e = T(spark, sf, "embeddings").select(F.col("label").cast("long").alias("stream"), F.col("vec_id").alias("chunk"),
+                                          "embedding")
+    e = seq_lead(e, ["stream"], ["chunk"], ["chunk"], suffix="_next").drop("_seq_b")
+    return e.withColumn("final", F.col("chunk_next").isNull()).drop("chunk_next")
+
+
+def _xf_summary(df):
+    return df.select("stream", "chunk", F.size("out").alias("n_out"),
+                     F.round(F.aggregate(F.transform("out", lambda v, i: v * (i + 1)), F.lit(0.0),
+                                         lambda a, x: a + x), 6).alias("checksum"))
+
+
+XF_SQL = """
+WITH h AS (SELECT list_transform(range(16), lambda i: 0.54 - 0.46 * cos(2 * pi() * i / 15)) AS w),
+c AS (SELECT label::BIGINT AS stream, vec_id AS chunk, list_transform(embedding, lambda v: v::DOUBLE) AS x,
+             lag(embedding[-8:]) OVER (PARTITION BY label ORDER BY vec_id) AS tail,
+             lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) IS NULL AS last FROM embeddings),
+f AS (SELECT stream, chunk, last,
+             CASE WHEN tail IS NULL THEN x
+                  ELSE list_transform(x, lambda v, i: CASE WHEN i <= 8 THEN v * w[i] + tail[i]::DOUBLE * w[8 + i] ELSE v END)
+             END AS faded FROM c, h),
+o AS (SELECT stream, chunk, CASE WHEN last THEN faded ELSE faded[1:len(faded) - 8] END AS out FROM f)
+SELECT stream, chunk, len(out)::INTEGER AS n_out,
+       round(coalesce(list_sum(list_transform(out, lambda v, i: v * i)), 0.0), 6) AS checksum FROM o"""
+
+
+@register("crossfade", XF_SQL)
+def q_crossfade(spark, sf):
+    """ST7 batch twin: Hamming cross-fade of consecutive chunks, overlap 8."""
+    from corpusvox.streaming.crossfade import crossfade_batch
+    return _xf_summary(crossfade_batch(_chunks(spark, sf), "stream", ["chunk"], "embedding", 8))
+
+
+@register("crossfade_stream")
+def q_crossfade_stream(spark, sf):
+    """ST7 in Structured Streaming (faded tail in state); equal to the batch twin (tested)."""
+    from corpusvox.streaming.crossfade import crossfade_stream
+    src = _chunks(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("chunk")))
+    out = run_available(spark, src, "ts",
+                        lambda s: crossfade_stream(s, "stream", "chunk", "embedding", "final", 8))
+    return _xf_summary(out)

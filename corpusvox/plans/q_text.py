@@ -122,3 +122,29 @@ def q_compression(spark, sf):
     d = T(spark, sf, "documents").select("doc_id", X.compression_ratio("text").alias("compression_ratio"))
     fallback, _ = X.quality_gate(F.col("compression_ratio"), F.lit(0.0), F.lit(0.0))
     return d.withColumn("needs_fallback", fallback)
+
+
+SEG_SQL = "WITH " + VOCAB_SQL + """,
+seg AS (SELECT token AS word, list_filter(string_split(trim(regexp_replace(token, '(..)', '\\1 ', 'g')), ' '),
+                                          lambda x: x <> '') AS pieces
+        FROM vocab WHERE cnt IS NOT NULL),
+w AS (SELECT doc_id, lower(tok) AS low FROM toks),
+hit AS (SELECT w.doc_id, w.low, seg.pieces FROM w LEFT JOIN seg ON seg.word = w.low)
+SELECT doc_id,
+       sum(CASE WHEN pieces IS NOT NULL THEN len(pieces)
+                WHEN regexp_matches(low, '^[\\x{4E00}-\\x{9FA5}0-9]+$') THEN length(low) ELSE 1 END)::BIGINT AS n_tokens,
+       sum(CASE WHEN pieces IS NOT NULL THEN 0
+                WHEN regexp_matches(low, '^[\\x{4E00}-\\x{9FA5}0-9]+$') THEN length(low) ELSE 1 END)::BIGINT AS n_unk
+FROM hit GROUP BY doc_id"""
+
+
+@register("seg_tokenize", SEG_SQL)
+def q_seg(spark, sf):
+    """J15 (+S15): segmentation dictionary = the vocabulary words split into 2-character pieces."""
+    vocab = vocabulary(spark, sf).where(F.col("cnt").isNotNull())
+    seg = vocab.select(F.col("token").alias("word"),
+                       F.filter(F.split(F.trim(F.regexp_replace("token", "(..)", "$1 ")), " "), lambda x: x != "")
+                       .alias("pieces"))
+    out = V.seg_tokenize(doc_tokens(spark, sf), "doc_id", seg)
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"),
+                                     F.count(F.when(F.col("token") == "<unk>", 1)).alias("n_unk"))

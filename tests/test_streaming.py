@@ -40,3 +40,18 @@ def test_vad_fold_rules():
         parts += b.push(x[i:i + 777])
     parts += b.finish()
     assert whole == parts and len(whole) == 3 and whole[0][2] - whole[0][1] == cfg.max_segment
+
+
+def test_crossfade_stream_equals_batch_twin(spark):
+    q = entry.queries()
+    assert _rows(q["crossfade"](spark, SF)) == _rows(q["crossfade_stream"](spark, SF))
+
+
+def test_seg_tokenize_char_path(spark):
+    from corpusvox.operators.vocabulary import seg_tokenize
+    long = spark.createDataFrame([(1, 0, "Hello"), (1, 1, "中文"), (1, 2, "12"), (1, 3, "zzz")],
+                                 "k long, pos long, token string")
+    d = spark.createDataFrame([("hello", ["he", "llo"]), ("中", ["zh"]), ("1", ["one"])],
+                              "word string, pieces array<string>")
+    got = [r["token"] for r in seg_tokenize(long, "k", d).orderBy("pos", "sub").collect()]
+    assert got == ["he", "llo", "zh", "<unk>", "one", "<unk>", "<unk>"]
