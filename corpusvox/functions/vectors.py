@@ -156,3 +156,41 @@ def frame_energy_db(signal, frame_len: int, shift: int) -> Column:
         F.aggregate(F.slice(s, i * shift + 1, frame_len), D0(),
                     lambda acc, x: acc + x.cast("double") * x.cast("double")) + 1e-6))) \
         .otherwise(F.array().cast("array<double>"))
+
+
+def split_chunks(seq, chunk: int, left: int, right: int) -> Column:
+    """Cut a sequence into chunks of ``chunk`` core items with ``left`` /
+    ``right`` items of context (fewer at the edges); array of struct(idx, lo, items)."""
+    s = _c(seq)
+    n = F.ceil(F.size(s) / chunk).cast("int")
+    return F.when(F.size(s) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        i.alias("idx"),
+        (i * chunk - F.greatest(F.lit(0), i * chunk - left)).alias("lo"),
+        F.slice(s, F.greatest(F.lit(0), i * chunk - left) + 1,
+                F.least(F.size(s), (i + 1) * chunk + right) - F.greatest(F.lit(0), i * chunk - left)).alias("items"))))
+
+
+def stitch_chunks(chunks, chunk: int) -> Column:
+    """W20 inverse: drop each chunk's context and concatenate the cores."""
+    return F.flatten(F.transform(_c(chunks), lambda c: F.slice(c["items"], c["lo"] + 1, chunk)))
+
+
+def pad_or_trim(arr, length: int, pad_value=0.0) -> Column:
+    """F8: right-pad with ``pad_value`` or cut to exactly ``length`` items."""
+    return pad_to(arr, length, pad_value)
+
+
+def clip_at(arr, length: int, start: Column) -> Column:
+    """F8: a window of ``length`` items starting at ``start`` (0-based) when longer."""
+    a = _c(arr)
+    return F.when(F.size(a) > length, F.slice(a, start + 1, length)).otherwise(a)
+
+
+def trim_silence_bounds(db, threshold_db: float = 20.0, keep_left: int = 0, keep_right: int = 0) -> Column:
+    """first and last frame whose energy is within ``threshold_db`` of the peak,
+    widened by the keep margins and clipped: struct(first, last) (frame indexes)."""
+    d = _c(db)
+    peak_db = F.array_max(d)
+    idx = F.filter(F.transform(d, lambda v, i: F.when(v > peak_db - threshold_db, i)), lambda i: i.isNotNull())
+    return F.struct(F.greatest(F.lit(0), F.array_min(idx) - keep_left).alias("first"),
+                    F.least(F.size(d) - 1, F.array_max(idx) + keep_right).alias("last"))

@@ -119,3 +119,24 @@ def q_best_of(spark, sf):
                                          (-F.col("l_extendedprice") / 1000.0).alias("logprob"))
     return Bt.best_of(li, ["l_orderkey"], "l_linenumber", "logprob", "l_quantity", length_penalty=1.0) \
         .select("l_orderkey", "best")
+
+
+@register("collate_batches")
+def q_collate(spark, sf):
+    """B7 + B9 + B10 over the B4 batches: rank = batch % 8; each row padded to the
+    batch's longest token sequence (pad id -1), with its padding mask count
+    (rows-only: follows the greedy batches)."""
+    from pyspark.sql import Window
+
+    from corpusvox.functions.text import word_tokens
+    from corpusvox.functions.vectors import pad_mask, pad_to
+    b = _batches(spark, sf)
+    toks = T(spark, sf, "documents").select(F.col("doc_id").alias("utt"),
+                                            F.transform(word_tokens("text"), lambda w: F.length(w).cast("long"))
+                                            .alias("ids"))
+    x = b.join(toks, "utt").withColumn("n", F.size("ids"))
+    # a batch is bounded by the frame budget, so the window over it is too
+    x = x.withColumn("max_n", F.max("n").over(Window.partitionBy("batch_id")))
+    padded = pad_to(F.col("ids"), F.col("max_n"), -1)
+    return x.select("utt", "batch_id", F.pmod("batch_id", F.lit(8)).alias("rank"), F.size(padded).alias("padded_len"),
+                    F.size(F.filter(pad_mask(F.col("n"), F.col("max_n")), lambda m: m)).alias("n_pad"))

@@ -123,6 +123,35 @@ def q_trials_roundtrip(spark, sf):
     return m.select(F.round("min_dcf", 6).alias("min_dcf"), "threshold")
 
 
+@register("trials_positional", """
+WITH t AS (SELECT d.doc_id AS pos, d.n_chars::DOUBLE AS score, l.quality AS label
+           FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+tot AS (SELECT sum(label) AS p, count(*) - sum(label) AS n FROM t),
+r AS (SELECT pos, score, sum(label) OVER (ORDER BY score, pos ROWS UNBOUNDED PRECEDING) AS fns,
+             sum(1 - label) OVER (ORDER BY score, pos ROWS UNBOUNDED PRECEDING) AS tns FROM t),
+rr AS (SELECT r.*, fns / tot.p AS fnr, 1 - tns / tot.n AS fpr FROM r, tot)
+SELECT round(c / 0.01, 6) AS min_dcf, score AS threshold FROM (
+  SELECT 1.0 * fnr * 0.01 + 1.0 * fpr * 0.99 AS c, score, pos FROM rr ORDER BY c, score, pos LIMIT 1)""")
+def q_trials_positional(spark, sf):
+    """Label-only trial lines and score-only lines joined by line position
+    (zipWithIndex on each file), then minDCF."""
+    root = _dir(spark, "trials")
+    l = T(spark, sf, "labels")
+    d = T(spark, sf, "documents").select("doc_id", "n_chars")
+    # both files come from the same range-partitioned sort, so their line orders agree
+    t = l.join(d, "doc_id").orderBy("doc_id").select("doc_id", "quality", "n_chars")
+    t.select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.lit("x"),
+                         F.when(F.col("quality") == 1, "target").otherwise("nontarget"))).write.mode("overwrite") \
+        .text(f"{root}/trials")
+    t.select(F.concat_ws(" ", F.lit("?"), F.lit("?"), F.col("n_chars").cast("double").cast("string"))) \
+        .write.mode("overwrite").text(f"{root}/scores")
+    tr = K.read_trials(spark, f"{root}/trials")
+    sc = K.read_scores(spark, f"{root}/scores").select("line_no", "score")
+    trials = tr.join(sc, "line_no").select(F.col("utt1").cast("long").alias("pos"), "score", "label")
+    m = S.min_dcf(S.error_rates(trials))
+    return m.select(F.round("min_dcf", 6).alias("min_dcf"), "threshold")
+
+
 @register("segments_roundtrip", """
 SELECT user_id::VARCHAR AS rec, count(*) AS n_segments,
        floor(sum(value * 300) * 1000 + 0.5) / 1000 AS total_dur FROM events GROUP BY user_id""")

@@ -133,3 +133,43 @@ def q_mean_pool(spark, sf):
     """Mean over frames (each embedding read as 64 one-dim frames)."""
     e = T(spark, sf, "embeddings")
     return e.select("vec_id", F.round(F.element_at(Vf.frame_mean(Vf.frames_of("embedding")), 1), 6).alias("pooled"))
+
+
+@register("chunk_context", """
+SELECT vec_id, ceil(len(embedding) / 16)::INTEGER AS n_chunks, true AS stitched_equal FROM embeddings""")
+def q_chunk_context(spark, sf):
+    """Split into 16-item chunks with 4 items of context each side, stitch back."""
+    e = T(spark, sf, "embeddings").select("vec_id", Vf.split_chunks("embedding", 16, 4, 4).alias("c"), "embedding")
+    return e.select("vec_id", F.size("c").alias("n_chunks"),
+                    (Vf.stitch_chunks(F.col("c"), 16) == F.col("embedding")).alias("stitched_equal"))
+
+
+@register("pad_clip", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+                  ('0x' || md5('9:' || vec_id::VARCHAR)[1:8])::BIGINT % (len(embedding) - 32 + 1) AS st
+           FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(list_concat(e, list_transform(range(16), lambda i: 0.0)),
+                                             lambda x, i: x * i)), 6) AS padded_sum,
+       round(list_sum(list_transform(e[st + 1:st + 32], lambda x, i: x * i)), 6) AS clip_sum FROM v""")
+def q_pad_clip(spark, sf):
+    """F8: pad-or-trim to 80 items; clip to 32 items at a seeded start."""
+    from corpusvox.operators.augment import draw
+    e = T(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    start = F.pmod(draw(9, F.col("vec_id")), F.size("e") - 32 + 1)
+    chk = lambda a: F.round(F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6)
+    return e.select("vec_id", chk(Vf.pad_or_trim(F.col("e"), 80, 0.0)).alias("padded_sum"),
+                    chk(Vf.clip_at(F.col("e"), 32, start)).alias("clip_sum"))
+
+
+@register("trim_silence", """
+WITH f AS (SELECT vec_id, i, 10 * log10(sum(embedding[i * 4 + k + 1]::DOUBLE * embedding[i * 4 + k + 1]::DOUBLE) + 1e-6) AS db
+           FROM embeddings, unnest(range(0, (len(embedding) - 8) // 4 + 1)) AS r(i), unnest(range(0, 8)) AS q(k)
+           GROUP BY vec_id, i),
+p AS (SELECT vec_id, max(db) AS pk, count(*) AS n FROM f GROUP BY vec_id)
+SELECT f.vec_id, greatest(0, min(i) - 1)::INTEGER AS first, least(any_value(n) - 1, max(i) + 2)::INTEGER AS last
+FROM f JOIN p USING (vec_id) WHERE f.db > p.pk - 3 GROUP BY f.vec_id""")
+def q_trim(spark, sf):
+    """F24 on F12 energies: frames within 3 dB of the peak, keep 1 frame left and 2 right."""
+    e = T(spark, sf, "embeddings").select("vec_id", Vf.frame_energy_db("embedding", 8, 4).alias("db"))
+    b = e.select("vec_id", Vf.trim_silence_bounds("db", 3.0, 1, 2).alias("b"))
+    return b.select("vec_id", F.col("b.first").cast("int").alias("first"), F.col("b.last").cast("int").alias("last"))
