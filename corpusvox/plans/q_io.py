@@ -166,3 +166,75 @@ def q_segments_roundtrip(spark, sf):
     s = K.read_segments(spark, f"{root}/segments")
     return s.groupBy("rec").agg(F.count(F.lit(1)).alias("n_segments"),
                                 (F.floor(F.sum(F.col("et") - F.col("st")) * 1000 + 0.5) / 1000).alias("total_dur"))
+
+
+@register("cmvn_file_roundtrip", """
+WITH e AS (SELECT (t.dim - 1)::INTEGER AS dim, t.x::DOUBLE AS x FROM embeddings, unnest(embedding) WITH ORDINALITY AS t(x, dim))
+SELECT dim, round(sum(x), 6) AS mean_stat, round(sum(x * x), 6) AS var_stat, count(*) AS total_frames FROM e GROUP BY dim""")
+def q_cmvn_file(spark, sf):
+    """K9 -> read back: the JSON statistics document (sums, squares, frame count)."""
+    from corpusvox.operators.features import global_cmvn
+    root = _dir(spark, "cmvn")
+    Sk.write_cmvn(global_cmvn(T(spark, sf, "embeddings"), "embedding"), root)
+    j = spark.read.json(root)
+    z = j.select(F.posexplode(F.arrays_zip("mean_stats", "var_stats")).alias("dim", "z"), "total_frames")
+    return z.select(F.col("dim").cast("int").alias("dim"), F.round("z.mean_stats", 6).alias("mean_stat"),
+                    F.round("z.var_stats", 6).alias("var_stat"), F.col("total_frames").cast("long").alias("total_frames"))
+
+
+@register("wer_report_roundtrip", """
+WITH w AS (SELECT item_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM benchmark)
+SELECT count(*) AS n_detail, sum(n)::BIGINT AS wrd FROM w""")
+def q_wer_report(spark, sf):
+    """Per-utterance detail and a totals row written, then read back."""
+    from corpusvox.plans.q_scoring import _wer_pairs
+    root = _dir(spark, "wer")
+    detail = S.wer_detail(_wer_pairs(spark, sf), "item_id", "ref", "hyp")
+    Sk.write_wer_report(detail, S.wer_totals(detail), root)
+    d = spark.read.parquet(f"{root}/detail")
+    t = spark.read.json(f"{root}/totals")
+    return d.agg(F.count(F.lit(1)).alias("n_detail")).join(t.select(F.col("wrd").cast("long").alias("wrd")), how="inner")
+
+
+@register("nbest_files_roundtrip", """
+SELECT (rank::VARCHAR || 'best_recog') AS nbest, count(*) AS n_lines FROM (
+  SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem)
+WHERE rank <= 2 GROUP BY rank""")
+def q_nbest_files(spark, sf):
+    """N-best results as '{n}best_recog/{field}' key-value files, read back per directory."""
+    from corpusvox.operators.batching import top_n
+    root = _dir(spark, "nbest")
+    li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    nb = top_n(li, ["l_orderkey"], "l_extendedprice", 2, "l_linenumber")
+    Sk.write_nbest(nb, root, {"token": "l_linenumber", "score": "l_extendedprice"}, key="l_orderkey")
+    back = spark.read.text(root).where(F.col("field") == "token")
+    return back.groupBy("nbest").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@register("edit_pairs_roundtrip", """
+SELECT count(*) AS n_pairs FROM conversations WHERE role <> 'system'""")
+def q_edit_pairs(spark, sf):
+    """Paired edit JSONL; records without both audio paths, or whose audio is
+    not in the listing, are dropped (semi joins against the listing)."""
+    root = _dir(spark, "edits")
+    c = T(spark, sf, "conversations")
+    rec = c.select(F.format_string("a/%d_%d.wav", "conv_id", "turn").alias("prompt_audio_path"),
+                   F.col("text").alias("prompt_text"), F.col("text").alias("target_text"),
+                   F.when(F.col("role") != "system", F.format_string("b/%d_%d.wav", "conv_id", "turn"))
+                   .alias("target_audio_path"), F.lit("emotion").alias("edit_type"),
+                   F.col("conv_id").cast("string").alias("speaker_id"))
+    Sk.write_jsonl(rec, f"{root}/pairs")
+    listing = rec.select(F.col("prompt_audio_path").alias("path")).unionByName(
+        rec.select(F.col("target_audio_path").alias("path"))).where(F.col("path").isNotNull())
+    pairs = Mf.read_edit_pairs(spark, f"{root}/pairs", listing)
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@register("calibration_csv_roundtrip", """
+SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id""")
+def q_calibration_csv(spark, sf):
+    """A calibration set read by extension (csv here)."""
+    root = _dir(spark, "calib") + ".csv"
+    T(spark, sf, "conversations").select("conv_id", "turn").write.mode("overwrite").option("header", "true").csv(root)
+    back = Mf.read_by_extension(spark, root)
+    return back.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("n_turns"))
