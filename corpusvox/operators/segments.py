@@ -42,13 +42,19 @@ def merge_turns(seg: DataFrame, rec: str, order: Sequence[str], start="start", e
     Output: rec, island (0-based), label, start, end, n (rows merged)."""
     order = _l(order)
     x = range_buckets(seg.select(rec, *order, start, end, label), [rec], order)
-    x = seq_lag(x, [rec], order, [label, end], suffix="_prev")
+    x = seq_neighbors(x, [rec], order, prev=[label, end], next=[label, start], prev_suffix="_prev",
+                      next_suffix="_next")
     new = (F.col(label + "_prev").isNull() & F.col(end + "_prev").isNull()) | \
           (F.col(label) != F.col(label + "_prev")) | (F.col(start) > F.col(end + "_prev"))
-    x = seq_cumsum(x.withColumn("_new", new.cast("long")), [rec], order, {"island": F.col("_new")})
-    key = F.struct(*[F.col(c) for c in order])
+    # the row closes its island when the next row would open a new one
+    closes = (F.col(label + "_next").isNull() & F.col(start + "_next").isNull()) | \
+             (F.col(label + "_next") != F.col(label)) | (F.col(start + "_next") > F.col(end))
+    x = seq_cumsum(x.withColumn("_new", new.cast("long")).withColumn("_closes", closes),
+                   [rec], order, {"island": F.col("_new")})
+    # one row per island opens it and one closes it: primitive aggregates, hash path
     return x.groupBy(rec, "island").agg(
-        F.first(label).alias(label), F.min_by(start, key).alias(start), F.max_by(end, key).alias(end),
+        F.first(label).alias(label), F.max(F.when(F.col("_new") == 1, F.col(start))).alias(start),
+        F.max(F.when(F.col("_closes"), F.col(end))).alias(end),
         F.count(F.lit(1)).alias("n")).withColumn("island", F.col("island") - 1)
 
 

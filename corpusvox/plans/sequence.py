@@ -105,40 +105,44 @@ def seq_lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Seq
     return seq_neighbors(df, keys, order, next=cols, next_suffix=suffix, rows_per_bucket=rows_per_bucket)
 
 
+def _full(keys, order):
+    return _w(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def seq_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str], prev: Sequence[str] = (),
                   next: Sequence[str] = (), prev_suffix: str = "_prev", next_suffix: str = "_next",
                   rows_per_bucket: int | None = None) -> DataFrame:
-    """Previous-row and next-row values in one pass (one carry table for both)."""
+    """Previous-row and next-row values in one pass.
+
+    One window over (key, bucket) gives the in-bucket lag/lead and, on every
+    row, the bucket's first and last values; the first row of each bucket is
+    the (tiny) edge table whose lag/lead over buckets fills the edges."""
     keys, order, prev, nxt = _names(keys), _names(order), _names(prev), _names(next)
     df = _ensure(df, keys, order, rows_per_bucket)
-    w = _w(keys, order)
+    w, full = _w(keys, order), _full(keys, order)
     sel = [F.lag(c).over(w).alias(c + prev_suffix) for c in prev] + \
-          [F.lead(c).over(w).alias(c + next_suffix) for c in nxt]
+          [F.lead(c).over(w).alias(c + next_suffix) for c in nxt] + \
+          [F.row_number().over(w).alias("_rn_b")]
     if prev:
-        sel.append(F.row_number().over(w).alias("_first_in_b"))
+        sel.append(F.last(F.struct(*[F.col(c) for c in prev])).over(full).alias("_tail"))
     if nxt:
-        sel.append(F.row_number().over(Window.partitionBy(*keys, B).orderBy(
-            *[F.col(c).desc() for c in order])).alias("_last_in_b"))
+        sel.append(F.first(F.struct(*[F.col(c) for c in nxt])).over(full).alias("_head"))
+        sel.append(F.count(F.lit(1)).over(full).alias("_n_b"))
     local = df.select("*", *sel)
-    okey = F.struct(*[F.col(c) for c in order])
-    aggs = []
-    if prev:
-        aggs.append(F.max_by(F.struct(*[F.col(c) for c in prev]), okey).alias("_tail"))
-    if nxt:
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in nxt]), okey).alias("_head"))
-    ends = df.groupBy(*keys, B).agg(*aggs)
+    ends = local.where(F.col("_rn_b") == 1).select(*keys, B, *(["_tail"] if prev else []),
+                                                  *(["_head"] if nxt else []))
     wb = Window.partitionBy(*keys).orderBy(B)
     carry_cols = ([F.lag("_tail").over(wb).alias("_carry_p")] if prev else []) + \
                  ([F.lead("_head").over(wb).alias("_carry_n")] if nxt else [])
     carry = ends.select(*keys, B, *carry_cols)
-    out = local.join(carry, keys + [B], "left")
+    out = local.drop(*[c for c in ("_tail", "_head") if c in local.columns]).join(carry, keys + [B], "left")
     for c in prev:
-        out = out.withColumn(c + prev_suffix, F.when(F.col("_first_in_b") == 1, F.col("_carry_p")[c])
+        out = out.withColumn(c + prev_suffix, F.when(F.col("_rn_b") == 1, F.col("_carry_p")[c])
                              .otherwise(F.col(c + prev_suffix)))
     for c in nxt:
-        out = out.withColumn(c + next_suffix, F.when(F.col("_last_in_b") == 1, F.col("_carry_n")[c])
+        out = out.withColumn(c + next_suffix, F.when(F.col("_rn_b") == F.col("_n_b"), F.col("_carry_n")[c])
                              .otherwise(F.col(c + next_suffix)))
-    return out.drop(*[c for c in ("_first_in_b", "_last_in_b", "_carry_p", "_carry_n") if c in out.columns])
+    return out.drop(*[c for c in ("_rn_b", "_n_b", "_carry_p", "_carry_n") if c in out.columns])
 
 
 def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs: dict[str, Column],
@@ -147,11 +151,14 @@ def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs:
     keys, order = _names(keys), _names(order)
     df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()])
-    tot = df.groupBy(*keys, B).agg(*[F.sum(e).alias(n) for n, e in exprs.items()])
+    full = _full(keys, order)
+    local = df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()],
+                      *[F.sum(e).over(full).alias("_tot_" + n) for n, e in exprs.items()],
+                      F.row_number().over(_w(keys, order)).alias("_rn_b"))
+    tot = local.where(F.col("_rn_b") == 1).select(*keys, B, *["_tot_" + n for n in exprs])
     wb = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, B, *[F.sum(n).over(wb).alias("_off_" + n) for n in exprs])
-    out = local.join(off, keys + [B], "left")
+    off = tot.select(*keys, B, *[F.sum("_tot_" + n).over(wb).alias("_off_" + n) for n in exprs])
+    out = local.drop("_rn_b", *["_tot_" + n for n in exprs]).join(off, keys + [B], "left")
     for n in exprs:
         out = out.withColumn(n, F.col(n) + F.coalesce(F.col("_off_" + n), F.lit(0)))
     return out.drop(*["_off_" + n for n in exprs])
@@ -169,10 +176,11 @@ def seq_ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str
     keys, order = _names(keys), _names(order)
     df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.select("*", F.last(col, ignorenulls=True).over(w).alias(out))
-    tails = df.groupBy(*keys, B).agg(
-        F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.struct(*order))).alias("_tail"))
+    local = df.select("*", F.last(col, ignorenulls=True).over(w).alias(out),
+                      F.last(col, ignorenulls=True).over(_full(keys, order)).alias("_btail"),
+                      F.row_number().over(_w(keys, order)).alias("_rn_b"))
+    tails = local.where(F.col("_rn_b") == 1).select(*keys, B, "_btail")
     wb = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*keys, B, F.last("_tail", ignorenulls=True).over(wb).alias("_carry"))
-    return (local.join(carry, keys + [B], "left")
+    carry = tails.select(*keys, B, F.last("_btail", ignorenulls=True).over(wb).alias("_carry"))
+    return (local.drop("_btail", "_rn_b").join(carry, keys + [B], "left")
             .withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_carry"))
