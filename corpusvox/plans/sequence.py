@@ -122,27 +122,27 @@ def seq_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str], prev
     w, full = _w(keys, order), _full(keys, order)
     sel = [F.lag(c).over(w).alias(c + prev_suffix) for c in prev] + \
           [F.lead(c).over(w).alias(c + next_suffix) for c in nxt] + \
-          [F.row_number().over(w).alias("_rn_b")]
+          [F.row_number().over(w).alias("_seq_rn")]
     if prev:
-        sel.append(F.last(F.struct(*[F.col(c) for c in prev])).over(full).alias("_tail"))
+        sel.append(F.last(F.struct(*[F.col(c) for c in prev])).over(full).alias("_seq_tail"))
     if nxt:
-        sel.append(F.first(F.struct(*[F.col(c) for c in nxt])).over(full).alias("_head"))
-        sel.append(F.count(F.lit(1)).over(full).alias("_n_b"))
+        sel.append(F.first(F.struct(*[F.col(c) for c in nxt])).over(full).alias("_seq_head"))
+        sel.append(F.count(F.lit(1)).over(full).alias("_seq_nb_rows"))
     local = df.select("*", *sel)
-    ends = local.where(F.col("_rn_b") == 1).select(*keys, B, *(["_tail"] if prev else []),
-                                                  *(["_head"] if nxt else []))
+    ends = local.where(F.col("_seq_rn") == 1).select(*keys, B, *(["_seq_tail"] if prev else []),
+                                                  *(["_seq_head"] if nxt else []))
     wb = Window.partitionBy(*keys).orderBy(B)
-    carry_cols = ([F.lag("_tail").over(wb).alias("_carry_p")] if prev else []) + \
-                 ([F.lead("_head").over(wb).alias("_carry_n")] if nxt else [])
+    carry_cols = ([F.lag("_seq_tail").over(wb).alias("_seq_carry_p")] if prev else []) + \
+                 ([F.lead("_seq_head").over(wb).alias("_seq_carry_n")] if nxt else [])
     carry = ends.select(*keys, B, *carry_cols)
-    out = local.drop(*[c for c in ("_tail", "_head") if c in local.columns]).join(carry, keys + [B], "left")
+    out = local.drop(*[c for c in ("_seq_tail", "_seq_head") if c in local.columns]).join(carry, keys + [B], "left")
     for c in prev:
-        out = out.withColumn(c + prev_suffix, F.when(F.col("_rn_b") == 1, F.col("_carry_p")[c])
+        out = out.withColumn(c + prev_suffix, F.when(F.col("_seq_rn") == 1, F.col("_seq_carry_p")[c])
                              .otherwise(F.col(c + prev_suffix)))
     for c in nxt:
-        out = out.withColumn(c + next_suffix, F.when(F.col("_rn_b") == F.col("_n_b"), F.col("_carry_n")[c])
+        out = out.withColumn(c + next_suffix, F.when(F.col("_seq_rn") == F.col("_seq_nb_rows"), F.col("_seq_carry_n")[c])
                              .otherwise(F.col(c + next_suffix)))
-    return out.drop(*[c for c in ("_rn_b", "_n_b", "_carry_p", "_carry_n") if c in out.columns])
+    return out.drop(*[c for c in ("_seq_rn", "_seq_nb_rows", "_seq_carry_p", "_seq_carry_n") if c in out.columns])
 
 
 def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs: dict[str, Column],
@@ -153,15 +153,15 @@ def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs:
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     full = _full(keys, order)
     local = df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()],
-                      *[F.sum(e).over(full).alias("_tot_" + n) for n, e in exprs.items()],
-                      F.row_number().over(_w(keys, order)).alias("_rn_b"))
-    tot = local.where(F.col("_rn_b") == 1).select(*keys, B, *["_tot_" + n for n in exprs])
+                      *[F.sum(e).over(full).alias("_seq_tot_" + n) for n, e in exprs.items()],
+                      F.row_number().over(_w(keys, order)).alias("_seq_rn"))
+    tot = local.where(F.col("_seq_rn") == 1).select(*keys, B, *["_seq_tot_" + n for n in exprs])
     wb = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, B, *[F.sum("_tot_" + n).over(wb).alias("_off_" + n) for n in exprs])
-    out = local.drop("_rn_b", *["_tot_" + n for n in exprs]).join(off, keys + [B], "left")
+    off = tot.select(*keys, B, *[F.sum("_seq_tot_" + n).over(wb).alias("_seq_off_" + n) for n in exprs])
+    out = local.drop("_seq_rn", *["_seq_tot_" + n for n in exprs]).join(off, keys + [B], "left")
     for n in exprs:
-        out = out.withColumn(n, F.col(n) + F.coalesce(F.col("_off_" + n), F.lit(0)))
-    return out.drop(*["_off_" + n for n in exprs])
+        out = out.withColumn(n, F.col(n) + F.coalesce(F.col("_seq_off_" + n), F.lit(0)))
+    return out.drop(*["_seq_off_" + n for n in exprs])
 
 
 def seq_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
@@ -177,10 +177,10 @@ def seq_ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str
     df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = df.select("*", F.last(col, ignorenulls=True).over(w).alias(out),
-                      F.last(col, ignorenulls=True).over(_full(keys, order)).alias("_btail"),
-                      F.row_number().over(_w(keys, order)).alias("_rn_b"))
-    tails = local.where(F.col("_rn_b") == 1).select(*keys, B, "_btail")
+                      F.last(col, ignorenulls=True).over(_full(keys, order)).alias("_seq_btail"),
+                      F.row_number().over(_w(keys, order)).alias("_seq_rn"))
+    tails = local.where(F.col("_seq_rn") == 1).select(*keys, B, "_seq_btail")
     wb = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*keys, B, F.last("_btail", ignorenulls=True).over(wb).alias("_carry"))
-    return (local.drop("_btail", "_rn_b").join(carry, keys + [B], "left")
-            .withColumn(out, F.coalesce(F.col(out), F.col("_carry"))).drop("_carry"))
+    carry = tails.select(*keys, B, F.last("_seq_btail", ignorenulls=True).over(wb).alias("_seq_carry"))
+    return (local.drop("_seq_btail", "_seq_rn").join(carry, keys + [B], "left")
+            .withColumn(out, F.coalesce(F.col(out), F.col("_seq_carry"))).drop("_seq_carry"))

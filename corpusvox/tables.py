@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -9,8 +11,21 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Below this many bytes a table is not worth spreading over more tasks.
+SPREAD_MIN_BYTES = 1 << 20
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a table.  A table stored as a few large row groups is read by as many
+    tasks as it has row groups; when that is fewer than the cluster's cores and
+    the table is not tiny, it is spread round-robin so per-row work (tokenizing,
+    exploding) uses every core.  Large inputs made of many files never trigger it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if os.path.exists(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
