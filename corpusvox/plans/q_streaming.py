@@ -115,3 +115,37 @@ def q_crossfade_stream(spark, sf):
     out = run_available(spark, src, "ts",
                         lambda s: crossfade_stream(s, "stream", "chunk", "embedding", "final", 8))
     return _xf_summary(out)
+
+
+def _frames_long(spark, sf):
+    """Long-form frames: utt = vec_id, t = position, x = the value (64 frames per utterance)."""
+    e = T(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("t", "x"))
+    return e.select(F.col("vec_id").alias("utt"), F.col("t").cast("long").alias("t"), F.col("x").cast("double"),
+                    (F.col("t") == 63).alias("final"))
+
+
+def _lfr_summary(df):
+    return df.select("utt", "i", F.size("stacked").alias("n"),
+                     F.round(F.aggregate(F.transform("stacked", lambda v, j: v * (j + 1)), F.lit(0.0),
+                                         lambda a, x: a + x), 6).alias("checksum"))
+
+
+@register("lfr_online", """
+WITH v AS (SELECT vec_id, embedding AS e, len(embedding) AS t FROM embeddings)
+SELECT vec_id AS utt, i::BIGINT AS i, 7 AS n,
+       round(sum((j + 1) * e[least(greatest(i * 6 + j - 3, 0), t - 1) + 1]::DOUBLE), 6) AS checksum
+FROM v, unnest(range(0, CAST(ceil(t / 6) AS BIGINT))) AS r(i), unnest(range(0, 7)) AS q(j) GROUP BY vec_id, i""")
+def q_lfr_online(spark, sf):
+    """W7 over long-form frames (ST4 batch twin): each frame is sent to the stacked
+    outputs that read it; groups hold 7 values."""
+    from corpusvox.streaming.lfr import lfr_long
+    return _lfr_summary(lfr_long(_frames_long(spark, sf), "utt", "t", "x", 7, 6))
+
+
+@register("lfr_online_stream")
+def q_lfr_stream(spark, sf):
+    """ST4 in Structured Streaming: frames arrive in time slices; equal to the batch twin (tested)."""
+    from corpusvox.streaming.lfr import lfr_stream
+    src = _frames_long(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("t")))
+    out = run_available(spark, src, "ts", lambda s: lfr_stream(s, "utt", "t", "x", "final", 7, 6))
+    return _lfr_summary(out)

@@ -55,3 +55,8 @@ def test_seg_tokenize_char_path(spark):
                               "word string, pieces array<string>")
     got = [r["token"] for r in seg_tokenize(long, "k", d).orderBy("pos", "sub").collect()]
     assert got == ["he", "llo", "zh", "<unk>", "one", "<unk>", "<unk>"]
+
+
+def test_lfr_stream_equals_batch_twin(spark):
+    q = entry.queries()
+    assert _rows(q["lfr_online"](spark, SF)) == _rows(q["lfr_online_stream"](spark, SF))
