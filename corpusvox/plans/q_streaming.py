@@ -149,3 +149,27 @@ def q_lfr_stream(spark, sf):
     src = _frames_long(spark, sf).withColumn("ts", F.timestamp_seconds(F.col("t")))
     out = run_available(spark, src, "ts", lambda s: lfr_stream(s, "utt", "t", "x", "final", 7, 6))
     return _lfr_summary(out)
+
+
+def _words(spark, sf):
+    """Word stream stand-in: conversation words in (turn, position) order with punctuation ids."""
+    from corpusvox.plans.q_sentences import conv_tokens
+    w = conv_tokens(spark, sf).select(F.col("conv_id").alias("session"), "k", "token", "punc")
+    last = w.groupBy("session").agg(F.max("k").alias("_last"))
+    return w.join(last, "session").withColumn("final", F.col("k") == F.col("_last")).drop("_last") \
+        .withColumn("ts", F.timestamp_seconds(F.col("k")))
+
+
+@register("punctuation_carry")
+def q_punct_batch(spark, sf):
+    """W15 batch twin: mini-batches of 20 words, text after the last sentence end carried (rows-only)."""
+    from corpusvox.streaming.punctuation import carry_batch
+    return carry_batch(_words(spark, sf), "session", ["k"], "token", "punc")
+
+
+@register("punctuation_carry_stream")
+def q_punct_stream(spark, sf):
+    """ST5: the same carry with the pending words in streaming state; equal to the batch twin (tested)."""
+    from corpusvox.streaming.punctuation import carry_stream
+    return run_available(spark, _words(spark, sf), "ts",
+                         lambda s: carry_stream(s, "session", ["k"], "token", "punc", "final"))

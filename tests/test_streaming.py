@@ -60,3 +60,19 @@ def test_seg_tokenize_char_path(spark):
 def test_lfr_stream_equals_batch_twin(spark):
     q = entry.queries()
     assert _rows(q["lfr_online"](spark, SF)) == _rows(q["lfr_online_stream"](spark, SF))
+
+
+def test_punctuation_carry_stream_equals_batch(spark):
+    q = entry.queries()
+    b = _rows(q["punctuation_carry"](spark, SF))
+    assert b == _rows(q["punctuation_carry_stream"](spark, SF)) and len(b) > 0
+
+
+def test_punct_carry_rules():
+    from corpusvox.streaming.punctuation import PunctCarry
+    f = PunctCarry(chunk=4, max_carry=5)
+    out = f.push(["a", "b", "c", "d"], [1, 3, 1, 1])          # sentence ends after 'b'
+    assert out == [(0, 2, "ab。")] and f.words == ["c", "d"]
+    out = f.push(["e", "f", "g", "h"], [2, 1, 1, 1])          # carry of 6 > 5: cut after the comma
+    assert out == [(1, 3, "cde，")]
+    assert f.finish() == [(2, 3, "fgh")]
