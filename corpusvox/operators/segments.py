@@ -490,3 +490,36 @@ def best_speaker_mapping(ref: DataFrame, sys: DataFrame, rec: str, spk: str, max
     return conf.groupBy(rec).applyInPandas(
         solve, T.StructType([T.StructField(rec, conf.schema[rec].dataType),
                              T.StructField("sys_spk", T.StringType()), T.StructField("ref_spk", T.StringType())]))
+
+
+# ------------------------------------------------------------ token timestamps
+
+# Frame rate of the upsampled peaks, thresholds (frames) and the default shift.
+TIME_RATE = 10.0 * 6 / 1000 / 3
+START_END_THRESHOLD = 5
+MAX_TOKEN_DURATION = 12
+
+
+def token_timestamps(fires: DataFrame, lengths: DataFrame, rec: str, idx: str = "k", frame: str = "frame",
+                     token: str = "token", shift: float = -1.5) -> DataFrame:
+    """Peaks (fire frames, one more than tokens) -> per-token [begin, end] ms.
+
+    Token k spans fire k .. fire k+1; a span longer than 12 frames is cut at 12
+    (the rest is silence); the last token ends halfway to the utterance end when
+    more than 5 frames remain, else at the end.  ``lengths`` gives (rec,
+    num_frames).  Output (rec, k, token, beg_ms, end_ms); leading/trailing
+    silence rows are not part of the result, as in the reference's list."""
+    f = fires.select(rec, idx, token, (F.col(frame) + shift).alias("_f"))
+    f = seq_neighbors(f, [rec], [idx], next=["_f"]).drop(B)
+    last_k = f.groupBy(rec).agg(F.max(idx).alias("_last_k"))
+    f = f.join(last_k, rec).join(lengths.select(rec, F.col("num_frames").alias("_nf")), rec) \
+        .where(F.col(idx) < F.col("_last_k"))
+    span = F.col("_f_next") - F.col("_f")
+    end_frames = F.when(span <= MAX_TOKEN_DURATION, F.col("_f_next")).otherwise(F.col("_f") + MAX_TOKEN_DURATION)
+    # the last emitted interval is the final token's (or its trailing silence when it was cut)
+    is_final = F.col(idx) == F.col("_last_k") - 1
+    tail = F.when(F.col("_nf") - F.col("_f_next") > START_END_THRESHOLD, (F.col("_nf") + F.col("_f_next")) * 0.5) \
+        .otherwise(F.col("_nf").cast("double"))
+    end_frames = F.when(is_final & (span <= MAX_TOKEN_DURATION), tail).otherwise(end_frames)
+    return f.select(rec, idx, token, (F.col("_f") * TIME_RATE * 1000).cast("long").alias("beg_ms"),
+                    (end_frames * TIME_RATE * 1000).cast("long").alias("end_ms"))

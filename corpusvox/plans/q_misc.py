@@ -173,3 +173,31 @@ def q_trim(spark, sf):
     e = T(spark, sf, "embeddings").select("vec_id", Vf.frame_energy_db("embedding", 8, 4).alias("db"))
     b = e.select("vec_id", Vf.trim_silence_bounds("db", 3.0, 1, 2).alias("b"))
     return b.select("vec_id", F.col("b.first").cast("int").alias("first"), F.col("b.last").cast("int").alias("last"))
+
+
+@register("token_timestamps", """
+WITH e AS (SELECT user_id AS rec, event_type, round(value * 100)::BIGINT AS w,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame
+           FROM events),
+c AS (SELECT *, sum(w) OVER (PARTITION BY rec ORDER BY frame ROWS UNBOUNDED PRECEDING) AS s FROM e),
+fires AS (SELECT rec, frame, event_type AS token, row_number() OVER (PARTITION BY rec ORDER BY frame) - 1 AS k
+          FROM c WHERE floor(s / 50000) > floor((s - w) / 50000)),
+nf AS (SELECT rec, count(*) AS nf FROM e GROUP BY rec),
+f AS (SELECT fires.*, frame - 1.5 AS f, lead(frame - 1.5) OVER (PARTITION BY rec ORDER BY k) AS fn,
+             max(k) OVER (PARTITION BY rec) AS last_k FROM fires)
+SELECT f.rec, k, token, (f * (10.0 * 6 / 1000 / 3) * 1000)::BIGINT AS beg_ms,
+       (CASE WHEN k = last_k - 1 AND fn - f <= 12
+             THEN CASE WHEN nf.nf - fn > 5 THEN (nf.nf + fn) * 0.5 ELSE nf.nf::DOUBLE END
+             WHEN fn - f <= 12 THEN fn ELSE f + 12 END * (10.0 * 6 / 1000 / 3) * 1000)::BIGINT AS end_ms
+FROM f JOIN nf USING (rec) WHERE k < last_k""")
+def q_token_ts(spark, sf):
+    """W17 on integrate-and-fire peaks over events (frame = event index, token = event type)."""
+    from corpusvox.plans.sequence import seq_row_number
+    e = T(spark, sf, "events").select(F.col("user_id").alias("rec"), "event_id", "ts", "event_type",
+                                      F.round(F.col("value") * 100).cast("long").alias("w"))
+    e = seq_row_number(e, ["rec"], ["ts", "event_id"], "frame").drop("_seq_b").withColumn("frame", F.col("frame") - 1)
+    fired = G.cif_fire(e, "rec", ["frame"], "w", 50000).where(F.col("fires") > 0)
+    fires = seq_row_number(fired.select("rec", "frame", F.col("event_type").alias("token")), ["rec"], ["frame"], "k") \
+        .drop("_seq_b").withColumn("k", F.col("k") - 1)
+    lengths = e.groupBy("rec").agg(F.count(F.lit(1)).alias("num_frames"))
+    return G.token_timestamps(fires, lengths, "rec").select("rec", "k", "token", "beg_ms", "end_ms")
