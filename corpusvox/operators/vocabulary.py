@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from corpusvox.plans.sequence import seq_row_number
 
+# Largest vocabulary that is broadcast or embedded in a plan.
+MAX_LOOKUP_ENTRIES = 200_000
+
 
 def explode_tokens(df: DataFrame, key: str, tokens: Column | str) -> DataFrame:
     """(key, pos, token) long form; pos is 0-based inside the row."""
@@ -117,7 +120,9 @@ def oov_from_counts(counts: DataFrame, vocab: DataFrame,
                     add_symbols: Sequence[str] = ("<blank>", "<unk>")) -> DataFrame:
     """A6 from a ``token_counts`` table: (total, in_vocab, oov_rate %)."""
     c = counts.where(~F.col("token").isin(*add_symbols)) if add_symbols else counts
-    iv = F.broadcast(vocab.where(F.col("cnt").isNotNull()).select("token").withColumn("iv", F.lit(1)))
+    iv = vocab.where(F.col("cnt").isNotNull()).select("token").withColumn("iv", F.lit(1))
+    if iv.count() <= MAX_LOOKUP_ENTRIES:
+        iv = F.broadcast(iv)
     return c.join(iv, "token", "left").agg(
         F.sum("cnt").cast("long").alias("total"),
         F.sum(F.when(F.col("iv") == 1, F.col("cnt")).otherwise(0)).cast("long").alias("in_vocab")) \
@@ -132,16 +137,15 @@ def tokens_to_ids(long: DataFrame, key: str, vocab: DataFrame, unk: str = "<unk>
     row = vocab.where(F.col("token") == unk).select("id").first()
     if row is None:
         raise ValueError(f"{unk!r} is not in the vocabulary")
-    # a vocabulary is bounded by its configured size: broadcast it
-    ids = long.join(F.broadcast(vocab.where(F.col("cnt").isNotNull() | (F.col("token") != unk)).select("token", "id")),
-                    "token", "left")
+    side = vocab.where(F.col("cnt").isNotNull() | (F.col("token") != unk)).select("token", "id")
+    # broadcast only a vocabulary whose size is checked; a larger one takes the shuffle join
+    if side.count() <= MAX_LOOKUP_ENTRIES:
+        side = F.broadcast(side)
+    ids = long.join(side, "token", "left")
     return ids.select(key, "pos", "token", F.col("id").isNull().alias("is_unk"),
                       F.coalesce("id", F.lit(int(row["id"]))).alias("id"))
 
 
-MAX_LOOKUP_ENTRIES = 200_000
-
-
 def token_id_lookup(vocab: DataFrame, unk: str = "<unk>"):
     """Collect a bounded vocabulary as (map column, unk id) for row-local lookups
     on small vocabularies.  A map lookup scans the keys, so for large
