@@ -523,3 +523,52 @@ def token_timestamps(fires: DataFrame, lengths: DataFrame, rec: str, idx: str =
     end_frames = F.when(is_final & (span <= MAX_TOKEN_DURATION), tail).otherwise(end_frames)
     return f.select(rec, idx, token, (F.col("_f") * TIME_RATE * 1000).cast("long").alias("beg_ms"),
                     (end_frames * TIME_RATE * 1000).cast("long").alias("end_ms"))
+
+
+# ------------------------------------------------------------ timestamp-token segments
+
+def timestamp_segments(tokens: DataFrame, rec: str, pos: str, tok: str, ts_begin: int,
+                       precision: float = 0.02) -> DataFrame:
+    """A token >= ``ts_begin`` is a timestamp.  Two consecutive timestamps
+    close a slice after the first of them; each slice becomes a segment from its
+    first token's time to its last token's time with the tokens in between as
+    text.  A stream without consecutive timestamps is one segment ending at its
+    last timestamp (NULL end when there is none or it is the zero timestamp).
+
+    Output (rec, seg, start, end, n_text)."""
+    x = tokens.select(rec, pos, tok, (F.col(tok) >= ts_begin).alias("_ts"))
+    x = seq_neighbors(x, [rec], [pos], prev=["_ts"]).drop(B)
+    boundary = F.coalesce(F.col("_ts") & F.col("_ts_prev"), F.lit(False))
+    x = seq_cumsum(x.withColumn("_b", boundary.cast("long")), [rec], [pos], {"seg": F.col("_b")}).drop(B)
+    has_pairs = x.groupBy(rec).agg(F.max("_b").alias("_pairs"))
+    x = x.join(has_pairs, rec)
+    key = F.col(pos)
+    # with pairs: the closing slice ends at the first timestamp of the pair (the row
+    # before each boundary); rows after the last pair belong to no closed slice
+    paired = x.where(F.col("_pairs") == 1)
+    seg_tot = paired.groupBy(rec).agg(F.max("seg").alias("_last_seg"))
+    paired = paired.join(seg_tot, rec).where(F.col("seg") < F.col("_last_seg"))
+    sl = paired.groupBy(rec, "seg").agg(F.min_by(tok, key).alias("_first"), F.max_by(tok, key).alias("_last"),
+                                        F.count(F.lit(1)).alias("_n"))
+    with_pairs = sl.select(rec, "seg", ((F.col("_first") - ts_begin) * precision).alias("start"),
+                           ((F.col("_last") - ts_begin) * precision).alias("end"), (F.col("_n") - 2).alias("n_text"))
+    single = x.where(F.col("_pairs") == 0).groupBy(rec).agg(
+        F.max_by(F.when(F.col("_ts"), F.col(tok)), F.when(F.col("_ts"), key)).alias("_lt"),
+        F.count(F.lit(1)).alias("_n"))
+    single = single.select(rec, F.lit(0).cast("long").alias("seg"), F.lit(0.0).alias("start"),
+                           F.when(F.col("_lt") != ts_begin, (F.col("_lt") - ts_begin) * precision).alias("end"),
+                           F.col("_n").alias("n_text"))
+    return with_pairs.unionByName(single)
+
+
+def end_detect(hyps: DataFrame, utt: str, length: str, score: str, M: int = 3, d_end: float = -10.0,
+               at: Column | None = None) -> DataFrame:
+    """per utterance, at step ``at`` (default: the longest ended hypothesis),
+    ended when for each of the M lengths at, at-1, ... the best hypothesis of that
+    length trails the overall best by more than |d_end| (missing lengths fail)."""
+    best = hyps.groupBy(utt).agg(F.max(score).alias("_best"), F.max(length).alias("_i"))
+    per_len = hyps.groupBy(utt, length).agg(F.max(score).alias("_s"))
+    j = best.join(per_len, utt, "left")
+    i = at if at is not None else F.col("_i")
+    hit = (F.col(length) <= i) & (F.col(length) > i - M) & (F.col("_s") - F.col("_best") < d_end)
+    return j.groupBy(utt).agg((F.count(F.when(hit, 1)) == M).alias("ended"))

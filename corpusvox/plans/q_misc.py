@@ -201,3 +201,40 @@ def q_token_ts(spark, sf):
         .drop("_seq_b").withColumn("k", F.col("k") - 1)
     lengths = e.groupBy("rec").agg(F.count(F.lit(1)).alias("num_frames"))
     return G.token_timestamps(fires, lengths, "rec").select("rec", "k", "token", "beg_ms", "end_ms")
+
+
+@register("timestamp_segments", """
+WITH t AS (SELECT l_orderkey AS rec, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos,
+                  l_partkey AS tok, l_partkey >= 1500 AS ts FROM lineitem),
+b AS (SELECT *, coalesce(ts AND lag(ts) OVER (PARTITION BY rec ORDER BY pos), false)::INTEGER AS bnd FROM t),
+s AS (SELECT *, sum(bnd) OVER (PARTITION BY rec ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seg,
+             max(bnd) OVER (PARTITION BY rec) AS pairs FROM b),
+ls AS (SELECT rec, max(seg) AS last_seg FROM s WHERE pairs = 1 GROUP BY rec),
+p AS (SELECT s.rec, seg::BIGINT AS seg, arg_min(tok, pos) AS f, arg_max(tok, pos) AS l, count(*) AS n
+      FROM s JOIN ls USING (rec) WHERE pairs = 1 AND seg < last_seg GROUP BY s.rec, seg),
+o AS (SELECT rec, arg_max(CASE WHEN ts THEN tok END, CASE WHEN ts THEN pos END) AS lt, count(*) AS n FROM s
+      WHERE pairs = 0 GROUP BY rec)
+SELECT rec, seg, round((f - 1500) * 0.02::DOUBLE, 6) AS start, round((l - 1500) * 0.02::DOUBLE, 6) AS "end", n - 2 AS n_text FROM p
+UNION ALL
+SELECT rec, 0, 0.0::DOUBLE, CASE WHEN lt <> 1500 THEN round((lt - 1500) * 0.02::DOUBLE, 6) END, n FROM o""")
+def q_ts_segments(spark, sf):
+    """W19 stand-in: per order, part keys in line order; keys >= 1500 are timestamp tokens."""
+    from corpusvox.plans.sequence import seq_row_number
+    li = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rec"), "l_linenumber", "l_partkey", "l_suppkey")
+    li = seq_row_number(li, ["rec"], ["l_linenumber", "l_partkey", "l_suppkey"], "pos").drop("_seq_b")
+    s = G.timestamp_segments(li.select("rec", "pos", F.col("l_partkey").alias("tok")), "rec", "pos", "tok", 1500)
+    return s.select("rec", "seg", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n_text")
+
+
+@register("end_detect", """
+WITH h AS (SELECT l_orderkey AS utt, l_linenumber AS len, -l_extendedprice / 1000 AS score FROM lineitem),
+b AS (SELECT utt, max(score) AS best, max(len) AS i FROM h GROUP BY utt),
+l AS (SELECT utt, len, max(score) AS s FROM h GROUP BY utt, len)
+SELECT b.utt, count(l.len) FILTER (WHERE l.s - b.best < -10) = 3 AS ended
+FROM b LEFT JOIN l ON l.utt = b.utt AND l.len BETWEEN b.i - 2 AND b.i GROUP BY b.utt""")
+def q_end_detect(spark, sf):
+    """ended hypotheses per utterance (order): at the last length i, the best
+    score of each of the lengths i, i-1, i-2 trails the overall best by more than 10."""
+    h = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("utt"), F.col("l_linenumber").alias("len"),
+                                        (-F.col("l_extendedprice") / 1000).alias("score"))
+    return G.end_detect(h, "utt", "len", "score", M=3, d_end=-10.0)
