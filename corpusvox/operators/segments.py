@@ -345,33 +345,35 @@ def sentences(tokens: DataFrame, rec: str, order: Sequence[str], text: str = "to
     space when the word starts with an ASCII letter or the text so far ends
     with one; the mark is appended.  A sentence starts where the previous one
     ended (the first at its first token's start).  Without a closing mark the
-    tail is dropped unless ``keep_tail``.
+    tail is dropped unless ``keep_tail`` (its end is then its largest token end).
 
-    Output: rec, sid, text, start, end, n_tokens."""
+    One pass of neighbour values over the tokens gives everything: the
+    previous token's end is the previous sentence's end at a sentence's first
+    token.  Output: rec, sid, text, start, end, n_tokens."""
     order = _l(order)
     closes = (F.col(punc) > 1).cast("long")
     x = range_buckets(tokens, [rec], order)
     x = seq_cumsum(x.withColumn("_close", closes), [rec], order, {"_closes": F.col("_close")})
     x = x.withColumn("sid", F.col("_closes") - F.col("_close"))
-    x = seq_lag(x, [rec], order, ["sid", text], suffix="_p")
+    x = seq_neighbors(x, [rec], order, prev=["sid", text, t_end], prev_suffix="_p")
     first_in_sentence = F.col("sid_p").isNull() | (F.col("sid_p") != F.col("sid"))
     letter = "^[A-Za-z]"
     sep = F.when(F.col(text).rlike(letter), F.lit(" ")) \
         .when(~first_in_sentence & F.col(text + "_p").rlike("[A-Za-z]$"), F.lit(" ")).otherwise(F.lit(""))
     marks = F.array(*[F.lit(m) for m in PUNC_MARKS])
     mark = F.when(F.col(punc) > 1, F.element_at(marks, (F.col(punc) - 1).cast("int"))).otherwise(F.lit(""))
-    x = x.withColumn("_piece", F.concat(sep, F.col(text), mark))
+    x = x.withColumn("_piece", F.concat(sep, F.col(text), mark)) \
+        .withColumn("_start", F.when(first_in_sentence, F.coalesce(F.col(t_end + "_p"), F.col(t_start))))
     key = F.struct(*[F.col(c) for c in order])
     per = x.groupBy(rec, "sid").agg(
         F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("_piece").alias("p")))).alias("_ps"),
-        F.max_by(F.col(t_end), key).alias("end"), F.min_by(F.col(t_start), key).alias("_first_start"),
+        F.max("_start").alias("start"),
+        F.coalesce(F.max(F.when(F.col("_close") == 1, F.col(t_end))), F.max(t_end)).alias("end"),
         F.max("_close").alias("_closed"), F.count(F.lit(1)).alias("n_tokens"))
     if not keep_tail:
         per = per.where(F.col("_closed") == 1)
-    # a sentence starts at the previous sentence's end
-    per = seq_lag(per, [rec], ["sid"], ["end"], suffix="_prev")
     return per.select(rec, "sid", F.array_join(F.transform("_ps", lambda s: s["p"]), "").alias("text"),
-                      F.coalesce(F.col("end_prev"), F.col("_first_start")).alias("start"), "end", "n_tokens")
+                      "start", "end", "n_tokens")
 
 
 # ------------------------------------------------------------ transcripts

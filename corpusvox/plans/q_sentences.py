@@ -14,6 +14,7 @@ from corpusvox.functions.text import word_tokens
 from corpusvox.operators import segments as G
 from corpusvox.plans.registry import T, register
 from corpusvox.plans.sequence import seq_cumsum
+from corpusvox.session import cut_lineage
 
 TOK_SQL = """
 w AS (SELECT conv_id, turn, t.word, t.pos FROM conversations,
@@ -41,7 +42,7 @@ sentences AS (SELECT conv_id, sid, text,
 
 
 def conv_tokens(spark, sf):
-    c = T(spark, sf, "conversations").select("conv_id", "turn", word_tokens("text").alias("w"))
+    c = T(spark, sf, "conversations", spread=True).select("conv_id", "turn", word_tokens("text").alias("w"))
     # token index k = tokens in earlier turns + position: a running sum over the
     # (small) per-turn table instead of a row number over every token
     turns = seq_cumsum(c.select("conv_id", "turn", F.size("w").cast("long").alias("n")), ["conv_id"], ["turn"],
@@ -58,7 +59,9 @@ def conv_tokens(spark, sf):
 
 
 def sentences(spark, sf):
-    return G.sentences(conv_tokens(spark, sf), "conv_id", ["k"])
+    # the token stream feeds several window passes: materialise it once in the
+    # shared checkpoint folder instead of re-tokenising for every pass
+    return G.sentences(cut_lineage(conv_tokens(spark, sf)), "conv_id", ["k"])
 
 
 @register("sentences", "WITH " + TOK_SQL + " SELECT conv_id, sid, text, start, \"end\", n_tokens FROM sentences")
@@ -89,7 +92,9 @@ def _fmt_sql(ms, hours, marker):
 
 
 def _blocks(spark, sf, fmt):
-    s = G.number_segments(sentences(spark, sf), "conv_id", ["sid"], "idx")
+    # the sentence table is small next to the tokens: checkpoint it so numbering
+    # (W18) does not re-run the token pipeline for its bucket statistics
+    s = G.number_segments(cut_lineage(sentences(spark, sf)), "conv_id", ["sid"], "idx")
     return G.transcript_blocks(s, fmt).select("conv_id", "idx", "block")
 
 

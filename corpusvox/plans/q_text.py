@@ -30,7 +30,7 @@ vocab AS (
 
 
 def doc_tokens(spark, sf):
-    d = T(spark, sf, "documents")
+    d = T(spark, sf, "documents", spread=True)  # whole-text tokenizing is the heavy step
     return V.explode_tokens(d, "doc_id", X.word_tokens("text"))
 
 

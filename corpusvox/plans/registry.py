@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tables.load(spark, sf_dir, name)
+def T(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    return tables.load(spark, sf_dir, name, spread)

@@ -15,17 +15,17 @@ TABLES = (
 SPREAD_MIN_BYTES = 1 << 20
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a table.  A table stored as a few large row groups is read by as many
-    tasks as it has row groups; when that is fewer than the cluster's cores and
-    the table is not tiny, it is spread round-robin so per-row work (tokenizing,
-    exploding) uses every core.  Large inputs made of many files never trigger it."""
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read a table.  With ``spread``, a table stored as fewer row groups than the
+    cluster has cores (and not tiny) is spread round-robin first, so heavy per-row
+    work (tokenizing whole texts) uses every core; inputs made of many files never
+    trigger it.  Off by default: for light per-row work the extra shuffle costs more."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if os.path.exists(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
+    if spread and os.path.exists(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
         if df.rdd.getNumPartitions() < cores:
             df = df.repartition(cores)
     return df
