@@ -121,3 +121,21 @@ def quality_gate(compression, avg_logprob, no_speech_prob,
     fallback = (_c(compression) > compression_threshold) | (_c(avg_logprob) < logprob_threshold)
     silence = (_c(no_speech_prob) > no_speech_threshold) & ~(_c(avg_logprob) > logprob_threshold)
     return fallback, silence
+
+
+# Korean readings of digits and of upper-case Latin letters.
+KOREAN_DIGITS = {"0": "영", "1": "일", "2": "이", "3": "삼", "4": "사", "5": "오", "6": "육", "7": "칠", "8": "팔",
+                 "9": "구"}
+KOREAN_LETTERS = {"A": "에이", "B": "비", "C": "씨", "D": "디", "E": "이", "F": "에프", "G": "지", "H": "에이치",
+                  "I": "아이", "J": "제이", "K": "케이", "L": "엘", "M": "엠", "N": "엔", "O": "오", "P": "피",
+                  "Q": "큐", "R": "알", "S": "에스", "T": "티", "U": "유", "V": "브이", "W": "더블유", "X": "엑스",
+                  "Y": "와이", "Z": "지"}
+
+
+def korean_clean(text) -> Column:
+    """strip; digits -> Korean readings; ASCII letters (lower-case folded to
+    upper) -> Korean letter names; everything else unchanged."""
+    mapping = {**KOREAN_DIGITS, **KOREAN_LETTERS, **{k.lower(): v for k, v in KOREAN_LETTERS.items()}}
+    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+    chars = F.regexp_extract_all(py_strip(text), F.lit("(?s)(.)"), 1)
+    return F.array_join(F.transform(chars, lambda c: F.coalesce(F.element_at(m, c), c)), "")

@@ -7,6 +7,8 @@ shaped [T][D].  All math uses higher-order functions (``transform``,
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,3 +196,44 @@ def trim_silence_bounds(db, threshold_db: float = 20.0, keep_left: int = 0, keep
     idx = F.filter(F.transform(d, lambda v, i: F.when(v > peak_db - threshold_db, i)), lambda i: i.isNotNull())
     return F.struct(F.greatest(F.lit(0), F.array_min(idx) - keep_left).alias("first"),
                     F.least(F.size(d) - 1, F.array_max(idx) + keep_right).alias("last"))
+
+
+def mel_filterbank(n_mels: int, n_fft: int, sample_rate: int, fmin: float = 0.0, fmax: float | None = None):
+    """Triangular filters on the HTK mel scale (built from the parameters)."""
+    fmax = fmax or sample_rate / 2
+    mel = lambda f: 2595.0 * np.log10(1.0 + np.asarray(f) / 700.0)
+    inv = lambda m: 700.0 * (10 ** (np.asarray(m) / 2595.0) - 1.0)
+    pts = inv(np.linspace(mel(fmin), mel(fmax), n_mels + 2))
+    freqs = np.linspace(0, sample_rate / 2, n_fft // 2 + 1)
+    fb = np.zeros((n_mels, len(freqs)))
+    for i in range(n_mels):
+        lo, c, hi = pts[i], pts[i + 1], pts[i + 2]
+        fb[i] = np.clip(np.minimum((freqs - lo) / max(c - lo, 1e-9), (hi - freqs) / max(hi - c, 1e-9)), 0, None)
+    return fb
+
+
+def log_mel(signal, frame_len: int = 400, hop: int = 160, n_fft: int = 512, n_mels: int = 80,
+            sample_rate: int = 16000, floor: float = 1e-10) -> Column:
+    """framing, Hamming window, power spectrum (rfft), mel filterbank, log with
+    a floor -> ARRAY<ARRAY<DOUBLE>> [frames][n_mels].  One Arrow-batched pandas UDF
+    running numpy per row (the signal of one utterance is one row)."""
+    from pyspark.sql import types as T
+
+    fb = mel_filterbank(n_mels, n_fft, sample_rate)
+    win = np.hamming(frame_len)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def run(s: pd.Series) -> pd.Series:
+        def one(x):
+            if x is None:
+                return None
+            x = np.asarray(x, dtype=np.float64)
+            if len(x) < frame_len:
+                return []
+            n = 1 + (len(x) - frame_len) // hop
+            idx = np.arange(frame_len)[None, :] + hop * np.arange(n)[:, None]
+            spec = np.abs(np.fft.rfft(x[idx] * win, n=n_fft)) ** 2
+            return np.log(np.maximum(spec @ fb.T, floor)).tolist()
+        return s.map(one)
+
+    return run(_c(signal))

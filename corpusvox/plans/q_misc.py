@@ -238,3 +238,30 @@ def q_end_detect(spark, sf):
     h = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("utt"), F.col("l_linenumber").alias("len"),
                                         (-F.col("l_extendedprice") / 1000).alias("score"))
     return G.end_detect(h, "utt", "len", "score", M=3, d_end=-10.0)
+
+
+def _korean_sql() -> str:
+    from corpusvox.functions.text import KOREAN_DIGITS, KOREAN_LETTERS
+    expr = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+    pairs = list(KOREAN_DIGITS.items()) + list(KOREAN_LETTERS.items()) + \
+        [(k.lower(), v) for k, v in KOREAN_LETTERS.items()]
+    for k, v in pairs:
+        expr = f"replace({expr}, '{k}', '{v}')"
+    return expr
+
+
+@register("korean_clean", f"""
+SELECT doc_id, length({_korean_sql()})::INTEGER AS n_chars, md5({_korean_sql()}) AS text_md5 FROM documents""")
+def q_korean(spark, sf):
+    """digit and letter readings applied to every document text."""
+    d = T(spark, sf, "documents").select("doc_id", X.korean_clean(F.col("text")).alias("c"))
+    return d.select("doc_id", F.length("c").alias("n_chars"), F.md5("c").alias("text_md5"))
+
+
+@register("log_mel")
+def q_log_mel(spark, sf):
+    """F23 on the embedding read as a 64-sample signal: frames of 16 every 8, 4 mel bands
+    (rows-only: numpy FFT per row)."""
+    e = T(spark, sf, "embeddings").select("vec_id", Vf.log_mel("embedding", 16, 8, 16, 4, 16000).alias("m"))
+    return e.select("vec_id", F.size("m").alias("n_frames"),
+                    F.round(F.aggregate(F.flatten("m"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))

@@ -56,3 +56,18 @@ def test_extension_surface(spark):
         return lambda pdf: pd.DataFrame({"x": pdf["x"], "y": pdf["x"] + 1})
     out = batch_inference(df, factory, "x long, y long", batch_size=1)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 2), (2, 3)]
+
+
+def test_log_mel_matches_numpy(spark):
+    import numpy as np
+    from corpusvox.functions.vectors import log_mel, mel_filterbank
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=200)
+    df = spark.createDataFrame([(x.tolist(),)], "s array<double>")
+    got = np.array(df.select(log_mel("s", 40, 20, 64, 6, 8000).alias("m")).first()["m"])
+    n = 1 + (200 - 40) // 20
+    frames = np.stack([x[i * 20:i * 20 + 40] * np.hamming(40) for i in range(n)])
+    ref = np.log(np.maximum((np.abs(np.fft.rfft(frames, n=64)) ** 2) @ mel_filterbank(6, 64, 8000).T, 1e-10))
+    assert got.shape == (n, 6) and np.allclose(got, ref)
+    fb = mel_filterbank(6, 64, 8000)
+    assert fb.shape == (6, 33) and (fb >= 0).all() and (fb.max(axis=1) > 0.5).all()
