@@ -94,9 +94,11 @@ def min_dcf(rates: DataFrame, score: str = "score", pos: str = "pos", p_target:
         raise ValueError("p_target must be in (0, 1)")
     c_det = c_miss * F.col("fnr") * p_target + c_fa * F.col("fpr") * (1 - p_target)
     c_def = min(c_miss * p_target, c_fa * (1 - p_target))
-    best = rates.agg(F.min_by(F.struct(c_det.alias("c"), F.col(score).alias("t")),
-                              F.struct(c_det, F.col(score), F.col(pos))).alias("b"))
-    return best.select((F.col("b.c") / c_def).alias("min_dcf"), F.col("b.t").alias("threshold"))
+    r = rates.withColumn("_c", c_det)
+    # minimum on the hash path, then the first row (score, pos) among the few at the minimum
+    m = r.agg(F.min("_c")).first()[0]
+    best = r.where(F.col("_c") == F.lit(m)).agg(F.min(F.struct(F.col(score).alias("t"), F.col(pos))).alias("b"))
+    return best.select((F.lit(m) / c_def).alias("min_dcf"), F.col("b.t").alias("threshold"))
 
 
 def eer(trials: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -115,8 +117,10 @@ def eer(trials: DataFrame, score: str = "score", label: str = "label") -> DataFr
     pts = cum.select(F.col(score).cast("double").alias(score), "tp", "fp").unionByName(inf)
     pts = pts.withColumn("fnr", 1 - F.try_divide(F.col("tp").cast("double"), F.lit(positives))) \
              .withColumn("fpr", F.try_divide(F.col("fp").cast("double"), F.lit(negatives)))
-    b = pts.agg(F.min_by(F.struct("fnr", "fpr", F.col(score).alias("t")),
-                         F.struct(F.abs(F.col("fnr") - F.col("fpr")), -F.col(score))).alias("b"))
+    pts = pts.withColumn("_d", F.abs(F.col("fnr") - F.col("fpr")))
+    m = pts.agg(F.min("_d")).first()[0]
+    b = pts.where(F.col("_d") == F.lit(m)).agg(
+        F.max(F.struct(F.col(score).alias("t"), "fnr", "fpr")).alias("b"))  # highest threshold on ties
     return b.select(((F.col("b.fnr") + F.col("b.fpr")) / 2).alias("eer"), F.col("b.t").alias("threshold"))
 
 

@@ -52,8 +52,9 @@ def merge_turns(seg: DataFrame, rec: str, order: Sequence[str], start="start", e
     x = seq_cumsum(x.withColumn("_new", new.cast("long")).withColumn("_closes", closes),
                    [rec], order, {"island": F.col("_new")})
     # one row per island opens it and one closes it: primitive aggregates, hash path
-    return x.groupBy(rec, "island").agg(
-        F.first(label).alias(label), F.max(F.when(F.col("_new") == 1, F.col(start))).alias(start),
+    # the label is constant inside an island, so it rides in the grouping key
+    return x.groupBy(rec, "island", label).agg(
+        F.max(F.when(F.col("_new") == 1, F.col(start))).alias(start),
         F.max(F.when(F.col("_closes"), F.col(end))).alias(end),
         F.count(F.lit(1)).alias("n")).withColumn("island", F.col("island") - 1)
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 B = "_seq_b"
 ROWS_PER_BUCKET_CONF = "corpusvox.seq.rowsPerBucket"
 DEFAULT_ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65536
 
 
 def _names(cols: Sequence[str] | str) -> list[str]:
@@ -59,8 +59,9 @@ def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``_seq_b``: a bucket id that never decreases along ``order`` inside a key.
 
-    Lazy: per key, one aggregate gives (min, max, count) of the first order
-    column; a key gets ``ceil(count / rows_per_bucket)`` equal-width buckets
+    Per key, one aggregate gives (min, max, count) of the first order column
+    (lazy, joined back; for a global order the three numbers are read once on
+    the driver); a key gets ``ceil(count / rows_per_bucket)`` equal-width buckets
     (at most MAX_BUCKETS), so small keys stay whole and a hot key is cut into
     many.  Equal values of the first order column always share a bucket."""
     keys, order = _names(keys), _names(order)
@@ -68,19 +69,21 @@ def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     rpb = int(rows_per_bucket or conf or DEFAULT_ROWS_PER_BUCKET)
     x = order_projection(df, order[0])
     with_x = df.withColumn("_seq_x", x)
-    stats = with_x.groupBy(*keys).agg(F.min("_seq_x").alias("_seq_lo"), F.max("_seq_x").alias("_seq_hi"),
-                                      F.count(F.lit(1)).alias("_seq_n"))
-    stats = stats.withColumn("_seq_nb", F.least(F.lit(MAX_BUCKETS),
-                                                F.greatest(F.lit(1), F.ceil(F.col("_seq_n") / rpb))).cast("long"))
-    stats = stats.drop("_seq_n")
-    if keys:
-        j = with_x.join(stats, keys)
-    else:  # one stats row, joined on a constant key (a broadcast of one row)
-        j = with_x.withColumn("_seq_k", F.lit(0)).join(stats.withColumn("_seq_k", F.lit(0)), "_seq_k") \
-            .drop("_seq_k")
     span = F.col("_seq_hi") - F.col("_seq_lo")
     b = F.when(span > 0, F.least(F.col("_seq_nb") - 1,
                                  F.floor((F.col("_seq_x") - F.col("_seq_lo")) / span * F.col("_seq_nb"))))
+    if not keys:
+        # a global order: three numbers (min, max, count) come to the driver
+        lo, hi, n = with_x.agg(F.min("_seq_x"), F.max("_seq_x"), F.count(F.lit(1))).first()
+        nb = max(1, min(MAX_BUCKETS, -(-int(n or 0) // rpb)))
+        j = with_x.withColumn("_seq_lo", F.lit(lo).cast("double")).withColumn("_seq_hi", F.lit(hi).cast("double")) \
+            .withColumn("_seq_nb", F.lit(nb).cast("long"))
+    else:
+        stats = with_x.groupBy(*keys).agg(F.min("_seq_x").alias("_seq_lo"), F.max("_seq_x").alias("_seq_hi"),
+                                          F.count(F.lit(1)).alias("_seq_n"))
+        stats = stats.withColumn("_seq_nb", F.least(F.lit(MAX_BUCKETS),
+                                                    F.greatest(F.lit(1), F.ceil(F.col("_seq_n") / rpb))).cast("long"))
+        j = with_x.join(stats.drop("_seq_n"), keys)
     return j.withColumn(B, F.coalesce(b, F.lit(0)).cast("long")) \
         .drop("_seq_x", "_seq_lo", "_seq_hi", "_seq_nb")
 
