@@ -64,3 +64,30 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusvox`` importable on every executor's Python workers.
+
+    Pandas UDFs and grouped maps pickle functions by reference to this package;
+    the standard way to give executors the code is ``addPyFile`` with a zip of
+    the package, done once per SparkContext."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusvox_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="corpusvox-pkg-")
+    zpath = os.path.join(out_dir, "corpusvox.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._corpusvox_shipped = True
