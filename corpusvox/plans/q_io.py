@@ -238,3 +238,52 @@ def q_calibration_csv(spark, sf):
     T(spark, sf, "conversations").select("conv_id", "turn").write.mode("overwrite").option("header", "true").csv(root)
     back = Mf.read_by_extension(spark, root)
     return back.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+@register("index_jsonl_roundtrip", """
+SELECT doc_id::VARCHAR AS key, '<ASR>' AS prompt, source, lang AS target,
+       CASE WHEN doc_id % 2 = 0 THEN n_chars::INTEGER ELSE 1 END AS source_len, 0 AS target_len
+FROM documents""")
+def q_index_jsonl(spark, sf):
+    """Index records; missing prompt / lengths take the defaults '<ASR>', 1, 0."""
+    root = _dir(spark, "index")
+    d = T(spark, sf, "documents")
+    d.select(F.col("doc_id").cast("string").alias("key"), "source", F.col("lang").alias("target"),
+             F.when(F.col("doc_id") % 2 == 0, F.col("n_chars").cast("int")).alias("source_len")) \
+        .write.mode("overwrite").json(root)
+    return Mf.read_index_jsonl(spark, root)
+
+
+@register("scp_inputs_roundtrip", """
+SELECT doc_id::VARCHAR AS key, 'wav/' || doc_id::VARCHAR || '.wav' AS data FROM documents""")
+def q_scp_inputs(spark, sf):
+    """S10 (.scp 'key data' lines) and S6 (scp with a custom key separator) read back."""
+    root = _dir(spark, "scp")
+    d = T(spark, sf, "documents")
+    d.select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.format_string("wav/%d.wav", "doc_id"))) \
+        .write.mode("overwrite").text(f"{root}/a.scp")
+    d.select(F.concat_ws("|", F.col("doc_id").cast("string"), F.format_string("wav/%d.wav", "doc_id"))) \
+        .write.mode("overwrite").text(f"{root}/b.scp")
+    a = Mf.read_inputs(spark, f"{root}/a.scp").select("key", "data")
+    b = K.read_scp(spark, f"{root}/b.scp", kv_sep="|").select("key", F.col("value").alias("b"))
+    return a.join(b, "key").where(F.col("data") == F.col("b")).select("key", "data")
+
+
+@register("hotword_list_roundtrip", """
+SELECT count(*) + 1 AS n_words FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def q_hotword_list(spark, sf):
+    """A hotword file (one per line) plus the '<s>' sentinel."""
+    root = _dir(spark, "hot")
+    T(spark, sf, "conversations").select(F.format_string("w%d", "conv_id").alias("value")).distinct() \
+        .write.mode("overwrite").text(root)
+    return K.read_hotwords(spark, root).agg(F.count(F.lit(1)).alias("n_words"))
+
+
+@register("triples_roundtrip", """
+SELECT doc_id::VARCHAR AS key, 'feat/' || doc_id::VARCHAR AS feat, 'lab/' || doc_id::VARCHAR AS label FROM labels""")
+def q_triples(spark, sf):
+    """Key, feature path, label path lines."""
+    root = _dir(spark, "triples")
+    T(spark, sf, "labels").select(F.format_string("%d feat/%d lab/%d", "doc_id", "doc_id", "doc_id")) \
+        .write.mode("overwrite").text(root)
+    return K.read_triples(spark, root)
