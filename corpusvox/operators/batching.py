@@ -73,7 +73,7 @@ def buffer_order(df: DataFrame, pos: str, buffer_size: int, within: Sequence[Col
     inside each buffer.  A buffer is bounded, so the window over it is too."""
     b = df.withColumn("buffer", F.floor(F.col(pos) / buffer_size).cast("long"))
     w = Window.partitionBy("buffer").orderBy(*within, F.col(pos))
-    return b.withColumn(name, F.row_number().over(w) - 1)
+    return b.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
 def rank_full_batches(df: DataFrame, pos: str, batch_size: int, world: int) -> DataFrame:

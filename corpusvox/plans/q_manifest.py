@@ -23,7 +23,7 @@ def _labels(spark, sf):
 
 
 @register("utt_assembly", """
-SELECT d.doc_id AS utt, d.source AS spk, d.n_chars AS n_samples, length(d.text) AS text_len,
+SELECT d.doc_id AS utt, d.source AS spk, d.n_chars AS n_samples, length(d.text)::INTEGER AS text_len,
        coalesce(l.quality, 0) AS quality, coalesce(l.toxic, 0) AS toxic,
        (l.doc_id IS NOT NULL) AS has_label, round(coalesce(s.spk_mean_samples, 0.0), 6) AS spk_mean_samples
 FROM documents d

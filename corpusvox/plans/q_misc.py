@@ -98,8 +98,9 @@ def q_hotwords(spark, sf):
     w = c.select("conv_id", F.explode(X.word_tokens("text")).alias("word")) \
         .groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("score"))
     top = w.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "word"))) \
-        .where("rank <= 3").select("conv_id", "word", "rank")
-    sentinel = c.select("conv_id").distinct().select("conv_id", F.lit("<s>").alias("word"), F.lit(4).alias("rank"))
+        .where("rank <= 3").select("conv_id", "word", F.col("rank").cast("long").alias("rank"))
+    sentinel = c.select("conv_id").distinct().select("conv_id", F.lit("<s>").alias("word"),
+                                                     F.lit(4).cast("long").alias("rank"))
     return top.unionByName(sentinel)
 
 

@@ -42,7 +42,7 @@ MERGE_SQL = """
 {name}0 AS (SELECT *, lag(label) OVER w AS lp, lag("end") OVER w AS ep FROM {src}
             WINDOW w AS (PARTITION BY rec ORDER BY {order})),
 {name}1 AS (SELECT *, sum(CASE WHEN lp IS NULL OR label <> lp OR start > ep THEN 1 ELSE 0 END)
-                      OVER (PARTITION BY rec ORDER BY {order} ROWS UNBOUNDED PRECEDING) - 1 AS island FROM {name}0),
+                      OVER (PARTITION BY rec ORDER BY {order} ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS island FROM {name}0),
 {name} AS (SELECT rec, island, any_value(label) AS label, arg_min(start, ({order})) AS start,
                   arg_max("end", ({order})) AS "end", count(*) AS n FROM {name}1 GROUP BY rec, island)"""
 
