@@ -139,3 +139,74 @@ def korean_clean(text) -> Column:
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     chars = F.regexp_extract_all(py_strip(text), F.lit("(?s)(.)"), 1)
     return F.array_join(F.transform(chars, lambda c: F.coalesce(F.element_at(m, c), c)), "")
+
+
+def _cjk_str(s: Column) -> Column:
+    """A token counts as CJK when, compared as a whole string, it sorts inside the
+    CJK ideograph block, inside '0'..'9', or is '@' (the reference compares strings)."""
+    return ((s >= F.lit("一")) & (s <= F.lit("鿿"))) | ((s >= F.lit("0")) & (s <= F.lit("9"))) | (s == "@")
+
+
+def _clean_tok(t: Column) -> Column:
+    return F.regexp_replace(F.replace(t, F.lit(" "), F.lit("")), r"</s>|<s>|<unk>|<OOV>", "")
+
+
+def _chars(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit("(?s)(.)"), 1)
+
+
+def _all_cjk_chars(t: Column) -> Column:
+    c = _chars(_clean_tok(t))
+    return (F.size(c) > 0) & F.forall(c, lambda x: _cjk_str(x))
+
+
+def _all_alpha_chars(t: Column) -> Column:
+    c = _chars(_clean_tok(t))
+    return (F.size(c) > 0) & F.forall(c, lambda x: (x.rlike(r"^\p{L}$") | (x == "'")) & ~_cjk_str(x))
+
+
+def sentence_postprocess(tokens) -> Column:
+    """F4 (text form): drop special symbols; an all-CJK token list is joined without
+    spaces; an all-alphabetic list becomes space-separated words; otherwise tokens
+    are folded left to right (CJK tokens glue to the previous word, '@@' pieces
+    join the next word, alphabetic words are followed by a space, anything else
+    is appended as is).  Runs of single ASCII letters separated by spaces then
+    become one upper-case abbreviation; the result is stripped."""
+    toks = F.filter(_c(tokens), lambda t: ~t.isin(*SPECIAL_SYMBOLS))
+    cleaned = F.transform(toks, lambda t: _clean_tok(t))
+    all_cjk = (F.size(cleaned) > 0) & F.forall(cleaned, lambda t: _cjk_str(t))
+    all_alpha = (F.size(cleaned) > 0) & F.forall(
+        cleaned, lambda t: (t.rlike(r"^\p{L}+$") | (t == "'")) & ~_cjk_str(t))
+    empty = F.array().cast("array<string>")
+    init = F.struct(empty.alias("w"), F.lit("").alias("item"), F.lit(False).alias("blank"))
+
+    def step(acc, t):
+        w, item, blank = acc["w"], acc["item"], acc["blank"]
+        popped = F.when(blank & (F.size(w) > 0), F.slice(w, 1, F.size(w) - 1)).otherwise(w)
+        return (F.when(_all_cjk_chars(t), F.struct(F.concat(popped, F.array(t)).alias("w"), item.alias("item"),
+                                                   F.lit(False).alias("blank")))
+                .when(F.instr(t, "@@") > 0, F.struct(w.alias("w"), F.concat(item, F.replace(t, F.lit("@@"), F.lit("")))
+                                                     .alias("item"), F.lit(False).alias("blank")))
+                .when(_all_alpha_chars(t), F.struct(F.concat(w, F.array(F.concat(item, t), F.lit(" "))).alias("w"),
+                                                    F.lit("").alias("item"), F.lit(True).alias("blank")))
+                .otherwise(F.struct(F.concat(w, F.array(t)).alias("w"), item.alias("item"), blank.alias("blank"))))
+
+    mixed = F.aggregate(toks, init, step)["w"]
+    alpha_words = F.flatten(F.transform(toks, lambda t: F.array(t, F.lit(" "))))
+    words = F.when(all_alpha & ~all_cjk, alpha_words).otherwise(mixed)
+    n = F.size(words)
+    is_letter = lambda i: (F.length(F.element_at(words, i + 1)) == 1) & \
+        F.element_at(words, i + 1).rlike("^[A-Za-z]$")
+    sp = lambda i: F.element_at(words, i + 1) == " "
+
+    def in_run(i):
+        right = (i + 2 < n) & sp(i + 1) & is_letter(i + 2)
+        left = (i - 2 >= 0) & sp(i - 1) & is_letter(i - 2)
+        return is_letter(i) & (F.coalesce(right, F.lit(False)) | F.coalesce(left, F.lit(False)))
+
+    rendered = F.transform(words, lambda x, i: F.when(in_run(i), F.upper(x))
+                           .when(sp(i) & (i - 1 >= 0) & (i + 1 < n) & F.coalesce(in_run(i - 1) & in_run(i + 1),
+                                                                              F.lit(False)), F.lit(""))
+                           .otherwise(x))
+    joined = F.when(all_cjk, F.array_join(cleaned, "")).otherwise(F.array_join(rendered, ""))
+    return py_strip(joined)

@@ -266,3 +266,11 @@ def q_log_mel(spark, sf):
     e = T(spark, sf, "embeddings").select("vec_id", Vf.log_mel("embedding", 16, 8, 16, 4, 16000).alias("m"))
     return e.select("vec_id", F.size("m").alias("n_frames"),
                     F.round(F.aggregate(F.flatten("m"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@register("sentence_render")
+def q_sentence_render(spark, sf):
+    """F4 (text form) over each turn's word tokens (rows-only: a left fold per row)."""
+    c = T(spark, sf, "conversations")
+    r = c.select("conv_id", "turn", X.sentence_postprocess(X.word_tokens("text")).alias("s"))
+    return r.select("conv_id", "turn", F.length("s").alias("n_chars"), F.md5("s").alias("text_md5"))

@@ -71,3 +71,19 @@ def test_log_mel_matches_numpy(spark):
     assert got.shape == (n, 6) and np.allclose(got, ref)
     fb = mel_filterbank(6, 64, 8000)
     assert fb.shape == (6, 33) and (fb >= 0).all() and (fb.max(axis=1) > 0.5).all()
+
+
+def test_sentence_postprocess_cases(spark):
+    from corpusvox.functions.text import sentence_postprocess
+    cases = [
+        (["<s>", "你", "好", "</s>"], "你好"),
+        (["hello", "world"], "hello world"),
+        (["hel@@", "lo", "world"], "hello world"),
+        (["a", "b", "c", "dog"], "ABC dog"),
+        (["你", "好", "ok", "世"], "你好ok世"),
+        (["Hello", "world."], "Hello world."),
+        (["x", "y", "z"], "XYZ"),
+    ]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "t array<string>")
+    got = [r["s"] for r in df.select(sentence_postprocess(F.col("t")).alias("s")).collect()]
+    assert got == [e for _, e in cases]
