@@ -175,8 +175,6 @@ def sentence_postprocess(tokens) -> Column:
     toks = F.filter(_c(tokens), lambda t: ~t.isin(*SPECIAL_SYMBOLS))
     cleaned = F.transform(toks, lambda t: _clean_tok(t))
     all_cjk = (F.size(cleaned) > 0) & F.forall(cleaned, lambda t: _cjk_str(t))
-    all_alpha = (F.size(cleaned) > 0) & F.forall(
-        cleaned, lambda t: (t.rlike(r"^\p{L}+$") | (t == "'")) & ~_cjk_str(t))
     empty = F.array().cast("array<string>")
     init = F.struct(empty.alias("w"), F.lit("").alias("item"), F.lit(False).alias("blank"))
 
@@ -191,22 +189,23 @@ def sentence_postprocess(tokens) -> Column:
                                                     F.lit("").alias("item"), F.lit(True).alias("blank")))
                 .otherwise(F.struct(F.concat(w, F.array(t)).alias("w"), item.alias("item"), blank.alias("blank"))))
 
-    mixed = F.aggregate(toks, init, step)["w"]
-    alpha_words = F.flatten(F.transform(toks, lambda t: F.array(t, F.lit(" "))))
-    words = F.when(all_alpha & ~all_cjk, alpha_words).otherwise(mixed)
-    n = F.size(words)
-    is_letter = lambda i: (F.length(F.element_at(words, i + 1)) == 1) & \
-        F.element_at(words, i + 1).rlike("^[A-Za-z]$")
-    sp = lambda i: F.element_at(words, i + 1) == " "
-
-    def in_run(i):
-        right = (i + 2 < n) & sp(i + 1) & is_letter(i + 2)
-        left = (i - 2 >= 0) & sp(i - 1) & is_letter(i - 2)
-        return is_letter(i) & (F.coalesce(right, F.lit(False)) | F.coalesce(left, F.lit(False)))
-
-    rendered = F.transform(words, lambda x, i: F.when(in_run(i), F.upper(x))
-                           .when(sp(i) & (i - 1 >= 0) & (i + 1 < n) & F.coalesce(in_run(i - 1) & in_run(i + 1),
-                                                                              F.lit(False)), F.lit(""))
-                           .otherwise(x))
-    joined = F.when(all_cjk, F.array_join(cleaned, "")).otherwise(F.array_join(rendered, ""))
+    # an all-alphabetic list folds to the same words as the general fold, so one
+    # fold serves both; its finish step renders abbreviations on the folded array
+    def render(words):
+        n = F.size(words)
+        is_letter = lambda i: F.coalesce(F.element_at(words, i + 1).rlike("^[A-Za-z]$"), F.lit(False))
+        sp = lambda i: F.coalesce(F.element_at(words, i + 1) == " ", F.lit(False))
+
+        def in_run(i):
+            right = (i + 2 < n) & sp(i + 1) & is_letter(i + 2)
+            left = (i - 2 >= 0) & sp(i - 1) & is_letter(i - 2)
+            return is_letter(i) & (right | left)
+
+        out = F.transform(words, lambda x, i: F.when(in_run(i), F.upper(x))
+                          .when(sp(i) & (i >= 1) & (i + 1 < n) & in_run(i - 1) & in_run(i + 1), F.lit(""))
+                          .otherwise(x))
+        return F.array_join(out, "")
+
+    folded = F.aggregate(toks, init, step, lambda acc: render(acc["w"]))
+    joined = F.when(all_cjk, F.array_join(cleaned, "")).otherwise(folded)
     return py_strip(joined)
