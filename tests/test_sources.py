@@ -96,3 +96,14 @@ def test_text_functions(spark):
                   X.mixed_script_words(F.lit("ab中文 x")).alias("m")).first()
     assert r["w"] == ["a", "b", "c"] and r["c"] == ["<unk>", "a", "b", "c"]
     assert r["f"] == ["a", "b"] and r["g"] == ["b"] and r["m"] == ["ab", "中", "文", "x"]
+
+
+def test_base64_audio_and_feature_maps(spark):
+    from corpusvox.sources.sinks import audio_base64
+    df = spark.createDataFrame([(bytes([1, 2, 3]),)], "b binary")
+    assert df.select(audio_base64("b").alias("s")).first()["s"] == "AQID"
+    # Precomputed feature maps are keyed Parquet tables, read and joined like any other
+    d = tempfile.mkdtemp(prefix="cv-feat-", dir="/tmp")
+    spark.createDataFrame([("u1", [0.5, 0.25])], "utt string, emb array<float>").write.parquet(f"{d}/utt2emb")
+    back = spark.read.parquet(f"{d}/utt2emb").first()
+    assert back["utt"] == "u1" and list(back["emb"]) == [0.5, 0.25]
