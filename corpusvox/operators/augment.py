@@ -49,3 +49,23 @@ def masked_frames(spans: DataFrame, key: str) -> DataFrame:
     """Distinct masked frame indexes per row (the union of its spans)."""
     return spans.where(F.col("width") > 0).select(
         key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)).alias("frame")).distinct()
+
+
+def disturb_profiles(profiles: DataFrame, rec: str, spk: str, vec: str, prob: float = 0.4,
+                     alpha: float = 0.2, seed: int = 0) -> DataFrame:
+    """G4 (disturb part): in a seeded share ``prob`` of recordings, every speaker
+    profile is mixed with one other profile of the same recording (a seeded
+    partner, never itself): normalize(p + alpha * partner).  One partner per
+    profile -- a keyed join, never all pairs.  Adds ``disturbed``."""
+    from corpusvox.functions.vectors import l2_normalize
+    p = profiles.select(rec, spk, vec)
+    ranked = p.withColumn("_i", F.dense_rank().over(Window.partitionBy(rec).orderBy(spk)) - 1) \
+        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(rec)))
+    chosen = (F.pmod(draw(seed, F.col(rec), "disturb"), F.lit(1000)) < int(prob * 1000)) & (F.col("_n") > 1)
+    partner = F.pmod(F.col("_i") + 1 + F.pmod(draw(seed, F.col(rec), F.col("_i")), F.col("_n") - 1), F.col("_n"))
+    x = ranked.withColumn("_chosen", chosen).withColumn("_j", F.when(chosen, partner))
+    other = ranked.select(F.col(rec).alias("_r2"), F.col("_i").alias("_j2"), F.col(vec).alias("_pv"))
+    j = x.join(other, (x[rec] == other["_r2"]) & (x["_j"] == other["_j2"]), "left")
+    mixed = F.zip_with(F.col(vec), F.col("_pv"), lambda a, b: a.cast("double") + alpha * b.cast("double"))
+    out = F.when(F.col("_chosen"), l2_normalize(mixed)).otherwise(F.transform(vec, lambda a: a.cast("double")))
+    return j.select(rec, spk, out.alias(vec), F.col("_chosen").alias("disturbed"))

@@ -87,3 +87,10 @@ def test_sentence_postprocess_cases(spark):
     df = spark.createDataFrame([(c,) for c, _ in cases], "t array<string>")
     got = [r["s"] for r in df.select(sentence_postprocess(F.col("t")).alias("s")).collect()]
     assert got == [e for _, e in cases]
+
+
+def test_profile_disturb(spark):
+    import __spark_entry__ as entry
+    out = entry.queries()["profile_disturb"](spark, "/root/testdata/sf0.001").toPandas()
+    assert out["disturbed"].any()
+    assert (abs(out.loc[out["disturbed"], "norm"] - 1.0) < 1e-6).all()   # mixed profiles are normalised
