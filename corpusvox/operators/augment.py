@@ -69,3 +69,32 @@ def disturb_profiles(profiles: DataFrame, rec: str, spk: str, vec: str, prob: fl
     mixed = F.zip_with(F.col(vec), F.col("_pv"), lambda a, b: a.cast("double") + alpha * b.cast("double"))
     out = F.when(F.col("_chosen"), l2_normalize(mixed)).otherwise(F.transform(vec, lambda a: a.cast("double")))
     return j.select(rec, spk, out.alias(vec), F.col("_chosen").alias("disturbed"))
+
+
+def merge_profiles(profiles: DataFrame, rec: str, spk: str, vec: str, prob: float = 0.2,
+                   seed: int = 0) -> DataFrame:
+    """G4 (merge part): in a seeded share ``prob`` of recordings with two or more
+    profiles, a seeded pair (a, b) is merged: a becomes normalize(a + b), b becomes
+    a zero vector and its labels map to a (``label_to`` gives the mapping for
+    frame labels).  Each recording touches one pair -- a keyed join."""
+    from corpusvox.functions.vectors import l2_normalize
+    p = profiles.select(rec, spk, vec)
+    ranked = p.withColumn("_i", F.dense_rank().over(Window.partitionBy(rec).orderBy(spk)) - 1) \
+        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(rec)))
+    chosen = (F.pmod(draw(seed, F.col(rec), "merge"), F.lit(1000)) < int(prob * 1000)) & (F.col("_n") > 1)
+    a = F.pmod(draw(seed, F.col(rec), "a"), F.col("_n"))
+    b = F.pmod(a + 1 + F.pmod(draw(seed, F.col(rec), "b"), F.col("_n") - 1), F.col("_n"))
+    x = ranked.withColumn("_chosen", chosen).withColumn("_a", a).withColumn("_b", b)
+    bvec = ranked.select(F.col(rec).alias("_r2"), F.col("_i").alias("_i2"), F.col(vec).alias("_bv"),
+                         F.col(spk).alias("_bspk"))
+    aspk = ranked.select(F.col(rec).alias("_r3"), F.col("_i").alias("_i3"), F.col(spk).alias("_aspk"))
+    j = x.join(bvec, (x[rec] == bvec["_r2"]) & (x["_b"] == bvec["_i2"]), "left") \
+        .join(aspk, (x[rec] == aspk["_r3"]) & (x["_a"] == aspk["_i3"]), "left")
+    is_a = F.col("_chosen") & (F.col("_i") == F.col("_a"))
+    is_b = F.col("_chosen") & (F.col("_i") == F.col("_b"))
+    summed = F.zip_with(F.col(vec), F.col("_bv"), lambda u, w: u.cast("double") + w.cast("double"))
+    out = F.when(is_a, l2_normalize(summed)) \
+        .when(is_b, F.transform(vec, lambda u: F.lit(0.0).cast("double"))) \
+        .otherwise(F.transform(vec, lambda u: u.cast("double")))
+    return j.select(rec, spk, out.alias(vec), F.when(is_b, F.col("_aspk")).otherwise(F.col(spk)).alias("label_to"),
+                    is_a.alias("merged_into"), is_b.alias("merged_away"))

@@ -94,3 +94,20 @@ def test_profile_disturb(spark):
     out = entry.queries()["profile_disturb"](spark, "/root/testdata/sf0.001").toPandas()
     assert out["disturbed"].any()
     assert (abs(out.loc[out["disturbed"], "norm"] - 1.0) < 1e-6).all()   # mixed profiles are normalised
+
+
+def test_profile_merge(spark):
+    import __spark_entry__ as entry
+    from corpusvox.operators.augment import merge_profiles
+    out = entry.queries()["profile_merge"](spark, "/root/testdata/sf0.01").toPandas()
+    per = out.groupby("rec")[["merged_into", "merged_away"]].sum()
+    assert ((per["merged_into"] == per["merged_away"]) & (per["merged_into"] <= 1)).all()
+    # every recording chosen: exactly one pair merged in each
+    prof = spark.createDataFrame([(r, s, [float(r + 1), float(s + 1)]) for r in range(4) for s in range(3)],
+                                 "rec long, spk long, v array<double>")
+    m = merge_profiles(prof, "rec", "spk", "v", prob=1.0, seed=1).toPandas()
+    assert (m.groupby("rec")["merged_into"].sum() == 1).all() and (m.groupby("rec")["merged_away"].sum() == 1).all()
+    away = m[m["merged_away"]]
+    assert all(sum(abs(x) for x in v) == 0 for v in away["v"]) and (away["label_to"] != away["spk"]).all()
+    into = m[m["merged_into"]]
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in into["v"])
