@@ -59,6 +59,27 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
+class NoiseFloor:
+    """Running noise level in dB over frames judged non-speech: the first
+    such frame sets it, later ones update avg = (db + avg*(N-1)) / N.  A frame that
+    passes the score test stays speech only when its SNR (db - noise) and its dB
+    reach the thresholds (defaults -100 -- effectively open)."""
+
+    def __init__(self, n: int = 100, snr_thres: float = -100.0, decibel_thres: float = -100.0,
+                 avg: float | None = None):
+        self.n, self.snr_thres, self.decibel_thres, self.avg = n, snr_thres, decibel_thres, avg
+
+    def gate(self, speech: np.ndarray, db: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(speech), dtype=int)
+        for k, (s, d) in enumerate(zip(speech, db)):
+            if s:
+                noise = self.avg if self.avg is not None else -100.0
+                out[k] = int((d - noise) >= self.snr_thres and d >= self.decibel_thres)
+            else:
+                self.avg = float(d) if self.avg is None else (float(d) + self.avg * (self.n - 1)) / self.n
+        return out
+
+
 class VadFold:
     def __init__(self, cfg: VadConfig, state: tuple | None = None):
         self.cfg = cfg

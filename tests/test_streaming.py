@@ -76,3 +76,12 @@ def test_punct_carry_rules():
     out = f.push(["e", "f", "g", "h"], [2, 1, 1, 1])          # carry of 6 > 5: cut after the comma
     assert out == [(1, 3, "cde，")]
     assert f.finish() == [(2, 3, "fgh")]
+
+
+def test_noise_floor_recurrence():
+    from corpusvox.streaming.vad import NoiseFloor
+    nf = NoiseFloor(n=4, snr_thres=10.0)
+    out = nf.gate(np.array([0, 0, 1, 1, 0]), np.array([-40.0, -20.0, -25.0, -40.0, -30.0]))
+    # noise: -40, then (-20 + 3*-40)/4 = -35; frame 2: snr 10 -> speech; frame 3: snr -5 -> silence
+    assert list(out) == [0, 0, 1, 0, 0]
+    assert abs(nf.avg - ((-30.0 + 3 * -35.0) / 4)) < 1e-12
