@@ -37,3 +37,72 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"),
                       F.round("word_distance", 6).alias("word_distance"))
+
+
+#: The model of SentencePiece pieces; any other file of that kind may be given instead.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@register("op2_wu_manber_decontamination", sql.OP2)
+def op2_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.decontaminate import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op4_feistel_shards")
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.shards import assign_shards
+
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    return assign_shards(rows, ["doc_id", "text_crc32", "size"], 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op5_gumbel_segmentations")
+def op5_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.segmentations import load_vocabulary, sample_segmentations
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    drawn = sample_segmentations(docs, load_vocabulary(PIECES)).select("doc_id", F.posexplode("samples"))
+    return drawn.select("doc_id", F.col("pos").alias("sample"), F.size("col.ids").alias("n_ids"), "col.ids",
+                        "col.log_prob", "col.perturbed", "col.inclusion")
+
+
+@register("op6_word_first_language")
+def op6_word_first_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.language import identify
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op7_offset_preserving_pii")
+def op7_offset_preserving_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.pii import KINDS, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("pii", lambda x: ~x["added"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def n_of(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[n_of(k) for k in KINDS],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
+        F.size(F.filter("pii", lambda x: x["added"])).cast("long").alias("n_added"))
+
+
+@register("op8_trie_simhash")
+def op8_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -74,3 +74,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND coalesce(word_distance, 0) <= {LIM.max_word_distance} AS kept,
        round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
 FROM judged"""
+
+
+WORDS_2 = "regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS_2.format('text')} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {WORDS_2.format('text')} AS w FROM benchmark),
+items AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+          FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT k, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+          FROM (SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM items) WHERE len(w) >= m)),
+hits AS (SELECT k, i, m, item FROM grams JOIN items USING (m, g)),
+covered AS (SELECT k, count(*) AS n_hit FROM (SELECT DISTINCT k, unnest(range(i, i + m)) AS p FROM (
+              SELECT DISTINCT k, i, m FROM hits)) GROUP BY k),
+found AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (k) LEFT JOIN found USING (k)"""
