@@ -106,3 +106,38 @@ def op8_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusvox.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register("op3_line_hash_dedup", sql.OP3)
+def op3_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.repeats import repeated_units
+
+    return repeated_units(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "start", "end", "first_doc_id", "first_start")
+
+
+@register("op10_association_urls", sql.OP10)
+def op10_association_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.url_rules import judge_urls, path_of
+
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    doc = F.regexp_extract(path_of(F.col("url")), "([0-9]+)[^0-9]*$", 1)
+    bad = F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").groupBy("doc_id").agg(bad)
+    labelled = pages.select("url", doc.try_cast("long").alias("doc_id")).join(
+        labels.where("blocked IS NOT NULL"), "doc_id").select("url", "blocked")
+    return judge_urls(pages, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op9_ordinal_quality")
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.language import held_out
+    from corpusvox.llm.ordinal import fit, grade_texts
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    ratings = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").where(
+        ~held_out(F.col("doc_id"))).select("doc_id", grade.alias("grade"))
+    return grade_texts(docs, fit(ratings, docs)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.round("expected_grade", 9).alias("expected_grade"),
+        F.round("tail_prob", 9).alias("tail_prob"), "kept")

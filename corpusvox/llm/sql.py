@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from corpusvox.llm import url_rules
 from corpusvox.llm.divergence import CLASS_NAMES, CLASSES, Limits
+from corpusvox.llm.url_rules import LISTED
 
 LIM = Limits()
+URL = url_rules.Limits()
 
 
 def class_sql() -> str:
@@ -93,3 +96,53 @@ found AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (k) LEFT JOIN found USING (k)"""
+
+
+def tokens_sql(text: str) -> str:
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"list_distinct(list_filter(string_split_regex({low}, '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+def listed_sql(value: int) -> str:
+    rules = sorted(LISTED, key=lambda r: -len(r[1] + r[2]))
+    tests = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN "
+             f"'{(v, h + p)[value]}'" for v, h, p in rules]
+    return f"CASE {' '.join(tests)} END"
+
+
+OP10 = f"""
+WITH u AS (SELECT row_number() OVER () AS k, page_id,
+                  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a FROM pages),
+p AS (SELECT k, page_id, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path, {tokens_sql('a')} AS t,
+             translate(regexp_extract(a, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+      FROM u),
+lab AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS blocked FROM labels GROUP BY doc_id
+        HAVING bool_or(quality = 0 OR toxic = 1) IS NOT NULL),
+x AS (SELECT k, t, blocked FROM p JOIN lab
+      ON lab.doc_id = TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT)),
+nn AS (SELECT greatest(ceil({URL.min_support} * count(*)), {URL.min_urls}) AS least FROM x),
+f AS (SELECT tok FROM (SELECT unnest(t) AS tok, blocked FROM x) WHERE blocked GROUP BY tok
+      HAVING count(*) >= (SELECT least FROM nn)),
+xf AS (SELECT k, blocked, list_sort(list(tok)) AS t
+       FROM (SELECT k, blocked, unnest(t) AS tok FROM x) JOIN f USING (tok) GROUP BY k, blocked),
+subsets AS (SELECT blocked, list_filter(t, lambda v, i: (m >> (i - 1)::BIGINT) & 1 = 1) AS s
+            FROM (SELECT blocked, t, unnest(range(1, 1::BIGINT << len(t))) AS m FROM xf)),
+rules AS (SELECT s FROM subsets GROUP BY s HAVING sum(blocked::INT) >= (SELECT least FROM nn)
+          AND sum(blocked::INT) >= {URL.min_confidence} * count(*)),
+caught AS (SELECT DISTINCT k FROM p JOIN rules ON list_has_all(p.t, rules.s))
+SELECT page_id, host, path, {listed_sql(1)} AS rule,
+       coalesce({listed_sql(0)}, CASE WHEN caught.k IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN caught USING (k)"""
+
+
+OP3 = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d),
+placed AS (SELECT doc_id, x, coalesce(sum(length(x) + 1) OVER (
+             PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM lines),
+units AS (SELECT doc_id, start, start + length(x)::INT AS stop,
+                 list_filter(string_split_regex(lower(nfc_normalize(x)), '\\s+'), lambda w: w <> '') AS w FROM placed),
+ranked AS (SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start,
+                  row_number() OVER g AS r FROM units WHERE len(w) >= 15
+           WINDOW g AS (PARTITION BY w ORDER BY doc_id, start))
+SELECT doc_id, start, stop AS "end", first_doc_id, first_start FROM ranked WHERE r > 1"""
