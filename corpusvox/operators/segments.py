@@ -41,14 +41,15 @@ def merge_turns(seg: DataFrame, rec: str, order: Sequence[str], start="start", e
 
     Output: rec, island (0-based), label, start, end, n (rows merged)."""
     order = _l(order)
-    x = range_buckets(seg.select(rec, *order, start, end, label), [rec], order)
-    x = seq_neighbors(x, [rec], order, prev=[label, end], next=[label, start], prev_suffix="_prev",
+    x = range_buckets(seg.select(rec, *order, start, end, label).withColumn("_in", F.lit(True)), [rec], order)
+    x = seq_neighbors(x, [rec], order, prev=["_in", label, end], next=["_in", label, start], prev_suffix="_prev",
                       next_suffix="_next")
-    new = (F.col(label + "_prev").isNull() & F.col(end + "_prev").isNull()) | \
-          (F.col(label) != F.col(label + "_prev")) | (F.col(start) > F.col(end + "_prev"))
+    # a missing label is a label of its own; the ends of a recording are told by _in, not by NULL values
+    new = F.col("_in_prev").isNull() | ~F.col(label).eqNullSafe(F.col(label + "_prev")) | \
+        F.coalesce(F.col(start) > F.col(end + "_prev"), F.lit(False))
     # the row closes its island when the next row would open a new one
-    closes = (F.col(label + "_next").isNull() & F.col(start + "_next").isNull()) | \
-             (F.col(label + "_next") != F.col(label)) | (F.col(start + "_next") > F.col(end))
+    closes = F.col("_in_next").isNull() | ~F.col(label + "_next").eqNullSafe(F.col(label)) | \
+        F.coalesce(F.col(start + "_next") > F.col(end), F.lit(False))
     x = seq_cumsum(x.withColumn("_new", new.cast("long")).withColumn("_closes", closes),
                    [rec], order, {"island": F.col("_new")})
     # one row per island opens it and one closes it: primitive aggregates, hash path
@@ -94,18 +95,20 @@ def smooth_turns(seg: DataFrame, rec: str, order: Sequence[str], start="start",
     Rounding is half-even on the binary value, like Python's ``round``
     (Spark's ``round`` goes through the decimal text, half-up)."""
     order = _l(order)
-    x = seg.withColumn("_rs", round_half_even(F.col(start), 2)).withColumn("_re", round_half_even(F.col(end), 2))
-    x = seq_neighbors(x, [rec], order, prev=["_re", label], next=[start, label], prev_suffix="_p",
+    x = seg.withColumn("_rs", round_half_even(F.col(start), 2)).withColumn("_re", round_half_even(F.col(end), 2)) \
+        .withColumn("_in", F.lit(True))
+    x = seq_neighbors(x, [rec], order, prev=["_in", "_re", label], next=["_in", start, label], prev_suffix="_p",
                       next_suffix="_n")
-    first, last = F.col(label + "_p").isNull() & F.col("_re_p").isNull(), F.col(label + "_n").isNull() & \
-        F.col(start + "_n").isNull()
+    first, last = F.col("_in_p").isNull(), F.col("_in_n").isNull()
     short = (F.col("_re") - F.col("_rs")) < min_dur
     take_prev = short & ~(first & last) & (last | (~first & (
         (F.col("_rs") - F.col("_re_p")) <= (F.col(start + "_n") - F.col("_re")))))
     take_next = short & ~(first & last) & ~take_prev
-    val = F.when(take_next, F.col(label + "_n")).when(take_prev, F.lit(None)).otherwise(F.col(label))
+    # wrapped, so that a missing label is carried forward like any other
+    own = F.when(take_next, F.col(label + "_n")).otherwise(F.col(label)).alias("v")
+    val = F.when(~F.coalesce(take_prev, F.lit(False)), F.struct(own))
     x = seq_ffill(x.withColumn("_val", val), [rec], order, "_val", "_smoothed")
-    x = x.select(rec, *order, F.col("_rs").alias(start), F.col("_re").alias(end), F.col("_smoothed").alias(label))
+    x = x.select(rec, *order, F.col("_rs").alias(start), F.col("_re").alias(end), F.col("_smoothed")["v"].alias(label))
     if materialize:
         x = cut_lineage(x)
     return merge_turns(x, rec, order, start, end, label)
@@ -163,9 +166,9 @@ def forward_fill_class(df: DataFrame, rec: str, order: Sequence[str], cls: str,
 
 def run_starts(df: DataFrame, rec: str, order: Sequence[str], value: str) -> DataFrame:
     """Flag rows that start a run of equal values (collapsing runs = keeping these)."""
-    x = seq_lag(df, [rec], _l(order), [value], suffix="_prev")
-    first = F.col(value + "_prev").isNull()
-    return x.withColumn("run_start", first | (F.col(value) != F.col(value + "_prev"))).drop(value + "_prev", B)
+    x = seq_lag(df.withColumn("_in", F.lit(True)), [rec], _l(order), [value, "_in"], suffix="_prev")
+    changed = F.col("_in_prev").isNull() | ~F.col(value).eqNullSafe(F.col(value + "_prev"))
+    return x.withColumn("run_start", changed).drop(value + "_prev", "_in", "_in_prev", B)
 
 
 # ------------------------------------------------------------ chunks
