@@ -1,29 +1,37 @@
 """Line-oriented corpus files (S1-S6, S14-S17, S19) read as DataFrames.
 
-Every reader is ``spark.read.text`` plus column expressions; the file line
-number (needed for "last line wins" and for line-indexed vocabularies) comes
-from ``zipWithIndex`` on the text RDD, which numbers lines in file order and
-is deterministic on recomputation.
+Every reader is ``spark.read.text`` plus column expressions.  The file line number (needed for
+"last line wins" and for line-indexed vocabularies) is made of the file's place in path order,
+the block a line was read from, and its place in that block; see ``read_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusvox.functions.text import WS_CLASS, WS_RUN, py_strip
 
 _SPLIT_ONCE = f"^{WS_CLASS}*(\\S+){WS_CLASS}+(.*?){WS_CLASS}*$"
 
 
-def read_lines(spark: SparkSession, path: str, with_index: bool = False) -> DataFrame:
-    """(line[, line_no]) -- line_no is the 0-based position over the files in path order."""
+def read_lines(spark: SparkSession, path: str | list[str], with_index: bool = False) -> DataFrame:
+    """(line[, line_no]) -- line_no is the 0-based position over the files in path order.
+
+    Spark packs files into tasks by size, so task order is not path order.  A read block (a
+    part of one file) is never divided among tasks, and ids rise along it; one row per block
+    (first id and line count, ordered by file and offset) gives each block its first line
+    number.  Lines themselves are neither shuffled nor sorted."""
     df = spark.read.text(path).withColumnRenamed("value", "line")
     if not with_index:
         return df
-    schema = T.StructType([T.StructField("line", T.StringType()), T.StructField("line_no", T.LongType())])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1])), schema)
+    placed = df.select("line", F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    blocks = placed.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)  # one row per read block
+    blocks = blocks.select("_file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(blocks), ["_file", "_at"]).select(
+        "line", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line_no"))
 
 
 def split_once(lines: DataFrame, key: str = "utt", value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -71,6 +79,20 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                     F.col("p")[2].cast("double").alias("st"), F.col("p")[3].cast("double").alias("et"))
 
 
+def segments_by_utt(segments: DataFrame) -> DataFrame:
+    """S4 by utterance: utt -> (rec, st, et); of a repeated utt the last start wins."""
+    return segments.groupBy("utt").agg(F.max_by(F.struct("rec", "st", "et"), F.struct("st", "et", "rec")).alias("s")) \
+        .select("utt", "s.rec", "s.st", "s.et")
+
+
+def segments_by_rec(segments: DataFrame) -> DataFrame:
+    """S4 by recording: rec -> its segments (utt, st, et) in order of start.  The row is the
+    recording's segment list, as the format has it; ``read_segments`` is the long form."""
+    return segments.groupBy("rec").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("st", "et", "utt"))),
+        lambda s: F.struct(s["utt"].alias("utt"), s["st"].alias("st"), s["et"].alias("et"))).alias("segments"))
+
+
 def read_reco2dur(spark: SparkSession, path: str) -> DataFrame:
     """Rec -> duration (seconds)."""
     good, _ = split_once(read_lines(spark, path), "rec", "dur")

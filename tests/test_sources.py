@@ -107,3 +107,49 @@ def test_base64_audio_and_feature_maps(spark):
     spark.createDataFrame([("u1", [0.5, 0.25])], "utt string, emb array<float>").write.parquet(f"{d}/utt2emb")
     back = spark.read.parquet(f"{d}/utt2emb").first()
     assert back["utt"] == "u1" and list(back["emb"]) == [0.5, 0.25]
+
+
+def test_line_numbers_follow_path_order_whatever_the_file_sizes(spark):
+    d = tempfile.mkdtemp(prefix="cv-src-", dir="/tmp")
+    sizes = {"part-00000": 3, "part-00001": 900, "part-00002": 0, "part-00003": 40, "part-00004": 300}
+    want = []
+    for name, n in sizes.items():
+        lines = [f"{name} line {i} " + "x" * (i % 50) for i in range(n)]
+        want += lines
+        _write(d, name, "".join(x + "\n" for x in lines))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for block in ("1000", "7000", "128m"):  # many read blocks a file, and many files a task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            got = {r["line_no"]: r["line"] for r in K.read_lines(spark, d, with_index=True).collect()}
+            assert [got[i] for i in range(len(want))] == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_last_line_wins_and_positions_pair_over_many_files(spark):
+    d = tempfile.mkdtemp(prefix="cv-src-", dir="/tmp")
+    os.makedirs(f"{d}/text"), os.makedirs(f"{d}/trials"), os.makedirs(f"{d}/scores")
+    _write(f"{d}/text", "a", "u1 first\n")
+    _write(f"{d}/text", "b", "".join(f"v{i} x\n" for i in range(500)) + "u1 middle\n")
+    _write(f"{d}/text", "c", "u1 last\n")
+    assert {r["value"] for r in K.read_keyed_text(spark, f"{d}/text").where("utt = 'u1'").collect()} == {"last"}
+    pairs = [(f"u{i}", i) for i in range(60)]
+    for part, rows in (("p0", pairs[:2]), ("p1", pairs[2:50]), ("p2", pairs[50:])):
+        _write(f"{d}/trials", part, "".join(f"{u} r target\n" for u, _ in rows))
+    for part, rows in (("p0", pairs[:40]), ("p1", pairs[40:])):
+        _write(f"{d}/scores", part, "".join(f"{u} r {s}\n" for u, s in rows))
+    j = K.read_trials(spark, f"{d}/trials").join(K.read_scores(spark, f"{d}/scores").drop("utt2").withColumnRenamed("utt1", "u"), "line_no")
+    assert {(r["utt1"], r["u"]) for r in j.collect()} == {(u, u) for u, _ in pairs}
+
+
+def test_segments_by_utt_and_by_recording(spark):
+    d = tempfile.mkdtemp(prefix="cv-src-", dir="/tmp")
+    p = _write(d, "segments", "u2 r1 3.5 4\nu1 r1 0 2.5\nbad line\nu3 r2 1 2\n")
+    seg = K.read_segments(spark, p)
+    assert {r["utt"]: (r["rec"], r["st"], r["et"]) for r in K.segments_by_utt(seg).collect()} == {
+        "u1": ("r1", 0.0, 2.5), "u2": ("r1", 3.5, 4.0), "u3": ("r2", 1.0, 2.0)}
+    assert {r["rec"]: [tuple(s) for s in r["segments"]] for r in K.segments_by_rec(seg).collect()} == {
+        "r1": [("u1", 0.0, 2.5), ("u2", 3.5, 4.0)], "r2": [("u3", 1.0, 2.0)]}
