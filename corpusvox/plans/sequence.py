@@ -2,18 +2,25 @@
 
 A window ``partitionBy(session).orderBy(t)`` puts a whole session in one task;
 if one session holds a third of the rows, one task does a third of the work.
-These helpers cut the lexicographic order of ``(keys..., order...)`` into
-range buckets (equal-width on the first order column, as many per key as its
-row count needs), run the window inside ``(keys, bucket)``, and repair
-the bucket edges with a small per-``(key, bucket)`` carry table:
+These helpers cut the order of ``(keys..., order...)`` into buckets, run the
+window inside ``(keys, bucket)``, and repair the bucket edges with a small
+per-``(key, bucket)`` carry table:
 
 * ``seq_lag`` / ``seq_lead`` -- previous / next row's values
 * ``seq_cumsum``             -- running sums (row numbers are running counts)
 * ``seq_ffill``              -- last non-NULL value so far
 
+Buckets begin at sampled rows: a hash of the key and the whole sort key picks
+``OVERSAMPLE`` rows a bucket, and every ``OVERSAMPLE``-th of a key's sorted
+picks is a bound.  So bounds are quantiles of the data itself: outliers, shared
+prefixes and ties in the first order columns do not fill a bucket, and there is
+no greatest number of buckets.  A NULL key is a key like any other, and NULL
+order values sort first.  Everything is lazy; nothing is read on the driver.
+
 The carry tables hold one row per (key, bucket), so their size is about
-``#keys + rows / rows_per_bucket`` and never the rows of a hot key.  The order passed in
-must be total (add a unique tie-break column) for results to be deterministic.
+``#keys + rows / rows_per_bucket`` and never the rows of a hot key.  They read
+the same shuffle as the rows they repair (see ``_edge_rows``).  The order passed
+in must be total (add a unique tie-break column) for results to be deterministic.
 """
 
 from __future__ import annotations
@@ -27,65 +34,52 @@ from pyspark.sql import types as T
 B = "_seq_b"
 ROWS_PER_BUCKET_CONF = "corpusvox.seq.rowsPerBucket"
 DEFAULT_ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 65536
+#: Picked rows for each bucket; more make the buckets more even.
+OVERSAMPLE = 32
 
 
 def _names(cols: Sequence[str] | str) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def order_projection(df: DataFrame, col: str) -> Column:
-    """A DOUBLE that never decreases when ``col`` increases (ties allowed).
+def _bounds_upto(bounds: Column, key: Column) -> Column:
+    """How many entries of a sorted array are at or below ``key``: a binary search, bit by bit."""
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda x: x <= F.size(bounds))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
+
 
-    Numbers and times map to their value; strings to their first 7 UTF-8 bytes
-    read as a big-endian number (byte order = Spark's string order)."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.BooleanType):
-        return c.cast("int").cast("double")
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        raw = F.encode(c, "UTF-8") if isinstance(dt, T.StringType) else c
-        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0"), 16, 10).cast("double")
-    raise TypeError(f"cannot bucket on {col}: {dt.simpleString()}")
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, a NULL being equal to a NULL; the right side's keys are dropped."""
+    names = {k: f"_seq_key{i}" for i, k in enumerate(keys)}
+    right = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    on = F.lit(True)
+    for k, n in names.items():
+        on = F.col(k).eqNullSafe(F.col(n)) & on if k != keys[0] else F.col(k).eqNullSafe(F.col(n))
+    return left.join(right, on, how).drop(*names.values())
 
 
 def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``_seq_b``: a bucket id that never decreases along ``order`` inside a key.
 
-    Per key, one aggregate gives (min, max, count) of the first order column
-    (lazy, joined back; for a global order the three numbers are read once on
-    the driver); a key gets ``ceil(count / rows_per_bucket)`` equal-width buckets
-    (at most MAX_BUCKETS), so small keys stay whole and a hot key is cut into
-    many.  Equal values of the first order column always share a bucket."""
+    Small keys have no bound and stay whole; a hot key is cut into about
+    ``count / rows_per_bucket`` buckets of even size.  The picked rows of a key (one in
+    ``rows_per_bucket / OVERSAMPLE``) are sorted in one array."""
     keys, order = _names(keys), _names(order)
     conf = df.sparkSession.conf.get(ROWS_PER_BUCKET_CONF, None)
     rpb = int(rows_per_bucket or conf or DEFAULT_ROWS_PER_BUCKET)
-    x = order_projection(df, order[0])
-    with_x = df.withColumn("_seq_x", x)
-    span = F.col("_seq_hi") - F.col("_seq_lo")
-    b = F.when(span > 0, F.least(F.col("_seq_nb") - 1,
-                                 F.floor((F.col("_seq_x") - F.col("_seq_lo")) / span * F.col("_seq_nb"))))
-    if not keys:
-        # a global order: three numbers (min, max, count) come to the driver
-        lo, hi, n = with_x.agg(F.min("_seq_x"), F.max("_seq_x"), F.count(F.lit(1))).first()
-        nb = max(1, min(MAX_BUCKETS, -(-int(n or 0) // rpb)))
-        j = with_x.withColumn("_seq_lo", F.lit(lo).cast("double")).withColumn("_seq_hi", F.lit(hi).cast("double")) \
-            .withColumn("_seq_nb", F.lit(nb).cast("long"))
+    one_in = max(1, rpb // OVERSAMPLE)
+    every = max(1, rpb // one_in)
+    place = F.struct(*[F.col(c) for c in order])
+    picked = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(one_in)) == 0).select(*keys, place.alias("_seq_at"))
+    bounds = F.filter(F.array_sort(F.collect_list("_seq_at")), lambda x, i: (i + 1) % every == 0)
+    if keys:
+        j = _null_safe_join(df, picked.groupBy(*keys).agg(bounds.alias("_seq_bounds")), keys)
     else:
-        stats = with_x.groupBy(*keys).agg(F.min("_seq_x").alias("_seq_lo"), F.max("_seq_x").alias("_seq_hi"),
-                                          F.count(F.lit(1)).alias("_seq_n"))
-        stats = stats.withColumn("_seq_nb", F.least(F.lit(MAX_BUCKETS),
-                                                    F.greatest(F.lit(1), F.ceil(F.col("_seq_n") / rpb))).cast("long"))
-        j = with_x.join(stats.drop("_seq_n"), keys)
-    return j.withColumn(B, F.coalesce(b, F.lit(0)).cast("long")) \
-        .drop("_seq_x", "_seq_lo", "_seq_hi", "_seq_nb")
+        j = df.withColumn("_seq_bounds", picked.agg(bounds.alias("_seq_bounds")).scalar())
+    b = F.coalesce(_bounds_upto(F.col("_seq_bounds"), place), F.lit(0)).cast("long")
+    return j.withColumn(B, b).drop("_seq_bounds")
 
 
 def _ensure(df: DataFrame, keys, order, rows_per_bucket=None) -> DataFrame:
@@ -112,6 +106,15 @@ def _full(keys, order):
     return _w(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+def _edge_rows(local: DataFrame, at: Column) -> DataFrame:
+    """The rows of ``local`` where ``at`` holds, asked for with all their columns.
+
+    The second condition is always true; it keeps the optimizer from pruning columns below the
+    window, so that this branch has the same shuffle as the main one and Spark reuses it."""
+    plain = [F.col(f.name) for f in local.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return local.where(at & (F.xxhash64(*plain) >= F.lit(-(1 << 63))))
+
+
 def seq_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str], prev: Sequence[str] = (),
                   next: Sequence[str] = (), prev_suffix: str = "_prev", next_suffix: str = "_next",
                   rows_per_bucket: int | None = None) -> DataFrame:
@@ -132,13 +135,13 @@ def seq_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str], prev
         sel.append(F.first(F.struct(*[F.col(c) for c in nxt])).over(full).alias("_seq_head"))
         sel.append(F.count(F.lit(1)).over(full).alias("_seq_nb_rows"))
     local = df.select("*", *sel)
-    ends = local.where(F.col("_seq_rn") == 1).select(*keys, B, *(["_seq_tail"] if prev else []),
-                                                  *(["_seq_head"] if nxt else []))
+    ends = _edge_rows(local, F.col("_seq_rn") == 1).select(*keys, B, *(["_seq_tail"] if prev else []),
+                                                           *(["_seq_head"] if nxt else []))
     wb = Window.partitionBy(*keys).orderBy(B)
     carry_cols = ([F.lag("_seq_tail").over(wb).alias("_seq_carry_p")] if prev else []) + \
                  ([F.lead("_seq_head").over(wb).alias("_seq_carry_n")] if nxt else [])
     carry = ends.select(*keys, B, *carry_cols)
-    out = local.drop(*[c for c in ("_seq_tail", "_seq_head") if c in local.columns]).join(carry, keys + [B], "left")
+    out = _null_safe_join(local.drop(*[c for c in ("_seq_tail", "_seq_head") if c in local.columns]), carry, keys + [B])
     for c in prev:
         out = out.withColumn(c + prev_suffix, F.when(F.col("_seq_rn") == 1, F.col("_seq_carry_p")[c])
                              .otherwise(F.col(c + prev_suffix)))
@@ -158,10 +161,10 @@ def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs:
     local = df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()],
                       *[F.sum(e).over(full).alias("_seq_tot_" + n) for n, e in exprs.items()],
                       F.row_number().over(_w(keys, order)).alias("_seq_rn"))
-    tot = local.where(F.col("_seq_rn") == 1).select(*keys, B, *["_seq_tot_" + n for n in exprs])
+    tot = _edge_rows(local, F.col("_seq_rn") == 1).select(*keys, B, *["_seq_tot_" + n for n in exprs])
     wb = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, B, *[F.sum("_seq_tot_" + n).over(wb).alias("_seq_off_" + n) for n in exprs])
-    out = local.drop("_seq_rn", *["_seq_tot_" + n for n in exprs]).join(off, keys + [B], "left")
+    out = _null_safe_join(local.drop("_seq_rn", *["_seq_tot_" + n for n in exprs]), off, keys + [B])
     for n in exprs:
         out = out.withColumn(n, F.col(n) + F.coalesce(F.col("_seq_off_" + n), F.lit(0)))
     return out.drop(*["_seq_off_" + n for n in exprs])
@@ -182,8 +185,8 @@ def seq_ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str
     local = df.select("*", F.last(col, ignorenulls=True).over(w).alias(out),
                       F.last(col, ignorenulls=True).over(_full(keys, order)).alias("_seq_btail"),
                       F.row_number().over(_w(keys, order)).alias("_seq_rn"))
-    tails = local.where(F.col("_seq_rn") == 1).select(*keys, B, "_seq_btail")
+    tails = _edge_rows(local, F.col("_seq_rn") == 1).select(*keys, B, "_seq_btail")
     wb = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select(*keys, B, F.last("_seq_btail", ignorenulls=True).over(wb).alias("_seq_carry"))
-    return (local.drop("_seq_btail", "_seq_rn").join(carry, keys + [B], "left")
+    return (_null_safe_join(local.drop("_seq_btail", "_seq_rn"), carry, keys + [B])
             .withColumn(out, F.coalesce(F.col(out), F.col("_seq_carry"))).drop("_seq_carry"))

@@ -51,3 +51,53 @@ def test_empty_and_single_row(spark):
     one = spark.createDataFrame([("a", 1.0, 5)], "key string, t double, v int")
     r = seq_neighbors(one, ["key"], ["t"], prev=["v"], next=["v"]).first()
     assert r["v_prev"] is None and r["v_next"] is None
+
+
+def test_a_null_key_is_a_key(spark):
+    rows = [(None, float(i), i) for i in range(20)] + [("a", float(i), 100 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, "key string, t double, id int")
+    out = seq_row_number(seq_lag(df, ["key"], ["t"], ["id"]), ["key"], ["t"]).collect()
+    assert sorted(r["rn"] for r in out if r["key"] is None) == list(range(1, 21))
+    assert all(r["id_prev"] == (r["id"] - 1 if r["rn"] > 1 else None) for r in out) and len(out) == 23
+
+
+def test_two_keys_of_which_one_is_null(spark):
+    df = spark.createDataFrame([(i % 2, None, i) for i in range(30)], "a int, b string, id int")
+    out = seq_ffill(seq_row_number(df, ["a", "b"], ["id"]), ["a", "b"], ["id"], "rn", "f").collect()
+    assert sorted((r["a"], r["rn"]) for r in out) == [(a, i) for a in (0, 1) for i in range(1, 16)]
+
+
+def _bucket_sizes(df, keys, order, rows_per_bucket):
+    from corpusvox.plans.sequence import range_buckets
+    b = range_buckets(df, keys, order, rows_per_bucket)
+    # buckets follow the order: no bucket begins before the one before it ends
+    return [r["count"] for r in b.groupBy(*keys, "_seq_b").count().collect()]
+
+
+def test_buckets_are_even_with_an_outlier_a_shared_prefix_and_ties(spark):
+    n, per = 20_000, 1000
+    ids = spark.range(n)
+    cases = {
+        "outlier": (ids.select(F.when(F.col("id") == 0, 1e15).otherwise(F.col("id").cast("double")).alias("x"), "id"), ["x", "id"]),
+        "prefix": (ids.select(F.format_string("speaker_%08d", "id").alias("x")), ["x"]),
+        "ties": (ids.select(F.lit(7).alias("x"), (F.col("id") % 3).alias("y"), "id"), ["x", "y", "id"]),
+        "nulls": (ids.select(F.lit(None).cast("string").alias("x"), "id"), ["x", "id"])}
+    for name, (df, order) in cases.items():
+        for keys in ([], ["k"]):
+            sizes = _bucket_sizes(df.withColumn("k", F.lit(1)), keys, order, per)
+            assert sum(sizes) == n and max(sizes) <= 2 * per and 14 <= len(sizes) <= 30, (name, keys, max(sizes))
+
+
+def test_more_than_65536_buckets(spark):
+    df = spark.range(70_000).select("id", F.lit("k").alias("k"))
+    from corpusvox.plans.sequence import range_buckets
+    top = range_buckets(df, ["k"], ["id"], 1).agg(F.max("_seq_b"), F.countDistinct("_seq_b")).first()
+    assert top[0] >= 69_999 and top[1] >= 69_999
+
+
+def test_a_chain_of_helpers_shuffles_its_rows_once_for_each_step(spark):
+    df = spark.range(0, 500, 1, 4).select((F.col("id") % 3).alias("k"), "id")
+    x = seq_row_number(seq_neighbors(df, ["k"], ["id"], prev=["id"]), ["k"], ["id"])
+    x.collect()
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan or "ReusedQueryStage" in plan or "Reused" in plan
