@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -45,14 +46,14 @@ def pipeline(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -
     return df
 
 
-_MODELS: dict[int, object] = {}
+_MODELS: dict[str, object] = {}
 
 
 def batch_inference(df: DataFrame, model_factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
                     schema: T.StructType | str, batch_size: int = 64) -> DataFrame:
     """``model_factory()`` builds a callable ``pdf -> pdf`` once per Python
     worker; rows stream through it in batches of ``batch_size``."""
-    token = id(model_factory)
+    token = uuid.uuid4().hex  # travels with the function; an id() could be used again by a later factory
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _MODELS.get(token)

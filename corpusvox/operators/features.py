@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusvox.functions.vectors import sq_distance
 
-MAX_CENTROIDS = 65536
-MAX_CENTROID_VALUES = 8_000_000  # k * dim doubles kept in the plan (64 MB)
+#: Centroid values that become one plan literal; a larger codebook takes several.
+BLOCK_VALUES = 1_000_000
 
 
 def explode_dims(df: DataFrame, keys, vec: str) -> DataFrame:
@@ -53,18 +53,21 @@ def nearest_centroid(df: DataFrame, vec: str, centroids: DataFrame, cid: str = "
                      cvec: str = "vec", out: str = "centroid") -> DataFrame:
     """Index of the closest centroid (Euclidean); lowest index wins a tie.
 
-    The centroid set is a codebook of bounded size: it is counted and checked
-    before being collected and embedded in the plan as a literal, so no cross
-    join with the data is needed and the data side never shuffles."""
-    n = centroids.count()
-    if n == 0:
+    The codebook is counted first and cut into blocks of BLOCK_VALUES values (in expectation);
+    each block is collected on its own and embedded as a literal, so the data side never
+    shuffles and is scanned once, and the best over the blocks wins."""
+    n, dim = centroids.agg(F.count(F.lit(1)), F.max(F.size(cvec))).first()
+    if not n:
         raise ValueError("no centroids")
-    rows = centroids.select(cid, cvec).orderBy(cid).collect()
-    dim = len(rows[0][cvec])
-    if n > MAX_CENTROIDS or n * dim > MAX_CENTROID_VALUES:
-        raise ValueError(f"codebook of {n} x {dim} exceeds the broadcast bound")
-    ids = F.array(*[F.lit(r[cid]) for r in rows])
-    cents = F.array(*[F.array(*[F.lit(float(v)) for v in r[cvec]]) for r in rows])
-    dists = F.transform(cents, lambda c: sq_distance(F.col(vec), c))
-    best = F.array_position(dists, F.array_min(dists))
-    return df.withColumn(out, F.element_at(ids, best.cast("int")))
+    n_blocks = -(-n * dim // BLOCK_VALUES)
+    best = []
+    for block in range(n_blocks):
+        part = centroids.where(F.pmod(F.xxhash64(cid), F.lit(n_blocks)) == block) if n_blocks > 1 else centroids
+        rows = part.select(cid, cvec).orderBy(cid).collect()
+        if rows:
+            cents = F.array(*[F.struct(F.lit(r[cid]).alias("id"), F.array(*[F.lit(float(v)) for v in r[cvec]]).alias("v"))
+                              for r in rows])
+            best.append(F.array_min(F.transform(cents, lambda c: F.struct(
+                sq_distance(F.col(vec), c["v"]).alias("d"), c["id"].alias("id")))))
+    nearest = F.least(*best) if len(best) > 1 else best[0]
+    return df.withColumn(out, nearest["id"])

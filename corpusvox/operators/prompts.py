@@ -78,15 +78,9 @@ def calibration_text(system, human, assistant) -> Column:
     """E1: 'system\\n{s}\\nhuman\\n{h}\\nassistant\\n{a}'; missing parts are empty;
     an array-valued assistant part renders as '[a, b, ...]'."""
     def part(x):
-        return F.coalesce(_c(x), F.lit(""))
-    a = _c(assistant)
+        return F.coalesce(_c(x).cast("string"), F.lit(""))  # an array casts to '[a, b, ...]'
     return F.concat(F.lit("system\n"), part(system), F.lit("\nhuman\n"), part(human),
-                    F.lit("\nassistant\n"), part(a))
-
-
-def list_text(arr) -> Column:
-    """E1 helper: render an id list as '[a, b, ...]'."""
-    return F.concat(F.lit("["), F.array_join(F.transform(_c(arr), lambda x: x.cast("string")), ", "), F.lit("]"))
+                    F.lit("\nassistant\n"), part(assistant))
 
 
 def session_roles(turns: DataFrame, session: str, step: str, role: str, text: str,

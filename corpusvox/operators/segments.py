@@ -442,13 +442,59 @@ def cif_fire(df: DataFrame, rec: str, order: Sequence[str], weight: str, thresho
 
 # ------------------------------------------------------------ speaker permutation
 
-def best_speaker_mapping(ref: DataFrame, sys: DataFrame, rec: str, spk: str, max_exact: int = 8) -> DataFrame:
+def best_assignment(gain) -> list[int]:
+    """For each row of a gain matrix the column it is paired with (-1: none), with the largest total.
+
+    Shortest augmenting paths with row and column prices; cubic in the number of rows."""
+    import numpy as np
+
+    n, m = gain.shape
+    if n > m:
+        back = best_assignment(gain.T)
+        out = [-1] * n
+        for j, i in enumerate(back):
+            if i >= 0:
+                out[i] = j
+        return out
+    cost = -gain.astype(float)
+    row_price, col_price = np.zeros(n), np.zeros(m)
+    owner = np.full(m, -1)
+    for new in range(n):
+        dist, via = np.full(m, np.inf), np.full(m, -1)
+        done = np.zeros(m, bool)
+        row, col, base = new, -1, 0.0
+        while True:
+            step = base + cost[row] - row_price[row] - col_price
+            better = ~done & (step < dist)
+            dist[better], via[better] = step[better], col
+            col = int(np.argmin(np.where(done, np.inf, dist)))
+            base = dist[col]
+            done[col] = True
+            if owner[col] < 0:
+                break
+            row = owner[col]
+        row_price[new] += base
+        for j in np.flatnonzero(done):
+            if j != col:
+                row_price[owner[j]] += base - dist[j]
+            col_price[j] -= base - dist[j]
+        while col >= 0:
+            before = via[col]
+            owner[col] = new if before < 0 else owner[before]
+            col = before
+    out = [-1] * n
+    for j, i in enumerate(owner):
+        if i >= 0:
+            out[i] = j
+    return out
+
+
+def best_speaker_mapping(ref: DataFrame, sys: DataFrame, rec: str, spk: str) -> DataFrame:
     """Per recording, the one-to-one map of system speakers to reference
     speakers with the largest total overlap (frames active in both).  The
     confusion table has one row per (ref, sys) speaker pair; each recording's
-    table is small and solved exactly over permutations (greedy beyond
-    ``max_exact`` speakers).  Unmatched system speakers keep a NULL target."""
-    from itertools import permutations
+    table is solved exactly, whatever its number of speakers.  Unmatched system
+    speakers keep a NULL target."""
     from typing import Any
 
     import numpy as np
@@ -464,34 +510,13 @@ def best_speaker_mapping(ref: DataFrame, sys: DataFrame, rec: str, spk: str, max
 
     def solve(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         s_ids = sorted(pdf["s"].unique())
-        r_ids = sorted(x for x in pdf["r"].dropna().unique())
-        m = np.zeros((len(s_ids), max(len(r_ids), 1)))
-        for s, r, n in pdf.dropna(subset=["r"])[["s", "r", "n"]].itertuples(index=False):
-            m[s_ids.index(s), r_ids.index(r)] += n
-        best, assign = -1.0, {}
-        if max(len(s_ids), len(r_ids)) <= max_exact and r_ids:
-            ns, nr = len(s_ids), len(r_ids)
-            if ns <= nr:
-                for rr in permutations(range(nr), ns):
-                    tot = sum(m[a, b] for a, b in enumerate(rr))
-                    if tot > best:
-                        best, assign = tot, dict(enumerate(rr))
-            else:
-                for ss in permutations(range(ns), nr):
-                    tot = sum(m[a, b] for b, a in enumerate(ss))
-                    if tot > best:
-                        best, assign = tot, {a: b for b, a in enumerate(ss)}
-        else:
-            used_s, used_r = set(), set()
-            for flat in np.argsort(-m, axis=None):
-                a, b = divmod(int(flat), m.shape[1])
-                if a not in used_s and b not in used_r and m[a, b] > 0:
-                    assign[a] = b
-                    used_s.add(a)
-                    used_r.add(b)
-        return pd.DataFrame({rec: key[0], "sys_spk": s_ids,
-                             "ref_spk": [r_ids[assign[i]] if i in assign and m[i, assign[i]] > 0 else None
-                                         for i in range(len(s_ids))]})
+        r_ids = sorted(pdf["r"].dropna().unique())
+        m = np.zeros((len(s_ids), len(r_ids)))
+        both = pdf.dropna(subset=["r"])
+        np.add.at(m, (np.searchsorted(s_ids, both["s"]), np.searchsorted(r_ids, both["r"])), both["n"])
+        pair = best_assignment(m) if r_ids else [-1] * len(s_ids)
+        return pd.DataFrame({rec: key[0], "sys_spk": s_ids, "ref_spk": [
+            r_ids[j] if j >= 0 and m[i, j] > 0 else None for i, j in enumerate(pair)]})
 
     return conf.groupBy(rec).applyInPandas(
         solve, T.StructType([T.StructField(rec, conf.schema[rec].dataType),

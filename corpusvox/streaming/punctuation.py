@@ -1,12 +1,15 @@
 """Punctuation carry over a word stream (W15, ST5) -- batch twin and streaming.
 
-Words arrive with punctuation ids (2 = comma, 3/4 = sentence end) in
-mini-batches of ``chunk`` words.  Each mini-batch is prefixed with the words
-carried from before; everything up to the last sentence end is emitted and
-the rest is carried.  A carry longer than ``max_carry`` words is cut after
-its last comma (or emitted whole without one).  The final word flushes the
-carry.  The same ``PunctCarry`` fold runs per session in a grouped map
-(time-ordered Arrow batches) and in ``applyInPandasWithState``.
+Words arrive with punctuation ids (2 = comma, 3/4 = sentence end) in mini-batches of
+``chunk`` words, each prefixed with the words carried from before.  When a further
+mini-batch follows, the words up to the last sentence end are emitted and the rest is
+carried; the first two and the last word of a mini-batch are not looked at, for their marks
+may still change.  A carry of more than ``max_carry`` words without a sentence end is cut
+after its last comma, which becomes a sentence end; without a comma all of it is carried on.
+The last mini-batch is emitted whole, without its final mark (the next text decides that).
+Words that meet with single-byte characters are parted by a space, also across emissions.
+The same ``PunctCarry`` fold runs per session in a grouped map (time-ordered Arrow batches)
+and in ``applyInPandasWithState``.
 """
 
 from __future__ import annotations
@@ -23,53 +26,63 @@ OUT = T.StructType([T.StructField("session", T.LongType()), T.StructField("seq",
                     T.StructField("n_words", T.LongType()), T.StructField("text", T.StringType())])
 STATE = T.StructType([T.StructField("words", T.ArrayType(T.StringType())),
                       T.StructField("puncs", T.ArrayType(T.IntegerType())),
-                      T.StructField("pending", T.LongType()), T.StructField("seq", T.LongType())])
+                      T.StructField("pending", T.LongType()), T.StructField("seq", T.LongType()),
+                      T.StructField("before", T.StringType())])
 # The marks written after a word by punctuation id (2, 3, 4, 5).
 MARKS = {2: "，", 3: "。", 4: "？", 5: "、"}
 
 
+SENTENCE_ENDS = (3, 4)
+COMMA, PERIOD = 2, 3
+
+
 class PunctCarry:
     def __init__(self, chunk: int = 20, max_carry: int = 200, state: tuple | None = None):
         self.chunk, self.max_carry = chunk, max_carry
-        if state is None:
-            self.words, self.puncs, self.pending, self.seq = [], [], 0, 0
-        else:
-            w, p, self.pending, self.seq = state
-            self.words, self.puncs = list(w), list(p)
+        words, puncs, self.pending, self.seq, self.before = state or ([], [], 0, 0, "")
+        self.words, self.puncs = list(words), list(puncs)
 
     def state(self) -> tuple:
-        return (self.words, self.puncs, self.pending, self.seq)
+        return (self.words, self.puncs, self.pending, self.seq, self.before)
 
-    def _emit(self, k: int, out: list):
+    def _emit(self, k: int, out: list, last: bool = False) -> None:
+        """Write out the first k words; ``before`` is the last character written by an earlier word."""
         if k <= 0:
             return
-        text = "".join(w + MARKS.get(p, "") for w, p in zip(self.words[:k], self.puncs[:k]))
-        out.append((self.seq, k, text))
+        text = []
+        for w, p in zip(self.words[:k], self.puncs[:k], strict=True):
+            apart = w[:1].isascii() and w and self.before.isascii() and self.before
+            text.append((" " if apart else "") + w + MARKS.get(p, ""))
+            self.before = w[-1:]
+        if last and self.puncs[k - 1] in MARKS:
+            text[-1] = text[-1][:-1]
+        out.append((self.seq, k, "".join(text)))
         self.seq += 1
         self.words, self.puncs = self.words[k:], self.puncs[k:]
 
-    def _close_batch(self, out: list):
-        ends = [i for i, p in enumerate(self.puncs) if p in (3, 4)]
-        if ends:
-            self._emit(ends[-1] + 1, out)
-        if len(self.words) > self.max_carry:
-            commas = [i for i, p in enumerate(self.puncs) if p == 2]
-            self._emit(commas[-1] + 1 if commas else len(self.words), out)
+    def _cut(self, out: list) -> None:
+        settled = range(2, len(self.words) - 1)
+        at = max((i for i in settled if self.puncs[i] in SENTENCE_ENDS), default=-1)
+        if at < 0 and len(self.words) > self.max_carry:
+            at = max((i for i in settled if self.puncs[i] == COMMA), default=-1)
+            if at >= 0:
+                self.puncs[at] = PERIOD
+        self._emit(at + 1, out)
         self.pending = 0
 
     def push(self, words, puncs) -> list:
         out: list = []
-        for w, p in zip(words, puncs):
+        for w, p in zip(words, puncs, strict=True):
+            if self.pending == self.chunk:  # a full mini-batch, and another one begins
+                self._cut(out)
             self.words.append(str(w))
             self.puncs.append(int(p))
             self.pending += 1
-            if self.pending == self.chunk:
-                self._close_batch(out)
         return out
 
     def finish(self) -> list:
         out: list = []
-        self._emit(len(self.words), out)
+        self._emit(len(self.words), out, last=True)
         return out
 
 

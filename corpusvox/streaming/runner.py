@@ -31,11 +31,12 @@ def write_slices(df: DataFrame, time_col: str, path: str, n_slices: int = 4) ->
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
     lo, hi = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     if lo is None:
-        df.limit(0).write.mode("append").parquet(path)
+        df.coalesce(1).write.mode("append").parquet(path)
         return
     width = (hi - lo) // n_slices + 1
     for i in range(n_slices):
-        part = df.where((t >= lo + i * width) & (t < lo + (i + 1) * width))
+        inside = (t >= lo + i * width) & (t < lo + (i + 1) * width)
+        part = df.where(inside | t.isNull() if i == 0 else inside)  # without a time: before all others
         part.coalesce(1).write.mode("append").parquet(path)
 
 

@@ -111,3 +111,54 @@ def test_profile_merge(spark):
     assert all(sum(abs(x) for x in v) == 0 for v in away["v"]) and (away["label_to"] != away["spk"]).all()
     into = m[m["merged_into"]]
     assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in into["v"])
+
+
+def test_best_assignment_is_exact_for_any_shape():
+    from itertools import permutations
+
+    import numpy as np
+
+    from corpusvox.operators.segments import best_assignment
+    rng = np.random.default_rng(4)
+    for n, m in [(1, 1), (1, 4), (3, 3), (4, 2), (2, 5), (6, 6), (5, 7)] * 6:
+        g = rng.integers(0, 9, (n, m)).astype(float)
+        wide = g if n <= m else g.T
+        best = max(sum(wide[i, j] for i, j in enumerate(p)) for p in permutations(range(wide.shape[1]), wide.shape[0]))
+        pair = best_assignment(g)
+        used = [j for j in pair if j >= 0]
+        assert len(used) == len(set(used)) == min(n, m)
+        assert sum(g[i, j] for i, j in enumerate(pair) if j >= 0) == best
+
+
+def test_speaker_mapping_of_twelve_speakers_is_exact(spark):
+    from corpusvox.operators import segments as G
+    # greedy would pair s0 with r1 (9) and leave s1 with nothing shared; the best total pairs s0-r0 and s1-r1
+    ref, sys, frame = [], [], 0
+    for s, r, n in [("s00", "r00", 8), ("s00", "r01", 9), ("s01", "r01", 8)] + [(f"s{i:02}", f"r{i:02}", 3) for i in range(2, 12)]:
+        for _ in range(n):
+            ref.append((1, frame, r))
+            sys.append((1, frame, s))
+            frame += 1
+    schema = "rec int, frame int, spk string"
+    got = {r["sys_spk"]: r["ref_spk"] for r in G.best_speaker_mapping(
+        spark.createDataFrame(ref, schema), spark.createDataFrame(sys, schema), "rec", "spk").collect()}
+    assert got == {f"s{i:02}": f"r{i:02}" for i in range(12)}
+
+
+def test_nearest_centroid_in_one_block_and_in_many(spark, monkeypatch):
+    from corpusvox.operators import features as Fe
+    cents = spark.createDataFrame([(i, [float(i % 5), float(i // 5)]) for i in range(20)] + [(99, [0.0, 0.0])],
+                                  "cid int, vec array<double>")
+    x = spark.createDataFrame([(k, [k * 0.37 % 5, k * 0.61 % 4]) for k in range(40)] + [(100, [0.0, 0.0])],
+                              "k int, v array<double>")
+    want = {r["k"]: r["centroid"] for r in Fe.nearest_centroid(x, "v", cents).collect()}
+    assert want[100] == 0  # the lower id of two equal centroids
+    monkeypatch.setattr(Fe, "BLOCK_VALUES", 6)
+    assert {r["k"]: r["centroid"] for r in Fe.nearest_centroid(x, "v", cents).collect()} == want
+
+
+def test_calibration_text_takes_a_list_for_the_assistant(spark):
+    from corpusvox.operators import prompts as P
+    df = spark.createDataFrame([("s", None, [1, 2, 3]), (None, "h", None)], "s string, h string, a array<int>")
+    assert [r[0] for r in df.select(P.calibration_text("s", "h", "a")).collect()] == [
+        "system\ns\nhuman\n\nassistant\n[1, 2, 3]", "system\n\nhuman\nh\nassistant\n"]

@@ -68,14 +68,37 @@ def test_punctuation_carry_stream_equals_batch(spark):
     assert b == _rows(q["punctuation_carry_stream"](spark, SF)) and len(b) > 0
 
 
-def test_punct_carry_rules():
+def test_punct_carry_by_hand():
     from corpusvox.streaming.punctuation import PunctCarry
     f = PunctCarry(chunk=4, max_carry=5)
-    out = f.push(["a", "b", "c", "d"], [1, 3, 1, 1])          # sentence ends after 'b'
-    assert out == [(0, 2, "ab。")] and f.words == ["c", "d"]
-    out = f.push(["e", "f", "g", "h"], [2, 1, 1, 1])          # carry of 6 > 5: cut after the comma
-    assert out == [(1, 3, "cde，")]
-    assert f.finish() == [(2, 3, "fgh")]
+    assert f.push("ab cd ef gh".split(), [3, 3, 3, 1]) == []    # nothing is cut before a further word comes
+    out = f.push(["ij", "kl", "mn", "op"], [3, 1, 2, 1])
+    assert out == [(0, 3, "ab。 cd。 ef。")]                     # the third word; the first two and the last are not looked at
+    assert f.words == ["gh", "ij", "kl", "mn", "op"]
+    out = f.push(["qr", "st", "uv", "wx"], [1, 1, 1, 1])        # five carried words are not over the limit
+    assert out == [] and len(f.words) == 9
+    out = f.push(["yz"], [4])                                   # nine are: cut after the comma, which becomes a period
+    assert out == [(1, 4, " gh ij。 kl mn。")]
+    assert f.words == ["op", "qr", "st", "uv", "wx", "yz"]
+    assert f.finish() == [(2, 6, " op qr st uv wx yz")]         # the final mark is withheld
+
+
+def test_punct_carry_without_a_comma_carries_all_on_and_parts_single_byte_words_only():
+    from corpusvox.streaming.punctuation import PunctCarry
+    f = PunctCarry(chunk=3, max_carry=4)
+    assert f.push(["你", "好", "ok", "好", "a1", "b", "你", "c"], [1] * 8) == []
+    assert f.finish() == [(0, 8, "你好ok好a1 b你c")]
+
+
+def test_rows_without_a_time_are_replayed_first(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusvox.streaming.runner import write_slices
+    df = spark.createDataFrame([(1, 10), (2, None), (3, 500)], "id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    write_slices(df, "ts", str(tmp_path / "a"))
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {1, 2, 3}
+    write_slices(df.where("s IS NULL"), "ts", str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 1
 
 
 def test_noise_floor_recurrence():
