@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusvox.operators import scoring as S
 from corpusvox.plans.q_text import VOCAB_SQL, vocabulary
 from corpusvox.plans.registry import T, register
-from corpusvox.session import ensure_checkpoint_dir
+from corpusvox.session import cut_lineage, ensure_checkpoint_dir
 from corpusvox.sources import kaldi as K
 from corpusvox.sources import manifest as Mf
 from corpusvox.sources import sinks as Sk
@@ -71,17 +71,21 @@ def q_manifest_jsonl(spark, sf):
 
 
 @register("parquet_shard_roundtrip", """
-SELECT count(*) AS n_rows, sum(l_quantity) AS sum_qty, 0::BIGINT AS oversized_shards FROM lineitem""")
+WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity,
+                  (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity) - 1) // 1000 AS shard FROM lineitem)
+SELECT shard, count(*) AS n_rows, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key,
+       sum(l_quantity) AS sum_qty, 0::BIGINT AS n_rejects FROM r GROUP BY shard""")
 def q_shard_roundtrip(spark, sf):
-    """K2 -> S11: key-ordered shards of <= 1000 rows, a data.list, read back from the list."""
+    """K2 -> S11: key-ordered shards of exactly 1000 rows, a data.list, read back from the list."""
     root = _dir(spark, "shards")
     li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    paths = Sk.write_shards(li, "l_orderkey", f"{root}/data", 1000)
-    Sk.write_list(spark, paths, f"{root}/data.list")
-    back = Mf.read_parquet_list(spark, f"{root}/data.list")
-    per = back.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-    return per.agg(F.sum("n").cast("long").alias("n_rows"), F.sum("q").alias("sum_qty"),
-                   F.count(F.when(F.col("n") > 1000, 1)).cast("long").alias("oversized_shards"))
+    shards = cut_lineage(Sk.write_shards(li, "l_orderkey", f"{root}/data", 1000, ["l_linenumber", "l_quantity"]))
+    Sk.write_list(shards, f"{root}/data.list")
+    back, rejects = Mf.read_parquet_list(spark, f"{root}/data.list")
+    per = back.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("sum_qty"))
+    return per.join(shards, "path").select("shard", "n_rows", "first_key", "last_key", "sum_qty",
+                                           F.lit(rejects.count()).cast("long").alias("n_rejects"))
 
 
 @register("vocabulary_roundtrip", "WITH " + VOCAB_SQL + " SELECT id, token FROM vocab")

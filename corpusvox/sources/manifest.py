@@ -69,11 +69,30 @@ def read_inputs(spark: SparkSession, path: str, data_type: str = "source") -> Da
     return j.select(F.coalesce("key", gen).alias("key"), "data", "line_no")
 
 
-def read_parquet_list(spark: SparkSession, list_path: str) -> DataFrame:
-    """A text file names Parquet files; unreadable or missing files are skipped."""
-    paths = [r["line"].strip() for r in read_lines(spark, list_path).collect() if r["line"].strip()]
-    return (spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-            .option("pathGlobFilter", "*").parquet(*paths))
+def _bare(path: Column) -> Column:
+    """A path without its scheme, for comparison."""
+    return F.regexp_replace(F.trim(path), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+
+
+def read_parquet_list(spark: SparkSession, list_path: str, schema: T.StructType | str | None = None
+                      ) -> tuple[DataFrame, DataFrame]:
+    """A text file names Parquet files; unreadable or missing ones are skipped.
+
+    Returns (rows, rejects): rejects lists the named files that gave no row.  Only the distinct
+    folders of the list come to the driver; the files are matched by a join on their path."""
+    listed = read_lines(spark, list_path).where(F.trim("line") != "").select(
+        F.col("line").alias("path"), _bare(F.col("line")).alias("_bare")).distinct()
+    folder = F.regexp_replace(F.trim("path"), "/[^/]*$", "")
+    folders = [r[1] for r in listed.groupBy(_bare(folder)).agg(F.max(folder)).collect()]
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    # without a schema all footers are read for it, as any single file may be a broken one
+    reader = reader.schema(schema) if schema else reader.option("mergeSchema", "true")
+    files = (reader.parquet(*folders).withColumn("_path", _bare(F.col("_metadata.file_path"))))
+    named = listed.select("_bare")
+    rows = files.join(named, F.col("_path") == F.col("_bare"), "left_semi").drop("_path")
+    seen = files.select("_path").distinct()
+    rejects = listed.join(seen, F.col("_bare") == F.col("_path"), "left_anti").select("path")
+    return rows, rejects
 
 
 def read_by_extension(spark: SparkSession, path: str) -> DataFrame:

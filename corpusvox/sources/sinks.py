@@ -3,12 +3,14 @@ inside files comes from a range-partitioned sort, not from the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusvox.functions.text import WS_RUN, py_strip
+from corpusvox.plans.sequence import B as BUCKET
+from corpusvox.plans.sequence import seq_row_number
 
 
 def _one_line(c) -> F.Column:
@@ -38,20 +40,33 @@ def write_kaldi_dir(utts: DataFrame, path: str, wav: str = "wav", text: str = "t
     write_keyed_text(s2u, spk, "utts", f"{path}/spk2utt")
 
 
-def write_shards(df: DataFrame, key: str, path: str, rows_per_shard: int = 1000) -> list[str]:
-    """K2: Parquet shards of at most N rows in key order (range partitioned, snappy);
-    returns the non-empty shard paths in order (the data.list)."""
-    spark = df.sparkSession
-    n = max(1, -(-df.count() // rows_per_shard))
-    (df.repartitionByRange(n, key).sortWithinPartitions(key).write.mode("overwrite")
-     .option("maxRecordsPerFile", rows_per_shard).option("compression", "snappy").parquet(path))
-    files = spark.read.parquet(path).select(F.input_file_name().alias("f"), F.col(key)) \
-        .groupBy("f").agg(F.min(key).alias("k")).orderBy("k").collect()
-    return [r["f"] for r in files]
-
+def write_shards(df: DataFrame, key: str, path: str, rows_per_shard: int = 1000,
+                 ties: Sequence[str] = ()) -> DataFrame:
+    """K2: Parquet shards of exactly ``rows_per_shard`` rows in the order of (key, ties), the last
+    one with the remainder; returns the shard list (shard, path, rows, first_key, last_key).
 
-def write_list(spark, paths: list[str], path: str) -> None:
-    spark.createDataFrame([(p,) for p in paths], "value string").coalesce(1).write.mode("overwrite").text(path)
+    One sorted numbering gives each row its shard.  A task gets whole shards in order, so the
+    writer's row limit cuts its files at the shards' bounds; no path goes through the driver."""
+    spark = df.sparkSession
+    order = [key, *ties]
+    rows = seq_row_number(df, [], order, "_rn").drop(BUCKET)
+    rows = rows.withColumn("_shard", F.floor((F.col("_rn") - 1) / rows_per_shard))
+    n = spark.sparkContext.defaultParallelism
+    (rows.repartitionByRange(n, "_shard").sortWithinPartitions("_rn").drop("_rn", "_shard")
+     .write.mode("overwrite").option("maxRecordsPerFile", rows_per_shard).option("compression", "snappy").parquet(path))
+    least = F.struct(*[F.col(c) for c in order])
+    files = (spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path"), *order)
+             .groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.min(least).alias("_first"), F.max(least).alias("_last")))
+    listed = seq_row_number(files, [], ["_first", "path"], "_n").drop(BUCKET)
+    return listed.select((F.col("_n") - 1).alias("shard"), "path", "rows", F.col("_first")[key].alias("first_key"),
+                         F.col("_last")[key].alias("last_key"))
+
+
+def write_list(shards: DataFrame, path: str) -> None:
+    """The data.list: one shard path per line, in shard order over the files of ``path``."""
+    n = shards.sparkSession.sparkContext.defaultParallelism
+    shards.select(F.col("path").alias("value"), "shard").repartitionByRange(n, "shard").sortWithinPartitions("shard") \
+        .select("value").write.mode("overwrite").text(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -153,3 +153,20 @@ def test_segments_by_utt_and_by_recording(spark):
         "u1": ("r1", 0.0, 2.5), "u2": ("r1", 3.5, 4.0), "u3": ("r2", 1.0, 2.0)}
     assert {r["rec"]: [tuple(s) for s in r["segments"]] for r in K.segments_by_rec(seg).collect()} == {
         "r1": [("u1", 0.0, 2.5), ("u2", 3.5, 4.0)], "r2": [("u3", 1.0, 2.0)]}
+
+
+def test_shards_are_exact_and_the_list_reports_what_it_cannot_read(spark):
+    from corpusvox.sources import sinks as Sk
+    d = tempfile.mkdtemp(prefix="cv-src-", dir="/tmp")
+    df = spark.range(0, 5500, 1, 7).select((F.col("id") * 37 % 5500).alias("k"), F.lit("x").alias("v"))
+    shards = Sk.write_shards(df, "k", f"{d}/data", 1000).orderBy("shard").collect()
+    assert [(s["shard"], s["rows"], s["first_key"], s["last_key"]) for s in shards] == [
+        (i, 1000 if i < 5 else 500, 1000 * i, min(1000 * i + 999, 5499)) for i in range(6)]
+    Sk.write_list(spark.createDataFrame(shards), f"{d}/list")
+    with open(f"{d}/data/broken.parquet", "w") as f:
+        f.write("not parquet")
+    extra = [(6, f"{d}/data/broken.parquet"), (7, f"{d}/data/missing.parquet")]
+    Sk.write_list(spark.createDataFrame(extra, "shard long, path string"), f"{d}/more")
+    rows, rejects = Mf.read_parquet_list(spark, f"{d}/{{list,more}}")
+    assert rows.count() == 5500 and rows.columns == ["k", "v"]
+    assert {os.path.basename(r["path"]) for r in rejects.collect()} == {"broken.parquet", "missing.parquet"}
