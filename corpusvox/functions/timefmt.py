@@ -20,8 +20,3 @@ def format_timestamp(ms: Column, always_include_hours: bool = False, decimal_mar
     if always_include_hours:
         return F.concat(hours, body)
     return F.when(h > 0, F.concat(hours, body)).otherwise(body)
-
-
-def seconds_to_ms(seconds: Column) -> Column:
-    """Round seconds to integer milliseconds (half to even, like Python's round)."""
-    return F.bround(seconds * 1000.0, 0).cast("long")

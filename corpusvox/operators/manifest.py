@@ -148,7 +148,7 @@ def shape_table(df: DataFrame, kind: str = "sound", key: str = "utt", samples: s
     text: words if the text has a space, else characters.  A bound applies only
     when configured and > 0."""
     if kind == "sound":
-        length = F.ceil(F.col(samples) * 1000.0 / (sample_rate * frame_shift_ms * lfr_n)).cast("long")
+        length = frame_count(F.col(samples), sample_rate, frame_shift_ms, lfr_n)
     else:
         length = text_length(F.col(text))
     out = df.select(key, length.alias("length"))
@@ -168,3 +168,32 @@ def text_length(text: Column) -> Column:
 def audio_index_length(samples: Column, sample_rate: int = 16000) -> Column:
     """index length of an audio source counts whole seconds only (x100)."""
     return (F.floor(samples / sample_rate) * 100).cast("long")
+
+
+# ------------------------------------------------------------ row rules
+
+def keep_sample_rates(df: DataFrame, rate: str, target: int, least: int = 16000) -> DataFrame:
+    """Keep rows whose rate is ``target`` already or at least ``least`` (a NULL rate is dropped)."""
+    return df.where((F.col(rate) == target) | (F.col(rate) >= least))
+
+
+def drop_long(df: DataFrame, length: str, most: int = 5000) -> DataFrame:
+    """Drop rows longer than ``most`` before they are batched (a NULL length is kept)."""
+    return df.where(F.coalesce(F.col(length) <= most, F.lit(True)))
+
+
+def align_frames(df: DataFrame, frames: str, tokens: str, ratio: int) -> DataFrame:
+    """With n = min(frames // ratio, tokens), keep the first ``ratio * n`` frames and n tokens."""
+    n = F.least(F.floor(F.size(frames) / ratio), F.size(tokens)).cast("int")
+    return df.withColumns({frames: F.slice(frames, F.lit(1), n * ratio), tokens: F.slice(tokens, F.lit(1), n)})
+
+
+def token_rate_ok(n_tokens: Column, samples: Column, sample_rate: int = 16000, per_second: int = 25,
+                  slack: int = 2) -> Column:
+    """Whether the token count is within ``slack`` of what the duration (to 2 decimals) calls for."""
+    return F.abs(n_tokens - per_second * F.round(samples / float(sample_rate), 2)) <= slack
+
+
+def frame_count(samples: Column, sample_rate: int = 16000, frame_shift_ms: float = 10, lfr_n: int = 1) -> Column:
+    """K5: frames of an audio of so many samples, the last one started."""
+    return F.ceil(samples * 1000.0 / (sample_rate * frame_shift_ms * lfr_n)).cast("long")

@@ -132,12 +132,11 @@ def masked_accuracy(df: DataFrame, pred: str, target: str, ignore=-1) -> DataFra
         .withColumn("accuracy", F.try_divide(F.col("correct").cast("double"), F.col("total")))
 
 
-def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
-    """sum(v*n)/sum(n) (token-weighted loss, running meters)."""
-    return df.agg(F.sum(F.col(value) * F.col(weight)).alias("sum_vn"), F.sum(weight).alias("sum_n")) \
-        .withColumn("mean", F.try_divide(F.col("sum_vn"), F.col("sum_n")))
+def weighted_mean(value: str, weight: str) -> Column:
+    """A18/A26 aggregate: sum(v*n)/sum(n) (token-weighted loss, running meters); NULL over no weight."""
+    return F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight))
 
 
-def ratio_of_sums(df: DataFrame, num: str, den: str, name: str = "ratio") -> DataFrame:
-    """E.g. real-time factor = sum(compute seconds) / sum(speech seconds)."""
-    return df.agg(F.try_divide(F.sum(num), F.sum(den)).alias(name))
+def ratio_of_sums(num: Column, den: Column) -> Column:
+    """A17 aggregate: e.g. real-time factor = sum(compute seconds) / sum(speech seconds)."""
+    return F.try_divide(F.sum(num), F.sum(den))

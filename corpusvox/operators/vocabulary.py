@@ -104,18 +104,6 @@ def vocabulary_from_counts(counts: DataFrame, cutoff: int = 0, vocabulary_size:
     return words.unionByName(syms)
 
 
-def oov_rate(long: DataFrame, vocab: DataFrame,
-             add_symbols: Sequence[str] = ("<blank>", "<unk>")) -> DataFrame:
-    """(total, in_vocab, oov_rate %) ; the added symbols are not counted."""
-    toks = long.where(~F.col("token").isin(*add_symbols)) if add_symbols else long
-    per_tok = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    joined = per_tok.join(vocab.where(F.col("cnt").isNotNull()).select("token").withColumn("iv", F.lit(1)),
-                          "token", "left")
-    return joined.agg(F.sum("n").alias("total"),
-                      F.sum(F.when(F.col("iv") == 1, F.col("n")).otherwise(0)).alias("in_vocab")) \
-        .withColumn("oov_rate", F.try_divide((F.col("total") - F.col("in_vocab")) * 100.0, F.col("total")))
-
-
 def oov_from_counts(counts: DataFrame, vocab: DataFrame,
                     add_symbols: Sequence[str] = ("<blank>", "<unk>")) -> DataFrame:
     """A6 from a ``token_counts`` table: (total, in_vocab, oov_rate %)."""
@@ -146,39 +134,6 @@ def tokens_to_ids(long: DataFrame, key: str, vocab: DataFrame, unk: str = "<unk>
                       F.coalesce("id", F.lit(int(row["id"]))).alias("id"))
 
 
-def token_id_lookup(vocab: DataFrame, unk: str = "<unk>"):
-    """Collect a bounded vocabulary as (map column, unk id) for row-local lookups
-    on small vocabularies.  A map lookup scans the keys, so for large
-    vocabularies or token volumes prefer ``tokens_to_ids`` (broadcast hash join)."""
-    n = vocab.count()
-    if n > MAX_LOOKUP_ENTRIES:
-        raise ValueError(f"vocabulary of {n} entries is above the lookup bound; use tokens_to_ids")
-    rows = vocab.select("token", "id", "cnt").collect()
-    unk_ids = [r["id"] for r in rows if r["token"] == unk]
-    if not unk_ids:
-        raise ValueError(f"{unk!r} is not in the vocabulary")
-    words = [r for r in rows if r["cnt"] is not None or r["token"] != unk]
-    m = F.map_from_arrays(F.array(*[F.lit(r["token"]) for r in words]),
-                          F.array(*[F.lit(int(r["id"])) for r in words]))
-    return m, int(unk_ids[0])
-
-
-def ids_of(tokens: Column, lookup: Column, unk_id: int) -> Column:
-    """J12 per row: token array -> id array, unknown tokens -> unk id."""
-    return F.transform(tokens, lambda t: F.coalesce(F.element_at(lookup, t), F.lit(unk_id)))
-
-
-def n_unknown(tokens: Column, lookup: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: F.element_at(lookup, t).isNull()))
-
-
-def ids_array(long_ids: DataFrame, key: str) -> DataFrame:
-    """Re-assemble per-row id arrays in token order (rows were one row before the explode)."""
-    return long_ids.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p")
-    ).select(key, F.transform("_p", lambda s: s["id"]).alias("ids"))
-
-
 def unigram_distribution(ids_long: DataFrame, key: str, odim: int, blank: int = 0) -> DataFrame:
     """Each distinct id counts once per utterance, eos (odim-1) counts the
     number of utterances, zeros floored to 1, blank zeroed, then normalised.
@@ -215,5 +170,5 @@ def seg_tokenize(long: DataFrame, key: str, seg_dict: DataFrame, unk: str = "<un
     per_char = chars.join(d, chars["_c"] == d["_w"], "left").select(
         key, "pos", "ci", F.coalesce("_p", F.array(F.lit(unk))).alias("_pp"))
     per_char = per_char.select(key, "pos", "ci", F.posexplode("_pp").alias("cj", "token")) \
-        .select(key, "pos", (F.col("ci") * 1000 + F.col("cj")).alias("sub"), "token")
+        .select(key, "pos", (F.col("ci").cast("long") * (1 << 31) + F.col("cj")).alias("sub"), "token")
     return found.unionByName(other).unionByName(per_char)

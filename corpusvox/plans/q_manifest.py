@@ -138,6 +138,6 @@ FROM documents
 def q_shape(spark, sf):
     man = _manifest(spark, sf)
     return man.select("utt",
-                      F.ceil(F.col("n_samples") * 1000.0 / (16000 * 10 * 1)).cast("long").alias("frames"),
+                      M.frame_count(F.col("n_samples")).alias("frames"),
                       M.audio_index_length(F.col("n_samples")).alias("index_len"),
                       M.text_length(F.col("text")).alias("text_len"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusvox.functions import text as X
 from corpusvox.functions import vectors as Vf
+from corpusvox.operators import manifest as Mn
 from corpusvox.operators import scoring as S
 from corpusvox.operators import segments as G
 from corpusvox.plans.registry import T, register
@@ -46,10 +47,51 @@ def q_quality(spark, sf):
     rate = F.when(F.col("n_chars") % 3 == 0, 16000).otherwise(8000)
     return d.select("doc_id", (F.col("n") > 5000).alias("too_long"),
                     F.least(F.floor(F.col("n_chars") / 2), F.col("n")).cast("long").alias("aligned_tokens"),
-                    (F.abs(F.col("n") - 25 * F.round(F.col("n_chars") / 16000.0, 2)) <= 2).alias("token_rate_ok"),
+                    Mn.token_rate_ok(F.col("n"), F.col("n_chars")).alias("token_rate_ok"),
                     ((rate == 16000) | (rate >= 16000)).alias("rate_ok"))
 
 
+RATE = "(CASE doc_id % 3 WHEN 0 THEN 16000 WHEN 1 THEN 8000 ELSE 44100 END)"
+
+
+def _rate():
+    return F.when(F.col("doc_id") % 3 == 0, 16000).when(F.col("doc_id") % 3 == 1, 8000).otherwise(44100)
+
+
+@register("rate_filter", f"SELECT doc_id, {RATE} AS rate FROM documents WHERE {RATE} <> 8000")
+def q_rate_filter(spark, sf):
+    """Rows at the target rate or at 16 kHz and more stay (the rate is made of the id)."""
+    d = T(spark, sf, "documents").select("doc_id", _rate().alias("rate"))
+    return Mn.keep_sample_rates(d, "rate", 16000)
+
+
+@register("length_drop", f"SELECT doc_id, len({WORDS})::INTEGER AS n FROM documents WHERE len({WORDS}) <= 1500")
+def q_length_drop(spark, sf):
+    """Documents of more than 1500 words are dropped before batching."""
+    return Mn.drop_long(T(spark, sf, "documents").select("doc_id", F.size(X.word_tokens("text")).alias("n")), "n", 1500)
+
+
+@register("frame_alignment", f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w, string_split(text, chr(10)) AS l FROM documents),
+n AS (SELECT *, least(len(w) // 40, len(l)) AS n FROM d)
+SELECT doc_id, (n * 40)::INTEGER AS n_frames, n::INTEGER AS n_tokens,
+       w[greatest(n * 40, 1)] AS last_frame, l[greatest(n, 1)] AS last_token FROM n WHERE n > 0""")
+def q_frame_alignment(spark, sf):
+    """Words stand for frames, lines for tokens, 40 frames a token; both are cut to fit."""
+    d = T(spark, sf, "documents").select("doc_id", X.word_tokens("text").alias("f"), F.split("text", "\n").alias("t"))
+    x = Mn.align_frames(d, "f", "t", 40).where(F.size("t") > 0)
+    return x.select("doc_id", F.size("f").alias("n_frames"), F.size("t").alias("n_tokens"),
+                    F.element_at("f", -1).alias("last_frame"), F.element_at("t", -1).alias("last_token"))
+
+
+@register("token_rate", f"""
+SELECT doc_id, abs(len({WORDS}) - 25 * round(n_chars / 800.0, 2)) <= 20 AS ok FROM documents""")
+def q_token_rate(spark, sf):
+    """Words against 25 for each second of 800 characters, within 20."""
+    d = T(spark, sf, "documents").select("doc_id", "n_chars", F.size(X.word_tokens("text")).alias("n"))
+    return d.select("doc_id", Mn.token_rate_ok(F.col("n"), F.col("n_chars"), 800, slack=20).alias("ok"))
+
+
 @register("mini_sentences", f"""
 WITH d AS (SELECT doc_id, len({WORDS}) AS n FROM documents)
 SELECT doc_id, ((n + 19) // 20)::BIGINT AS n_batches,
@@ -113,8 +155,8 @@ def q_weighted_loss(spark, sf):
     """A26/A18 token-weighted mean (and its exp) and A17 ratio of sums, per source."""
     d = T(spark, sf, "documents").select("source", F.log(F.col("n_chars").cast("double")).alias("nll"),
                                          F.col("n_chars").alias("n"))
-    g = d.groupBy("source").agg(F.try_divide(F.sum(F.col("nll") * F.col("n")), F.sum("n")).alias("m"),
-                                F.try_divide(F.sum(F.col("n") / 1000.0), F.sum(F.col("n") / 16000.0)).alias("rtf"))
+    g = d.groupBy("source").agg(S.weighted_mean("nll", "n").alias("m"),
+                                S.ratio_of_sums(F.col("n") / 1000.0, F.col("n") / 16000.0).alias("rtf"))
     return g.select("source", F.round("m", 6).alias("mean_nll"), F.round(F.exp("m"), 6).alias("ppl"),
                     F.round("rtf", 6).alias("rtf"))
 

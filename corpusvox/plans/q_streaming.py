@@ -51,13 +51,16 @@ def _rechunk(spark, sf, lead, steady):
     return r.withColumn("total", F.round("total", 6))
 
 
-@register("rechunk", "WITH " + RECHUNK_SQL.format(chunk="(i // 7)::BIGINT"))
+SEVENS_SQL = "WITH " + RECHUNK_SQL.format(chunk="(i // 7)::BIGINT")
+
+
+@register("rechunk", SEVENS_SQL)
 def q_rechunk(spark, sf):
     """ST3 batch twin: fixed 7-item chunks, short tail kept."""
     return _rechunk(spark, sf, (), 7)
 
 
-@register("rechunk_stream")
+@register("rechunk_stream", SEVENS_SQL)
 def q_rechunk_stream(spark, sf):
     """ST3 in Structured Streaming with the remainder carried in state."""
     out = run_available(spark, frames(spark, sf), "ts",
@@ -107,7 +110,7 @@ def q_crossfade(spark, sf):
     return _xf_summary(crossfade_batch(_chunks(spark, sf), "stream", ["chunk"], "embedding", 8))
 
 
-@register("crossfade_stream")
+@register("crossfade_stream", XF_SQL)
 def q_crossfade_stream(spark, sf):
     """ST7 in Structured Streaming (faded tail in state); equal to the batch twin (tested)."""
     from corpusvox.streaming.crossfade import crossfade_stream
@@ -130,11 +133,14 @@ def _lfr_summary(df):
                                          lambda a, x: a + x), 6).alias("checksum"))
 
 
-@register("lfr_online", """
+LFR_SQL = """
 WITH v AS (SELECT vec_id, embedding AS e, len(embedding) AS t FROM embeddings)
 SELECT vec_id AS utt, i::BIGINT AS i, 7 AS n,
        round(sum((j + 1) * e[least(greatest(i * 6 + j - 3, 0), t - 1) + 1]::DOUBLE), 6) AS checksum
-FROM v, unnest(range(0, CAST(ceil(t / 6) AS BIGINT))) AS r(i), unnest(range(0, 7)) AS q(j) GROUP BY vec_id, i""")
+FROM v, unnest(range(0, CAST(ceil(t / 6) AS BIGINT))) AS r(i), unnest(range(0, 7)) AS q(j) GROUP BY vec_id, i"""
+
+
+@register("lfr_online", LFR_SQL)
 def q_lfr_online(spark, sf):
     """W7 over long-form frames (ST4 batch twin): each frame is sent to the stacked
     outputs that read it; groups hold 7 values."""
@@ -142,7 +148,7 @@ def q_lfr_online(spark, sf):
     return _lfr_summary(lfr_long(_frames_long(spark, sf), "utt", "t", "x", 7, 6))
 
 
-@register("lfr_online_stream")
+@register("lfr_online_stream", LFR_SQL)
 def q_lfr_stream(spark, sf):
     """ST4 in Structured Streaming: frames arrive in time slices; equal to the batch twin (tested)."""
     from corpusvox.streaming.lfr import lfr_stream

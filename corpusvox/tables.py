@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -11,21 +9,15 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Below this many bytes a table is not worth spreading over more tasks.
-SPREAD_MIN_BYTES = 1 << 20
-
 
 def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read a table.  With ``spread``, a table stored as fewer row groups than the
-    cluster has cores (and not tiny) is spread round-robin first, so heavy per-row
-    work (tokenizing whole texts) uses every core; inputs made of many files never
-    trigger it.  Off by default: for light per-row work the extra shuffle costs more."""
+    """Read a table.  With ``spread``, a table that Spark reads in fewer tasks than the cluster
+    has cores is spread round-robin first, so heavy per-row work (tokenizing whole texts) uses
+    every core; inputs of many row groups never trigger it.  Off by default: for light per-row
+    work the extra shuffle costs more."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if spread and os.path.exists(path) and os.path.getsize(path) >= SPREAD_MIN_BYTES:
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
