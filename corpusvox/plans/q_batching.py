@@ -85,15 +85,31 @@ def _batches(spark, sf):
     return Bt.dynamic_batches(buf, "length", budget=40000)
 
 
-@register("dynamic_batches")
+# One row after the other inside each buffer: a batch ends where the next row would pass the budget.
+BATCH_SQL = f"""WITH RECURSIVE {POS_SQL},
+s AS (SELECT utt, length, pos // 500 AS buffer,
+             row_number() OVER (PARTITION BY pos // 500 ORDER BY length, pos) - 1 AS idx FROM d),
+f AS (SELECT buffer, idx, 0 AS b, length AS longest, 1 AS n FROM s WHERE idx = 0
+      UNION ALL
+      SELECT s.buffer, s.idx, CASE WHEN greatest(longest, s.length) * (n + 1) > 40000 THEN b + 1 ELSE b END,
+             CASE WHEN greatest(longest, s.length) * (n + 1) > 40000 THEN s.length ELSE greatest(longest, s.length) END,
+             CASE WHEN greatest(longest, s.length) * (n + 1) > 40000 THEN 1 ELSE n + 1 END
+      FROM f JOIN s ON s.buffer = f.buffer AND s.idx = f.idx + 1),
+batched AS (SELECT utt, length, s.buffer, s.idx, dense_rank() OVER (ORDER BY s.buffer, b) - 1 AS batch_id
+            FROM s JOIN f USING (buffer, idx))"""
+
+
+@register("dynamic_batches", BATCH_SQL + " SELECT utt, buffer, idx, batch_id FROM batched")
 def q_dynamic(spark, sf):
-    """B4 (rows-only: a greedy fold inside each sort buffer)."""
+    """A greedy fold inside each sort buffer."""
     return _batches(spark, sf).select("utt", "buffer", "idx", "batch_id")
 
 
-@register("batch_stats")
+@register("batch_stats", BATCH_SQL + """
+SELECT batch_id, count(*) AS n, max(length) AS max_len, sum(length)::BIGINT AS sum_len, count(*) * max(length) AS padded,
+       1 - sum(length) / (count(*) * max(length)) AS pad_share FROM batched GROUP BY batch_id""")
 def q_batch_stats(spark, sf):
-    """A24/B9 over the B4 batches (rows-only)."""
+    """A24/B9 over the B4 batches."""
     return Bt.batch_stats(_batches(spark, sf), "length")
 
 
@@ -121,11 +137,14 @@ def q_best_of(spark, sf):
         .select("l_orderkey", "best")
 
 
-@register("collate_batches")
+@register("collate_batches", BATCH_SQL + """,
+t AS (SELECT utt, batch_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n
+      FROM batched JOIN documents ON doc_id = utt)
+SELECT utt, batch_id, batch_id % 8 AS rank, max(n) OVER (PARTITION BY batch_id)::INTEGER AS padded_len,
+       (max(n) OVER (PARTITION BY batch_id) - n)::INTEGER AS n_pad FROM t""")
 def q_collate(spark, sf):
     """B7 + B9 + B10 over the B4 batches: rank = batch % 8; each row padded to the
-    batch's longest token sequence (pad id -1), with its padding mask count
-    (rows-only: follows the greedy batches)."""
+    batch's longest token sequence (pad id -1), with its padding mask count."""
     from pyspark.sql import Window
 
     from corpusvox.functions.text import word_tokens

@@ -160,8 +160,18 @@ def q_mapping(spark, sf):
     return G.best_speaker_mapping(ref, sys, "rec", "spk")
 
 
-@register("duration_batches")
+@register("duration_batches", """
+WITH RECURSIVE s AS (
+  SELECT user_id AS rec, event_id AS idx, floor(value * 1000)::BIGINT AS dur,
+         row_number() OVER (PARTITION BY user_id ORDER BY floor(value * 1000), event_id) AS k,
+         greatest(300000, min(floor(value * 1000)::BIGINT) OVER (PARTITION BY user_id)) AS budget FROM events),
+f AS (SELECT rec, k, idx, 0 AS batch, dur AS total FROM s WHERE k = 1
+      UNION ALL
+      SELECT s.rec, s.k, s.idx, CASE WHEN total + s.dur < budget AND s.dur < 60000 THEN batch ELSE batch + 1 END,
+             CASE WHEN total + s.dur < budget AND s.dur < 60000 THEN total + s.dur ELSE s.dur END
+      FROM f JOIN s ON s.rec = f.rec AND s.k = f.k + 1)
+SELECT rec, idx, batch FROM f""")
 def q_duration_batches(spark, sf):
-    """Duration-budget batches of a recording's segments (rows-only: greedy fold)."""
+    """Duration-budget batches of a recording's segments."""
     e = events(spark, sf).select("rec", "event_id", F.floor(F.col("value") * 1000).alias("dur_ms"))
     return Bt.duration_batches(e, "rec", "event_id", "dur_ms", budget_ms=300_000, long_ms=60_000)
