@@ -153,17 +153,18 @@ def edit_chain(steps: DataFrame, session: str, step: str, edit_type: str, text:
     """A clone starts a new history epoch; inside an epoch the source of a
     step is the previous step's target; paralinguistic edits (and clones, and
     the session's first step) set a new text, other edits keep the text."""
+    # One bucketing serves all passes.  The first row of an epoch always sets the text, so filling
+    # forward along the session never reaches back over an epoch's start.
     x = range_buckets(steps, [session], [step])
     x = seq_cumsum(x.withColumn("_clone", (F.col(edit_type) == "clone").cast("long")), [session], [step],
-                   {"epoch": F.col("_clone")})
-    x = seq_lag(x, [session], [step], [step], suffix="_p")
-    sets_text = F.col(edit_type).isin("clone", "paralinguistic") | F.col(step + "_p").isNull()
-    x = x.drop(B)
-    x = seq_ffill(x.withColumn("_val", F.when(sets_text, F.col(text))), [session, "epoch"], [step], "_val",
-                  "target_text").drop(B)
-    x = seq_lag(x, [session, "epoch"], [step], ["target_text"], suffix="_prev").drop(B)
-    return x.withColumn("source_text", F.coalesce(F.col("target_text_prev"), F.col(text))) \
-        .drop("_clone", "_val", "target_text_prev", step + "_p")
+                   {"epoch": F.col("_clone"), "_rn": F.lit(1).cast("long")})
+    starts = (F.col("_rn") == 1) | F.coalesce(F.col(edit_type) == "clone", F.lit(False))
+    sets_text = starts | F.coalesce(F.col(edit_type) == "paralinguistic", F.lit(False))
+    x = seq_ffill(x.withColumn("_val", F.when(sets_text, F.struct(F.col(text).alias("t")))), [session], [step],
+                  "_val", "_filled").withColumn("target_text", F.col("_filled")["t"])
+    x = seq_lag(x, [session], [step], ["target_text"], suffix="_prev").drop(B)
+    source = F.when(starts, F.col(text)).otherwise(F.coalesce(F.col("target_text_prev"), F.col(text)))
+    return x.withColumn("source_text", source).drop("_clone", "_val", "_filled", "_rn", "target_text_prev")
 
 
 def history_messages(chain: DataFrame, session: str, step: str, edit_type: str = "edit_type",
