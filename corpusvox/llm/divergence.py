@@ -36,9 +36,9 @@ class Limits:
     """Guards and thresholds of the rules."""
     common_words: int = 30
     min_class_chars: int = 200
-    max_class_distance: float = 0.25
+    max_class_distance: float = 0.35
     min_words: int = 60
-    max_word_distance: float = 0.7
+    max_word_distance: float = 0.45
     base_min_words: int = 10
     base_repeat_percent: int = 20
 
