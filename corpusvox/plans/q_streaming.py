@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusvox.plans.q_sentences import TOK_SQL
 from corpusvox.plans.registry import T, register
 from corpusvox.plans.sequence import seq_lead
 from corpusvox.streaming import chunking as Ck
@@ -166,14 +167,39 @@ def _words(spark, sf):
         .withColumn("ts", F.timestamp_seconds(F.col("k")))
 
 
-@register("punctuation_carry")
+# Mini-batch after mini-batch of each conversation: (cw, cp) is carried on, (ew, ep) is written out.
+CARRY_SQL = "WITH RECURSIVE " + TOK_SQL + """,
+mb AS (SELECT conv_id AS session, (k - 1) // 20 AS i, list(token ORDER BY k) AS w, list(punc ORDER BY k) AS p,
+              (k - 1) // 20 = max((k - 1) // 20) OVER (PARTITION BY conv_id) AS last FROM k GROUP BY conv_id, (k - 1) // 20),
+f AS (
+  SELECT session, -1::BIGINT AS i, []::VARCHAR[] AS cw, []::INTEGER[] AS cp, []::VARCHAR[] AS ew, []::INTEGER[] AS ep,
+         ''::VARCHAR AS before, ''::VARCHAR AS after, -1::BIGINT AS seq, false AS last FROM mb WHERE i = 0
+  UNION ALL
+  SELECT session, i, bw[cut + 1:], bp[cut + 1:], bw[:cut],
+         CASE WHEN by_comma THEN list_concat(bp[:cut - 1], [3::INTEGER]) ELSE bp[:cut] END,
+         after, CASE WHEN cut > 0 THEN bw[cut][-1:] ELSE after END, seq + CASE WHEN cut > 0 THEN 1 ELSE 0 END, last
+  FROM (SELECT *, CASE WHEN last THEN len(bw) WHEN stop > 0 THEN stop WHEN len(bw) > 200 THEN comma ELSE 0 END AS cut,
+               NOT last AND stop = 0 AND len(bw) > 200 AND comma > 0 AS by_comma
+        FROM (SELECT *, coalesce(list_max(list_filter(range(3, len(bw)), lambda x: bp[x] IN (3, 4))), 0) AS stop,
+                     coalesce(list_max(list_filter(range(3, len(bw)), lambda x: bp[x] = 2)), 0) AS comma
+              FROM (SELECT f.session, mb.i, list_concat(f.cw, mb.w) AS bw, list_concat(f.cp, mb.p) AS bp, f.after, f.seq,
+                           mb.last FROM f JOIN mb ON mb.session = f.session AND mb.i = f.i + 1)))),
+j AS (SELECT *, list_transform(range(1, len(ew) + 1), lambda x: CASE WHEN x = 1 THEN before ELSE ew[x - 1][-1:] END) AS pr
+      FROM f WHERE len(ew) > 0)
+SELECT session, seq, len(ew)::BIGINT AS n_words, array_to_string(list_transform(range(1, len(ew) + 1), lambda x:
+         CASE WHEN pr[x] <> '' AND ascii(pr[x]) < 128 AND ascii(ew[x]) < 128 THEN ' ' ELSE '' END || ew[x] ||
+         CASE WHEN last AND x = len(ew) THEN '' WHEN ep[x] = 2 THEN '，' WHEN ep[x] = 3 THEN '。' WHEN ep[x] = 4 THEN '？'
+              WHEN ep[x] = 5 THEN '、' ELSE '' END), '') AS text FROM j"""
+
+
+@register("punctuation_carry", CARRY_SQL)
 def q_punct_batch(spark, sf):
-    """W15 batch twin: mini-batches of 20 words, text after the last sentence end carried (rows-only)."""
+    """W15 batch twin: mini-batches of 20 words, text after the last sentence end carried."""
     from corpusvox.streaming.punctuation import carry_batch
     return carry_batch(_words(spark, sf), "session", ["k"], "token", "punc")
 
 
-@register("punctuation_carry_stream")
+@register("punctuation_carry_stream", CARRY_SQL)
 def q_punct_stream(spark, sf):
     """ST5: the same carry with the pending words in streaming state; equal to the batch twin (tested)."""
     from corpusvox.streaming.punctuation import carry_stream
