@@ -28,13 +28,40 @@ def frames(spark, sf):
     return e.withColumn("final", F.col("event_id_next").isNull()).drop("event_id_next")
 
 
-@register("vad_segments")
+# Frame after frame of each session; ce is the end of the segment that a frame closes.
+VAD_SQL = """
+WITH RECURSIVE fr AS (
+  SELECT user_id::BIGINT AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f,
+         (value / (value + 5) >= (1 - value / (value + 5)) + 0.6)::INTEGER AS s, count(*) OVER (PARTITION BY user_id) AS n
+  FROM events),
+st AS (
+  SELECT DISTINCT session, n, -1::BIGINT AS f, false AS sp, list_transform(range(20), lambda x: 0::INTEGER) AS w,
+         0::BIGINT AS beg, 0::BIGINT AS low, 0::BIGINT AS least_beg, 0::BIGINT AS seg, NULL::BIGINT AS ce FROM fr
+  UNION ALL
+  SELECT session, n, f, CASE WHEN sp THEN ce IS NULL ELSE total >= 15 END,
+         CASE WHEN ce IS NULL THEN w ELSE list_transform(range(20), lambda x: 0::INTEGER) END,
+         CASE WHEN NOT sp AND total >= 15 THEN greatest(least_beg, f - 39) ELSE beg END,
+         CASE WHEN sp AND ce IS NULL THEN low ELSE 0 END, coalesce(ce, least_beg),
+         seg + CASE WHEN ce IS NULL THEN 0 ELSE 1 END, ce
+  FROM (SELECT *, CASE WHEN NOT sp THEN NULL WHEN low >= 65 THEN least(f + 1, f - low + 11)
+                       WHEN f + 1 - beg >= 6000 THEN f + 1 END AS ce
+        FROM (SELECT * REPLACE (CASE WHEN total <= 15 THEN low + 1 ELSE 0 END AS low)
+              FROM (SELECT *, list_sum(w) AS total
+                    FROM (SELECT st.session, st.n, fr.f, st.sp, list_concat(st.w[2:], [fr.s]) AS w, st.beg, st.low,
+                                 st.least_beg, st.seg
+                          FROM st JOIN fr ON fr.session = st.session AND fr.f = st.f + 1))))),
+done AS (SELECT session, seg - 1 AS seg, beg, ce FROM st WHERE ce IS NOT NULL
+         UNION ALL SELECT session, seg, beg, n FROM st WHERE f = n - 1 AND sp)
+SELECT session, seg, beg * 10 AS beg_ms, ce * 10 AS end_ms FROM done"""
+
+
+@register("vad_segments", VAD_SQL)
 def q_vad_batch(spark, sf):
-    """ST1 batch twin (rows-only: a sequential fold per session)."""
+    """ST1 batch twin: a sequential fold per session."""
     return Vd.segments_batch(frames(spark, sf), "user_id", ORDER, "speech")
 
 
-@register("vad_segments_stream")
+@register("vad_segments_stream", VAD_SQL)
 def q_vad_stream(spark, sf):
     """ST1/ST2/ST8 in Structured Streaming; equal to the batch twin (tested)."""
     return run_available(spark, frames(spark, sf), "ts",
