@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusvox.operators import scoring as S
+from corpusvox.plans.q_scoring import WER_CLOSED_FORM
 from corpusvox.plans.q_text import VOCAB_SQL, vocabulary
 from corpusvox.plans.registry import T, register
 from corpusvox.session import cut_lineage, ensure_checkpoint_dir
@@ -186,37 +187,43 @@ def q_cmvn_file(spark, sf):
                     F.round("z.var_stats", 6).alias("var_stat"), F.col("total_frames").cast("long").alias("total_frames"))
 
 
-@register("wer_report_roundtrip", """
-WITH w AS (SELECT item_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM benchmark)
-SELECT count(*) AS n_detail, sum(n)::BIGINT AS wrd FROM w""")
+@register("wer_report_roundtrip", WER_CLOSED_FORM + """
+SELECT item_id, n::INTEGER AS nwords, (n - d - s)::INTEGER AS cor, s::INTEGER AS sub, 0 AS ins, d::INTEGER AS del,
+       (d + s)::INTEGER AS wrong, (sum(n) OVER ())::BIGINT AS wrd, (sum(d + s) OVER ())::BIGINT AS wrong_words FROM c""")
 def q_wer_report(spark, sf):
-    """Per-utterance detail and a totals row written, then read back."""
+    """Per-utterance detail and a totals row written, then read back and put side by side."""
     from corpusvox.plans.q_scoring import _wer_pairs
     root = _dir(spark, "wer")
     detail = S.wer_detail(_wer_pairs(spark, sf), "item_id", "ref", "hyp")
     Sk.write_wer_report(detail, S.wer_totals(detail), root)
-    n_detail = spark.read.parquet(f"{root}/detail").count()
-    t = spark.read.json(f"{root}/totals")
-    return t.select(F.lit(n_detail).cast("long").alias("n_detail"), F.col("wrd").cast("long").alias("wrd"))
+    total = spark.read.json(f"{root}/totals").select("wrd", "wrong_words").first()  # the one totals row
+    return spark.read.parquet(f"{root}/detail").select(
+        "*", F.lit(total["wrd"]).cast("long").alias("wrd"), F.lit(total["wrong_words"]).cast("long").alias("wrong_words"))
 
 
 @register("nbest_files_roundtrip", """
-SELECT (rank::VARCHAR || 'best_recog') AS nbest, count(*) AS n_lines FROM (
-  SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem)
-WHERE rank <= 2 GROUP BY rank""")
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank
+           FROM lineitem)
+SELECT rank || 'best_recog' AS nbest, l_orderkey AS key, l_linenumber::BIGINT AS token, round(l_extendedprice, 2) AS score
+FROM r WHERE rank <= 2""")
 def q_nbest_files(spark, sf):
-    """N-best results as '{n}best_recog/{field}' key-value files, read back per directory."""
+    """N-best results as '{n}best_recog/{field}' key-value files, read back line by line."""
     from corpusvox.operators.batching import top_n
     root = _dir(spark, "nbest")
     li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     nb = top_n(li, ["l_orderkey"], "l_extendedprice", 2, "l_linenumber")
     Sk.write_nbest(nb, root, {"token": "l_linenumber", "score": "l_extendedprice"}, key="l_orderkey")
-    back = spark.read.text(root).where(F.col("field") == "token")
-    return back.groupBy("nbest").agg(F.count(F.lit(1)).alias("n_lines"))
+    parts = F.split("value", " ")
+    back = spark.read.text(root).select("nbest", "field", parts[0].cast("long").alias("key"), parts[1].alias("v"))
+    return back.groupBy("nbest", "key").agg(
+        F.max(F.when(F.col("field") == "token", F.col("v").cast("long"))).alias("token"),
+        F.round(F.max(F.when(F.col("field") == "score", F.col("v").cast("double"))), 2).alias("score"))
 
 
 @register("edit_pairs_roundtrip", """
-SELECT count(*) AS n_pairs FROM conversations WHERE role <> 'system'""")
+SELECT 'a/' || conv_id || '_' || turn || '.wav' AS prompt_audio_path, text AS target_text,
+       'b/' || conv_id || '_' || turn || '.wav' AS target_audio_path, conv_id::VARCHAR AS speaker_id
+FROM conversations WHERE role <> 'system' AND turn % 5 <> 1 AND turn % 7 <> 2""")
 def q_edit_pairs(spark, sf):
     """Paired edit JSONL; records without both audio paths, or whose audio is
     not in the listing, are dropped (semi joins against the listing)."""
@@ -228,10 +235,11 @@ def q_edit_pairs(spark, sf):
                    .alias("target_audio_path"), F.lit("emotion").alias("edit_type"),
                    F.col("conv_id").cast("string").alias("speaker_id"))
     Sk.write_jsonl(rec, f"{root}/pairs")
-    listing = rec.select(F.col("prompt_audio_path").alias("path")).unionByName(
-        rec.select(F.col("target_audio_path").alias("path"))).where(F.col("path").isNotNull())
-    pairs = Mf.read_edit_pairs(spark, f"{root}/pairs", listing)
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"))
+    # the listing lacks some prompts and some targets
+    listing = c.where("turn % 5 <> 1").select(F.format_string("a/%d_%d.wav", "conv_id", "turn").alias("path")).unionByName(
+        c.where("turn % 7 <> 2").select(F.format_string("b/%d_%d.wav", "conv_id", "turn").alias("path")))
+    return Mf.read_edit_pairs(spark, f"{root}/pairs", listing).select(
+        "prompt_audio_path", "target_text", "target_audio_path", "speaker_id")
 
 
 @register("calibration_csv_roundtrip", """
@@ -274,13 +282,17 @@ def q_scp_inputs(spark, sf):
 
 
 @register("hotword_list_roundtrip", """
-SELECT count(*) + 1 AS n_words FROM (SELECT DISTINCT conv_id FROM conversations)""")
+SELECT DISTINCT 'w' || conv_id AS word, 'w' || conv_id = '<s>' AS is_last FROM conversations
+UNION ALL SELECT '<s>', true""")
 def q_hotword_list(spark, sf):
-    """A hotword file (one per line) plus the '<s>' sentinel."""
+    """A hotword file (one per line, blank lines and blanks around words aside) plus the '<s>' sentinel, last."""
     root = _dir(spark, "hot")
-    T(spark, sf, "conversations").select(F.format_string("w%d", "conv_id").alias("value")).distinct() \
+    T(spark, sf, "conversations").select("conv_id").distinct().select(
+        F.explode(F.array(F.format_string("  w%d ", "conv_id"), F.lit("   "))).alias("value")) \
         .write.mode("overwrite").text(root)
-    return K.read_hotwords(spark, root).agg(F.count(F.lit(1)).alias("n_words"))
+    w = K.read_hotwords(spark, root)
+    last = w.agg(F.max("line_no").alias("last"))
+    return w.join(last, w["line_no"] == last["last"], "left").select("word", F.col("last").isNotNull().alias("is_last"))
 
 
 @register("triples_roundtrip", """

@@ -179,12 +179,19 @@ def q_mean_pool(spark, sf):
 
 
 @register("chunk_context", """
-SELECT vec_id, ceil(len(embedding) / 16)::INTEGER AS n_chunks, true AS stitched_equal FROM embeddings""")
+SELECT vec_id, i::INTEGER AS idx, least(i * 16, 4)::INTEGER AS lo,
+       (least(len(embedding), (i + 1) * 16 + 4) - greatest(i * 16 - 4, 0))::INTEGER AS n_items,
+       embedding[greatest(i * 16 - 4, 0) + 1]::DOUBLE AS first_item,
+       embedding[least(len(embedding), (i + 1) * 16 + 4)]::DOUBLE AS last_item, true AS stitched_equal
+FROM embeddings, unnest(range(0, CAST(ceil(len(embedding) / 16) AS BIGINT))) AS r(i)""")
 def q_chunk_context(spark, sf):
     """Split into 16-item chunks with 4 items of context each side, stitch back."""
     e = T(spark, sf, "embeddings").select("vec_id", Vf.split_chunks("embedding", 16, 4, 4).alias("c"), "embedding")
-    return e.select("vec_id", F.size("c").alias("n_chunks"),
-                    (Vf.stitch_chunks(F.col("c"), 16) == F.col("embedding")).alias("stitched_equal"))
+    same = (Vf.stitch_chunks(F.col("c"), 16) == F.col("embedding")).alias("stitched_equal")
+    x = e.select("vec_id", same, F.explode("c").alias("x"))
+    return x.select("vec_id", "x.idx", "x.lo", F.size("x.items").alias("n_items"),
+                    F.element_at("x.items", 1).cast("double").alias("first_item"),
+                    F.element_at("x.items", -1).cast("double").alias("last_item"), "stitched_equal")
 
 
 @register("pad_clip", """

@@ -128,13 +128,16 @@ def q_history(spark, sf):
     return P.history_messages(_chain(spark, sf), "conv_id", "turn")
 
 
-@register("instruction_names", """
-SELECT conv_id, turn,
-       regexp_replace(regexp_extract(text, '(?s)^([（(][^()（）]*[）)]).*$', 1), '^[()（）]+|[()（）]+$', '', 'g') AS name
+NAMED = "CASE turn % 3 WHEN 0 THEN '（' || role || '）' || text WHEN 1 THEN '(' || conv_id || ') ' || text ELSE text END"
+
+
+@register("instruction_names", f"""
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role WHEN 1 THEN conv_id::VARCHAR ELSE '' END AS name
 FROM conversations""")
 def q_instruction_names(spark, sf):
-    c = T(spark, sf, "conversations")
-    return c.select("conv_id", "turn", P.instruction_name("text").alias("name"))
+    """two of three turns are given a name in front, full-width or plain."""
+    c = T(spark, sf, "conversations").withColumn("named", F.expr(NAMED))
+    return c.select("conv_id", "turn", P.instruction_name("named").alias("name"))
 
 
 @register("voice_ids", f"WITH {ROLES_SQL} SELECT conv_id, 'clone_' || sha256(coalesce(h, ''))[1:16] AS voice_id FROM r")

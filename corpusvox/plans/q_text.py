@@ -95,12 +95,18 @@ def q_unigram(spark, sf):
 
 @register("char_tokens", """
 SELECT doc_id, length(replace(text, ' ', ''))::BIGINT AS n_char_tokens,
+       len(regexp_extract_all(text, '(there|the|de|[^ ])', 1))::BIGINT AS n_symbol_tokens,
+       len(list_filter(regexp_extract_all(text, '(there|the|de|[^ ])', 1), lambda x: x NOT IN ('the', 'there', 'de')))::BIGINT
+         AS n_without_symbols,
        len(regexp_extract_all(text, '([\\x21-\\x7e]+|[^\\x00-\\x7f])', 1))::BIGINT AS n_mixed_words
 FROM documents
 """)
 def q_char_tokens(spark, sf):
-    d = T(spark, sf, "documents")
+    """characters, with listed symbols (the longest first) as one token each, kept or removed; F5 words."""
+    d, symbols = T(spark, sf, "documents"), ["de", "the", "there"]
     return d.select("doc_id", F.size(X.char_tokens("text", ["<unk>", "<s>"])).cast("long").alias("n_char_tokens"),
+                    F.size(X.char_tokens("text", symbols)).cast("long").alias("n_symbol_tokens"),
+                    F.size(X.char_tokens("text", symbols, True)).cast("long").alias("n_without_symbols"),
                     F.size(X.mixed_script_words("text")).cast("long").alias("n_mixed_words"))
 
 
