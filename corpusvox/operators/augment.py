@@ -51,6 +51,24 @@ def masked_frames(spans: DataFrame, key: str) -> DataFrame:
         key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)).alias("frame")).distinct()
 
 
+def fill_masks(df: DataFrame, key: str, vec: str, spans: DataFrame, axis: str = "time", n_freq: int = 1,
+               fill: str = "zero") -> DataFrame:
+    """G1: write zero or the row's mean over the masked part of a (time x ``n_freq``) signal kept row by row.
+
+    ``spans`` (from ``mask_spans``) count frames with ``axis="time"`` and bins with ``axis="freq"``;
+    a row has ``num_mask`` of them, so they are gathered into its row."""
+    own = spans.groupBy(key).agg(F.collect_list(F.struct("start", "width")).alias("_spans"))
+    value = {"zero": F.lit(0.0), "mean": F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x) / F.size(vec)}[fill]
+
+    def place(i: Column) -> Column:
+        return F.floor(i / n_freq) if axis == "time" else i % n_freq
+
+    def masked(i: Column) -> Column:
+        return F.exists(F.coalesce("_spans", F.array()), lambda s: (place(i) >= s["start"]) & (place(i) < s["start"] + s["width"]))
+    out = F.transform(vec, lambda x, i: F.when(masked(i), F.col("_fill")).otherwise(x.cast("double")))
+    return df.join(own, key, "left").withColumn("_fill", value).withColumn(vec, out).drop("_spans", "_fill")
+
+
 def disturb_profiles(profiles: DataFrame, rec: str, spk: str, vec: str, prob: float = 0.4,
                      alpha: float = 0.2, seed: int = 0) -> DataFrame:
     """G4 (disturb part): in a seeded share ``prob`` of recordings, every speaker

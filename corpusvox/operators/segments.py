@@ -402,7 +402,7 @@ def transcript_blocks(seg: DataFrame, fmt: str, start_ms: str = "start", end_ms:
                       text: str = "text", idx: str = "idx") -> DataFrame:
     """K8: one rendered block per segment.  srt: index, always hours, ',' marker;
     vtt: hours only when > 0, '.'; '-->' inside text becomes '->'; tsv: integer
-    ms and tabs replaced by spaces; txt: the stripped text."""
+    ms and tabs replaced by spaces; txt: the stripped text; json: id, start, end and text."""
     from corpusvox.functions.text import py_strip
     from corpusvox.functions.timefmt import format_timestamp
     t = py_strip(F.col(text))
@@ -419,6 +419,8 @@ def transcript_blocks(seg: DataFrame, fmt: str, start_ms: str = "start", end_ms:
                             F.replace(t, F.lit("\t"), F.lit(" ")))
     elif fmt == "txt":
         block = t
+    elif fmt == "json":
+        block = F.to_json(F.struct(F.col(idx).alias("id"), s.alias("start"), e.alias("end"), t.alias("text")))
     else:
         raise ValueError(fmt)
     return seg.withColumn("block", block)

@@ -126,6 +126,41 @@ def q_masks(spark, sf):
     return e.join(frames, "vec_id", "left").groupBy("vec_id").agg(F.count("frame").alias("masked"))
 
 
+def _fill_sql(seed, num_mask, max_width, length, place, fill):
+    return f"""
+WITH m AS (SELECT vec_id, {length}::BIGINT AS n, k FROM embeddings, unnest(range({num_mask})) AS r(k)),
+w AS (SELECT vec_id, n, k, least(('0x' || md5('{seed}:' || vec_id || ':' || k || ':w')[1:8])::BIGINT % {max_width}, n)
+             AS width FROM m),
+s AS (SELECT vec_id, width, ('0x' || md5('{seed}:' || vec_id || ':' || k || ':s')[1:8])::BIGINT % (n - width + 1) AS start FROM w),
+f AS (SELECT DISTINCT vec_id, unnest(range(start, start + width)) AS p FROM s WHERE width > 0),
+x AS (SELECT vec_id, i - 1 AS i, v::DOUBLE AS v, avg(v::DOUBLE) OVER (PARTITION BY vec_id) AS mean
+      FROM embeddings, unnest(embedding) WITH ORDINALITY AS t(v, i)),
+o AS (SELECT x.vec_id, i, CASE WHEN f.p IS NULL THEN v ELSE {fill} END AS v, f.p IS NOT NULL AS hit
+      FROM x LEFT JOIN f ON f.vec_id = x.vec_id AND f.p = {place})
+SELECT vec_id, round(sum(v * (i + 1)), 6) AS checksum FROM o GROUP BY vec_id"""
+
+
+def _checksum(df):
+    return df.select("vec_id", F.round(F.aggregate(F.transform("embedding", lambda v, i: v * (i + 1)), F.lit(0.0),
+                                                   lambda acc, x: acc + x), 6).alias("checksum"))
+
+
+@register("time_mask_fill", _fill_sql(5, 2, 3, "len(embedding) // 8", "i // 8", "mean"))
+def q_time_fill(spark, sf):
+    """G1: two time masks on the 8 x 8 signal, filled with its mean."""
+    e = T(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.select("vec_id", F.floor(F.size("embedding") / 8).alias("n"))
+    return _checksum(Ag.fill_masks(e, "vec_id", "embedding", Ag.mask_spans(n, "vec_id", "n", 2, 3, 5), "time", 8, "mean"))
+
+
+@register("freq_mask_fill", _fill_sql(9, 2, 4, "8", "i % 8", "0.0"))
+def q_freq_fill(spark, sf):
+    """G1: two frequency masks on the 8 x 8 signal, filled with zero."""
+    e = T(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.select("vec_id", F.lit(8).cast("long").alias("n"))
+    return _checksum(Ag.fill_masks(e, "vec_id", "embedding", Ag.mask_spans(n, "vec_id", "n", 2, 4, 9), "freq", 8, "zero"))
+
+
 @register("writer_checks", """
 SELECT lang AS file, source AS key, count(*) AS count FROM documents GROUP BY lang, source HAVING count(*) > 1""")
 def q_writer_checks(spark, sf):

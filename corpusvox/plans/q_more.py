@@ -190,3 +190,16 @@ def q_custom_tokenizer(spark, sf):
     split = Ex.tokenizer_udf(lambda s: s.split(","))
     d = T(spark, sf, "documents").select("doc_id", split("text").alias("p"))
     return d.select("doc_id", F.size("p").alias("n_parts"), F.get("p", F.lit(0)).alias("first_part"))
+
+
+@register("cmvn_text_roundtrip", """
+WITH e AS (SELECT (t.dim - 1)::INTEGER AS dim, t.x::DOUBLE AS x FROM embeddings, unnest(embedding) WITH ORDINALITY AS t(x, dim))
+SELECT dim, round(-avg(x), 6) AS shift, round(1.0 / sqrt(sum(x * x) / count(*) - avg(x) * avg(x)), 6) AS scale
+FROM e GROUP BY dim""")
+def q_cmvn_text(spark, sf):
+    """K9 (affine text) -> S18: shift and scale written as a text file and read back."""
+    from corpusvox.operators.features import global_cmvn
+    root = _dir(spark, "cmvn-text")
+    Sk.write_cmvn_text(global_cmvn(T(spark, sf, "embeddings"), "embedding"), root)
+    back = K.read_cmvn_text(spark, root)
+    return back.select("dim", F.round("shift", 6).alias("shift"), F.round("scale", 6).alias("scale"))

@@ -123,3 +123,17 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY sid) AS idx,
 FROM sentences""")
 def q_tsv(spark, sf):
     return _blocks(spark, sf, "tsv")
+
+
+@register("txt_export", "WITH " + TOK_SQL + """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY sid) AS idx, trim(text) AS block FROM sentences""")
+def q_txt(spark, sf):
+    return _blocks(spark, sf, "txt")
+
+
+@register("json_export", "WITH " + TOK_SQL + """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY sid) AS idx,
+       to_json({'id': row_number() OVER (PARTITION BY conv_id ORDER BY sid), 'start': start, 'end': "end",
+                'text': trim(text)})::VARCHAR AS block FROM sentences""")
+def q_json(spark, sf):
+    return _blocks(spark, sf, "json")

@@ -106,6 +106,19 @@ def write_cmvn(stats: DataFrame, path: str) -> None:
     one.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_cmvn_text(stats: DataFrame, path: str) -> None:
+    """K9, affine form: the shift and scale vectors as '<AddShift>' and '<Rescale>' blocks of one
+    text row (its size is the feature dimension's)."""
+    rows = stats.agg(F.array_sort(F.collect_list(F.struct("dim", "shift", "scale"))).alias("r"))
+
+    def block(tag: str, field: str):
+        n = F.size("r").cast("string")
+        values = F.array_join(F.transform("r", lambda x: x[field].cast("string")), " ")
+        return F.concat(F.lit(f"<{tag}> "), n, F.lit(" "), n, F.lit("\n<LearnRateCoef> 0 [ "), values, F.lit(" ]\n"))
+    rows.select(F.concat(F.lit("<Nnet>\n"), block("AddShift", "shift"), block("Rescale", "scale"), F.lit("</Nnet>"))
+                .alias("value")).write.mode("overwrite").text(path)
+
+
 def write_wer_report(detail: DataFrame, totals: DataFrame, path: str) -> None:
     """Per-utterance detail and the totals row."""
     detail.write.mode("overwrite").parquet(f"{path}/detail")
