@@ -203,3 +203,23 @@ def q_cmvn_text(spark, sf):
     Sk.write_cmvn_text(global_cmvn(T(spark, sf, "embeddings"), "embedding"), root)
     back = K.read_cmvn_text(spark, root)
     return back.select("dim", F.round("shift", 6).alias("shift"), F.round("scale", 6).alias("scale"))
+
+
+@register("feature_map_roundtrip", """
+SELECT vec_id AS utt, CASE WHEN vec_id % 11 = 0 THEN 'no value' WHEN vec_id % 7 = 0 THEN 'dimension'
+       WHEN vec_id % 5 = 0 THEN 'repeated key' ELSE 'ok' END AS state,
+       CASE WHEN vec_id % 11 = 0 OR vec_id % 7 = 0 OR vec_id % 5 = 0 THEN NULL ELSE round(list_sum(embedding)::DOUBLE, 3) END AS total
+FROM embeddings""")
+def q_feature_map(spark, sf):
+    """An utterance -> embedding table with missing, short and repeated entries, read with its checks."""
+    from corpusvox.sources import manifest as Mf
+    root = _dir(spark, "features")
+    i = F.col("vec_id")
+    e = T(spark, sf, "embeddings").select(i.alias("utt"), F.when(i % 11 != 0, F.when(
+        i % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))).alias("vec"))
+    again = e.where("utt % 5 = 0 AND utt % 11 <> 0 AND utt % 7 <> 0")
+    e.unionByName(again).write.mode("overwrite").parquet(root)
+    rows, rejects = Mf.read_feature_map(spark, root, "utt", "vec", 64)
+    total = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return rows.select("utt", F.lit("ok").alias("state"), F.round(total, 3).alias("total")).unionByName(
+        rejects.select("utt", F.col("reason").alias("state"), F.lit(None).cast("double").alias("total")))

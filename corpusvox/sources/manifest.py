@@ -95,6 +95,23 @@ def read_parquet_list(spark: SparkSession, list_path: str, schema: T.StructType
     return rows, rejects
 
 
+def read_feature_map(spark: SparkSession, path: str, key: str, value: str, dim: int | None = None
+                     ) -> tuple[DataFrame, DataFrame]:
+    """A precomputed feature table (utt -> embedding, spk -> embedding, utt -> tokens) as Parquet.
+
+    Returns (rows, rejects): a row needs a key and a value, of ``dim`` items where that is given, and
+    a key that no other valid row has; rejects (key, reason) lists the others, a repeated key once."""
+    x = spark.read.parquet(path).select(F.col(key), F.col(value))
+    wrong = F.lit(False) if dim is None else F.size(value) != dim
+    reason = F.when(F.col(key).isNull(), "no key").when(F.col(value).isNull(), "no value").when(wrong, "dimension")
+    x = x.withColumn("_reason", reason)
+    good, bad = x.where(F.col("_reason").isNull()), x.where(F.col("_reason").isNotNull())
+    twice = good.groupBy(key).count().where(F.col("count") > 1).select(key)
+    rejects = bad.select(key, F.col("_reason").alias("reason")).unionByName(
+        twice.select(key, F.lit("repeated key").alias("reason")))
+    return good.drop("_reason").join(twice, key, "left_anti"), rejects
+
+
 def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
     """Json / jsonl / csv / parquet file or a directory of parquet."""
     p = path.lower()
