@@ -135,6 +135,15 @@ def dynamic_batches(buffered: DataFrame, length: str, budget: int = 2000, kind:
         .withColumn("batch_id", (F.col("_off") + F.col("batch_in_buffer")).cast("long")).drop("_off")
 
 
+def local_batches(df: DataFrame, pos: str, length: str, buffer_size: int = 30, most: int = 5000, budget: int = 2000,
+                  kind: str = "frame") -> DataFrame:
+    """Buffers of ``buffer_size`` rows in arrival order, rows longer than ``most`` dropped, each
+    buffer sorted by length and cut greedily (see ``dynamic_batches``; batches end with their buffer)."""
+    kept = df.withColumn("buffer", F.floor(F.col(pos) / buffer_size).cast("long")).where(F.col(length) <= most)
+    w = Window.partitionBy("buffer").orderBy(length, pos)  # at most buffer_size rows
+    return dynamic_batches(kept.withColumn("idx", (F.row_number().over(w) - 1).cast("long")), length, budget, kind)
+
+
 def batch_stats(batched: DataFrame, length: str, batch: str = "batch_id") -> DataFrame:
     """Per batch count, max length, padded size and padding share."""
     return batched.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("max_len"),

@@ -85,20 +85,31 @@ def _batches(spark, sf):
     return Bt.dynamic_batches(buf, "length", budget=40000)
 
 
-# One row after the other inside each buffer: a batch ends where the next row would pass the budget.
-BATCH_SQL = f"""WITH RECURSIVE {POS_SQL},
-s AS (SELECT utt, length, pos // 500 AS buffer,
-             row_number() OVER (PARTITION BY pos // 500 ORDER BY length, pos) - 1 AS idx FROM d),
+def greedy_sql(buffer: int, budget: int, most: int) -> str:
+    """One row after the other inside each buffer: a batch ends where the next row would pass the budget."""
+    over = f"greatest(longest, s.length) * (n + 1) > {budget}"
+    return f"""WITH RECURSIVE {POS_SQL},
+s AS (SELECT utt, length, pos // {buffer} AS buffer,
+             row_number() OVER (PARTITION BY pos // {buffer} ORDER BY length, pos) - 1 AS idx FROM d WHERE length <= {most}),
 f AS (SELECT buffer, idx, 0 AS b, length AS longest, 1 AS n FROM s WHERE idx = 0
       UNION ALL
-      SELECT s.buffer, s.idx, CASE WHEN greatest(longest, s.length) * (n + 1) > 40000 THEN b + 1 ELSE b END,
-             CASE WHEN greatest(longest, s.length) * (n + 1) > 40000 THEN s.length ELSE greatest(longest, s.length) END,
-             CASE WHEN greatest(longest, s.length) * (n + 1) > 40000 THEN 1 ELSE n + 1 END
+      SELECT s.buffer, s.idx, CASE WHEN {over} THEN b + 1 ELSE b END,
+             CASE WHEN {over} THEN s.length ELSE greatest(longest, s.length) END, CASE WHEN {over} THEN 1 ELSE n + 1 END
       FROM f JOIN s ON s.buffer = f.buffer AND s.idx = f.idx + 1),
 batched AS (SELECT utt, length, s.buffer, s.idx, dense_rank() OVER (ORDER BY s.buffer, b) - 1 AS batch_id
             FROM s JOIN f USING (buffer, idx))"""
 
 
+BATCH_SQL = greedy_sql(500, 40000, 1 << 40)
+
+
+@register("local_batches", greedy_sql(30, 20000, 5000) + " SELECT utt, buffer, idx, batch_id FROM batched")
+def q_local_batches(spark, sf):
+    """Buffers of 30, documents of more than 5000 characters dropped, 20000 padded characters a batch."""
+    x = Bt.local_batches(_docs(spark, sf), "pos", "length", 30, 5000, 20000)
+    return x.select("utt", "buffer", "idx", "batch_id")
+
+
 @register("dynamic_batches", BATCH_SQL + " SELECT utt, buffer, idx, batch_id FROM batched")
 def q_dynamic(spark, sf):
     """A greedy fold inside each sort buffer."""
