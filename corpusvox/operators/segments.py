@@ -392,6 +392,32 @@ def combine_segments(seg: DataFrame, rec: str, order: str, text: str = "text") -
         .select(rec, "n_segments", F.array_join(F.transform("_s", lambda x: x["t"]), " ").alias(text))
 
 
+def combine_results(seg: DataFrame, rec: str, order: str, text: str = "text", start_ms: str = "start",
+                    stamps: str = "stamps", lists: Sequence[str] = ()) -> DataFrame:
+    """A16 in full: one row per recording with the texts joined by a space, the (begin, end) stamps
+    shifted by their segment's start and put one after the other, and any other list fields likewise.
+
+    The row is the recording's whole result, as the format has it; ``shifted_stamps`` is the long form."""
+    own = F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(start_ms).alias("at"),
+                   F.col(stamps).alias("s"), *[F.col(c) for c in lists])
+    x = seg.groupBy(rec).agg(F.array_sort(F.collect_list(own)).alias("_s"))
+    shifted = F.flatten(F.transform("_s", lambda p: F.transform(F.coalesce(p["s"], F.array()), lambda q: F.struct(
+        (q["beg"] + p["at"]).alias("beg"), (q["end"] + p["at"]).alias("end")))))
+    return x.select(rec, F.size("_s").alias("n_segments"), F.array_join(F.transform("_s", lambda p: p["t"]), " ").alias(text),
+                    shifted.alias(stamps), *[_flat(c) for c in lists])
+
+
+def _flat(name: str) -> Column:
+    return F.flatten(F.transform("_s", lambda p: F.coalesce(p[name], F.array()))).alias(name)
+
+
+def shifted_stamps(seg: DataFrame, rec: str, order: str, start_ms: str = "start", stamps: str = "stamps") -> DataFrame:
+    """A16 long form: (rec, order, pos, beg, end) with each stamp shifted by its segment's start."""
+    x = seg.select(rec, order, F.col(start_ms).alias("_at"), F.posexplode(stamps).alias("pos", "_p"))
+    return x.select(rec, order, "pos", (F.col("_p.beg") + F.col("_at")).alias("beg"),
+                    (F.col("_p.end") + F.col("_at")).alias("end"))
+
+
 def number_segments(seg: DataFrame, rec: str, order: Sequence[str], name: str = "idx") -> DataFrame:
     """1-based segment number inside each recording."""
     from corpusvox.plans.sequence import seq_row_number

@@ -223,3 +223,26 @@ def q_feature_map(spark, sf):
     total = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return rows.select("utt", F.lit("ok").alias("state"), F.round(total, 3).alias("total")).unionByName(
         rejects.select("utt", F.col("reason").alias("state"), F.lit(None).cast("double").alias("total")))
+
+
+@register("combine_results", f"""
+WITH w AS (SELECT conv_id, turn, text, {WORDS.format('text')} AS w FROM conversations WHERE text IS NOT NULL),
+x AS (SELECT conv_id, turn, i, word, turn * 60000 + (i - 1) * 200 AS beg, turn * 60000 + (i - 1) * 200 + 150 AS stop
+      FROM w, unnest(w) WITH ORDINALITY AS t(word, i)),
+l AS (SELECT conv_id, count(*)::INTEGER AS n_stamps, sum(beg)::BIGINT AS sum_beg, max(stop)::BIGINT AS last_end,
+             md5(string_agg(word, '|' ORDER BY turn, i)) AS words_md5 FROM x GROUP BY conv_id),
+t AS (SELECT conv_id, count(*)::INTEGER AS n_segments, md5(string_agg(text, ' ' ORDER BY turn)) AS text_md5 FROM w GROUP BY conv_id)
+SELECT conv_id, n_segments, text_md5, n_stamps, sum_beg, last_end, words_md5 FROM t JOIN l USING (conv_id)""")
+def q_combine_results(spark, sf):
+    """Turns as segments a minute apart; texts, shifted word stamps and word lists combined."""
+    from corpusvox.operators import segments as G
+    c = T(spark, sf, "conversations").where(F.col("text").isNotNull()).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "text", (F.col("turn") * 60000).cast("long").alias("start"),
+        X.word_tokens("text").alias("words"))
+    stamps = F.transform("words", lambda w, i: F.struct((i * 200).cast("long").alias("beg"), (i * 200 + 150).cast("long").alias("end")))
+    r = G.combine_results(c.withColumn("stamps", stamps), "conv_id", "turn", lists=["words"])
+    return r.where(F.size("stamps") > 0).select(
+        "conv_id", "n_segments", F.md5("text").alias("text_md5"), F.size("stamps").alias("n_stamps"),
+        F.aggregate("stamps", F.lit(0).cast("long"), lambda acc, p: acc + p["beg"]).alias("sum_beg"),
+        F.array_max(F.transform("stamps", lambda p: p["end"])).alias("last_end"),
+        F.md5(F.array_join("words", "|")).alias("words_md5"))
