@@ -48,8 +48,8 @@ MOST_GUMBEL = 37.0
 #: Path nodes down to this log probability are opened first; they nearly always hold the k best.
 NEAR = -8.0
 #: Nodes of the unit table after which it starts anew, and characters of text handled together.
-TABLE_NODES = 1_500_000
-BATCH_CHARS = 3_000_000
+TABLE_NODES = 800_000
+BATCH_CHARS = 1_500_000
 LONG_UNIT = 64
 CODE_BITS = 21
 
@@ -149,7 +149,7 @@ class Units(dict):
         self.source = np.zeros(0, np.int32)
         self.piece = np.zeros(0, np.int32)
         self.log_p = np.zeros(0)
-        self.upto = np.zeros(0)
+        self.upto = np.zeros(0, np.float32)
 
     def __missing__(self, unit: str) -> int:
         base = self[unit] = self.n_nodes
@@ -226,7 +226,7 @@ class Units(dict):
         self.source = np.concatenate((self.source, source + np.int32(old_nodes)))
         self.piece = np.concatenate((self.piece, piece))
         self.log_p = np.concatenate((self.log_p, log_p))
-        self.upto = np.concatenate((self.upto, upto))
+        self.upto = np.concatenate((self.upto, upto.astype(np.float32)))
 
 
 def edges_of(first: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
