@@ -41,8 +41,8 @@ class Limits:
     """Bounds of the sample and of the model."""
     max_rows: int = 20_000
     max_labels: int = 500
-    max_words: int = 240_000
-    max_grams: int = 120_000
+    max_words: int = 120_000
+    max_grams: int = 80_000
     longest: int = 5
     penalty: float = 7.0
 
@@ -99,25 +99,26 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     pieces = (words.select("label", "n", F.explode(grams).alias("word")).where(F.trim("word") != "").groupBy("label", "word")
               .agg(F.sum("n").alias("n")))
 
-    def top(counts: DataFrame, most: int) -> list:
+    def top(counts: DataFrame, most: int) -> list[tuple[str, str, int]]:
         by_rank = Window.partitionBy("label").orderBy(F.desc("n"), "word")
-        return (counts.withColumn("r", F.row_number().over(by_rank))
-                .where(F.col("r") <= max(1, most // len(languages))).select("label", "word", "n").collect())
+        kept = (counts.withColumn("r", F.row_number().over(by_rank))
+                .where(F.col("r") <= max(1, most // len(languages))).select("label", "word", "n").toArrow())
+        return list(zip(*[c.to_pylist() for c in kept.columns], strict=True))
 
     column = {x: i for i, x in enumerate(languages)}
     rows_, row_of = [], []
     for entries, by_length in ((top(words, limits.max_words), False), (top(pieces, limits.max_grams), True)):
         totals: Counter = Counter()
-        for r in entries:
-            totals[r["label"], len(r["word"]) if by_length else 0] += r["n"]
+        for label, entry, n in entries:
+            totals[label, len(entry) if by_length else 0] += n
         index: dict[str, int] = {}
-        for r in sorted(entries, key=lambda r: (r["word"], r["label"])):
-            at = index.get(r["word"])
+        for label, entry, n in sorted(entries, key=lambda e: (e[1], e[0])):
+            at = index.get(entry)
             if at is None:
-                at = index[r["word"]] = len(rows_)
+                at = index[entry] = len(rows_)
                 rows_.append([-limits.penalty] * len(languages))
-            rows_[at][column[r["label"]]] = max(-limits.penalty, float(np.log10(
-                r["n"] / totals[r["label"], len(r["word"]) if by_length else 0])))
+            rows_[at][column[label]] = max(-limits.penalty, float(np.log10(
+                n / totals[label, len(entry) if by_length else 0])))
         row_of.append(index)
     return Model(languages, row_of[0], row_of[1], np.array(rows_, dtype=np.float32).reshape(len(rows_), -1),
                  limits.longest)
