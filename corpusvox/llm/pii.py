@@ -4,8 +4,9 @@ The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers
 as it stands.  Then a chain of transducers writes the text plainly: homoglyphs, other scripts'
 digits, invisible characters, digits spelled as words, letters that stand for digits, and
 at/dot disguises.  Each keeps, for every character it writes, the span of source characters
-it came from; identifiers found in the plain text that the source disguises are mapped back
-through these spans and added, unless they overlap a base span of their kind.
+it came from; identifiers found in the plain text are mapped back through these spans and
+added, unless they lie inside a base span of their kind.  An added span may overlap base spans,
+which see only a part of a partly disguised identifier; the mask covers the union.
 
 Defined results: a null text counts as empty; spans are in code points, end exclusive, sorted
 by kind as listed and start; repeated rows each get a row; columns of the input that carry a
@@ -229,11 +230,9 @@ def added_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]
         at = 0
         for a, b in FIND[kind](p.text):
             s, e = p.start[a], p.end[b - 1]
-            if text[s:e] == p.text[a:b]:
-                continue
-            while at < len(known) and known[at][1] <= s:
+            while at < len(known) and known[at][1] < e:
                 at += 1
-            if at == len(known) or known[at][0] >= e:
+            if at == len(known) or known[at][0] > s:
                 out[kind].append((s, e))
     return out
 

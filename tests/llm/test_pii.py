@@ -51,6 +51,32 @@ def test_disguised_identifiers_map_back_to_their_source(text, kind, source):
     assert masked == text.replace(source, f"<{kind.upper()}>")
 
 
+PARTLY = [
+    ("to j\u043ehn@example.com now", "email", "j\u043ehn@example.com", "hn@example.com"),
+    ("to jo\u200bhn@example.com now", "email", "jo\u200bhn@example.com", "hn@example.com"),
+    ("to john dot smith@example.com now", "email", "john dot smith@example.com", "smith@example.com"),
+    ("to user@mail.example dot com", "email", "user@mail.example dot com", "user@mail.example"),
+    ("to john@example.c\u043em now", "email", "john@example.c\u043em", "john@example.c"),
+    ("to john@example.co\u200bm now", "email", "john@example.co\u200bm", "john@example.co"),
+    ("call +44 20 7946 o958 now", "phone", "+44 20 7946 o958", "+44 20 7946"),
+    ("at 192.168.1.1\uff17 now", "ip", "192.168.1.1\uff17", "192.168.1.1"),
+]
+
+
+@pytest.mark.parametrize("text,kind,source,part", PARTLY)
+def test_partly_disguised_identifiers_are_masked_whole(text, kind, source, part):
+    spans, masked = find_all(text, mask=True)
+    assert {(s["kind"], text[s["start"]:s["end"]], s["added"]) for s in spans} == {(kind, source, True), (kind, part, False)}
+    assert masked == text.replace(source, f"<{kind.upper()}>")
+
+
+def test_a_plain_identifier_is_not_added_again_beside_a_disguised_one():
+    text = "a.b@example.com and j\u043ehn@example.com and c@d.org, 1.2.3.4"
+    spans, masked = find_all(text, mask=True)
+    assert masked == "<EMAIL> and <EMAIL> and <EMAIL>, <IP>"
+    assert [text[s["start"]:s["end"]] for s in spans if s["added"]] == ["j\u043ehn@example.com"]
+
+
 @pytest.mark.parametrize("text", [
     "we met at noon and at six", "look at example.com", "one two three go", "a dot on the map", "10l of milk, 2O left",
     "un deux trois", "Привет мир", "", "(at) the [dot]"])
