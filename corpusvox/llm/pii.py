@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,7 @@ FIND = {"email": emails, "ip": ips, "card": cards, "phone": phones}
 # Letters of other scripts that look like Latin ones, and signs that look like ASCII ones.
 LOOKALIKES = dict(zip("АВЕЅІЈКМНОРСТХУаеѕіјорсхуһԁԛԝ", "ABESIJKMHOPCTXYaesijopcxyhdqw", strict=True))
 LOOKALIKES |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲ", "ABEZHIKMNOPTYXoc", strict=True))
+LOOKALIKES |= {"ſ": "s", "ı": "i", "İ": "I"}  # re.I takes them for s and i
 LOOKALIKES |= dict(zip("。․‧∙•﹒", "......", strict=True)) | {"﹫": "@", "﹢": "+", "﹪": "%"}
 LOOKALIKES |= dict.fromkeys("‐‑‒–—−﹣", "-")
 LOOKALIKES |= dict.fromkeys("             　", " ")
@@ -115,7 +117,10 @@ DIGIT_WORDS = {w: str(i) for words in (
     "cero uno dos tres cuatro cinco seis siete ocho nueve") for i, w in enumerate(words.split())}
 DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+(?={DIGIT}\b))?{DIGIT}(?:[ ,-]{{1,2}}{DIGIT})+(?!\w)", re.I)
+#: Numbers with dots between them; some may be single digit words.
+DOTTED = re.compile(rf"(?<!\w)(?:[0-9]++|{DIGIT})(?:(?:\s+dot\s+|\.)(?:[0-9]++|{DIGIT})(?!\w))+", re.I)
 ONE_SPELLED = re.compile(DIGIT, re.I)
+WORD = re.compile(r"\w+")
 
 MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OolI]++(?![A-Za-z0-9])")
 AS_DIGITS = str.maketrans("OolI", "0011")
@@ -128,6 +133,8 @@ BARE_DOT = re.compile(r"(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 #: A bare "at" counts only before a disguised dot, or after a name with a digit, dot or underscore inside.
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9-]+\s*(?:\sdot\s|[\[({<]\s*(?:dot|\.)\s*[\])}>]))", re.I)
 NAMED_AT = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z][A-Za-z0-9._%+-]*+)(\s+at\s+)(?=[A-Za-z0-9-]+\.[A-Za-z]{2})", re.I)
+#: What every match of NAMED_AT holds.
+AT_DOMAIN = re.compile(r"\sat\s+[A-Za-z0-9-]+\.[A-Za-z]{2}", re.I)
 INNER_SIGN = re.compile(r"[0-9._]")
 
 
@@ -141,6 +148,12 @@ def mixed_digits(m: re.Match) -> str:
     return m[0].translate(AS_DIGITS) if sum(c.isdigit() for c in m[0]) >= 2 else m[0]
 
 
+def dotted_words(text: str) -> Iterator[re.Match]:
+    """The digit words beside a dot that has a number on its other side."""
+    for run in DOTTED.finditer(text):
+        yield from ONE_SPELLED.finditer(text, *run.span())
+
+
 class Plain:
     """A text under rewriting, with the source span of each of its characters."""
 
@@ -151,8 +164,11 @@ class Plain:
 
     def rewrite(self, pattern: re.Pattern, write, group: int = 0) -> None:
         """Replace each match by ``write(match)``; what is written carries the whole match's source span."""
+        self.rewrite_all(pattern.finditer(self.text), write, group)
+
+    def rewrite_all(self, matches: Iterable[re.Match], write, group: int = 0) -> None:
         text, start, end, last = [], [], [], 0
-        for m in pattern.finditer(self.text):
+        for m in matches:
             new = write(m)
             a, b = m.span(group)
             if new == self.text[a:b] or a == b:
@@ -194,9 +210,9 @@ def disguised(text: str) -> bool:
         return True
     if "dot" in low or BRACKETED.search(low) or LETTER_BY_DIGIT.search(text):
         return True
-    if " at " in low and NAMED_AT.search(low):
+    if AT_DOMAIN.search(low):
         return True
-    return not DIGIT_WORDS.keys().isdisjoint(low.replace(",", " ").replace("-", " ").split())
+    return not DIGIT_WORDS.keys().isdisjoint(WORD.findall(low))
 
 
 def plain(text: str) -> Plain:
@@ -208,6 +224,7 @@ def plain(text: str) -> Plain:
     p.rewrite(BRACKET_DOT, lambda m: ".")
     p.rewrite(NAMED_AT, named_at, group=2)
     p.split_spelled()
+    p.rewrite_all(dotted_words(p.text), lambda m: DIGIT_WORDS[m[0].lower()])
     p.rewrite(BARE_DOT, lambda m: ".")
     p.rewrite(MIXED, mixed_digits)
     return p

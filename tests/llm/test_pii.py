@@ -4,7 +4,7 @@ import re
 import pytest
 from tests.llm.helpers import clashing, docs
 
-from corpusvox.llm.pii import KINDS, base_spans, find_all, find_pii, luhn, plain
+from corpusvox.llm.pii import KINDS, base_spans, disguised, find_all, find_pii, luhn, plain
 
 
 def plain_regex(text):
@@ -77,6 +77,38 @@ def test_a_plain_identifier_is_not_added_again_beside_a_disguised_one():
     assert [text[s["start"]:s["end"]] for s in spans if s["added"]] == ["j\u043ehn@example.com"]
 
 
+@pytest.mark.parametrize("text,kind,source", [
+    ("host one nine two dot one six eight dot one dot seven up", "ip", "one nine two dot one six eight dot one dot seven"),
+    ("host 10 dot zero dot Zero dot five.", "ip", "10 dot zero dot Zero dot five"),
+    ("host ten 10 [dot] eins (dot) 0 dot\nfünf", "ip", "10 [dot] eins (dot) 0 dot\nfünf"),
+    ("host (192.one two.1.7)", "ip", "192.one two.1.7"),
+    ("host one.two.three.four", "ip", "one.two.three.four"),
+    ("to john.doe at\nexample.com", "email", "john.doe at\nexample.com"),
+    ("to john.doe\tat\t example.com", "email", "john.doe\tat\t example.com"),
+    ("call plus\u0131 plus four four two zero s\u0131x nine four \u017fix zero nine five eight", "phone",
+     "plus four four two zero s\u0131x nine four \u017fix zero nine five eight"),
+])
+def test_a_disguise_is_found_whatever_else_the_text_has(text, kind, source):
+    for more in ("", " and 1 dot 2, a1l, one two"):
+        spans, masked = find_all(text + more, mask=True)
+        assert [(s["kind"], (text + more)[s["start"]:s["end"]]) for s in spans] == [(kind, source)]
+        assert masked == (text + more).replace(source, f"<{kind.upper()}>")
+
+
+def test_the_shortcut_skips_no_text_that_the_transducers_change():
+    rng = random.Random(7)
+    parts = ["at", "dot", "[at]", "(dot)", "one", "zwei", "Un", "plus", "x_y", "a.b", "ex.com", "1", "10", "l", "@", "\u043e",
+             " ", " ", "  ", "\n", "\t", ".", ",", "-", "(", "\u0131", "\u017f", "K"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        assert disguised(text) or plain(text).text == text, text
+
+
+@pytest.mark.parametrize("text", ["one." * 50_000, "1 dot " * 50_000, "1" * 200_000 + ".one", "a at " * 50_000, " at" + " " * 200_000])
+def test_dotted_words_take_linear_time(text):
+    find_all(text)
+
+
 @pytest.mark.parametrize("text", [
     "we met at noon and at six", "look at example.com", "one two three go", "a dot on the map", "10l of milk, 2O left",
     "un deux trois", "Привет мир", "", "(at) the [dot]"])
