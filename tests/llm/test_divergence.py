@@ -40,6 +40,27 @@ def test_divergent_text_fails_and_short_text_is_not_judged(spark):
     assert got[101].class_distance is None and got[101].word_distance is None and got[101].kept
 
 
+def junk_rows():
+    """500 texts of one label; 30 common words are 24 % of their words, all others are rare."""
+    rows = []
+    for i in range(500):
+        words = [f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}ing{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k // 26)}{chr(97 + k % 26)}"
+                 for k in range(100)]
+        for k in range(24):
+            words[4 * k] = f"the{chr(97 + (i * 24 + k) % 30 // 10)}{chr(97 + (i * 24 + k) % 10)}"
+        rows.append((i, " ".join(words), "en"))
+    rare = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}oneword" for k in range(120)]
+    return [*rows, (900, " ".join(rare), "en"), (901, " ".join(w + "&&&" if k % 5 else w + "%%" for k, w in enumerate(rows[0][1].split())), "en")]
+
+
+def test_text_without_common_words_and_words_ending_in_symbols_are_dropped(spark):
+    got = {r.doc_id: r for r in quality_verdicts(docs(spark, junk_rows())).collect()}
+    assert all(got[i].kept for i in range(500))
+    assert not got[900].base_failed and got[900].class_distance < 0.25 and 0.35 < got[900].word_distance < 0.38
+    assert not got[900].kept
+    assert not got[901].base_failed and 0.25 < got[901].class_distance and not got[901].kept
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert quality_verdicts(docs(spark, [])).count() == 0
     out = quality_verdicts(clashing(docs(spark), "kept", "N_Words", "label", "_label", "extra"))
