@@ -4,7 +4,8 @@ Texts are cut into units (lines, or paragraphs between blank lines), each unit i
 (lower case, white space runs made one blank) and hashed to 128 bits.  Digests are grouped
 globally; the occurrence with the least rank (document id, text hash, offset) stays, every
 other one is removed and reported with its offsets in the original text.  Units of fewer than
-``min_words`` words are left alone: short ones coincide by chance.
+``min_words`` words are left alone: short ones coincide by chance.  With ``min_words=1`` every
+unit that is not blank counts, whatever its length or script.
 
 Defined results: a null text has no units; a null id ranks last; rows equal in id and text are
 one document and fare alike; an empty table gives an empty result; offsets are code points,
@@ -49,7 +50,7 @@ def units_of(text: str | None, unit: str = "line", min_words: int = 15) -> list[
     cuts = [m.span() for m in SEPARATORS[unit].finditer(text)]
     for a, b in [*cuts, (len(text), len(text))]:
         plain = normalised(text[at:a])
-        if plain.count(" ") + 1 >= min_words:
+        if plain and plain.count(" ") + 1 >= min_words:
             out.append({"start": at, "end": a, "digest": xxhash.xxh3_128_digest(plain.encode())})
         at = b
     return out

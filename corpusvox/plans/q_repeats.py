@@ -1,0 +1,40 @@
+"""Repeated units of ``documents`` without a bound on their length, by line and by paragraph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusvox.plans.registry import register
+
+
+def units_sql(separator: str) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, string_split_regex(text, '{separator}') AS l,
+                  regexp_extract_all(text, '{separator}') AS s FROM documents WHERE text IS NOT NULL),
+cuts AS (SELECT doc_id, unnest(l) AS x, unnest(list_append(s, '')) AS sep, generate_subscripts(l, 1) AS i FROM d),
+placed AS (SELECT doc_id, x, coalesce(sum(length(x) + length(sep)) OVER (
+             PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM cuts),
+units AS (SELECT doc_id, start, start + length(x)::INT AS stop,
+                 list_filter(string_split_regex(lower(nfc_normalize(x)), '\\s+'), lambda w: w <> '') AS w FROM placed),
+ranked AS (SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start,
+                  row_number() OVER g AS r FROM units WHERE len(w) > 0
+           WINDOW g AS (PARTITION BY w ORDER BY doc_id, start))
+SELECT doc_id, start, stop AS "end", first_doc_id, first_start FROM ranked WHERE r > 1"""
+
+
+def repeats(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+    from corpusvox.llm.queries import table
+    from corpusvox.llm.repeats import repeated_units
+
+    return repeated_units(table(spark, sf_dir, "documents", "doc_id", "text"), unit=unit, min_words=1).select(
+        "doc_id", "start", "end", "first_doc_id", "first_start")
+
+
+@register("every_line_dedup", units_sql("\\n"))
+def every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(spark, sf_dir, "line")
+
+
+@register("every_paragraph_dedup", units_sql("\\n[^\\S\\n]*\\n\\s*"))
+def every_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(spark, sf_dir, "paragraph")

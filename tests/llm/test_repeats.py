@@ -1,5 +1,9 @@
+import duckdb
+import pytest
+from tests.conftest import SMOKE
 from tests.llm.helpers import clashing, docs
 
+import __spark_entry__ as entry
 from corpusvox.llm.repeats import normalised, repeated_units, units_of, without_repeats
 
 A = " ".join(f"alpha{i}" for i in range(16))
@@ -29,6 +33,28 @@ def test_first_occurrence_stays_and_the_rest_goes(spark):
     assert [tuple(x) for r in out if r.doc_id == 2 for x in r.removed] == [(0, len(A))]
 
 
+def test_every_unit_that_is_not_blank_counts_without_a_bound(spark):
+    rows = [(1, "Short line\n\n \nsame\n東京都に住む人々は、\nend", "x"), (2, "short  LINE\n\nsame\n東京都に住む人々は、\n\nother", "x")]
+    df = docs(spark, rows)
+    assert repeated_units(df).count() == 0
+    got = {(r.doc_id, r.start, r.first_doc_id, r.first_start) for r in repeated_units(df, min_words=1).collect()}
+    assert got == {(2, 0, 1, 0), (2, 13, 1, 14), (2, 18, 1, 19)}
+    out = {r.doc_id: r.text for r in without_repeats(df, min_words=1).collect()}
+    assert out == {1: rows[0][1], 2: "\n\nother"}
+    verse = "a b\nc d"
+    two = docs(spark, [(1, f"x\n\n{verse}", "x"), (2, f"{verse}\n \n y", "x")])
+    assert [(r.doc_id, r.start, r.end) for r in repeated_units(two, unit="paragraph", min_words=1).collect()] == [(2, 0, 7)]
+
+
+@pytest.mark.parametrize("name", ["every_line_dedup", "every_paragraph_dedup"])
+def test_unbounded_queries_equal_their_sql(spark, name):
+    got = entry.queries()[name](spark, SMOKE)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMOKE}/documents.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).fetchall()
+    assert want and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
 def test_empty_table(spark):
     assert repeated_units(docs(spark, [])).count() == 0
     assert without_repeats(docs(spark, [])).count() == 0
