@@ -141,3 +141,10 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_texts(docs, fit(ratings, docs)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.round("expected_grade", 9).alias("expected_grade"),
         F.round("tail_prob", 9).alias("tail_prob"), "kept")
+
+
+@register("op13_phrase_collocations", sql.OP13)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))

@@ -146,3 +146,38 @@ ranked AS (SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(sta
                   row_number() OVER g AS r FROM units WHERE len(w) >= 15
            WINDOW g AS (PARTITION BY w ORDER BY doc_id, start))
 SELECT doc_id, start, stop AS "end", first_doc_id, first_start FROM ranked WHERE r > 1"""
+
+
+def phrases_sql(max_words: int = 5, min_count: int = 100, top: int = 2000, covered_percent: int = 100) -> str:
+    """Collocations: every n-gram counted by its text."""
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {m} AS size, array_to_string(w[i:i + {m - 1}], ' ') AS phrase FROM spots WHERE i + {m - 1} <= len(w)"
+        for m in range(1, max_words + 1))
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents WHERE text IS NOT NULL),
+ws AS (SELECT lang, list_filter(string_split_regex(p, '[ \\t]+'), lambda w: w <> '') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM ws WHERE len(w) > 0),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM ({grams}) GROUP BY ALL HAVING count(*) >= {min_count}),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+         FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c)),
+scores AS (SELECT cuts.*, fl.a AS l, fr.a AS r, n, (1000::HUGEINT * cuts.a * n) // (fl.a::HUGEINT * fr.a) AS score
+           FROM cuts JOIN f fl ON fl.lang = cuts.lang AND fl.phrase = x JOIN f fr ON fr.lang = cuts.lang AND fr.phrase = y
+           JOIN totals ON totals.lang = cuts.lang),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+             SELECT *, unnest(generate_series(1, size - m + 1)) AS i FROM (
+               SELECT *, unnest(generate_series(2, size - 1)) AS m FROM c WHERE size > 2))),
+covers AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+ranked AS (SELECT lowest.*, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, lowest.a DESC,
+                                              lowest.phrase) AS rank
+           FROM lowest LEFT JOIN covers ON covers.lang = lowest.lang AND covers.phrase = lowest.phrase
+           WHERE longer IS NULL OR 100 * longer < {covered_percent} * lowest.a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= {top}"""
+
+
+OP13 = phrases_sql()

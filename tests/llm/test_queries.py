@@ -8,7 +8,8 @@ NAMES = sorted(QUERIES)
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    numbers = [int(n[2:].split("_")[0]) for n in NAMES]
+    assert len(set(numbers)) == len(numbers) and set(range(1, 11)) <= set(numbers)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
