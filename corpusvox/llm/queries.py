@@ -148,3 +148,13 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusvox.llm.collocations import collocations
 
     return collocations(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@register("op12_norm_of_sum_codes", sql.OP12)
+def op12_norm_of_sum_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusvox.llm.vector_codes import quantise, with_group_error
+
+    coded, books = quantise(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return with_group_error(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(books.digest() if books else "").alias("codebooks_sha256"))

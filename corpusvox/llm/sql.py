@@ -181,3 +181,35 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE
 
 
 OP13 = phrases_sql()
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """A product quantiser by full search, its rounds written out."""
+    def nearest(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (
+  SELECT rid, x.p, x.s, j, list_sum(list_transform(list_zip(x.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM x JOIN c{r} c ON c.p = x.p QUALIFY row_number() OVER (PARTITION BY rid, x.p ORDER BY d, j) = 1)"""
+
+    def moved(r: int) -> str:
+        return f"""m{r} AS (SELECT p, j, i, sum(y)::HUGEINT AS t, count(*) AS n FROM (
+  SELECT p, j, unnest(s) AS y, generate_subscripts(s, 1) AS i FROM a{r}) GROUP BY ALL),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.j, coalesce(e.s, c.s) AS s FROM c{r} c LEFT JOIN (
+  SELECT p, j, list((((t - ((t % n) + n) % n) // n)::BIGINT) ORDER BY i) AS s FROM m{r} GROUP BY p, j) e
+  ON e.p = c.p AND e.j = c.j)"""
+    steps = ", ".join(f"{nearest(r)}, {moved(r)}" for r in range(rounds))
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+             list_transform(embedding, lambda y: floor({scale} * y::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS s
+                   FROM v, generate_series(0, {parts - 1}) g(p)),
+c0 AS MATERIALIZED (SELECT p, rid - 1 AS j, s FROM x WHERE rid <= {entries}),
+{steps},
+{nearest(rounds)},
+total AS (SELECT rid, string_agg(lower(printf('%02x', j)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM v JOIN total USING (rid), books"""
+
+
+OP12 = codes_sql()
