@@ -158,3 +158,16 @@ def op12_norm_of_sum_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_group_error(coded).select(
         "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
         F.lit(books.digest() if books else "").alias("codebooks_sha256"))
+
+
+@register("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusvox.llm.byte_bpe import encode, load_vocabulary
+
+    vocabulary = load_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = encode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
