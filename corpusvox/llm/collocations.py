@@ -6,18 +6,22 @@ and a second one over the word hashes gives every n-gram its 64-bit fingerprint,
 multiplication each.  The work runs in levels:
 
 1. Level n counts the fingerprints of the n-grams whose two (n-1)-grams may be frequent.
-   Each task counts its own fingerprints first and shuffles one row for each, with the count
-   and a pointer (document, word) to an occurrence; sums of ``min_count`` or more are frequent.
+   Each task sums its own first and writes them as arrays, one row for each range of hash
+   values; a range is merged in one place, and sums of ``min_count`` or more are frequent.
+   There are 16 ranges for each shuffle partition, so a range holds a small share of a task.
 2. The frequent fingerprints of a level become a Bloom filter for the next one.  The filter
    has at most ``MAX_BITS`` bits however many there are, so what is broadcast is bounded; a
-   false positive costs a shuffled row and changes no result, and there are no false negatives.
+   false positive costs a counted fingerprint and changes no result, and there are no false
+   negatives.
 3. The last pass reads the texts again.  Each task takes the n-grams that pass the filters,
    compares their words one by one with the representative of their fingerprint (colliding
-   n-grams get rows of their own) and materialises each distinct phrase once.  The counts are
-   then summed by language and *text*, so a collision can neither join nor split phrases.
+   n-grams get entries of their own) and materialises each distinct phrase once, with its
+   count and a pointer (document, word) to an occurrence.  The counts are then summed by
+   language and *text*, so a collision can neither join nor split phrases.
 
 ``f`` of every part of a frequent phrase is at least that of the phrase, so the parts' counts
-are in the same table: scores are equi-joins, exact in decimal arithmetic.
+are in the same table: scores are equi-joins, exact in decimal arithmetic.  A join key that many
+phrases share (a common first word) is split by AQE's skew join.
 
 Defined results: a null text is empty; a null lang is ``und`` and shares the group of rows
 that say ``und``; ids may be null or repeated (they only serve the pointers); repeated rows
@@ -31,10 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusvox.llm.common import quoted, shuffle_partitions
+from corpusvox.llm.common import BROADCAST_ROWS, quoted, shuffle_partitions
 from corpusvox.session import cut_lineage
 
 #: Bytes of text hashed at once; a piece is never cut, so a longer piece makes a longer chunk.
@@ -44,12 +49,15 @@ HELD = 2_000_000
 #: Bits of a filter at most (8 MiB).
 MAX_BITS = 1 << 26
 PROBES = 5
+#: Stands for a null id in arrays.
+NO_ID = np.iinfo(np.int64).min
 
 #: Byte classes: 1 parts words, 2 parts pieces.
 KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
 KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 LOWER = bytes(range(256)).lower()
+BLANKS = bytes(32 if k else i for i, k in enumerate(KIND.tolist()))
 PIECE_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -201,42 +209,45 @@ def changes(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def summed(h: np.ndarray, n: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct ``h`` with the sums of ``n`` and the first row's values of ``rest``."""
-    order = np.argsort(h, kind="stable")
+def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``h``, ascending, with the sums of ``n``."""
+    order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(changes(h))
-    return (h[first], np.add.reduceat(n[order], first) if len(h) else n, *[x[order[first]] for x in rest])
+    return h[first], np.add.reduceat(n[order], first) if len(h) else n
+
 
+#: A task's sums for one range of fingerprints: whole arrays in a row, so that rows stay few.
+PACKED = "bucket long, h binary, n binary"
+COUNTED = "h long, n long"
+TOTALS = "lang string, n long"
 
-COUNTED = "h long, lang string, n long, doc long, word long"
 
+def buckets_of(h: np.ndarray, n_buckets: int) -> list[tuple[int, slice]]:
+    """The non-empty ranges of sorted fingerprints, cut into ``n_buckets`` equal ranges of hash values."""
+    width = (1 << 64) // n_buckets + 1
+    cuts = np.searchsorted(h, np.array([i * width for i in range(1, n_buckets)], np.uint64))
+    ends = [0, *cuts.tolist(), len(h)]
+    return [(i, slice(a, b)) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
 
-def fingerprint_counts(docs: DataFrame, n: int, before) -> DataFrame:
-    """(h, lang, n, doc, word): for each task and fingerprint of length ``n`` a count and an occurrence.
 
-    ``before`` is the broadcast filter of length n - 1 (none for single words).  At n = 1 the number of all words of each lang is added, as rows without ``h``."""
+def fingerprint_counts(docs: DataFrame, n: int, before, n_buckets: int) -> DataFrame:
+    """(bucket, h, n): each task's fingerprints of length ``n`` and their counts.
+
+    ``before`` is the broadcast filter of length n - 1 (none for single words)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = before.value if before else None
         held: list[tuple[np.ndarray, ...]] = []
-        totals: dict[str, int] = {}
         size = 0
 
-        def written(h, c, doc, word) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(h), 1 << 16):
-                s = slice(at, at + (1 << 16))
+        def written(h, c) -> Iterator[pa.RecordBatch]:
+            for bucket, s in buckets_of(h, n_buckets):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[s].view(np.int64)), pa.nulls(len(h[s]), pa.string()), pa.array(c[s]),
-                     pa.array(doc[s], mask=doc[s] == NO_ID), pa.array(word[s])], names=["h", "lang", "n", "doc", "word"])
+                    [pa.array([bucket]), pa.array([h[s].tobytes()]), pa.array([c[s].tobytes()])], names=["bucket", "h", "n"])
 
-        for words, langs, ids, first in chunks_of(batches):
-            if n == 1:
-                for lang, k in zip(langs, np.bincount(words.doc, minlength=len(langs)).tolist(), strict=True):
-                    totals[lang] = totals.get(lang, 0) + k
-            here = words.starts(n, bits)
-            doc = words.doc[here]
-            numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
-            held.append(summed(words.grams(n)[here], np.ones(len(here), np.int64), numbers[doc], here - first[doc]))
+        for words, *_ in chunks_of(batches):
+            h = words.grams(n)[words.starts(n, bits)]
+            held.append(summed(h, np.ones(len(h), np.int64)))
             size += len(held[-1][0])
             if size > HELD:
                 held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
@@ -246,15 +257,29 @@ def fingerprint_counts(docs: DataFrame, n: int, before) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from written(*summed(*map(np.concatenate, zip(*held, strict=True))))
-        if totals:
-            k = len(totals)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.array(list(totals)), pa.array(list(totals.values()), pa.int64()),
-                 pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["h", "lang", "n", "doc", "word"])
-    return docs.mapInArrow(count, COUNTED)
+    return docs.mapInArrow(count, PACKED)
 
 
-NO_ID = np.iinfo(np.int64).min
+def frequent_fingerprints(packed: DataFrame, min_count: int) -> DataFrame:
+    """(h, n): the fingerprints whose counts sum to ``min_count`` or more."""
+    def merge(rows: pa.Table) -> pa.Table:
+        h, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("n", np.int64)))
+        h, n = summed(h, n)
+        kept = n >= min_count
+        return pa.table({"h": h[kept].view(np.int64), "n": n[kept]})
+    return packed.groupBy("bucket").applyInArrow(merge, COUNTED)
+
+
+def word_totals(docs: DataFrame) -> DataFrame:
+    """(lang, n): all words of each language."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, int] = {}
+        for b in batches:
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + (len(text.translate(BLANKS).split()) if text else 0)
+        yield pa.RecordBatch.from_pydict({"lang": list(totals), "n": list(totals.values())},
+                                         schema=pa.schema([("lang", pa.string()), ("n", pa.int64())]))
+    return docs.mapInArrow(count, TOTALS).groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def filter_bits(h: DataFrame, n_rows: int) -> np.ndarray:
@@ -313,11 +338,14 @@ class Lexicon:
         return out
 
 
-PHRASES = "lang string, size int, phrase string, a long"
+PACKED_PHRASES = "bucket long, lang array<string>, phrase array<string>, size array<int>, a array<long>, doc array<long>, word array<long>"
+PHRASES = "lang string, size int, phrase string, a long, doc long, word long"
+COLUMNS = ("lang", "phrase", "size", "a", "doc", "word")
 
 
-def exact_counts(docs: DataFrame, filters: list) -> DataFrame:
-    """(lang, size, phrase, a) for each task and each n-gram that passes the filters, compared word by word."""
+def exact_counts(docs: DataFrame, filters: list, n_buckets: int) -> DataFrame:
+    """(bucket, lists): for each task the n-grams that pass the filters, compared word by word, each
+    with its count and a pointer (document, word) to an occurrence."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [f.value for f in filters]
         longest = len(bits)
@@ -325,58 +353,80 @@ def exact_counts(docs: DataFrame, filters: list) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def written(h, c, keys) -> Iterator[pa.RecordBatch]:
+        def written(h, c, keys, doc, word) -> Iterator[pa.RecordBatch]:
             names = list(numbers)
-            for at in range(0, len(h), 1 << 15):
-                rows = keys[at:at + (1 << 15)]
+            for bucket, s in buckets_of(h, n_buckets):
+                rows = keys[s]
                 text = [b" ".join([lexicon.words[i] for i in r if i >= 0]).decode("utf-8", "replace")
                         for r in rows[:, 1:].tolist()]
+                values = {"lang": [names[i] for i in rows[:, 0].tolist()], "phrase": text,
+                          "size": (rows[:, 1:] >= 0).sum(axis=1).astype(np.int32), "a": c[s],
+                          "doc": pa.array(doc[s], mask=doc[s] == NO_ID), "word": word[s]}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in rows[:, 0].tolist()]),
-                     pa.array((rows[:, 1:] >= 0).sum(axis=1).astype(np.int32)), pa.array(text),
-                     pa.array(c[at:at + (1 << 15)])], names=["lang", "size", "phrase", "a"])
+                    [pa.array([bucket]), *[listed(values[k]) for k in COLUMNS]], names=["bucket", *COLUMNS])
 
-        for words, langs, _, _ in chunks_of(batches):
+        for words, langs, ids, first in chunks_of(batches):
             lang = np.array([numbers.setdefault(x, len(numbers)) for x in langs], np.int64)
-            ids = lexicon.numbers(words, passing(words.grams(1), bits[0]))
+            docs_of = np.array([NO_ID if i is None else i for i in ids], np.int64)
+            number = lexicon.numbers(words, passing(words.grams(1), bits[0]))
             for n in range(1, longest + 1):
                 here = words.whole(n)
                 h = words.grams(n)[here]
                 ok = passing(h, bits[n - 1])
-                ok = ok[np.all([ids[here[ok] + j] >= 0 for j in range(n)], axis=0)]
+                ok = ok[np.all([number[here[ok] + j] >= 0 for j in range(n)], axis=0)]
                 here, h = here[ok], h[ok]
                 keys = np.full((len(here), longest + 1), -1, np.int32)
-                keys[:, 0] = lang[words.doc[here]]
+                doc = words.doc[here]
+                keys[:, 0] = lang[doc]
                 for j in range(n):
-                    keys[:, j + 1] = ids[here + j]
-                held.append(distinct(h, np.ones(len(h), np.int64), keys))
+                    keys[:, j + 1] = number[here + j]
+                held.append(distinct(h, np.ones(len(h), np.int64), keys, docs_of[doc], here - first[doc]))
                 size += len(held[-1][0])
             if size > HELD:
                 held = [distinct(*map(np.concatenate, zip(*held, strict=True)))]
                 size = len(held[0][0])
             if size > HELD // 2 or len(lexicon.words) > HELD // 4:
-                for part in held:
-                    yield from written(*part)
+                yield from written(*distinct(*map(np.concatenate, zip(*held, strict=True))))
                 held, size, lexicon = [], 0, Lexicon()
         if held:
             yield from written(*distinct(*map(np.concatenate, zip(*held, strict=True))))
-    return docs.mapInArrow(count, PHRASES)
+    return docs.mapInArrow(count, PACKED_PHRASES)
+
+
+def listed(values) -> pa.Array:
+    flat = values if isinstance(values, pa.Array) else pa.array(values)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+
+
+def frequent_phrases(packed: DataFrame, min_count: int) -> DataFrame:
+    """Counts summed by language and text; equal texts have equal fingerprints and so one bucket."""
+    def merge(rows: pa.Table) -> pa.Table:
+        flat = pa.table({c: pa.concat_arrays([x.flatten() for x in rows.column(c).chunks]) for c in COLUMNS})
+        flat = flat.sort_by([("lang", "ascending"), ("phrase", "ascending"), ("doc", "ascending"), ("word", "ascending")])
+        sums = flat.group_by(["lang", "phrase"], use_threads=False).aggregate(
+            [("a", "sum"), ("size", "first"), ("doc", "first"), ("word", "first")])
+        sums = sums.filter(pc.greater_equal(sums.column("a_sum"), min_count))
+        return pa.table({"lang": sums.column("lang"), "size": sums.column("size_first"), "phrase": sums.column("phrase"),
+                         "a": sums.column("a_sum"), "doc": sums.column("doc_first"), "word": sums.column("word_first")})
+    return packed.groupBy("bucket").applyInArrow(merge, PHRASES)
+
 
+def distinct(h: np.ndarray, n: np.ndarray, keys: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of ``n`` by ``keys``: grouped by fingerprint, and each row's key compared with its group's first.
 
-def distinct(h: np.ndarray, n: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of ``n`` by ``keys``: grouped by fingerprint, and each row's key compared with its group's first."""
+    ``rest`` keeps the first row's values."""
     if not len(h):
-        return h, n, keys
+        return h, n, keys, *rest
     order = np.argsort(h, kind="stable")
     h, n, keys = h[order], n[order], keys[order]
     first = changes(h)
     at = np.flatnonzero(first)
     if not (keys == keys[at][np.cumsum(first) - 1]).all():  # fingerprints collide: order by the keys themselves
-        order = np.lexsort([*keys.T[::-1], h])
-        h, n, keys = h[order], n[order], keys[order]
+        again = np.lexsort([*keys.T[::-1], h])
+        h, n, keys, order = h[again], n[again], keys[again], order[again]
         first[1:] = (h[1:] != h[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)
         at = np.flatnonzero(first)
-    return h[at], np.add.reduceat(n, at), keys[at]
+    return h[at], np.add.reduceat(n, at), keys[at], *[x[order[at]] for x in rest]
 
 
 def score_of(a: Column, n: Column, l: Column, r: Column) -> Column:
@@ -386,30 +436,23 @@ def score_of(a: Column, n: Column, l: Column, r: Column) -> Column:
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-                  max_words: int = 5, min_count: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: (lang, size, phrase, a) of every phrase of 1 to ``max_words`` words that
-    occurs ``min_count`` times or more; (lang, n) of all words; (size, h, n, doc, word) of the
-    frequent fingerprints with an occurrence of each."""
+                  max_words: int = 5, min_count: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(lang, size, phrase, a, doc, word) of every phrase of 1 to ``max_words`` words that occurs
+    ``min_count`` times or more, with a pointer to an occurrence; and (lang, n) of all words."""
     spark = docs.sparkSession
     rows = docs.select(F.col(quoted(text)).cast("binary").alias("text"),
                        F.coalesce(F.col(quoted(lang)).cast("string"), F.lit("und")).alias("lang"),
                        F.col(quoted(doc_id)).cast("long").alias("doc"))
-    filters, pointers, totals = [], None, None
+    n_buckets = 16 * shuffle_partitions(spark)
+    filters = []
     for n in range(1, max_words + 1):
-        sums = fingerprint_counts(rows, n, filters[-1] if filters else None).groupBy("h", "lang").agg(
-            F.sum("n").alias("n"), F.min("doc").alias("doc"),
-            F.min_by("word", F.coalesce("doc", F.lit((1 << 63) - 1))).alias("word"))
-        counted = cut_lineage(sums.where(F.col("h").isNull() | (F.col("n") >= min_count)))
-        totals = counted.where("h IS NULL").select("lang", "n") if n == 1 else totals
-        some = counted.where("h IS NOT NULL")
-        filters.append(spark.sparkContext.broadcast(filter_bits(some, some.count())))
-        some = some.select(F.lit(n).alias("size"), "h", "n", "doc", "word")
-        pointers = some if pointers is None else pointers.unionByName(some)
-    phrases = exact_counts(rows, filters).groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
-    phrases = cut_lineage(phrases.where(F.col("a") >= min_count))
+        packed = fingerprint_counts(rows, n, filters[-1] if filters else None, n_buckets)
+        frequent = cut_lineage(frequent_fingerprints(packed, min_count))
+        filters.append(spark.sparkContext.broadcast(filter_bits(frequent, frequent.count())))
+    phrases = cut_lineage(frequent_phrases(exact_counts(rows, filters, n_buckets), min_count))
     for f in filters:
         f.unpersist()
-    return phrases, totals, pointers
+    return phrases, word_totals(rows)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
@@ -418,7 +461,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
 
     The score of a phrase is that of its lowest-scoring cut, the first of equals.  A phrase that
     lies inside a longer frequent one with at least ``covered_percent`` of its count is dropped."""
-    phrases, totals, _ = phrase_counts(docs, text, lang, doc_id, max_words, min_count)
+    phrases, totals = phrase_counts(docs, text, lang, doc_id, max_words, min_count)
+    totals = cut_lineage(totals)
     found = phrases.where("size >= 2")
     words = F.split("phrase", " ", -1)
     cuts = found.withColumn("w", words).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).select(
@@ -427,7 +471,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
     parts = phrases.where(F.col("size") < max_words)
     cuts = (cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("a").alias("l")), ["lang", "left"])
             .join(parts.select("lang", F.col("phrase").alias("right"), F.col("a").alias("r")), ["lang", "right"])
-            .join(F.broadcast(totals) if totals.count() <= 4096 else totals, "lang"))
+            .join(F.broadcast(totals) if totals.count() <= BROADCAST_ROWS else totals, "lang"))
     cuts = cuts.withColumn("score", score_of(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
     place = F.col("score") * 8 + F.col("k") if max_words <= 8 else F.col("score") * max_words + F.col("k")
     scored = cuts.withColumn("place", place).groupBy("lang", "phrase", "a", "n").agg(
