@@ -108,12 +108,26 @@ def op8_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def repeats(spark: SparkSession, sf_dir: str, unit: str, **limits: int) -> DataFrame:
+    from corpusvox.llm.repeats import repeated_units
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return repeated_units(docs, unit=unit, **limits).select("doc_id", "start", "end", "first_doc_id", "first_start")
+
+
 @register("op3_line_hash_dedup", sql.OP3)
 def op3_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpusvox.llm.repeats import repeated_units
+    return repeats(spark, sf_dir, "passage")
+
+
+@register("every_line_dedup", sql.units_sql("\\n"))
+def every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(spark, sf_dir, "line", min_chars=1)
+
 
-    return repeated_units(table(spark, sf_dir, "documents", "doc_id", "text")).select(
-        "doc_id", "start", "end", "first_doc_id", "first_start")
+@register("every_paragraph_dedup", sql.units_sql("\\n[^\\S\\n]*\\n\\s*"))
+def every_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(spark, sf_dir, "paragraph", min_chars=1)
 
 
 @register("op10_association_urls", sql.OP10)

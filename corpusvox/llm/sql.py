@@ -135,19 +135,54 @@ SELECT page_id, host, path, {listed_sql(1)} AS rule,
 FROM p LEFT JOIN caught USING (k)"""
 
 
-OP3 = """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d),
-placed AS (SELECT doc_id, x, coalesce(sum(length(x) + 1) OVER (
-             PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM lines),
-units AS (SELECT doc_id, start, start + length(x)::INT AS stop,
-                 list_filter(string_split_regex(lower(nfc_normalize(x)), '\\s+'), lambda w: w <> '') AS w FROM placed),
+def placed_sql(separator: str) -> str:
+    """(doc_id, x, start) of the parts of each text between the separators."""
+    return f"""SELECT doc_id, x, coalesce(sum(length(x) + length(sep)) OVER (
+             PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM (
+  SELECT doc_id, unnest(string_split_regex(text, '{separator}')) AS x,
+         unnest(list_append(regexp_extract_all(text, '{separator}'), '')) AS sep,
+         generate_subscripts(string_split_regex(text, '{separator}'), 1) AS i FROM documents WHERE text IS NOT NULL)"""
+
+
+PLAIN = "array_to_string(list_filter(string_split_regex(lower(nfc_normalize(x)), '\\s+'), lambda w: w <> ''), ' ')"
+FIRST = """
 ranked AS (SELECT *, first_value(doc_id) OVER g AS first_doc_id, first_value(start) OVER g AS first_start,
-                  row_number() OVER g AS r FROM units WHERE len(w) >= 15
-           WINDOW g AS (PARTITION BY w ORDER BY doc_id, start))
+                  rank() OVER g AS r FROM units WINDOW g AS (PARTITION BY plain ORDER BY doc_id, start))
 SELECT doc_id, start, stop AS "end", first_doc_id, first_start FROM ranked WHERE r > 1"""
 
 
+def units_sql(separator: str) -> str:
+    return f"""
+WITH placed AS ({placed_sql(separator)}),
+units AS (SELECT doc_id, start, start + length(x)::INT AS stop, {PLAIN} AS plain FROM placed WHERE {PLAIN} <> ''),{FIRST}"""
+
+
+def passages_sql(min_chars: int = 90) -> str:
+    """Lines, paragraphs of several lines, and runs of sentences, each span once."""
+    lines, paragraphs = placed_sql("\\n"), placed_sql("\\n[^\\S\\n]*\\n\\s*")
+    return f"""
+WITH whole AS (SELECT doc_id, start, start + length(x)::INT AS stop, {PLAIN} AS plain FROM (
+  {lines} UNION ALL SELECT * FROM ({paragraphs}) WHERE contains(x, chr(10)))),
+cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t]', '\\1' || chr(10), 'g'), chr(10)) AS l
+        FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM cut),
+placed AS (SELECT doc_id, x, i, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM pieces),
+sentences AS (SELECT doc_id, start, start + length(x)::INT AS stop, {PLAIN} AS plain,
+                     row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM placed WHERE {PLAIN} <> ''),
+sums AS (SELECT *, sum(length(plain) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM sentences),
+runs AS (SELECT a.doc_id, a.start, a.i, min(b.i) AS j FROM sums a JOIN sums b
+         ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + {min_chars}
+            AND b.upto - a.upto + length(a.plain) >= {min_chars} GROUP BY a.doc_id, a.start, a.i),
+taken AS (SELECT runs.doc_id, runs.start, max(s.stop) AS stop, string_agg(s.plain, ' ' ORDER BY s.i) AS plain
+          FROM runs JOIN sentences s ON s.doc_id = runs.doc_id AND s.i BETWEEN runs.i AND runs.j GROUP BY runs.doc_id, runs.start),
+units AS (SELECT DISTINCT doc_id, start, stop, plain FROM (
+  SELECT doc_id, start, stop, plain FROM whole WHERE length(plain) >= {min_chars} UNION ALL SELECT * FROM taken)),{FIRST}"""
+
+
+OP3 = passages_sql()
+
+
 def phrases_sql(max_words: int = 5, min_count: int = 100, top: int = 2000, covered_percent: int = 100) -> str:
     """Collocations: every n-gram counted by its text."""
     grams = " UNION ALL ".join(
