@@ -8,7 +8,7 @@ multiplication each.  The work runs in levels:
 1. Level n counts the fingerprints of the n-grams whose two (n-1)-grams may be frequent.
    Each task sums its own first and writes them as arrays, one row for each range of hash
    values; a range is merged in one place, and sums of ``min_count`` or more are frequent.
-   There are 16 ranges for each shuffle partition, so a range holds a small share of a task.
+   There are two ranges for each shuffle partition.
 2. The frequent fingerprints of a level become a Bloom filter for the next one.  The filter
    has at most ``MAX_BITS`` bits however many there are, so what is broadcast is bounded; a
    false positive costs a counted fingerprint and changes no result, and there are no false
@@ -443,7 +443,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     rows = docs.select(F.col(quoted(text)).cast("binary").alias("text"),
                        F.coalesce(F.col(quoted(lang)).cast("string"), F.lit("und")).alias("lang"),
                        F.col(quoted(doc_id)).cast("long").alias("doc"))
-    n_buckets = 16 * shuffle_partitions(spark)
+    n_buckets = 2 * shuffle_partitions(spark)
     filters = []
     for n in range(1, max_words + 1):
         packed = fingerprint_counts(rows, n, filters[-1] if filters else None, n_buckets)

@@ -160,7 +160,7 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if unit not in KINDS:
         raise ValueError(f"unit must be one of {KINDS}")
     spark, t = docs.sparkSession, F.col(quoted(text))
-    packed = hash_counts(docs.select(t.alias("text")), unit, min_chars, 16 * shuffle_partitions(spark))
+    packed = hash_counts(docs.select(t.alias("text")), unit, min_chars, 2 * shuffle_partitions(spark))
     repeated = cut_lineage(frequent_fingerprints(packed, 2))
     shared = spark.sparkContext.broadcast(filter_bits(repeated, repeated.count()))
     found = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(t).alias("hash"),
