@@ -141,8 +141,8 @@ class Coder:
         self.table("vocabulary", id=np.array(vocabulary.ids, np.int32), hex=[t.hex() for t in vocabulary.tokens])
         self.find = regex.compile(vocabulary.pattern).findall
         self.stand_ins = vocabulary.stand_ins
-        odd = "".join(map(chr, self.stand_ins))
-        self.odd = regex.compile(f"[{regex.escape(odd)}]").search if odd else None
+        self.odd = np.zeros(0x110000, bool)
+        self.odd[list(self.stand_ins)] = True
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ids, strict=True))
         self.byte_ids = np.array([self.rank.get(bytes([i]), -1) for i in range(256)], np.int32)
         if (self.byte_ids < 0).any():
@@ -161,7 +161,7 @@ class Coder:
         self.flat, self.ends, self.texts = np.zeros(0, np.int32), np.zeros(1, np.int64), []
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or self.odd is None or not self.odd(text):
+        if text.isascii() or not self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any():
             return self.find(text)
         at, out = 0, []
         for w in self.find(text.translate(self.stand_ins)):

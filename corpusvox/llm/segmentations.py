@@ -48,7 +48,7 @@ MOST_GUMBEL = 37.0
 #: Path nodes down to this log probability are opened first; they nearly always hold the k best.
 NEAR = -8.0
 #: Nodes of the unit table after which it starts anew, and characters of text handled together.
-TABLE_NODES = 800_000
+TABLE_NODES = 1_400_000
 BATCH_CHARS = 1_500_000
 LONG_UNIT = 64
 CODE_BITS = 21
@@ -143,13 +143,20 @@ class Units(dict):
         self.trie, self.unknown = trie, unknown
         self.n_nodes = 0
         self.new: list[str] = []
-        self.first = np.zeros(0, np.int32)
-        self.degree = np.zeros(0, np.int32)
-        self.to = np.zeros(0, np.int32)
-        self.source = np.zeros(0, np.int32)
-        self.piece = np.zeros(0, np.int32)
-        self.log_p = np.zeros(0)
-        self.upto = np.zeros(0, np.float32)
+        self.held: dict[str, np.ndarray] = {}
+        self.first = self.degree = self.to = self.source = self.piece = np.zeros(0, np.int32)
+        self.log_p = self.upto = np.zeros(0)
+
+    def append(self, name: str, values: np.ndarray) -> None:
+        """Lengthen an array; its space grows by half when it is full, so appending copies little."""
+        now = getattr(self, name)
+        n = len(now) + len(values)
+        space = self.held.get(name)
+        if space is None or n > len(space):
+            space = self.held[name] = np.empty(n if space is None else max(n, len(space) * 3 // 2), values.dtype)
+            space[:len(now)] = now
+        space[len(now):n] = values
+        setattr(self, name, space[:n])
 
     def __missing__(self, unit: str) -> int:
         base = self[unit] = self.n_nodes
@@ -220,13 +227,9 @@ class Units(dict):
         upto = total - np.concatenate(([0.0], total))[first[source]]
         upto[(first + degree - 1)[degree > 0]] = 2.0
 
-        self.first = np.concatenate((self.first, first + np.int32(old_edges)))
-        self.degree = np.concatenate((self.degree, degree))
-        self.to = np.concatenate((self.to, to + np.int32(old_nodes)))
-        self.source = np.concatenate((self.source, source + np.int32(old_nodes)))
-        self.piece = np.concatenate((self.piece, piece))
-        self.log_p = np.concatenate((self.log_p, log_p))
-        self.upto = np.concatenate((self.upto, upto.astype(np.float32)))
+        for name, values in (("first", first + np.int32(old_edges)), ("degree", degree), ("to", to + np.int32(old_nodes)),
+                             ("source", source + np.int32(old_nodes)), ("piece", piece), ("log_p", log_p), ("upto", upto)):
+            self.append(name, values)
 
 
 def edges_of(first: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
