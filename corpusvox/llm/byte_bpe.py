@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per task.
+"""Byte-level BPE encoding and decoding by recursive DuckDB queries inside each partition's task.
 
 A text is cut by the tokenizer's pattern; each match (a word, here) is encoded on its own.  A
 word that is a token is that token.  Any other starts as one token per byte: rows (word,
@@ -9,8 +9,9 @@ once, from the left up to the first one whose contraction makes a pair of a less
 is what one contraction at a time would do, in fewer steps.  Decoding joins token rows with
 the vocabulary and concatenates the bytes in an aggregate ordered by position.
 
-Words recur, so a task encodes and decodes each distinct word once and keeps at most
-``KEPT_WORDS`` of them; documents are put together from their words' tokens and bytes.  Texts
+Words recur, so each distinct word is encoded and decoded once; a Python worker keeps its
+database and up to about ``KEPT_WORDS`` words from task to task (they depend on nothing but the
+vocabulary).  Documents are put together from their words' tokens and bytes.  Texts
 are taken in groups of ``GROUP_BYTES`` and words in slices of ``SLICE_BYTES``, so memory is
 bounded by these and by the longest text.  Nothing is shuffled.  The vocabulary and its merge
 table, whose size is that of the vocabulary file, are broadcast.
@@ -28,6 +29,7 @@ named like a result are replaced, other columns pass through.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,7 +45,7 @@ from corpusvox.llm.common import free_name, quoted
 
 GROUP_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
-KEPT_WORDS = 400_000
+KEPT_WORDS = 900_000
 #: Words of more bytes contract all pairs of the least rank in one step.
 LONG = 64
 
@@ -247,18 +249,29 @@ def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+#: The worker's coder, by the digest of its vocabulary.
+KEPT: dict[str, Coder] = {}
+
+
+def kept_coder(digest: str, shared) -> Coder:
+    """This worker's coder for a vocabulary; one for another vocabulary makes room for it."""
+    if digest not in KEPT:
+        KEPT.clear()
+        KEPT[digest] = Coder(*shared.value)
+    return KEPT[digest]
+
+
 def in_tasks(df: DataFrame, source: str, added: StructType, vocabulary: Vocabulary, work) -> DataFrame:
     """``df`` with the columns ``added`` that ``work(coder, array)`` makes of column ``source``."""
     shared = df.sparkSession.sparkContext.broadcast((vocabulary, merge_table(vocabulary)))
+    digest = hashlib.sha256(repr(vocabulary).encode()).hexdigest()
     names = {f.name for f in added.fields}
     out = StructType([*[f for f in df.schema.fields if f.name.lower() not in names and f.name != source], *added.fields])
     kept = [f.name for f in out.fields[:len(out.fields) - len(added.fields)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
         for b in grouped(batches, source):
-            coder = coder or Coder(*shared.value)
-            new = work(coder, b.column(b.schema.get_field_index(source)))
+            new = work(kept_coder(digest, shared), b.column(b.schema.get_field_index(source)))
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(b.schema.get_field_index(c)) for c in kept], *new], names=[f.name for f in out.fields])
     return df.mapInArrow(run, out)
