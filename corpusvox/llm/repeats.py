@@ -19,8 +19,9 @@ The work has two steps, so that only repeats become rows.  First each task count
 of its units and writes them as packed arrays by hash range; those that occur twice or more fill
 a Bloom filter of bounded size.  Then units that pass the filter are exploded, and grouped and
 joined by their whole digest; a false positive of the filter is a group of one and falls away.
-Groups are reduced with partial aggregation and joined back by an equi-join, whose hot digests
-(a line that a third of all documents share) Spark's skew join splits.
+Groups are reduced with partial aggregation, written out (one row a repeated digest) and joined
+back by an equi-join, whose hot digests (a line that a third of all documents share) Spark's skew
+join splits.
 
 Defined results: a null text has no units; a null id ranks last; rows equal in id and text are
 one document and fare alike; an empty table gives an empty result; offsets are code points,
@@ -169,8 +170,8 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", "hash", "u.start", "u.end", "u.digest"))
     shared.unpersist()
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "start")
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
-        "digest", "first")
+    first = cut_lineage(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+        "digest", "first"))
     return units.join(first, "digest").where(rank != F.col("first")).select(
         "doc_id", "hash", "start", "end", F.lower(F.hex("digest")).alias("digest"),
         F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
