@@ -9,7 +9,6 @@ from a window without ``partitionBy``.  Randomness is a hash of
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusvox.plans.sequence import seq_cumsum, seq_row_number
+from corpusvox.plans.sequence import _null_safe_join, seq_cumsum, seq_row_number
 
 
 def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
@@ -169,38 +168,43 @@ def best_of(df: DataFrame, group: Sequence[str], item: str, logprob: str, length
     return df.groupBy(*group).agg(F.max_by(F.col(item), F.struct(score, -order_idx)).alias("best"))
 
 
-DUR_SCHEMA = T.StructType([T.StructField("rec", T.LongType()), T.StructField("idx", T.LongType()),
-                           T.StructField("batch", T.IntegerType())])
+class DurationChain:
+    """Greedy batches by duration as a map from entry to exit state, for ``chained_fold``.
+
+    State: the running sum of the open batch, null before the first row.  The row that begins a bucket decides whether the batch
+    goes on, so a batch's end is known with the next row; batch numbers count the ends before."""
+
+    fields = "idx long, batch long"
+
+    def __init__(self, budget_ms: int, long_ms: int) -> None:
+        self.budget_ms, self.long_ms = budget_ms, long_ms
+
+    def guess(self, offset: int) -> tuple:
+        return (0 if offset else None,)
+
+    def run(self, state: tuple, batches: Iterator[pd.DataFrame], last: bool) -> tuple[tuple, list, int]:
+        (cum,), ends, out = state, 0, []
+        for b in batches:
+            budgets = b["least"].clip(lower=self.budget_ms)
+            for i, d, budget in zip(b["idx"].tolist(), b["dur"].tolist(), budgets.tolist(), strict=True):
+                if cum is not None and not (cum + d < budget and d < self.long_ms):
+                    ends, cum = ends + 1, 0
+                cum = (cum or 0) + d
+                out.append((i, ends))
+        return (cum,), out, ends
 
 
 def duration_batches(seg: DataFrame, rec: str, idx: str, dur: str, budget_ms: int = 300_000,
-                     long_ms: int = 60_000) -> DataFrame:
+                     long_ms: int = 60_000, rows_per_bucket: int | None = None) -> DataFrame:
     """Per recording, segments in ascending duration (then index); the batch
     continues while the running sum plus the next duration stays under the budget
     (at least the shortest duration) and the next segment is shorter than
-    ``long_ms``.  The grouped map reads each recording as an ordered stream of
-    Arrow batches (hash partition + sort inside partitions), state = one sum."""
-    prepared = seg.select(F.col(rec).cast("long").alias("rec"), F.col(idx).cast("long").alias("idx"),
-                          F.col(dur).cast("long").alias("dur")) \
-        .repartition("rec").sortWithinPartitions("rec", "dur", "idx")
-
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        budget, cum, b, pending = None, 0, 0, None
-        for pdf in batches:
-            rows = []
-            for i, d in zip(pdf["idx"].to_numpy(), pdf["dur"].to_numpy()):
-                if budget is None:
-                    budget = max(budget_ms, int(d))
-                if pending is not None:  # decide the previous segment's cut now that the next is known
-                    p_idx, p_cum = pending
-                    rows.append((key[0], p_idx, b))
-                    if not (p_cum + d < budget and d < long_ms):
-                        b, cum = b + 1, 0
-                cum += int(d)
-                pending = (i, cum)
-            if rows:
-                yield pd.DataFrame(rows, columns=["rec", "idx", "batch"])
-        if pending is not None:
-            yield pd.DataFrame([(key[0], pending[0], b)], columns=["rec", "idx", "batch"])
-
-    return prepared.groupBy("rec").applyInPandas(run, DUR_SCHEMA)
+    ``long_ms``.  A recording of many segments is cut into buckets that run at once
+    (see ``chained_fold``)."""
+    from corpusvox.plans.chained import chained_fold
+
+    rows = seg.select(F.col(rec).cast("long").alias("rec"), F.col(idx).cast("long").alias("idx"),
+                      F.col(dur).cast("long").alias("dur"))
+    rows = _null_safe_join(rows, rows.groupBy("rec").agg(F.min("dur").alias("least")), ["rec"])
+    out = chained_fold(rows, "rec", ["dur", "idx"], ["least"], DurationChain(budget_ms, long_ms), rows_per_bucket)
+    return out.select("rec", "idx", (F.col("_before") + F.col("batch")).cast("int").alias("batch"))

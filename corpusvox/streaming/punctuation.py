@@ -8,15 +8,13 @@ may still change.  A carry of more than ``max_carry`` words without a sentence e
 after its last comma, which becomes a sentence end; without a comma all of it is carried on.
 The last mini-batch is emitted whole, without its final mark (the next text decides that).
 Words that meet with single-byte characters are parted by a space, also across emissions.
-The same ``PunctCarry`` fold runs per session in a grouped map (time-ordered Arrow batches)
-and in ``applyInPandasWithState``.
+The same ``PunctCarry`` fold runs over buckets of a session, chained by their states, and in
+``applyInPandasWithState``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,23 +88,37 @@ def _rows(session, items):
     return [(int(session), int(s), int(n), t) for s, n, t in items]
 
 
-def carry_batch(words: DataFrame, session: str, order: list[str], word: str, punc: str,
-                chunk: int = 20, max_carry: int = 200) -> DataFrame:
-    prepared = words.select(F.col(session).cast("long").alias("session"), *order, F.col(word).alias("w"),
-                            F.col(punc).cast("int").alias("p")) \
-        .repartition("session").sortWithinPartitions("session", *order)
+class CarryChain:
+    """The carry as a map from entry to exit state, for ``chained_fold``; emissions are numbered outside."""
+
+    fields = "pos long, n_words long, text string"
+
+    def __init__(self, chunk: int, max_carry: int) -> None:
+        self.chunk, self.max_carry = chunk, max_carry
 
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = PunctCarry(chunk, max_carry)
+    def guess(self, offset: int) -> tuple:
+        """As if the mini-batches before had been emitted whole; a full one is cut by the word after it."""
+        return ([], [], offset and (offset - 1) % self.chunk + 1, 0, "")
+
+    def run(self, state: tuple, batches: Iterator[pd.DataFrame], last: bool) -> tuple[tuple, list, int]:
+        fold, out = PunctCarry(self.chunk, self.max_carry, tuple(state)), []
         for b in batches:
-            r = f.push(b["w"], b["p"])
-            if r:
-                yield pd.DataFrame(_rows(key[0], r), columns=OUT.fieldNames())
-        r = f.finish()
-        if r:
-            yield pd.DataFrame(_rows(key[0], r), columns=OUT.fieldNames())
+            out += fold.push(b["w"], b["p"])
+        if last:
+            out += fold.finish()
+        words, puncs, pending, _, before = fold.state()
+        return (words, puncs, pending, 0, before), out, len(out)
 
-    return prepared.groupBy("session").applyInPandas(run, OUT)
+
+def carry_batch(words: DataFrame, session: str, order: list[str], word: str, punc: str,
+                chunk: int = 20, max_carry: int = 200, rows_per_bucket: int | None = None) -> DataFrame:
+    """The carry over whole sessions; a long one is cut into buckets that run at once (see ``chained_fold``)."""
+    from corpusvox.plans.chained import chained_fold
+
+    rows = words.select(F.col(session).cast("long").alias("session"), *order, F.col(word).alias("w"),
+                        F.col(punc).cast("int").alias("p"))
+    out = chained_fold(rows, "session", order, ["w", "p"], CarryChain(chunk, max_carry), rows_per_bucket)
+    return out.select("session", (F.col("_before") + F.col("pos")).alias("seq"), "n_words", "text")
 
 
 def carry_stream(words: DataFrame, session: str, order: list[str], word: str, punc: str, final: str,

@@ -13,8 +13,8 @@ computed as a column before the fold).  The fold keeps:
 
 Segment starts look back ``win + lookback`` frames (not before the previous
 end).  Times are frame index x ``frame_ms``.  The same ``VadFold`` object runs
-in the batch twin (grouped map over a session's frames, streamed in Arrow
-batches in time order) and in Structured Streaming (``applyInPandasWithState``,
+in the batch twin (buckets of a session's frames, chained by their states) and in
+Structured Streaming (``applyInPandasWithState``,
 state carried between micro-batches), so both give identical segments.
 
 This is a re-aimed, documented simplification of the reference's detector:
@@ -24,7 +24,6 @@ frame scores come in as columns (no neural scoring, no energy/SNR gate).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,27 +143,42 @@ def _rows(session, segs, cfg):
     return [(int(session), int(s), int(b) * cfg.frame_ms, int(e) * cfg.frame_ms) for s, b, e in segs]
 
 
-def segments_batch(frames: DataFrame, session: str, order: list[str], speech: str,
-                   cfg: VadConfig = VadConfig()) -> DataFrame:
-    """Batch twin: offline mode, closed segments only.  Rows are hash-partitioned
-    by session and sorted by (session, order) inside partitions, so the grouped
-    map receives each session's frames as a time-ordered stream of Arrow
-    batches (memory per task stays at one batch, not one session)."""
-    prepared = frames.select(F.col(session).cast("long").alias("session"), *order,
-                             F.col(speech).cast("int").alias("speech")) \
-        .repartition("session").sortWithinPartitions("session", *order)
+class VadChain:
+    """The fold as a map from entry to exit state, for ``chained_fold``; segments are numbered outside."""
+
+    fields = "pos long, beg long, end long"
+
+    def __init__(self, cfg: VadConfig) -> None:
+        self.cfg = cfg
 
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = VadFold(cfg)
+    def guess(self, offset: int) -> tuple:
+        return self.normal((offset, False, [0] * self.cfg.win, 0, 0, 0, 0))
+
+    def normal(self, state: tuple) -> tuple:
+        """A floor that no later segment can reach, and what only matters in speech, become 0."""
+        frame, in_speech, window, beg, low, floor, _ = state
+        floor = floor if floor > frame - self.cfg.win - self.cfg.lookback else 0
+        return (frame, in_speech, window, beg, low, floor, 0) if in_speech else (frame, False, window, 0, 0, floor, 0)
+
+    def run(self, state: tuple, batches: Iterator[pd.DataFrame], last: bool) -> tuple[tuple, list, int]:
+        fold, out = VadFold(self.cfg, tuple(state)), []
         for b in batches:
-            segs = v.push(b["speech"].to_numpy())
-            if segs:
-                yield pd.DataFrame(_rows(key[0], segs, cfg), columns=SEGMENT_SCHEMA.fieldNames())
-        segs = v.finish()
-        if segs:
-            yield pd.DataFrame(_rows(key[0], segs, cfg), columns=SEGMENT_SCHEMA.fieldNames())
-
-    return prepared.groupBy("session").applyInPandas(fold, SEGMENT_SCHEMA)
+            out += fold.push(b["speech"].to_numpy())
+        if last:
+            out += fold.finish()
+        return self.normal(fold.state()), out, len(out)
+
+
+def segments_batch(frames: DataFrame, session: str, order: list[str], speech: str,
+                   cfg: VadConfig = VadConfig(), rows_per_bucket: int | None = None) -> DataFrame:
+    """Batch twin: offline mode, closed segments only.  A long session is cut into buckets that
+    run in many tasks at once (see ``chained_fold``)."""
+    from corpusvox.plans.chained import chained_fold
+
+    rows = frames.select(F.col(session).cast("long").alias("session"), *order, F.col(speech).cast("int").alias("speech"))
+    out = chained_fold(rows, "session", order, ["speech"], VadChain(cfg), rows_per_bucket)
+    return out.select("session", (F.col("_before") + F.col("pos")).alias("seg"), (F.col("beg") * cfg.frame_ms).alias("beg_ms"),
+                      (F.col("end") * cfg.frame_ms).alias("end_ms"))
 
 
 STREAM_OUT = T.StructType([
