@@ -28,31 +28,43 @@ def frames(spark, sf):
     return e.withColumn("final", F.col("event_id_next").isNull()).drop("event_id_next")
 
 
-# Frame after frame of each session; ce is the end of the segment that a frame closes.
-VAD_SQL = """
-WITH RECURSIVE fr AS (
-  SELECT user_id::BIGINT AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f,
-         (value / (value + 5) >= (1 - value / (value + 5)) + 0.6)::INTEGER AS s, count(*) OVER (PARTITION BY user_id) AS n
-  FROM events),
+SCORED_SQL = "(value / (value + 5) >= (1 - value / (value + 5)) + 0.6)"
+EVENT_FRAMES = f"""
+fr AS (SELECT user_id::BIGINT AS session, 0::BIGINT AS part, true AS shut, {SCORED_SQL}::INTEGER AS s,
+              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f,
+              count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+def vad_sql(frames: str = EVENT_FRAMES, c: Vd.VadConfig = Vd.VadConfig()) -> str:
+    """Frame after frame of each (session, part); ce is the end of the segment that a frame closes.
+
+    ``frames`` ends with ``fr``: session, part, f (from 0), s (speech), n (frames of the part) and
+    shut (whether the end of the part closes an open segment)."""
+    empty = f"list_transform(range({c.win}), lambda x: 0::INTEGER)"
+    return f"""
+WITH RECURSIVE {frames},
 st AS (
-  SELECT DISTINCT session, n, -1::BIGINT AS f, false AS sp, list_transform(range(20), lambda x: 0::INTEGER) AS w,
+  SELECT DISTINCT session, part, shut, n, -1::BIGINT AS f, false AS sp, {empty} AS w,
          0::BIGINT AS beg, 0::BIGINT AS low, 0::BIGINT AS least_beg, 0::BIGINT AS seg, NULL::BIGINT AS ce FROM fr
   UNION ALL
-  SELECT session, n, f, CASE WHEN sp THEN ce IS NULL ELSE total >= 15 END,
-         CASE WHEN ce IS NULL THEN w ELSE list_transform(range(20), lambda x: 0::INTEGER) END,
-         CASE WHEN NOT sp AND total >= 15 THEN greatest(least_beg, f - 39) ELSE beg END,
+  SELECT session, part, shut, n, f, CASE WHEN sp THEN ce IS NULL ELSE total >= {c.sil_to_speech} END,
+         CASE WHEN ce IS NULL THEN w ELSE {empty} END,
+         CASE WHEN NOT sp AND total >= {c.sil_to_speech} THEN greatest(least_beg, f - {c.win + c.lookback - 1}) ELSE beg END,
          CASE WHEN sp AND ce IS NULL THEN low ELSE 0 END, coalesce(ce, least_beg),
          seg + CASE WHEN ce IS NULL THEN 0 ELSE 1 END, ce
-  FROM (SELECT *, CASE WHEN NOT sp THEN NULL WHEN low >= 65 THEN least(f + 1, f - low + 11)
-                       WHEN f + 1 - beg >= 6000 THEN f + 1 END AS ce
-        FROM (SELECT * REPLACE (CASE WHEN total <= 15 THEN low + 1 ELSE 0 END AS low)
+  FROM (SELECT *, CASE WHEN NOT sp THEN NULL WHEN low >= {c.max_end_sil} THEN least(f + 1, f - low + {c.lookahead + 1})
+                       WHEN f + 1 - beg >= {c.max_segment} THEN f + 1 END AS ce
+        FROM (SELECT * REPLACE (CASE WHEN total <= {c.speech_to_sil} THEN low + 1 ELSE 0 END AS low)
               FROM (SELECT *, list_sum(w) AS total
-                    FROM (SELECT st.session, st.n, fr.f, st.sp, list_concat(st.w[2:], [fr.s]) AS w, st.beg, st.low,
-                                 st.least_beg, st.seg
-                          FROM st JOIN fr ON fr.session = st.session AND fr.f = st.f + 1))))),
-done AS (SELECT session, seg - 1 AS seg, beg, ce FROM st WHERE ce IS NOT NULL
-         UNION ALL SELECT session, seg, beg, n FROM st WHERE f = n - 1 AND sp)
-SELECT session, seg, beg * 10 AS beg_ms, ce * 10 AS end_ms FROM done"""
+                    FROM (SELECT st.session, st.part, st.shut, st.n, fr.f, st.sp, list_concat(st.w[2:], [fr.s]) AS w, st.beg,
+                                 st.low, st.least_beg, st.seg
+                          FROM st JOIN fr ON fr.session = st.session AND fr.part = st.part AND fr.f = st.f + 1))))),
+done AS (SELECT session, part, seg - 1 AS seg, beg, ce FROM st WHERE ce IS NOT NULL
+         UNION ALL SELECT session, part, seg, beg, CASE WHEN shut THEN n END FROM st WHERE f = n - 1 AND sp)
+SELECT session, part, seg, beg * {c.frame_ms} AS beg_ms, ce * {c.frame_ms} AS end_ms FROM done"""
+
+
+VAD_SQL = f"SELECT session, seg, beg_ms, end_ms FROM ({vad_sql()})"
 
 
 @register("vad_segments", VAD_SQL)
@@ -68,6 +80,70 @@ def q_vad_stream(spark, sf):
                          lambda s: Vd.segments_stream(s, "user_id", ORDER, "speech", "final"))
 
 
+#: A visit ends when no event comes for a day; segments of a few events.
+VISIT_MS = 24 * 3600 * 1000
+SHORT = Vd.VadConfig(win=4, sil_to_speech=2, speech_to_sil=1, lookback=1, max_end_sil=2, lookahead=1, max_segment=12)
+VISIT_FRAMES = f"""
+gaps AS (SELECT *, coalesce(ms - lag(ms) OVER o > {VISIT_MS}, true) AS fresh
+         FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+visits AS (SELECT *, max(CASE WHEN fresh THEN ms END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM gaps),
+fr AS (SELECT user_id::BIGINT AS session, part, {SCORED_SQL}::INTEGER AS s,
+              part < max(part) OVER (PARTITION BY user_id) OR
+              max(ms) OVER (PARTITION BY user_id, part) + {VISIT_MS} <= max(ms) OVER () AS shut,
+              row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) - 1 AS f,
+              count(*) OVER (PARTITION BY user_id, part) AS n FROM visits)"""
+
+
+@register("vad_visits_stream",
+          f"SELECT session, part AS began_ms, seg, beg_ms, end_ms FROM ({vad_sql(VISIT_FRAMES, SHORT)})")
+def q_vad_visits(spark, sf):
+    """ST2/ST8: sessions without a final flag are closed by their timers; what is open stays [beg, NULL]."""
+    from corpusvox.streaming import sessions as Se
+    Se.use_rocksdb(spark)
+    source = frames(spark, sf).drop("final")
+    out = run_available(spark, source, "ts", lambda s: Se.sessions_stream(
+        s, "user_id", ORDER, "speech", "ts", VISIT_MS, SHORT))
+    return Se.final_segments(out)
+
+
+NOISE_SQL = f"""
+x AS (SELECT user_id::BIGINT AS session, event_id, {SCORED_SQL} AS sp, 10 * log10(value * value + 1e-6) AS db,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f,
+             count(*) OVER (PARTITION BY user_id) AS n FROM events),
+lv AS (SELECT session, event_id, f, n, sp, db, -100.0::DOUBLE AS before,
+              CASE WHEN NOT sp AND db >= -20 THEN db ELSE -100.0 END AS after FROM x WHERE f = 0
+       UNION ALL
+       SELECT x.session, x.event_id, x.f, x.n, x.sp, x.db, lv.after,
+              CASE WHEN x.sp OR x.db < -20 THEN lv.after WHEN lv.after < -99.9 THEN x.db
+                   ELSE (x.db + lv.after * 19) / 20 END
+       FROM lv JOIN x ON x.session = lv.session AND x.f = lv.f + 1),
+gt AS (SELECT *, sp AND db >= -20 AND db - before >= 12 AS ok FROM lv)"""
+
+
+def gated_frames(spark, sf):
+    """Frames with their energy (F12), the noise level before them and the gate."""
+    from corpusvox.functions.vectors import frame_energy_db
+    from corpusvox.streaming.noise import noise_gate
+    e = frames(spark, sf).withColumn("db", F.get(frame_energy_db(F.array("value"), 1, 1), F.lit(0)))
+    return noise_gate(e, "user_id", ORDER, "speech", "db", n=20, snr_thres=12.0, decibel_thres=-20.0)
+
+
+@register("noise_gate", f"""
+WITH RECURSIVE {NOISE_SQL}
+SELECT session, event_id, round(before, 6) AS noise_level, ok AS gated FROM gt""")
+def q_noise_gate(spark, sf):
+    """Noise level and gate of every frame, by a scan of affine maps."""
+    return gated_frames(spark, sf).select(F.col("user_id").cast("long").alias("session"), "event_id",
+                                          F.round("noise_level", 6).alias("noise_level"), "gated")
+
+
+@register("vad_segments_gated", "SELECT session, seg, beg_ms, end_ms FROM (" + vad_sql(
+    NOISE_SQL + ",\nfr AS (SELECT session, 0::BIGINT AS part, true AS shut, ok::INTEGER AS s, f, n FROM gt)", SHORT) + ")")
+def q_vad_gated(spark, sf):
+    """ST1 with the gate of W12 before the state machine."""
+    return Vd.segments_batch(gated_frames(spark, sf), "user_id", ORDER, "gated", SHORT)
+
+
 RECHUNK_SQL = """
 x AS (SELECT user_id AS session, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i
       FROM events)
