@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusvox.plans.sequence import B, range_buckets, seq_cumsum, seq_ffill, seq_lag, seq_lead, seq_neighbors
+from corpusvox.plans.sequence import B, range_buckets, seq_cummin, seq_cumsum, seq_ffill, seq_lag, seq_lead, seq_neighbors
 from corpusvox.session import cut_lineage
 
 
@@ -455,17 +455,22 @@ def transcript_blocks(seg: DataFrame, fmt: str, start_ms: str = "start", end_ms:
 # ------------------------------------------------------------ integrate-and-fire
 
 def cif_fire(df: DataFrame, rec: str, order: Sequence[str], weight: str, threshold) -> DataFrame:
-    """Accumulate weights in order; a boundary fires at every frame where
-    floor(cumsum / threshold) increases (the n-th token ends at the first frame
-    whose floored cumulative weight reaches n).  Exact when no single weight
-    exceeds the threshold (then at most one boundary per frame); use integer
-    weights to avoid float drift."""
+    """Accumulate weights in order; a frame fires when the sum reaches the threshold, which is
+    then subtracted once, so a frame fires at most once and a heavy weight fires on later frames too.
+
+    Fires are served one a frame as they fall due, like a queue: with S the running sum and
+    A = floor(S / threshold) due by frame j, the fires up to frame n are n plus the least of
+    0 and A - j over the frames j up to n.  Both are scans, so weights of any size are exact.
+    ``fires`` is 0 or 1, ``left`` the sum after the frame, ``n_tokens`` (W16b) what is due by the
+    frame.  The running sums are written once, as the second scan reads them twice.  Weights are not
+    negative; use whole weights to avoid float drift."""
     order = _l(order)
-    x = seq_cumsum(df, [rec], order, {"_cs": F.col(weight)}).drop(B)
-    before = F.floor((F.col("_cs") - F.col(weight)) / threshold)
-    after = F.floor(F.col("_cs") / threshold)
-    return x.withColumn("fires", (after - before).cast("long")).withColumn("n_tokens", after.cast("long")) \
-        .drop("_cs")
+    x = cut_lineage(seq_cumsum(df, [rec], order, {"_cs": F.col(weight), "_n": F.lit(1).cast("long")}))
+    due = F.floor(F.col("_cs") / threshold)
+    x = seq_cummin(x, [rec], order, due - F.col("_n"), "_low", "_low_before").drop(B)
+    low, before = F.least(F.col("_low"), F.lit(0)), F.least(F.coalesce("_low_before", F.lit(0)), F.lit(0))
+    return (x.withColumn("fires", (1 + low - before).cast("long")).withColumn("n_tokens", due.cast("long"))
+            .withColumn("left", F.col("_cs") - threshold * (F.col("_n") + low)).drop("_cs", "_n", "_low", "_low_before"))
 
 
 # ------------------------------------------------------------ speaker permutation

@@ -30,6 +30,21 @@ def q_cif(spark, sf):
     return G.cif_fire(e, "rec", ["ts", "event_id"], "w", 50000).select("rec", "event_id", "fires", "n_tokens")
 
 
+@register("cif_heavy", """
+WITH RECURSIVE e AS (SELECT user_id AS rec, event_id, round(value * 100)::BIGINT AS w,
+                            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events),
+c AS (SELECT rec, event_id, f, (w >= 16000)::BIGINT AS fires, w - 16000 * (w >= 16000)::BIGINT AS "left" FROM e WHERE f = 1
+      UNION ALL
+      SELECT e.rec, e.event_id, e.f, (c."left" + w >= 16000)::BIGINT, c."left" + w - 16000 * (c."left" + w >= 16000)::BIGINT
+      FROM c JOIN e ON e.rec = c.rec AND e.f = c.f + 1)
+SELECT rec, event_id, fires, "left" FROM c""")
+def q_cif_heavy(spark, sf):
+    """W16 with weights of up to three thresholds: what is left over fires on later frames."""
+    e = T(spark, sf, "events").select(F.col("user_id").alias("rec"), "event_id", "ts",
+                                      F.round(F.col("value") * 100).cast("long").alias("w"))
+    return G.cif_fire(e, "rec", ["ts", "event_id"], "w", 16000).select("rec", "event_id", "fires", "left")
+
+
 @register("quality_flags", f"""
 WITH d AS (SELECT doc_id, n_chars, len({WORDS}) AS n FROM documents)
 SELECT doc_id,
@@ -245,7 +260,7 @@ def q_token_ts(spark, sf):
     from corpusvox.plans.sequence import seq_row_number
     e = T(spark, sf, "events").select(F.col("user_id").alias("rec"), "event_id", "ts", "event_type",
                                       F.round(F.col("value") * 100).cast("long").alias("w"))
-    e = seq_row_number(e, ["rec"], ["ts", "event_id"], "frame").drop("_seq_b").withColumn("frame", F.col("frame") - 1)
+    e = seq_row_number(e, ["rec"], ["ts", "event_id"], "frame").withColumn("frame", F.col("frame") - 1)
     fired = G.cif_fire(e, "rec", ["frame"], "w", 50000).where(F.col("fires") > 0)
     fires = seq_row_number(fired.select("rec", "frame", F.col("event_type").alias("token")), ["rec"], ["frame"], "k") \
         .drop("_seq_b").withColumn("k", F.col("k") - 1)

@@ -8,6 +8,7 @@ per-``(key, bucket)`` carry table:
 
 * ``seq_lag`` / ``seq_lead`` -- previous / next row's values
 * ``seq_cumsum``             -- running sums (row numbers are running counts)
+* ``seq_cummin``             -- least value so far
 * ``seq_ffill``              -- last non-NULL value so far
 
 Buckets begin at sampled rows: a hash of the key and the whole sort key picks
@@ -170,6 +171,24 @@ def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs:
     return out.drop(*["_seq_off_" + n for n in exprs])
 
 
+def seq_cummin(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, before: str,
+               rows_per_bucket: int | None = None) -> DataFrame:
+    """Add ``name``, the least ``value`` up to this row of the key, and ``before``, that up to the row before
+    (NULL on the first)."""
+    keys, order = _names(keys), _names(order)
+    df = _ensure(df, keys, order, rows_per_bucket)
+    upto = _w(keys, order)
+    local = df.select("*", F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias(name),
+                      F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias(before),
+                      F.min(value).over(_full(keys, order)).alias("_seq_least"), F.row_number().over(upto).alias("_seq_rn"))
+    least = _edge_rows(local, F.col("_seq_rn") == 1).select(*keys, B, "_seq_least")
+    wb = Window.partitionBy(*keys).orderBy(B).rowsBetween(Window.unboundedPreceding, -1)
+    carry = least.select(*keys, B, F.min("_seq_least").over(wb).alias("_seq_carry"))
+    out = _null_safe_join(local.drop("_seq_least", "_seq_rn"), carry, keys + [B])
+    return (out.withColumn(name, F.least(name, "_seq_carry")).withColumn(before, F.least(before, "_seq_carry"))
+            .drop("_seq_carry"))
+
+
 def seq_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
                    rows_per_bucket: int | None = None) -> DataFrame:
     """1-based row number per key, without a single-task window."""

@@ -101,3 +101,32 @@ def test_a_chain_of_helpers_shuffles_its_rows_once_for_each_step(spark):
     x.collect()
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan or "ReusedQueryStage" in plan or "Reused" in plan
+
+
+def test_integrate_and_fire_subtracts_once_a_frame(spark):
+    import numpy as np
+
+    from corpusvox.operators.segments import cif_fire
+    rng = np.random.default_rng(4)
+    rows = [(None if k == 2 else k, i, int(w)) for k, n in enumerate((60, 1, 25)) for i, w in enumerate(rng.integers(0, 31, n))]
+    got = {(r.rec, r.i): (r.fires, r.left) for r in cif_fire(
+        spark.createDataFrame(rows, "rec long, i long, w long"), "rec", ["i"], "w", 10).collect()}
+    for key in {r for r, _, _ in rows}:
+        total = 0
+        for _, i, w in sorted((x for x in rows if x[0] == key), key=lambda x: x[1]):
+            total += w
+            fire = int(total >= 10)
+            total -= 10 * fire
+            assert got[key, i] == (fire, total)
+
+
+def test_cummin_over_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from corpusvox.plans.sequence import seq_cummin
+    rows = [(k, i, (i * 7 + k) % 11 if i % 4 else None) for k in range(2) for i in range(25)]
+    out = seq_cummin(spark.createDataFrame(rows, "k long, i long, v long"), ["k"], ["i"], F.col("v"), "low", "low_before")
+    for r in out.collect():
+        seen = [v for k, i, v in rows if k == r.k and i <= r.i and v is not None]
+        before = [v for k, i, v in rows if k == r.k and i < r.i and v is not None]
+        assert r.low == min(seen, default=None) and r.low_before == min(before, default=None)
