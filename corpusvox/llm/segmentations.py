@@ -48,7 +48,7 @@ MOST_GUMBEL = 37.0
 #: Path nodes down to this log probability are opened first; they nearly always hold the k best.
 NEAR = -8.0
 #: Nodes of the unit table after which it starts anew, and characters of text handled together.
-TABLE_NODES = 1_400_000
+TABLE_NODES = 800_000
 BATCH_CHARS = 1_500_000
 LONG_UNIT = 64
 CODE_BITS = 21
@@ -148,12 +148,12 @@ class Units(dict):
         self.log_p = self.upto = np.zeros(0)
 
     def append(self, name: str, values: np.ndarray) -> None:
-        """Lengthen an array; its space grows by half when it is full, so appending copies little."""
+        """Lengthen an array; its space grows by a quarter when it is full, so appending copies little."""
         now = getattr(self, name)
         n = len(now) + len(values)
         space = self.held.get(name)
         if space is None or n > len(space):
-            space = self.held[name] = np.empty(n if space is None else max(n, len(space) * 3 // 2), values.dtype)
+            space = self.held[name] = np.empty(n if space is None else max(n, len(space) * 5 // 4), values.dtype)
             space[:len(now)] = now
         space[len(now):n] = values
         setattr(self, name, space[:n])
