@@ -2,7 +2,7 @@
 
 Token counting is an ``explode`` + ``groupBy`` with map-side partial
 aggregation, so a very frequent token costs one partial row per task, not a
-hot reducer.  First appearance is ``min(struct(doc, pos))``, also partial.
+hot reducer.  First appearance is the least (doc, pos), also partial.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusvox.plans.sequence import seq_row_number
 
+#: More than the positions of a row.
+POSITIONS = 1 << 31
 # Largest vocabulary that is broadcast or embedded in a plan.
 MAX_LOOKUP_ENTRIES = 200_000
 
@@ -25,10 +28,17 @@ def explode_tokens(df: DataFrame, key: str, tokens: Column | str) -> DataFrame:
 
 
 def token_counts(long: DataFrame, key: str) -> DataFrame:
-    """(token, cnt, first=struct(k, p)).  Two hash aggregations: per (row, token)
-    the count and first position, then per token the total and the (row, pos)
-    of its first row -- every buffer is a primitive, so both stay on the
-    hash-aggregate path with map-side partial aggregation."""
+    """(token, cnt, first=struct(k, p)): the count of each token and its first (row, pos).
+
+    Rows with whole-number keys take one aggregation by token: (row, pos) is one decimal, so the
+    buffers are primitives, tasks combine all their tokens first and only distinct tokens are
+    shuffled.  Other keys take two aggregations, by (row, token) and by token."""
+    if isinstance(long.schema[key].dataType, IntegralType):
+        place = F.col(key).cast("decimal(20,0)") * F.lit(POSITIONS).cast("decimal(10,0)") + F.col("pos")
+        agg = long.groupBy("token").agg(F.count(F.lit(1)).alias("cnt"), F.min(place.cast("decimal(38,0)")).alias("at"))
+        p = F.pmod(F.col("at"), F.lit(POSITIONS))
+        k, p = ((F.col("at") - p) / POSITIONS).cast(long.schema[key].dataType), p.cast("int")
+        return agg.select("token", "cnt", F.struct(k.alias("k"), p.alias("p")).alias("first"))
     per_row = long.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("p"))
     agg = per_row.groupBy("token").agg(F.sum("n").alias("cnt"), F.min(key).alias("k"),
                                        F.min_by("p", F.col(key)).alias("p"))

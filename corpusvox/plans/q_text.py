@@ -44,6 +44,12 @@ def q_vocabulary(spark, sf):
     return vocabulary(spark, sf)
 
 
+@register("vocabulary_whole", "WITH " + VOCAB_SQL.replace(f"\n  QUALIFY r < {VOCAB_SIZE - 2}", "") + " SELECT id, token, cnt FROM vocab")
+def q_vocabulary_whole(spark, sf):
+    """A5 without a cut: every token, ranked without a single task or a driver list."""
+    return V.build_vocabulary(doc_tokens(spark, sf), "doc_id", add_symbols=ADD_SYMBOLS)
+
+
 @register("oov_rate", "WITH " + VOCAB_SQL + """
 SELECT count(*) AS total, count(v.token) AS in_vocab,
        round((count(*) - count(v.token)) * 100.0 / count(*), 6) AS oov_rate

@@ -162,3 +162,13 @@ def test_calibration_text_takes_a_list_for_the_assistant(spark):
     df = spark.createDataFrame([("s", None, [1, 2, 3]), (None, "h", None)], "s string, h string, a array<int>")
     assert [r[0] for r in df.select(P.calibration_text("s", "h", "a")).collect()] == [
         "system\ns\nhuman\n\nassistant\n[1, 2, 3]", "system\n\nhuman\nh\nassistant\n"]
+
+
+def test_token_counts_take_the_first_place_with_any_key(spark):
+    from corpusvox.operators.vocabulary import token_counts
+    rows = [(-5, 2, "a"), (-5, 0, "a"), (7, 1, "a"), (7, 0, "b"), (1 << 40, 3, "c"), (1 << 40, 2, "c"), (None, 0, "d")]
+    for kind, make in (("long", lambda k: k), ("string", lambda k: None if k is None else f"{k:020d}")):
+        df = spark.createDataFrame([(make(k), p, t) for k, p, t in rows], f"k {kind}, pos int, token string")
+        got = {r.token: (r.cnt, r["first"]["k"], r["first"]["p"]) for r in token_counts(df, "k").collect()}
+        assert got["a"] == (3, make(-5), 0) and got["b"] == (1, make(7), 0) and got["c"] == (2, make(1 << 40), 2)
+        assert got["d"][0] == 1 and got["d"][1] is None
