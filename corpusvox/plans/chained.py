@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusvox.plans.sequence import B, DEFAULT_ROWS_PER_BUCKET, _null_safe_join, range_buckets
+from corpusvox.plans.sequence import B, DEFAULT_ROWS_PER_BUCKET, _null_safe_join, is_small, one_bucket, range_buckets
 from corpusvox.session import cut_lineage
 
 
@@ -44,8 +44,11 @@ def chained_fold(df: DataFrame, key: str, order: Sequence[str], values: Sequence
     ``key`` is a long column (null: a key of its own); ``_before`` is the sum of the counts of the
     key's earlier buckets."""
     order, values = list(order), list(values)
-    rows = range_buckets(df.select(F.col(key).cast("long").alias("_key"), *order, *values), ["_key"], order,
-                         rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
+    rows = df.select(F.col(key).cast("long").alias("_key"), *order, *values)
+    if rows_per_bucket is None and is_small(rows):
+        rows = one_bucket(rows)
+    else:
+        rows = range_buckets(rows, ["_key"], order, rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
     rows = cut_lineage(rows)
     chain = Window.partitionBy("_key").orderBy(B)
     sizes = cut_lineage(rows.groupBy("_key", B).agg(F.count("*").alias("n")))

@@ -16,7 +16,9 @@ Buckets begin at sampled rows: a hash of the key and the whole sort key picks
 picks is a bound.  So bounds are quantiles of the data itself: outliers, shared
 prefixes and ties in the first order columns do not fill a bucket, and there is
 no greatest number of buckets.  A NULL key is a key like any other, and NULL
-order values sort first.  Everything is lazy; nothing is read on the driver.
+order values sort first.  Everything is lazy and runs no job of its own; the bounds of a
+global order (no key) are a scalar subquery.  A table that the optimizer estimates at under
+``corpusvox.seq.wholeBytes`` is left whole, and the helpers are then plain windows.
 
 The carry tables hold one row per (key, bucket), so their size is about
 ``#keys + rows / rows_per_bucket`` and never the rows of a hot key.  They read
@@ -33,6 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 B = "_seq_b"
+#: Tables that Spark estimates at fewer bytes are not cut: each key is one bucket.
+WHOLE_BYTES_CONF = "corpusvox.seq.wholeBytes"
+DEFAULT_WHOLE_BYTES = 64 << 20
+WHOLE = {"corpusvox.whole": True}
 ROWS_PER_BUCKET_CONF = "corpusvox.seq.rowsPerBucket"
 DEFAULT_ROWS_PER_BUCKET = 200_000
 #: Picked rows for each bucket; more make the buckets more even.
@@ -60,15 +66,33 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, on, how).drop(*names.values())
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate, which runs no job, lets every key stay in one bucket."""
+    limit = int(df.sparkSession.conf.get(WHOLE_BYTES_CONF, str(DEFAULT_WHOLE_BYTES)))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < limit
+
+
+def one_bucket(df: DataFrame) -> DataFrame:
+    """Add ``_seq_b`` = 0, marked so that nothing is carried between buckets."""
+    return df.withColumn(B, F.lit(0).cast("long")).withMetadata(B, WHOLE)
+
+
+def _is_whole(df: DataFrame) -> bool:
+    return df.schema[B].metadata == WHOLE
+
+
 def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``_seq_b``: a bucket id that never decreases along ``order`` inside a key.
 
     Small keys have no bound and stay whole; a hot key is cut into about
     ``count / rows_per_bucket`` buckets of even size.  The picked rows of a key (one in
-    ``rows_per_bucket / OVERSAMPLE``) are sorted in one array."""
+    ``rows_per_bucket / OVERSAMPLE``) are sorted in one array.  A table that is small by estimate
+    is not cut, unless a bucket size is asked for."""
     keys, order = _names(keys), _names(order)
     conf = df.sparkSession.conf.get(ROWS_PER_BUCKET_CONF, None)
+    if rows_per_bucket is None and conf is None and is_small(df):
+        return one_bucket(df)
     rpb = int(rows_per_bucket or conf or DEFAULT_ROWS_PER_BUCKET)
     one_in = max(1, rpb // OVERSAMPLE)
     every = max(1, rpb // one_in)
@@ -130,6 +154,8 @@ def seq_neighbors(df: DataFrame, keys: Sequence[str], order: Sequence[str], prev
     sel = [F.lag(c).over(w).alias(c + prev_suffix) for c in prev] + \
           [F.lead(c).over(w).alias(c + next_suffix) for c in nxt] + \
           [F.row_number().over(w).alias("_seq_rn")]
+    if _is_whole(df):
+        return df.select("*", *sel[:-1])
     if prev:
         sel.append(F.last(F.struct(*[F.col(c) for c in prev])).over(full).alias("_seq_tail"))
     if nxt:
@@ -159,6 +185,8 @@ def seq_cumsum(df: DataFrame, keys: Sequence[str], order: Sequence[str], exprs:
     df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     full = _full(keys, order)
+    if _is_whole(df):
+        return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()])
     local = df.select("*", *[F.sum(e).over(w).alias(n) for n, e in exprs.items()],
                       *[F.sum(e).over(full).alias("_seq_tot_" + n) for n, e in exprs.items()],
                       F.row_number().over(_w(keys, order)).alias("_seq_rn"))
@@ -178,6 +206,9 @@ def seq_cummin(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     keys, order = _names(keys), _names(order)
     df = _ensure(df, keys, order, rows_per_bucket)
     upto = _w(keys, order)
+    if _is_whole(df):
+        return df.select("*", F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias(name),
+                         F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias(before))
     local = df.select("*", F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias(name),
                       F.min(value).over(upto.rowsBetween(Window.unboundedPreceding, -1)).alias(before),
                       F.min(value).over(_full(keys, order)).alias("_seq_least"), F.row_number().over(upto).alias("_seq_rn"))
@@ -201,6 +232,8 @@ def seq_ffill(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str
     keys, order = _names(keys), _names(order)
     df = _ensure(df, keys, order, rows_per_bucket)
     w = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    if _is_whole(df):
+        return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
     local = df.select("*", F.last(col, ignorenulls=True).over(w).alias(out),
                       F.last(col, ignorenulls=True).over(_full(keys, order)).alias("_seq_btail"),
                       F.row_number().over(_w(keys, order)).alias("_seq_rn"))

@@ -130,3 +130,29 @@ def test_cummin_over_buckets(spark):
         seen = [v for k, i, v in rows if k == r.k and i <= r.i and v is not None]
         before = [v for k, i, v in rows if k == r.k and i < r.i and v is not None]
         assert r.low == min(seen, default=None) and r.low_before == min(before, default=None)
+
+
+def test_whole_tables_give_the_same_as_cut_ones(spark):
+    """Small tables are plain windows: no bucket size is asked for, so the session's setting is taken off."""
+    from pyspark.sql import functions as F
+
+    from corpusvox.plans import sequence as S
+    rows = [(None if k == 2 else k, i, (i * 5 + k) % 7 if i % 3 else None) for k in range(3) for i in range(20)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+    size = spark.conf.get(S.ROWS_PER_BUCKET_CONF)
+
+    def run():
+        out = S.seq_neighbors(df, ["k"], ["i"], prev=["v"], next=["v"])
+        out = S.seq_cumsum(out, ["k"], ["i"], {"total": F.coalesce("v", F.lit(0))})
+        out = S.seq_cummin(out, ["k"], ["i"], F.col("v"), "low", "low_before")
+        out = S.seq_ffill(out, ["k"], ["i"], "v", "filled").drop(S.B)
+        out = S.seq_row_number(out, [], ["k", "i"], "at").drop(S.B)
+        return out, sorted(map(repr, out.collect()))
+    cut = run()[1]
+    try:
+        spark.conf.unset(S.ROWS_PER_BUCKET_CONF)
+        plan, whole = run()
+    finally:
+        spark.conf.set(S.ROWS_PER_BUCKET_CONF, size)
+    assert whole == cut
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
