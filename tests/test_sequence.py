@@ -137,8 +137,7 @@ def test_whole_tables_give_the_same_as_cut_ones(spark):
     from pyspark.sql import functions as F
 
     from corpusvox.plans import sequence as S
-    rows = [(None if k == 2 else k, i, (i * 5 + k) % 7 if i % 3 else None) for k in range(3) for i in range(20)]
-    df = spark.createDataFrame(rows, "k long, i long, v long")
+    df = spark.range(30).selectExpr("nullif(id div 10, 2) AS k", "id % 10 AS i", "CASE WHEN id % 3 > 0 THEN id * 5 % 7 END AS v")
     size = spark.conf.get(S.ROWS_PER_BUCKET_CONF)
 
     def run():
