@@ -12,7 +12,8 @@ FAST = ["utt_assembly", "completeness_report", "length_filter", "spk2utt", "dedu
         "vocabulary", "char_tokens", "wer_detail", "cer_detail", "error_rates", "min_dcf", "eer",
         "spk_embedding_mean", "nearest_centroid", "lfr_stack", "rank_slice", "parquet_shards", "nbest",
         "merge_turns", "split_overlaps", "diarization_postprocess", "assign_speakers", "diarization_error",
-        "label_majority", "sentences", "srt_export", "edit_chain", "edit_requests", "codec_tokens"]
+        "label_majority", "sentences", "srt_export", "edit_chain", "edit_requests", "codec_tokens",
+        "noise_gate", "vad_segments_gated", "vad_visits_stream", "cif_heavy", "speakers_by_spectrum"]
 
 
 def _norm(v):
