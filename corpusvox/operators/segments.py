@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusvox.plans.sequence import B, range_buckets, seq_cummin, seq_cumsum, seq_ffill, seq_lag, seq_lead, seq_neighbors
+from corpusvox.plans.sequence import (B, is_whole, one_bucket, range_buckets, seq_cummin, seq_cumsum, seq_ffill, seq_lag, seq_lead,
+                                      seq_neighbors)
 from corpusvox.session import cut_lineage
 
 
@@ -35,11 +36,12 @@ def _l(x) -> list[str]:
 # ------------------------------------------------------------ turns
 
 def merge_turns(seg: DataFrame, rec: str, order: Sequence[str], start="start", end="end",
-                label="label") -> DataFrame:
+                label="label", mark_whole: bool = False) -> DataFrame:
     """Merge consecutive rows of one label when the next starts at or before
     the current (merged) end; the merged end is the last row's end.
 
-    Output: rec, island (0-based), label, start, end, n (rows merged)."""
+    Output: rec, island (0-based), label, start, end, n (rows merged); with ``mark_whole`` also
+    ``_seq_b`` if no recording needed cutting, so that a later step by island need not ask again."""
     order = _l(order)
     x = range_buckets(seg.select(rec, *order, start, end, label).withColumn("_in", F.lit(True)), [rec], order)
     x = seq_neighbors(x, [rec], order, prev=["_in", label, end], next=["_in", label, start], prev_suffix="_prev",
@@ -54,10 +56,11 @@ def merge_turns(seg: DataFrame, rec: str, order: Sequence[str], start="start", e
                    [rec], order, {"island": F.col("_new")})
     # one row per island opens it and one closes it: primitive aggregates, hash path
     # the label is constant inside an island, so it rides in the grouping key
-    return x.groupBy(rec, "island", label).agg(
+    out = x.groupBy(rec, "island", label).agg(
         F.max(F.when(F.col("_new") == 1, F.col(start))).alias(start),
         F.max(F.when(F.col("_closes"), F.col(end))).alias(end),
         F.count(F.lit(1)).alias("n")).withColumn("island", F.col("island") - 1)
+    return one_bucket(out) if mark_whole and is_whole(x) else out
 
 
 def split_overlaps(seg: DataFrame, rec: str, order: Sequence[str], start="start", end="end",
@@ -600,29 +603,25 @@ def timestamp_segments(tokens: DataFrame, rec: str, pos: str, tok: str, ts_begin
     last timestamp (NULL end when there is none or it is the zero timestamp).
 
     Output (rec, seg, start, end, n_text)."""
-    x = tokens.select(rec, pos, tok, (F.col(tok) >= ts_begin).alias("_ts"))
-    x = seq_neighbors(x, [rec], [pos], prev=["_ts"]).drop(B)
+    bucket = [B] if B in tokens.columns else []
+    x = tokens.where(F.col(rec).isNotNull()).select(rec, pos, tok, *bucket, (F.col(tok) >= ts_begin).alias("_ts"))
+    x = seq_neighbors(x, [rec], [pos], prev=["_ts"])
     boundary = F.coalesce(F.col("_ts") & F.col("_ts_prev"), F.lit(False))
-    x = seq_cumsum(x.withColumn("_b", boundary.cast("long")), [rec], [pos], {"seg": F.col("_b")}).drop(B)
-    has_pairs = x.groupBy(rec).agg(F.max("_b").alias("_pairs"))
-    x = x.join(has_pairs, rec)
+    x = seq_cumsum(x.withColumn("_b", boundary.cast("long")), [rec], [pos], {"seg": F.col("_b")})
     key = F.col(pos)
-    # with pairs: the closing slice ends at the first timestamp of the pair (the row
-    # before each boundary); rows after the last pair belong to no closed slice
-    paired = x.where(F.col("_pairs") == 1)
-    seg_tot = paired.groupBy(rec).agg(F.max("seg").alias("_last_seg"))
-    paired = paired.join(seg_tot, rec).where(F.col("seg") < F.col("_last_seg"))
-    sl = paired.groupBy(rec, "seg").agg(F.min_by(tok, key).alias("_first"), F.max_by(tok, key).alias("_last"),
-                                        F.count(F.lit(1)).alias("_n"))
-    with_pairs = sl.select(rec, "seg", ((F.col("_first") - ts_begin) * precision).alias("start"),
-                           ((F.col("_last") - ts_begin) * precision).alias("end"), (F.col("_n") - 2).alias("n_text"))
-    single = x.where(F.col("_pairs") == 0).groupBy(rec).agg(
-        F.max_by(F.when(F.col("_ts"), F.col(tok)), F.when(F.col("_ts"), key)).alias("_lt"),
-        F.count(F.lit(1)).alias("_n"))
-    single = single.select(rec, F.lit(0).cast("long").alias("seg"), F.lit(0.0).alias("start"),
-                           F.when(F.col("_lt") != ts_begin, (F.col("_lt") - ts_begin) * precision).alias("end"),
-                           F.col("_n").alias("n_text"))
-    return with_pairs.unionByName(single)
+    sl = x.groupBy(rec, "seg").agg(
+        F.min_by(tok, key).alias("_first"), F.max_by(tok, key).alias("_last"), F.count(F.lit(1)).alias("_n"),
+        F.max_by(F.when(F.col("_ts"), F.col(tok)), F.when(F.col("_ts"), key)).alias("_lt"))
+    # a recording has no more slices than tokens, so one that was whole stays whole
+    sl = seq_neighbors(one_bucket(sl) if is_whole(x) else sl, [rec], ["seg"], next=["seg"]).drop(B)
+    # a closing slice ends at the first timestamp of a pair (the row before each boundary); rows after
+    # the last pair belong to no closed slice; slice 0 without a next one has no pair at all
+    closed = F.col("seg_next").isNotNull()
+    end = F.when(closed, F.col("_last")).otherwise(F.when(F.col("_lt") != ts_begin, F.col("_lt")))
+    return sl.where(closed | (F.col("seg") == 0)).select(
+        rec, "seg", F.when(closed, (F.col("_first") - ts_begin) * precision).otherwise(F.lit(0.0)).alias("start"),
+        ((end - ts_begin) * precision).alias("end"),
+        F.when(closed, F.col("_n") - 2).otherwise(F.col("_n")).alias("n_text"))
 
 
 def end_detect(hyps: DataFrame, utt: str, length: str, score: str, M: int = 3, d_end: float = -10.0,

@@ -27,13 +27,17 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from corpusvox.plans.sequence import B, DEFAULT_ROWS_PER_BUCKET, _null_safe_join, is_small, one_bucket, range_buckets
+from corpusvox.plans.sequence import B, DEFAULT_ROWS_PER_BUCKET, _null_safe_join, has_hot_key, is_small, one_bucket, range_buckets
 from corpusvox.session import cut_lineage
 
 
@@ -45,7 +49,7 @@ def chained_fold(df: DataFrame, key: str, order: Sequence[str], values: Sequence
     key's earlier buckets."""
     order, values = list(order), list(values)
     rows = df.select(F.col(key).cast("long").alias("_key"), *order, *values)
-    if rows_per_bucket is None and is_small(rows):
+    if rows_per_bucket is None and (is_small(rows) or not has_hot_key(rows, ["_key"], order, DEFAULT_ROWS_PER_BUCKET)):
         rows = one_bucket(rows)
     else:
         rows = range_buckets(rows, ["_key"], order, rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
@@ -58,23 +62,31 @@ def chained_fold(df: DataFrame, key: str, order: Sequence[str], values: Sequence
     todo = cut_lineage(starts.select("_key", B, "last", guess("offset").alias("entry")))
     results = None
     schema = f"_key long, {B} long, last boolean, entry string, exit string, n long, out array<struct<{_struct(fold.fields)}>>"
-
-    def run(_: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = next(batches)
-        head = first.iloc[0]
-
-        def all_batches() -> Iterator[pd.DataFrame]:
-            yield first
-            yield from batches
-        end, out, n = fold.run(json.loads(head["entry"]), all_batches(), bool(head["last"]))
-        names = [f.split(":")[0] for f in _struct(fold.fields).split(",")]
-        yield pd.DataFrame({
-            "_key": [head["_key"]], B: [head[B]], "last": [head["last"]], "entry": [head["entry"]],
-            "exit": [json.dumps(end)], "n": [n], "out": [[dict(zip(names, o, strict=True)) for o in out]]})
+    names = [f.split(":")[0] for f in _struct(fold.fields).split(",")]
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    heads = ["_key", B, "last", "entry"]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """Runs of rows of one bucket; a bucket's runs follow each other."""
+        for b in batches:
+            if b.num_rows:
+                key = b.column(b.schema.get_field_index("_key")).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                bucket = b.column(b.schema.get_field_index(B)).to_numpy()
+                cuts = (np.flatnonzero((np.diff(key) != 0) | (np.diff(bucket) != 0)) + 1).tolist()
+                for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+                    part = b.slice(lo, hi - lo)
+                    yield tuple(part.column(part.schema.get_field_index(c))[0].as_py() for c in heads), part.select([*order, *values])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, bucket, last, entry), parts in groupby(pieces(batches), key=lambda x: x[0]):
+            end, out, n = fold.run(json.loads(entry), (p.to_pandas() for _, p in parts), last)
+            row = {"_key": key, B: bucket, "last": last, "entry": entry, "exit": json.dumps(end), "n": n,
+                   "out": [dict(zip(names, map(_plain, o), strict=True)) for o in out]}
+            yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     while True:
         work = _null_safe_join(rows, todo, ["_key", B], "inner").repartition("_key", B).sortWithinPartitions("_key", B, *order)
-        new = work.groupBy("_key", B).applyInPandas(run, schema)
+        new = work.mapInArrow(run, schema)
         if results is not None:
             kept = _null_safe_join(results, todo.select("_key", B, F.lit(True).alias("again")), ["_key", B]).where("again IS NULL")
             new = kept.drop("again").select(*results.columns).unionByName(new)
@@ -88,6 +100,11 @@ def chained_fold(df: DataFrame, key: str, order: Sequence[str], values: Sequence
     return numbered.select(F.col("_key").alias(key), "_before", F.inline("out"))
 
 
+def _plain(x: Any) -> Any:
+    """A numpy number as Python's."""
+    return x.item() if isinstance(x, np.generic) else x
+
+
 def _struct(ddl: str) -> str:
     """``a long, b string`` as the inside of a struct type."""
     return ",".join(":".join(part.split()) for part in ddl.split(","))

@@ -286,8 +286,8 @@ def q_ts_segments(spark, sf):
     """W19 stand-in: per order, part keys in line order; keys >= 1500 are timestamp tokens."""
     from corpusvox.plans.sequence import seq_row_number
     li = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("rec"), "l_linenumber", "l_partkey", "l_suppkey")
-    li = seq_row_number(li, ["rec"], ["l_linenumber", "l_partkey", "l_suppkey"], "pos").drop("_seq_b")
-    s = G.timestamp_segments(li.select("rec", "pos", F.col("l_partkey").alias("tok")), "rec", "pos", "tok", 1500)
+    li = seq_row_number(li, ["rec"], ["l_linenumber", "l_partkey", "l_suppkey"], "pos")
+    s = G.timestamp_segments(li.select("rec", "pos", F.col("l_partkey").alias("tok"), "_seq_b"), "rec", "pos", "tok", 1500)
     return s.select("rec", "seg", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "n_text")
 
 

@@ -65,7 +65,7 @@ SPLIT_SQL = """
           + "," + SPLIT_SQL.format(name="s", src="m") + """
 SELECT rec, island, label, floor(start * 1e6 + 0.5) / 1e6 AS start, floor("end" * 1e6 + 0.5) / 1e6 AS "end", n FROM s""")
 def q_split(spark, sf):
-    s = G.split_overlaps(G.merge_turns(events(spark, sf), "rec", ["start", "event_id"]), "rec", ["island"])
+    s = G.split_overlaps(G.merge_turns(events(spark, sf), "rec", ["start", "event_id"], mark_whole=True), "rec", ["island"])
     return s.select("rec", "island", "label", *_r6("start", "end"), "n")
 
 

@@ -16,15 +16,14 @@ frames per bucket say which bucket holds it.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusvox.plans.sequence import B, _null_safe_join, range_buckets
+from corpusvox.plans.sequence import B, _null_safe_join, is_whole, range_buckets
 
 #: The level of a session without a noise frame so far.
 NO_LEVEL = -100.0
@@ -56,36 +55,55 @@ def noise_gate(frames: DataFrame, session: str, order: Sequence[str], speech: st
     order = list(order)
     is_noise = ~F.col(speech).cast("boolean") & (F.col(db) >= decibel_thres)
     rows = range_buckets(frames.withColumn("_noise", F.coalesce(is_noise, F.lit(False))), [session], order, rows_per_bucket)
+    whole = is_whole(rows)
     chain = Window.partitionBy(session).orderBy(B)
-    counts = rows.groupBy(session, B).agg(F.sum(F.col("_noise").cast("int")).alias("k"))
-    fresh = counts.select(session, B, (F.sum("k").over(chain) - F.col("k") == 0).alias("_fresh"))
-    rows = _null_safe_join(rows, fresh, [session, B]).repartition(session, B).sortWithinPartitions(session, B, *order)
-    names = rows.columns
-    schema = StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in ("_p", "_q", "_p_end", "_q_end")]])
+    if whole:
+        rows = rows.withColumn("_fresh", F.lit(True))
+    else:
+        counts = rows.groupBy(session, B).agg(F.sum(F.col("_noise").cast("int")).alias("k"))
+        fresh = counts.select(session, B, (F.sum("k").over(chain) - F.col("k") == 0).alias("_fresh"))
+        rows = _null_safe_join(rows, fresh, [session, B])
+    rows = rows.repartition(session, B).sortWithinPartitions(session, B, *order)
+    added = ("_p", "_q", "_p_end", "_q_end")
+    schema = StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in added]])
 
-    def scan(_: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p0, q0, fresh = 1.0, 0.0, None
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, p0, q0, fresh = None, 1.0, 0.0, True
         for b in batches:
-            fresh = bool(b["_fresh"].iloc[0]) if fresh is None else fresh
-            noise = b["_noise"].to_numpy().astype(bool)
-            p, q = prefix_maps(noise, b[db].to_numpy().astype(float), n, fresh)
-            fresh = fresh and not noise.any()
-            p, q = p * p0, p * q0 + q
-            out = b[names].copy()
-            out["_p"], out["_q"], out["_p_end"], out["_q_end"] = p[:-1], q[:-1], p[1:], q[1:]
-            yield out
-            p0, q0 = p[-1], q[-1]
-    maps = rows.groupBy(session, B).applyInPandas(scan, schema)
-    place = F.struct(*order)
-    whole = maps.groupBy(session, B).agg(F.max_by(F.struct("_p_end", "_q_end"), place).alias("m"))
-    per_key = whole.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(B, "m"))).alias("ms"))
-    step = F.aggregate("ms", F.array(F.lit(NO_LEVEL)), lambda acc, x: F.concat(acc, F.array(
-        x["m"]["_p_end"] * F.element_at(acc, -1) + x["m"]["_q_end"])))
-    entry = per_key.select(session, F.explode(F.arrays_zip(F.transform("ms", lambda x: x[B]).alias("b"),
-                                                           F.slice(step, 1, F.size("ms")).alias("level"))).alias("e")).select(
-        session, F.col("e.b").alias(B), F.col("e.level").alias("_entry"))
+            if not b.num_rows:
+                continue
+            column = dict(zip(b.schema.names, b.columns))
+            noise = column["_noise"].to_numpy(zero_copy_only=False).astype(bool)
+            x = column[db].to_numpy(zero_copy_only=False).astype(float)
+            bucket, starts = column[B].to_numpy(), column["_fresh"].to_numpy(zero_copy_only=False)
+            key = column[session].dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(bucket) != 0)) + 1
+            out = np.empty((4, b.num_rows))
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                here = (column[session][lo].as_py(), int(bucket[lo]))
+                if here != at:
+                    at, p0, q0, fresh = here, 1.0, 0.0, bool(starts[lo])
+                p, q = prefix_maps(noise[lo:hi], x[lo:hi], n, fresh)
+                fresh = fresh and not noise[lo:hi].any()
+                p, q = p * p0, p * q0 + q
+                out[:, lo:hi] = p[:-1], q[:-1], p[1:], q[1:]
+                p0, q0 = p[-1], q[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, out)], [*b.schema.names, *added])
+    maps = rows.mapInArrow(scan, schema)
+    if whole:
+        out = maps.withColumn("_entry", F.lit(NO_LEVEL))
+    else:
+        place = F.struct(*order)
+        ends = maps.groupBy(session, B).agg(F.max_by(F.struct("_p_end", "_q_end"), place).alias("m"))
+        per_key = ends.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(B, "m"))).alias("ms"))
+        step = F.aggregate("ms", F.array(F.lit(NO_LEVEL)), lambda acc, x: F.concat(acc, F.array(
+            x["m"]["_p_end"] * F.element_at(acc, -1) + x["m"]["_q_end"])))
+        entry = per_key.select(session, F.explode(F.arrays_zip(F.transform("ms", lambda x: x[B]).alias("b"),
+                                                               F.slice(step, 1, F.size("ms")).alias("level"))).alias("e")).select(
+            session, F.col("e.b").alias(B), F.col("e.level").alias("_entry"))
+        out = _null_safe_join(maps, entry, [session, B])
     level = F.col("_p") * F.col("_entry") + F.col("_q")
-    out = _null_safe_join(maps, entry, [session, B]).withColumn("noise_level", level)
+    out = out.withColumn("noise_level", level)
     passes = F.col(speech).cast("boolean") & (F.col(db) >= decibel_thres) & (F.col(db) - F.col("noise_level") >= snr_thres)
     return out.withColumn("gated", F.coalesce(passes, F.lit(False))).drop(
         B, "_noise", "_fresh", "_p", "_q", "_p_end", "_q_end", "_entry")
