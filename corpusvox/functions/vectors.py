@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusvox.functions.text import bound
+
 def D0() -> Column:
     return F.lit(0.0).cast("double")
 
@@ -111,25 +113,28 @@ def apply_cmvn(frames, shift, scale) -> Column:
 def lfr(frames, m: int = 7, n: int = 6) -> Column:
     """Stack m frames every n; left pad (m-1)//2 copies of frame 0; the last
     outputs are padded with the final frame.  ceil(T/n) outputs of m*D values."""
-    f = _c(frames)
-    t = F.size(f)
     pad = (m - 1) // 2
-    outs = F.sequence(F.lit(0), F.ceil(t / F.lit(n)).cast("int") - 1)
-    return F.when(t > 0, F.transform(outs, lambda i: F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(m - 1)),
-        lambda j: F.element_at(f, F.least(F.greatest(i * n + j - pad, F.lit(0)), t - 1) + 1))))) \
-        .otherwise(F.array().cast("array<array<double>>"))
+
+    def stacked(f):
+        t = F.size(f)
+        outs = F.sequence(F.lit(0), F.ceil(t / F.lit(n)).cast("int") - 1)
+        return F.when(t > 0, F.transform(outs, lambda i: F.flatten(F.transform(
+            F.sequence(F.lit(0), F.lit(m - 1)),
+            lambda j: F.element_at(f, F.least(F.greatest(i * n + j - pad, F.lit(0)), t - 1) + 1))))) \
+            .otherwise(F.array().cast("array<array<double>>"))
+    return bound(_c(frames), stacked)
 
 
 def splice(frames, context: int) -> Column:
     """Each frame joined with +-context neighbours, zero padded at the edges."""
-    f = _c(frames)
-    t = F.size(f)
-    zero = F.transform(F.element_at(f, 1), lambda x: F.lit(0.0).cast("double"))
-    return F.transform(F.sequence(F.lit(0), t - 1), lambda i: F.flatten(F.transform(
-        F.sequence(F.lit(-context), F.lit(context)),
-        lambda o: F.when((i + o >= 0) & (i + o < t),
-                         F.transform(F.element_at(f, i + o + 1), lambda x: x.cast("double"))).otherwise(zero))))
+    def spliced(f):
+        t = F.size(f)
+        zero = F.transform(F.element_at(f, 1), lambda x: F.lit(0.0).cast("double"))
+        return F.transform(F.sequence(F.lit(0), t - 1), lambda i: F.flatten(F.transform(
+            F.sequence(F.lit(-context), F.lit(context)),
+            lambda o: F.when((i + o >= 0) & (i + o < t),
+                             F.transform(F.element_at(f, i + o + 1), lambda x: x.cast("double"))).otherwise(zero))))
+    return bound(_c(frames), spliced)
 
 
 def subsample(frames, k: int) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusvox.functions.edit import char_distance, word_alignment
 from corpusvox.functions.text import word_tokens
+from corpusvox.functions.text import bound
 from corpusvox.plans.sequence import seq_cumsum
 
 
@@ -67,7 +68,7 @@ def corpus_rate(detail: DataFrame) -> DataFrame:
 
 def collapse_ctc(ids: Column, blank: int = 0, space: int | None = None) -> Column:
     """Collapse runs of equal ids, then drop -1, blank and space ids."""
-    kept = F.filter(ids, lambda x, i: (i == 0) | (x != F.element_at(ids, F.greatest(i, F.lit(1)))))
+    kept = bound(ids, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.element_at(a, F.greatest(i, F.lit(1))))))
     drop = [-1, blank] + ([space] if space is not None else [])
     return F.filter(kept, lambda v: ~v.isin(*drop))
 

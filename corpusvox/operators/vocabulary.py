@@ -171,14 +171,12 @@ def seg_tokenize(long: DataFrame, key: str, seg_dict: DataFrame, unk: str = "<un
     d = seg_dict.select(F.col("word").alias("_w"), F.col("pieces").alias("_p"))
     w = long.select(key, "pos", F.lower("token").alias("_low"))
     hit = w.join(d, w["_low"] == d["_w"], "left")
-    found = hit.where(F.col("_p").isNotNull()).select(key, "pos", F.posexplode("_p").alias("sub", "token"))
-    miss = hit.where(F.col("_p").isNull()).select(key, "pos", "_low")
-    cjk = miss.where(F.col("_low").rlike(r"^[一-龥0-9]+$"))
-    other = miss.where(~F.col("_low").rlike(r"^[一-龥0-9]+$")) \
-        .select(key, "pos", F.lit(0).alias("sub"), F.lit(unk).alias("token"))
+    by_char = F.col("_p").isNull() & F.col("_low").rlike(r"^[一-龥0-9]+$")
+    whole = hit.where(~by_char).select(key, "pos", F.posexplode(F.coalesce("_p", F.array(F.lit(unk)))).alias("sub", "token"))
+    cjk = hit.where(by_char).select(key, "pos", "_low")
     chars = cjk.select(key, "pos", F.posexplode(F.regexp_extract_all("_low", F.lit("(.)"), 1)).alias("ci", "_c"))
     per_char = chars.join(d, chars["_c"] == d["_w"], "left").select(
         key, "pos", "ci", F.coalesce("_p", F.array(F.lit(unk))).alias("_pp"))
     per_char = per_char.select(key, "pos", "ci", F.posexplode("_pp").alias("cj", "token")) \
         .select(key, "pos", (F.col("ci").cast("long") * (1 << 31) + F.col("cj")).alias("sub"), "token")
-    return found.unionByName(other).unionByName(per_char)
+    return whole.unionByName(per_char)

@@ -114,8 +114,9 @@ SELECT doc_id, ((n + 19) // 20)::BIGINT AS n_batches,
 def q_mini(spark, sf):
     """Words in batches of 20, remainder kept (counted per document)."""
     d = T(spark, sf, "documents").select("doc_id", X.word_tokens("text").alias("w")).where(F.size("w") > 0)
-    x = d.select("doc_id", F.posexplode("w").alias("pos", "word")) \
-        .groupBy("doc_id", F.floor(F.col("pos") / 20).alias("b")).agg(F.count(F.lit(1)).alias("sz"))
+    batches = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(20)), lambda at: F.slice("w", at, F.lit(20)))
+    x = d.select("doc_id", F.posexplode(batches).alias("b", "words")) \
+        .groupBy("doc_id", "b").agg(F.sum(F.size("words")).alias("sz"))
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_batches"), F.max_by("sz", "b").alias("last_size"))
 
 
