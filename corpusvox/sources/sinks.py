@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusvox.functions.text import WS_RUN, py_strip
 from corpusvox.plans.sequence import B as BUCKET
 from corpusvox.plans.sequence import seq_row_number
+from corpusvox.session import cut_lineage
 
 
 def _one_line(c) -> F.Column:
@@ -40,24 +41,46 @@ def write_kaldi_dir(utts: DataFrame, path: str, wav: str = "wav", text: str = "t
     write_keyed_text(s2u, spk, "utts", f"{path}/spk2utt")
 
 
+def _numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add a 1-based global row number by ``order``: a range sort over many tasks, checkpointed so that
+    no task can be sorted anew, and each task's count for the next one's offset.  Ties are spread by
+    their place in the input."""
+    keys = [*order, "_tie"]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(df.withColumn("_tie", F.monotonically_increasing_id())
+                       .repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie"))
+    rows = rows.withColumn("_part", F.spark_partition_id())
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a task: no more than that meets in the window
+    offsets = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    in_part = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (rows.withColumn(name, in_part).join(F.broadcast(offsets), "_part")
+            .withColumn(name, F.col(name) + F.col("_before") + 1).drop("_part", "_before"))
+
+
 def write_shards(df: DataFrame, key: str, path: str, rows_per_shard: int = 1000,
                  ties: Sequence[str] = ()) -> DataFrame:
     """K2: Parquet shards of exactly ``rows_per_shard`` rows in the order of (key, ties), the last
     one with the remainder; returns the shard list (shard, path, rows, first_key, last_key).
 
-    One sorted numbering gives each row its shard.  A task gets whole shards in order, so the
-    writer's row limit cuts its files at the shards' bounds; no path goes through the driver."""
+    One sorted numbering gives each row its shard; it runs over many tasks whatever the size estimate
+    says, which counts compressed bytes.  Whole shards are dealt to the tasks by their number, which
+    asks for no sample of the rows and so runs the numbering once.  A task gets its shards in order,
+    so the writer's row limit cuts its files at the shards' bounds; no path goes through the driver.
+    The files are read once for the list, of which a row a file is kept."""
     spark = df.sparkSession
     order = [key, *ties]
-    rows = seq_row_number(df, [], order, "_rn").drop(BUCKET)
+    rows = _numbered(df, order, "_rn")
     rows = rows.withColumn("_shard", F.floor((F.col("_rn") - 1) / rows_per_shard))
     n = spark.sparkContext.defaultParallelism
-    (rows.repartitionByRange(n, "_shard").sortWithinPartitions("_rn").drop("_rn", "_shard")
+    (rows.repartitionById(n, (F.col("_shard") % n).cast("int")).sortWithinPartitions("_rn").drop("_rn", "_shard")
      .write.mode("overwrite").option("maxRecordsPerFile", rows_per_shard).option("compression", "snappy").parquet(path))
     least = F.struct(*[F.col(c) for c in order])
     files = (spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path"), *order)
              .groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.min(least).alias("_first"), F.max(least).alias("_last")))
-    listed = seq_row_number(files, [], ["_first", "path"], "_n").drop(BUCKET)
+    # only the last shard is short; among files of equal rows only it can be
+    files = cut_lineage(files.withColumn("_missing", rows_per_shard - F.col("rows")))
+    listed = seq_row_number(files, [], ["_first", "_last", "_missing", "path"], "_n").drop(BUCKET)
     return listed.select((F.col("_n") - 1).alias("shard"), "path", "rows", F.col("_first")[key].alias("first_key"),
                          F.col("_last")[key].alias("last_key"))
 

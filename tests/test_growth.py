@@ -118,3 +118,16 @@ def test_a_search_sends_blocks_to_groups_not_to_every_block(spark):
     n = blocks.count()
     assert n > 20 and pairs.count() <= n * spark.sparkContext.defaultParallelism
     assert pairs.where("own").count() == n
+
+
+def test_shards_number_rows_over_many_tasks_and_read_their_files_once(spark, tmp_path, monkeypatch):
+    from corpusvox.sources import sinks as Sk
+    numbered, number = [], Sk.seq_row_number
+    monkeypatch.setattr(Sk, "seq_row_number", lambda df, *a, **b: numbered.append(df) or number(df, *a, **b))
+    df = spark.range(0, 105, 1, 7).select(F.when(F.col("id") > 4, F.col("id") * 37 % 105 % 3).alias("k"), F.lit("x").alias("v"))
+    shards = Sk.write_shards(df, "k", f"{tmp_path}/data", 10).orderBy("shard").collect()
+    keys = sorted((r.k for r in df.collect()), key=lambda k: (k is not None, k))
+    assert [(s.shard, s.rows, s.first_key, s.last_key) for s in shards] == [
+        (i, len(c), c[0], c[-1]) for i, c in enumerate(keys[j:j + 10] for j in range(0, 105, 10))]
+    # the rows are in no window of one task; the list's numbers come from a row a file, made once
+    assert all("v" not in d.columns and "Relation" not in plan(d) for d in numbered) and len(numbered) == 1
