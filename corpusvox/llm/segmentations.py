@@ -15,7 +15,7 @@ its neighbours nor on the task that draws it.
 
 No piece goes on over a space after something else, so the lattice is a chain of lattices of
 space-led units; units are looked up in a table that is built once per batch sequence and
-bounded in size.  Nodes whose children can no longer be among the k best (perturbations of
+bounded in size; when it is full, the units met again since the last time stay.  Nodes whose children can no longer be among the k best (perturbations of
 doubles are bounded) are drawn straight from their probabilities.
 
 Defined results: a null text has no samples, an empty text one empty sample of probability 1;
@@ -27,6 +27,7 @@ input that carry a result's name are replaced, other extra columns pass through.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from dataclasses import dataclass
@@ -47,7 +48,7 @@ UNIT = re.compile(r" *[^ ]+| +")
 MOST_GUMBEL = 37.0
 #: Path nodes down to this log probability are opened first; they nearly always hold the k best.
 NEAR = -8.0
-#: Nodes of the unit table after which it starts anew, and characters of text handled together.
+#: Nodes of the unit table after which only units met again stay, and characters of text handled together.
 TABLE_NODES = 800_000
 BATCH_CHARS = 1_500_000
 LONG_UNIT = 64
@@ -136,7 +137,9 @@ class Units(dict):
     """Unit text -> its first node, with the lattices of all units seen as flat arrays.
 
     Nodes are numbered through; a unit's nodes are its character positions and its end.  The
-    edges of a node stand together, longest first."""
+    edges of a node stand together, longest first.  ``upto`` is the share of a node's probability up to
+    an edge, as the first number of 52 bits beyond it; ``again`` tells, at its first node, whether a unit
+    was met after the batch that brought it."""
 
     def __init__(self, trie: Trie, unknown: float) -> None:
         super().__init__()
@@ -145,7 +148,7 @@ class Units(dict):
         self.new: list[str] = []
         self.held: dict[str, np.ndarray] = {}
         self.first = self.degree = self.to = self.source = self.piece = np.zeros(0, np.int32)
-        self.log_p = self.upto = np.zeros(0)
+        self.log_p, self.upto, self.again = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def append(self, name: str, values: np.ndarray) -> None:
         """Lengthen an array; its space grows by a quarter when it is full, so appending copies little."""
@@ -164,6 +167,30 @@ class Units(dict):
         self.new.append(unit)
         return base
 
+    def reduced(self) -> Units:
+        """A new table with the units met again, or without any if these would fill half of it."""
+        out = Units(self.trie, self.unknown)
+        base = np.fromiter(self.values(), np.int64, len(self))
+        size = np.diff(np.append(base, self.n_nodes))
+        kept = self.again[base]
+        base, size = base[kept], size[kept]
+        if not 0 < int(size.sum()) <= TABLE_NODES // 2:
+            return out
+        nodes, begin = edges_of(base, size)
+        first = self.first[base]
+        degree = self.first[base + size - 1] - first  # a unit's end has no edge
+        edges, edge = edges_of(first, degree)
+        out.update(zip(itertools.compress(self, kept.tolist()), begin.tolist(), strict=True))
+        out.n_nodes = len(nodes)
+        move = np.repeat(begin - base, degree).astype(np.int32)
+        for name, values in (("first", self.first[nodes] + np.repeat(edge - first, size).astype(np.int32)),
+                             ("degree", self.degree[nodes]), ("to", self.to[edges] + move),
+                             ("source", self.source[edges] + move), ("piece", self.piece[edges]),
+                             ("log_p", self.log_p[edges]), ("upto", self.upto[edges]),
+                             ("again", np.zeros(len(nodes), bool))):
+            out.append(name, values)
+        return out
+
     def finish(self) -> None:
         """Append the units met since: their edges, the log mass behind each node, and each edge's probability."""
         if not self.new:
@@ -193,18 +220,20 @@ class Units(dict):
         bare = np.flatnonzero(~covered)
         levels.append((1, bare, -1 - codes[bare], np.full(len(bare), self.unknown)))
 
-        degree = np.zeros(n_nodes, np.int32)
+        edges_at = np.zeros(len(codes), np.int32)
         for _, at, _, _ in levels:
-            degree[node[at]] += 1
+            edges_at[at] += 1
+        degree = np.zeros(n_nodes, np.int32)
+        degree[node] = edges_at
         first = (np.cumsum(degree) - degree).astype(np.int32)
         n_edges = int(degree.sum())
         to, piece, weight = np.zeros(n_edges, np.int32), np.zeros(n_edges, np.int32), np.zeros(n_edges)
         source = np.repeat(np.arange(n_nodes, dtype=np.int32), degree)
-        free = first.copy()
+        free = first[node].astype(np.int64)
         for n, at, p, w in reversed(levels):
-            slot = free[node[at]]
-            to[slot], piece[slot], weight[slot] = node[at] + n, p, w
-            free[node[at]] += 1
+            slot = free.take(at)
+            to[slot], piece[slot], weight[slot] = node.take(at) + n, p, w
+            free[at] = slot + 1
 
         mass = np.zeros(n_nodes)
         order = np.argsort(np.minimum(left, LONG_UNIT + 1).astype(np.uint16), kind="stable")
@@ -226,9 +255,11 @@ class Units(dict):
         total = np.cumsum(np.exp(log_p))
         upto = total - np.concatenate(([0.0], total))[first[source]]
         upto[(first + degree - 1)[degree > 0]] = 2.0
+        upto = np.ceil(upto * 2.0**52 - 0.5).astype(np.int64)  # scaled exactly, so (m + 0.5) / 2^52 >= upto is m >= this
 
         for name, values in (("first", first + np.int32(old_edges)), ("degree", degree), ("to", to + np.int32(old_nodes)),
-                             ("source", source + np.int32(old_nodes)), ("piece", piece), ("log_p", log_p), ("upto", upto)):
+                             ("source", source + np.int32(old_nodes)), ("piece", piece), ("log_p", log_p), ("upto", upto),
+                             ("again", np.zeros(n_nodes, bool))):
             self.append(name, values)
 
 
@@ -240,19 +271,27 @@ def edges_of(first: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def hashed(*parts: np.ndarray | int) -> np.ndarray:
     """A 64-bit hash of the parts."""
+    return hashed_on(np.uint64(0x243F6A8885A308D3), *parts)
+
+
+def hashed_on(h: np.ndarray | np.uint64, *parts: np.ndarray | int) -> np.ndarray:
+    """The hash of more parts after those of which ``h`` is the hash."""
     with np.errstate(over="ignore"):
-        h = np.uint64(0x243F6A8885A308D3)
         for p in parts:
             h = (h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h = h ^ (h >> np.uint64(32))
         return h
 
 
+def numbers(h: np.ndarray) -> np.ndarray:
+    """Numbers of 52 bits from hashes."""
+    with np.errstate(over="ignore"):
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(12)).view(np.int64)
+
+
 def uniforms(*parts: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) from hashes of the parts."""
-    with np.errstate(over="ignore"):
-        h = hashed(*parts) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(12)) + 0.5) * 2.0**-52
+    return (numbers(hashed(*parts)) + 0.5) * 2.0**-52
 
 
 @dataclass
@@ -278,9 +317,11 @@ class Agenda:
 
     def best(self, n_docs: int, k: int) -> tuple[Agenda, np.ndarray]:
         """The k best entries of each doc, best first, and each doc's k-th value (-inf with fewer)."""
-        order = np.lexsort((-self.value, self.doc))
+        order = np.argsort(-self.value)
+        order = order[np.argsort(self.doc[order].astype(np.uint16 if n_docs < 1 << 16 else np.int64), kind="stable")]
         doc = self.doc[order]
-        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        size = np.bincount(doc, minlength=n_docs)
+        rank = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
         out = self.taken(order[rank < k])
         last = np.full(n_docs, -np.inf)
         kth = order[rank == k - 1]
@@ -288,12 +329,23 @@ class Agenda:
         return out, last
 
 
+#: The worker's trie, and the vocabulary that it is of.
+KEPT: list[tuple[Vocabulary, Trie]] = []
+
+
+def kept_trie(vocabulary: Vocabulary) -> Trie:
+    """This worker's trie of a vocabulary; one of another vocabulary makes room for it."""
+    if not KEPT or KEPT[0][0] != vocabulary:
+        KEPT[:] = [(vocabulary, Trie(vocabulary))]
+    return KEPT[0][1]
+
+
 class Sampler:
     """Draws the k best perturbed segmentations of many texts together."""
 
     def __init__(self, vocabulary: Vocabulary, k: int) -> None:
         self.vocabulary, self.k = vocabulary, k
-        self.trie = Trie(vocabulary)
+        self.trie = kept_trie(vocabulary)
         self.units = Units(self.trie, vocabulary.unknown)
 
     def nodes(self, text: str) -> np.ndarray:
@@ -318,10 +370,13 @@ class Sampler:
 
     def draw(self, seeds: list[int], texts: list[str]) -> list[list[dict]]:
         if self.units.n_nodes > TABLE_NODES:
-            self.units = Units(self.trie, self.vocabulary.unknown)
+            self.units = self.units.reduced()
         u, k, n = self.units, self.k, len(texts)
+        known = u.n_nodes
         starts = [self.nodes(t) for t in texts]
         u.finish()
+        for nodes in starts:
+            u.again[nodes[nodes < known]] = True
         seed = np.array(seeds, np.int64).view(np.uint64)
         samples: list[list[dict]] = [[] for _ in range(n)]
         paths: list[dict[int, np.ndarray]] = []
@@ -335,8 +390,8 @@ class Sampler:
             own = [np.concatenate(x) for x in zip(heads, tails, strict=True)]
             paths.append(dict(zip(docs.tolist(), own, strict=True)))
             ends, agenda = self.branch(r, docs, value, loc, heads, tails, places, agenda, seed)
-            for d, path, m, at in zip(docs.tolist(), own, value.tolist(), ends.tolist(), strict=True):
-                samples[d].append({"ids": self.ids(u.piece[path]), "log_prob": at, "perturbed": m})
+            for d, ids, m, at in zip(docs.tolist(), self.ids(own), value.tolist(), ends.tolist(), strict=True):
+                samples[d].append({"ids": ids, "log_prob": at, "perturbed": m})
             if r == k - 1 or not len(agenda.doc):
                 break
             first = np.flatnonzero(np.concatenate(([True], agenda.doc[1:] != agenda.doc[:-1])))
@@ -379,21 +434,24 @@ class Sampler:
         """Draw a path from each node to its unit's end; edges in order, and each path's length."""
         u = self.units
         count = np.zeros(len(node), np.int64)
-        at = np.flatnonzero(u.degree[node] > 0)
-        node, key = node[at], key[at]
+        at = np.flatnonzero(u.degree.take(node) > 0)
+        node, key = node[at], hashed(key[at])
         steps = []
         while len(at):
-            x = uniforms(key, len(steps))
-            e = u.first[node]
-            more = np.flatnonzero(x >= u.upto[e])
+            x = numbers(hashed_on(key, len(steps)))
+            e = u.first.take(node).astype(np.int64)
+            more = np.flatnonzero(x >= u.upto.take(e))
+            left, of = x.take(more), e.take(more)
             while len(more):
-                e[more] += 1
-                more = more[x[more] >= u.upto[e[more]]]
-            steps.append((at, e))
+                of += 1
+                e[more] = of
+                on = np.flatnonzero(left >= u.upto.take(of))
+                more, left, of = more.take(on), left.take(on), of.take(on)
+            steps.append((at, e.astype(np.int32)))
             count[at] += 1
-            node = u.to[e]
-            on = u.degree[node] > 0
-            at, node, key = at[on], node[on], key[on]
+            node = u.to.take(e).astype(np.int64)
+            on = np.flatnonzero(u.degree.take(node) > 0)
+            at, node, key = at.take(on), node.take(on), key.take(on)
         begin = np.cumsum(count) - count
         edges = np.zeros(int(count.sum()), np.int32)
         for i, (at, e) in enumerate(steps):
@@ -437,16 +495,20 @@ class Sampler:
         far = np.flatnonzero(~near & (before + MOST_GUMBEL >= least[docs][who]))
         return ends, agenda.joined(opened(far)).best(n, k - r)[0]
 
-    def ids(self, pieces: np.ndarray) -> np.ndarray:
-        """Piece ids, with the bytes of a character that no piece covers in its place."""
-        odd = np.flatnonzero(pieces < 0)
-        if not len(odd):
-            return pieces
-        out, last = [], 0
-        for i in odd.tolist():
-            out += [pieces[last:i], [self.vocabulary.bytes_[b] for b in chr(-1 - int(pieces[i])).encode()]]
-            last = i + 1
-        return np.concatenate([*out, pieces[last:]]).astype(np.int32)
+    def ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """Each path's piece ids, with the bytes of a character that no piece covers in its place."""
+        sizes = np.array([len(p) for p in paths])
+        pieces = self.units.piece[np.concatenate(paths)]
+        odd = pieces < 0
+        if odd.any():
+            codes = -1 - pieces[odd]
+            width = np.ones(len(pieces), np.int64)
+            width[odd] += (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+            sizes = np.add.reduceat(width, np.cumsum(sizes) - sizes)
+            pieces = np.repeat(pieces, width)
+            data = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+            pieces[np.repeat(odd, width)] = np.array(self.vocabulary.bytes_, np.int32)[np.frombuffer(data, np.uint8)]
+        return np.split(pieces, np.cumsum(sizes)[:-1])
 
 
 def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text",

@@ -77,3 +77,17 @@ def test_operator_on_odd_rows(spark, vocabulary):
     back = long.select("text", decode(F.col("s.ids"), vocabulary, spark).alias("back")).collect()
     assert all(r.text == r.back for r in back)
     assert sample_segmentations(docs(spark, []), vocabulary).count() == 0
+
+
+def test_a_full_table_keeps_the_units_met_again_and_draws_the_same(vocabulary, monkeypatch):
+    from corpusvox.llm import segmentations as S
+    texts = [f"the old house again ☃é𐍈 {i}x" for i in range(60)]
+    whole = [Sampler(vocabulary, 3)([i], [t])[0] for i, t in enumerate(texts)]
+    brought, miss = Counter(), S.Units.__missing__
+    monkeypatch.setattr(S, "TABLE_NODES", 150)
+    monkeypatch.setattr(S.Units, "__missing__", lambda self, unit: brought.update([unit]) or miss(self, unit))
+    drawn = Sampler(vocabulary, 3)
+    for i, t in enumerate(texts):
+        for a, b in zip(drawn([i], [t])[0], whole[i], strict=True):
+            assert list(a["ids"]) == list(b["ids"]) and math.isclose(a["perturbed"], b["perturbed"])
+    assert brought[" house"] == 1 and drawn.units.n_nodes < 200
