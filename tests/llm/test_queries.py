@@ -16,7 +16,7 @@ def test_each_operator_has_one_query():
 def test_query_equals_its_sql(spark, name):
     got = QUERIES[name](spark, SMOKE)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMOKE}/{t}.parquet'")
     res = con.execute(ORACLE[name])
     names = [d[0] for d in res.description]
