@@ -30,9 +30,11 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -43,7 +45,6 @@ SAMPLE = StructType([StructField("ids", ArrayType(IntegerType())), StructField("
                      StructField("perturbed", DoubleType()), StructField("inclusion", DoubleType())])
 RESULT = StructType([StructField("samples", ArrayType(SAMPLE))])
 
-UNIT = re.compile(r" *[^ ]+| +")
 #: No Gumbel number drawn here is larger (uniforms have 52 bits).
 MOST_GUMBEL = 37.0
 #: Path nodes down to this log probability are opened first; they nearly always hold the k best.
@@ -100,19 +101,22 @@ class Trie:
         for piece, i in vocabulary.ids.items():
             self.piece[number[piece]] = i
             self.weight[number[piece]] = vocabulary.weights[piece]
-        keys = np.array(steps, np.int64)
-        bits = max(4, int(len(keys) * 6).bit_length())
+        #: Each node's step, and one that no node has in the place that -1 reads.
+        self.key = np.array([-1, *steps, -1], np.int64)
+        bits = max(4, int(len(steps) * 6).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key = np.full(1 << bits, -1, np.int64)
         self.child = np.full(1 << bits, -1, np.int32)
-        todo, slot = np.arange(len(keys)), self.slot(keys)
+        todo = np.arange(1, len(number))
+        slot = self.slot(self.key)
         while len(todo):
-            free = todo[self.key[slot[todo]] < 0]
-            self.key[slot[free]] = keys[free]
-            placed = self.key[slot[todo]] == keys[todo]
-            self.child[slot[todo[placed]]] = todo[placed] + 1
-            todo = todo[~placed]
+            free = todo[self.child[slot[todo]] < 0]
+            self.child[slot[free]] = free
+            todo = todo[self.child[slot[todo]] != todo]
             slot[todo] = (slot[todo] + 1) & self.mask
+        #: The root's child by each code point.
+        self.root = np.full(0x110000, -1, np.int32)
+        heads = np.flatnonzero(self.key[1:-1] >> CODE_BITS == 0) + 1
+        self.root[self.key[heads] & (1 << CODE_BITS) - 1] = heads
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -121,145 +125,141 @@ class Trie:
         """The child of each node by each code point; -1 where there is none."""
         keys = nodes.astype(np.int64) << CODE_BITS | codes
         slot = self.slot(keys)
-        held = self.key[slot]
-        out = np.where(held == keys, self.child[slot], -1)
-        more = np.flatnonzero((held != keys) & (held >= 0))
+        out = self.child.take(slot)
+        more = np.flatnonzero((out >= 0) & (self.key.take(out) != keys))
         while len(more):
             slot[more] = (slot[more] + 1) & self.mask
-            held = self.key[slot[more]]
-            hit = held == keys[more]
-            out[more[hit]] = self.child[slot[more[hit]]]
-            more = more[~hit & (held >= 0)]
+            out[more] = self.child[slot[more]]
+            more = more[(out[more] >= 0) & (self.key[out[more]] != keys[more])]
         return out
 
 
-class Units(dict):
-    """Unit text -> its first node, with the lattices of all units seen as flat arrays.
+class Units(defaultdict):
+    """Unit text -> its number, with the lattices of all units seen as flat arrays.
 
-    Nodes are numbered through; a unit's nodes are its character positions and its end.  The
-    edges of a node stand together, longest first.  ``upto`` is the share of a node's probability up to
-    an edge, as the first number of 52 bits beyond it; ``again`` tells, at its first node, whether a unit
-    was met after the batch that brought it."""
+    Nodes are numbered through from each unit's first (``base``); a unit's nodes are its character
+    positions and its end.  The edges of a node stand together, longest first.  ``upto`` is the share of
+    a node's probability up to an edge, as the first number of 52 bits beyond it; ``final`` tells of an edge
+    that it leads to its unit's end, ``again`` of a unit that it was met after the batch that brought it."""
 
-    def __init__(self, trie: Trie, unknown: float) -> None:
-        super().__init__()
+    def __init__(self, trie: Trie, unknown: float, numbered: int = 0) -> None:
+        super().__init__(itertools.count(numbered).__next__)
         self.trie, self.unknown = trie, unknown
         self.n_nodes = 0
-        self.new: list[str] = []
         self.held: dict[str, np.ndarray] = {}
+        self.base, self.again = np.zeros(0, np.int64), np.zeros(0, bool)
         self.first = self.degree = self.to = self.source = self.piece = np.zeros(0, np.int32)
-        self.log_p, self.upto, self.again = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.log_p, self.upto, self.final = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def append(self, name: str, values: np.ndarray) -> None:
-        """Lengthen an array; its space grows by a quarter when it is full, so appending copies little."""
+        """Lengthen an array; its space doubles when it is full (pages not written yet take no memory)."""
         now = getattr(self, name)
         n = len(now) + len(values)
         space = self.held.get(name)
         if space is None or n > len(space):
-            space = self.held[name] = np.empty(n if space is None else max(n, len(space) * 5 // 4), values.dtype)
+            space = self.held[name] = np.empty(2 * n, values.dtype)
             space[:len(now)] = now
         space[len(now):n] = values
         setattr(self, name, space[:n])
 
-    def __missing__(self, unit: str) -> int:
-        base = self[unit] = self.n_nodes
-        self.n_nodes = base + len(unit) + 1
-        self.new.append(unit)
-        return base
-
     def reduced(self) -> Units:
         """A new table with the units met again, or without any if these would fill half of it."""
-        out = Units(self.trie, self.unknown)
-        base = np.fromiter(self.values(), np.int64, len(self))
-        size = np.diff(np.append(base, self.n_nodes))
-        kept = self.again[base]
-        base, size = base[kept], size[kept]
+        kept = np.flatnonzero(self.again)
+        base = self.base[kept]
+        size = np.append(self.base[1:], self.n_nodes)[kept] - base
         if not 0 < int(size.sum()) <= TABLE_NODES // 2:
-            return out
+            return Units(self.trie, self.unknown)
+        out = Units(self.trie, self.unknown, len(kept))
         nodes, begin = edges_of(base, size)
-        first = self.first[base]
-        degree = self.first[base + size - 1] - first  # a unit's end has no edge
-        edges, edge = edges_of(first, degree)
-        out.update(zip(itertools.compress(self, kept.tolist()), begin.tolist(), strict=True))
+        edges, edge = edges_of(self.first[nodes], self.degree[nodes])
+        move = np.repeat(np.repeat((begin - base).astype(np.int32), size), self.degree[nodes])
+        out.update(zip(itertools.compress(self, self.again.tolist()), range(len(kept)), strict=True))
         out.n_nodes = len(nodes)
-        move = np.repeat(begin - base, degree).astype(np.int32)
-        for name, values in (("first", self.first[nodes] + np.repeat(edge - first, size).astype(np.int32)),
+        out.held = self.held  # what stays has been copied out by now, so the space is used again
+        for name, values in (("base", begin), ("again", np.zeros(len(kept), bool)), ("first", edge.astype(np.int32)),
                              ("degree", self.degree[nodes]), ("to", self.to[edges] + move),
                              ("source", self.source[edges] + move), ("piece", self.piece[edges]),
-                             ("log_p", self.log_p[edges]), ("upto", self.upto[edges]),
-                             ("again", np.zeros(len(nodes), bool))):
+                             ("log_p", self.log_p[edges]), ("upto", self.upto[edges]), ("final", self.final[edges])):
             out.append(name, values)
         return out
 
-    def finish(self) -> None:
-        """Append the units met since: their edges, the log mass behind each node, and each edge's probability."""
-        if not self.new:
+    def finish(self, new: list[str]) -> None:
+        """Append the units numbered last: their edges, the log mass behind each node, and each edge's probability."""
+        if not new:
             return
-        old_nodes, old_edges = len(self.first), len(self.to)
-        codes = np.frombuffer("".join(self.new).encode("utf-32-le"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, self.new), np.int64, len(self.new))
-        self.new = []
+        old_nodes, old_edges = self.n_nodes, len(self.to)
+        codes = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
         ends = np.cumsum(sizes)
         left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters from each position to its unit's end
         node = np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)  # a unit's end is a node too
         n_nodes = len(codes) + len(sizes)
+        self.n_nodes += n_nodes
 
         levels = []  # for each length, the positions where a piece of it begins
-        at, where, n = np.arange(len(codes)), np.zeros(len(codes), np.int32), 0
-        while len(at):
-            where = self.trie.step(where, codes[at + n])
-            on = where >= 0
-            at, where, n = at[on], where[on], n + 1
-            full = self.trie.piece[where] >= 0
-            if n == 1:
-                covered = np.zeros(len(codes), bool)
-                covered[at[full]] = True
-            levels.append((n, at[full], self.trie.piece[where[full]], self.trie.weight[where[full]]))
-            on = left[at] > n
-            at, where = at[on], where[on]
+        at, where, n = np.arange(len(codes)), self.trie.root.take(codes), 1
+        while True:
+            on = np.flatnonzero(where >= 0)
+            at, where = at.take(on), where.take(on)
+            piece = self.trie.piece.take(where)
+            full = np.flatnonzero(piece >= 0)
+            levels.append((n, at.take(full), piece.take(full), self.trie.weight.take(where.take(full))))
+            on = np.flatnonzero(left.take(at) > n)
+            if not len(on):
+                break
+            at, where = at.take(on), where.take(on)
+            where, n = self.trie.step(where, codes.take(at + n)), n + 1
+        covered = np.zeros(len(codes), bool)
+        covered[levels[0][1]] = True
         bare = np.flatnonzero(~covered)
         levels.append((1, bare, -1 - codes[bare], np.full(len(bare), self.unknown)))
 
-        edges_at = np.zeros(len(codes), np.int32)
+        # Edges stand by the characters left from their node, so that each step of the sums below is one slice.
+        order = np.argsort(np.minimum(left, LONG_UNIT + 1).astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(left.take(order).clip(max=LONG_UNIT + 1), np.arange(1, LONG_UNIT + 2))
+        edges_at = np.zeros(len(codes), np.int64)
         for _, at, _, _ in levels:
             edges_at[at] += 1
-        degree = np.zeros(n_nodes, np.int32)
-        degree[node] = edges_at
-        first = (np.cumsum(degree) - degree).astype(np.int32)
+        nodes, degree = node.take(order), edges_at.take(order)
+        begin = np.cumsum(degree) - degree
         n_edges = int(degree.sum())
         to, piece, weight = np.zeros(n_edges, np.int32), np.zeros(n_edges, np.int32), np.zeros(n_edges)
-        source = np.repeat(np.arange(n_nodes, dtype=np.int32), degree)
-        free = first[node].astype(np.int64)
+        source = np.repeat(nodes.astype(np.int32), degree)
+        free = np.empty(len(codes), np.int64)
+        free[order] = begin
         for n, at, p, w in reversed(levels):
             slot = free.take(at)
             to[slot], piece[slot], weight[slot] = node.take(at) + n, p, w
             free[at] = slot + 1
 
         mass = np.zeros(n_nodes)
-        order = np.argsort(np.minimum(left, LONG_UNIT + 1).astype(np.uint16), kind="stable")
-        bounds = np.searchsorted(left[order].clip(max=LONG_UNIT + 1), np.arange(1, LONG_UNIT + 2))
         for t in range(LONG_UNIT):
-            nodes = node[order[bounds[t]:bounds[t + 1]]]
-            if len(nodes):
-                edges, begin = edges_of(first[nodes], degree[nodes])
-                x = weight[edges] + mass[to[edges]]
-                shift = x[begin]
-                mass[nodes] = shift + np.log(np.add.reduceat(np.exp(x - np.repeat(shift, degree[nodes])), begin))
-        late = order[bounds[-1]:]
-        for v in node[late[::-1]].tolist():  # inside long units, one node after the other from the end
-            a = int(first[v])
-            x = [weight[e] + mass[to[e]] for e in range(a, a + int(degree[v]))]
+            some = slice(bounds[t], bounds[t + 1])
+            if some.start < some.stop:
+                first, count = begin[some], degree[some]
+                a, b = first[0], first[-1] + count[-1]
+                x = weight[a:b] + mass.take(to[a:b])
+                shift = x.take(first - a)
+                mass[nodes[some]] = shift + np.log(np.add.reduceat(np.exp(x - np.repeat(shift, count)), first - a))
+        for i in range(len(order) - 1, bounds[-1] - 1, -1):  # inside long units, one node after the other from the end
+            a = int(begin[i])
+            x = [weight[e] + mass[to[e]] for e in range(a, a + int(degree[i]))]
             top = max(x)
-            mass[v] = top + math.log(sum(math.exp(y - top) for y in x))
-        log_p = weight + mass[to] - mass[source]
+            mass[nodes[i]] = top + math.log(sum(math.exp(y - top) for y in x))
+        log_p = weight + mass.take(to) - np.repeat(mass.take(nodes), degree)
         total = np.cumsum(np.exp(log_p))
-        upto = total - np.concatenate(([0.0], total))[first[source]]
-        upto[(first + degree - 1)[degree > 0]] = 2.0
+        upto = total - np.repeat(np.concatenate(([0.0], total)).take(begin), degree)
+        upto[begin + degree - 1] = 2.0
         upto = np.ceil(upto * 2.0**52 - 0.5).astype(np.int64)  # scaled exactly, so (m + 0.5) / 2^52 >= upto is m >= this
 
-        for name, values in (("first", first + np.int32(old_edges)), ("degree", degree), ("to", to + np.int32(old_nodes)),
-                             ("source", source + np.int32(old_nodes)), ("piece", piece), ("log_p", log_p), ("upto", upto),
-                             ("again", np.zeros(n_nodes, bool))):
+        final = np.zeros(n_nodes, bool)
+        final[ends + np.arange(len(sizes))] = True
+        first, out = np.zeros(n_nodes, np.int32), np.zeros(n_nodes, np.int32)
+        first[nodes], out[nodes] = begin + old_edges, degree
+        for name, values in (("base", ends - sizes + np.arange(len(sizes)) + old_nodes), ("again", np.zeros(len(new), bool)),
+                             ("first", first), ("degree", out), ("to", to + np.int32(old_nodes)),
+                             ("source", source + np.int32(old_nodes)), ("piece", piece), ("log_p", log_p),
+                             ("upto", upto), ("final", final.take(to))):
             self.append(name, values)
 
 
@@ -348,9 +348,29 @@ class Sampler:
         self.trie = kept_trie(vocabulary)
         self.units = Units(self.trie, vocabulary.unknown)
 
-    def nodes(self, text: str) -> np.ndarray:
-        found = UNIT.findall(" " + text) if len(text) < 1 << 22 else (m[0] for m in UNIT.finditer(" " + text))
-        return np.fromiter(map(self.units.__getitem__, found), np.int64)
+    def nodes(self, texts: list[str]) -> list[np.ndarray]:
+        """The first nodes of each text's units; a unit is looked up once however often the texts hold it.
+
+        A space before each text leads its first unit; then a unit begins at each space after something else."""
+        data = [(" " + t).encode() for t in texts]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        begin = np.cumsum(sizes) - sizes
+        joined = b"".join(data)
+        space = np.frombuffer(joined, np.uint8) == 0x20
+        leads = space.copy()
+        leads[1:] &= ~space[:-1]
+        leads[begin] = True
+        at = np.flatnonzero(leads)
+        bounds = pa.py_buffer(np.append(at, len(joined)))
+        found = pa.LargeStringArray.from_buffers(len(at), bounds, pa.py_buffer(joined)).dictionary_encode()
+        seen, u = found.dictionary.to_numpy(zero_copy_only=False).tolist(), self.units
+        known = len(u)
+        number = np.fromiter(map(u.__getitem__, seen), np.int64, len(seen))
+        met = number < known
+        u.again[number[met]] = True
+        u.finish(list(itertools.compress(seen, (~met).tolist())))
+        nodes = u.base.take(number).take(found.indices.to_numpy())
+        return np.split(nodes, np.searchsorted(at, begin[1:]))
 
     def __call__(self, seeds: list[int], texts: list[str | None]) -> list[list[dict] | None]:
         out: list[list[dict] | None] = [None] * len(texts)
@@ -372,11 +392,7 @@ class Sampler:
         if self.units.n_nodes > TABLE_NODES:
             self.units = self.units.reduced()
         u, k, n = self.units, self.k, len(texts)
-        known = u.n_nodes
-        starts = [self.nodes(t) for t in texts]
-        u.finish()
-        for nodes in starts:
-            u.again[nodes[nodes < known]] = True
+        starts = self.nodes(texts)
         seed = np.array(seeds, np.int64).view(np.uint64)
         samples: list[list[dict]] = [[] for _ in range(n)]
         paths: list[dict[int, np.ndarray]] = []
@@ -447,11 +463,10 @@ class Sampler:
                 e[more] = of
                 on = np.flatnonzero(left >= u.upto.take(of))
                 more, left, of = more.take(on), left.take(on), of.take(on)
-            steps.append((at, e.astype(np.int32)))
+            steps.append((at, e))
             count[at] += 1
-            node = u.to.take(e).astype(np.int64)
-            on = np.flatnonzero(u.degree.take(node) > 0)
-            at, node, key = at.take(on), node.take(on), key.take(on)
+            on = np.flatnonzero(~u.final.take(e))
+            at, node, key = at.take(on), u.to.take(e.take(on)), key.take(on)
         begin = np.cumsum(count) - count
         edges = np.zeros(int(count.sum()), np.int32)
         for i, (at, e) in enumerate(steps):
@@ -478,22 +493,27 @@ class Sampler:
         step = np.arange(len(edge)) + np.repeat(np.array([len(h) for h in heads]) - begin, sizes)
         place = np.concatenate(places)
 
-        def opened(at: np.ndarray) -> Agenda:
+        def opened(at: np.ndarray, least: np.ndarray) -> Agenda:
+            """The siblings along the path at these places, but for those under their doc's least value."""
             src = u.source[edge[at]]
-            e, first = edges_of(u.first[src], u.degree[src])
-            w = np.repeat(at, u.degree[src])
-            other = e != edge[w]
-            e, w = e[other], w[other]
-            d = who[w]
-            mean = before[w] + u.log_p[e]
-            cut = np.minimum(mean - value[d], 700.0)
-            v = mean - np.log(np.exp(cut) - np.log(uniforms(seed[docs[d]], 2 + r, step[w], e - u.first[u.source[e]])))
-            return Agenda(docs[d], v, e, place[w], mean, np.full(len(w), r), step[w])
+            begin, degree = u.first[src], u.degree[src]
+            e, _ = edges_of(begin, degree)
+            w = np.repeat(np.arange(len(at)), degree)
+            mean = before[at].take(w) + u.log_p.take(e)
+            floor = least[docs[who[at]]]
+            on = np.flatnonzero((e != edge[at].take(w)) & (mean + MOST_GUMBEL >= floor.take(w)))
+            e, w, mean = e.take(on), w.take(on), mean.take(on)
+            key = hashed(seed[docs[who[at]]], 2 + r, step[at]).take(w)
+            cut = np.minimum(mean - value[who[at]].take(w), 700.0)
+            v = mean - np.log(np.exp(cut) - np.log((numbers(hashed_on(key, e - begin.take(w))) + 0.5) * 2.0**-52))
+            on = np.flatnonzero(v >= floor.take(w))
+            e, w, mean, v = e.take(on), at.take(w.take(on)), mean.take(on), v.take(on)
+            return Agenda(docs[who[w]], v, e, place[w], mean, np.full(len(w), r), step[w])
 
         near = before >= NEAR
-        agenda, least = agenda.joined(opened(np.flatnonzero(near))).best(n, k - r)
+        agenda, least = agenda.joined(opened(np.flatnonzero(near), np.full(n, -np.inf))).best(n, k - r)
         far = np.flatnonzero(~near & (before + MOST_GUMBEL >= least[docs][who]))
-        return ends, agenda.joined(opened(far)).best(n, k - r)[0]
+        return ends, agenda.joined(opened(far, least)).best(n, k - r)[0]
 
     def ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
         """Each path's piece ids, with the bytes of a character that no piece covers in its place."""

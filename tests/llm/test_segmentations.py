@@ -91,3 +91,23 @@ def test_a_full_table_keeps_the_units_met_again_and_draws_the_same(vocabulary, m
         for a, b in zip(drawn([i], [t])[0], whole[i], strict=True):
             assert list(a["ids"]) == list(b["ids"]) and math.isclose(a["perturbed"], b["perturbed"])
     assert brought[" house"] == 1 and drawn.units.n_nodes < 200
+
+
+def test_a_unit_is_looked_up_once_a_batch(vocabulary, monkeypatch):
+    from corpusvox.llm import segmentations as S
+    looked, get = Counter(), S.Units.__getitem__
+    monkeypatch.setattr(S.Units, "__getitem__", lambda self, unit: looked.update([unit]) or get(self, unit))
+    texts = ["the old house", "  the old  the old ", "the☃ the\n", LONG]
+    drawn = Sampler(vocabulary, 2)([1, 2, 3, 4], texts)
+    assert looked == dict.fromkeys((" the", " old", " house", "   the", "  the", " ", " the☃", " the\n", " wort"), 1)
+    assert [decoder(vocabulary)([int(x) for x in d[0]["ids"]]) for d in drawn] == texts
+
+
+def test_only_siblings_among_the_best_are_put_on_the_agenda(vocabulary, monkeypatch):
+    from corpusvox.llm import segmentations as S
+    calls, joined = [], S.Agenda.joined
+    monkeypatch.setattr(S.Agenda, "joined", lambda self, other: calls.append((self, other)) or joined(self, other))
+    drawn = Sampler(vocabulary, 3)([7], ["some words of a text that has many segmentations " * 20])[0]
+    assert len(drawn) == 3 and len(calls) == 6
+    for held, far in calls[1::2]:  # after the nodes near the front, the rest of the path
+        assert len(held.value) and (far.value >= held.value.min()).all()
