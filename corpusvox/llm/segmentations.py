@@ -14,8 +14,8 @@ Random numbers are hashes of (row key, sample, place), so a row's sample depends
 its neighbours nor on the task that draws it.
 
 No piece goes on over a space after something else, so the lattice is a chain of lattices of
-space-led units; units are looked up in a table that is built once per batch sequence and
-bounded in size; when it is full, the units met again since the last time stay.  Nodes whose children can no longer be among the k best (perturbations of
+space-led units; a batch's distinct units are looked up in a table that is built once per batch
+sequence and bounded in size; when it is full, the units met again since the last time stay.  Nodes whose children can no longer be among the k best (perturbations of
 doubles are bounded) are drawn straight from their probabilities.
 
 Defined results: a null text has no samples, an empty text one empty sample of probability 1;
